@@ -1,19 +1,70 @@
-"""A corpus pipeline over documents, stage by stage."""
+"""A corpus pipeline over documents, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each is written as Parquet to the
+shared folder and read again, which also cuts lineage. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from quarry.llm import decontaminate, jaccard, packing, quality, secrets
+from quarry.llm.common import prepare, stored, table
+from quarry.llm.queries import BYTE_BPE
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard.distinct_documents(docs, size=5, num=80, den=100)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by their kinds."""
+    prepare(spark)
+
+    @pandas_udf("string")
+    def redacted(text: pd.Series) -> pd.Series:
+        return text.map(secrets.redact)
+
+    docs = docs.withColumn("text", redacted(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents in sequences of at most 2048 tokens."""
+    packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048)
+    return packed.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", classify),
+    ("near_duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("secrets", redact),
+    ("packing", pack),
+]
 
 #: No SQL expresses compression scores; the stages are tested against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

@@ -8,73 +8,75 @@ import re
 import numpy as np
 
 #: Before a space that follows a character which is not white space, the byte-level pattern always starts a new
-#: pre-token, and none of its alternatives looks behind: such pieces encode alone as they do in the text.
-_BOUNDARY = re.compile(r"(?<=\S)(?= )")
-_SIMPLE = re.compile(r" ?\S+").fullmatch
+#: pre-token, and none of its alternatives looks behind: such pieces encode alone as they do in the text. A text
+#: without two white-space characters in a row of which the second is a space can so be split at every space.
+_SIMPLE = re.compile(r" \S+").fullmatch
 #: Pieces longer than this are encoded each time rather than kept.
 _LONG = 80
-_JOIN = 4000
+_JOIN = 400
 
 
 class PieceEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
-    A distinct piece (a word with the space before it) goes through the library once; its ids are kept, for the
-    first capacity pieces. Results are those of Tokenizer.encode(text, add_special_tokens=False), special strings inside
+    A word with the space before it goes through the library once a batch at most; its ids are kept, for the first
+    capacity words. Results are those of Tokenizer.encode(text, add_special_tokens=False), special strings inside
     texts included.
     """
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
         self._capacity = capacity
-        feed = self._ids("\n")
-        self._feed = feed[0] if len(feed) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self._tok.encode(text, add_special_tokens=False).ids
+        added = {i: t.content for i, t in self._tok.get_added_tokens_decoder().items()}
+        #: Bytes of text behind each id: a byte-level token has one character a byte.
+        self._bytes = np.zeros(self._tok.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, i in self._tok.get_vocab(with_added_tokens=True).items():
+            self._bytes[i] = len(added[i].encode()) if i in added else len(token)
 
     def _direct(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Pieces without inner white space go in long texts, parted by line feeds, which stay tokens of their own."""
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that start with a space. Those without other white space are encoded joined, and parted by their bytes."""
         out: dict[str, bytes] = {}
-        simple = [p for p in missing if _SIMPLE(p)] if self._feed is not None else []
-        for i in range(0, len(simple), _JOIN):
-            part = simple[i : i + _JOIN]
-            ids = np.array(self._tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(ids == self._feed)
-            if len(at) != len(part) - 1:
-                continue
-            starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+        simple = [p for p in pieces if _SIMPLE(p)]
+        parts = [simple[i : i + _JOIN] for i in range(0, len(simple), _JOIN)]
+        for part, done in zip(parts, self._tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(done.ids, dtype="<u4")
+            upto = np.cumsum(self._bytes[ids])
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            at = np.searchsorted(upto, ends)
+            if upto[-1] != ends[-1] or (upto[at] != ends).any():
+                continue  # not as expected: each alone, below
+            stops = (4 * (at + 1)).tolist()
             raw = ids.tobytes()
-            out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, starts, ends, strict=True))
-        rest = [p for p in missing if p not in out]
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        rest = [p for p in pieces if p not in out]
         out.update(zip(rest, self._direct(rest), strict=True))
-        return out
+        return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BOUNDARY.split(t) if t else [] for t in texts]
+        split = [t.split(" ") for t in texts]
+        heads = [words.pop(0) for words in split]
+        words = set().union(*split)
+        runs = {w for w in words if not w or w[-1].isspace()}
+        odd = {i for i, (h, x) in enumerate(zip(heads, split, strict=True)) if x and (h[-1:].isspace() or runs and not runs.isdisjoint(x))}
+        whole = dict(zip(odd, self._direct([texts[i] for i in odd]), strict=True))
         memo = self._memo
-        missing = {p for pieces in split for p in pieces if p not in memo}
-        extra: dict[str, bytes] = {}
-        if missing:
-            learned = self._learn(list(missing))
-            if len(memo) >= self._capacity:
-                extra = learned
-            else:
-                extra = {p: learned.pop(p) for p in [p for p in learned if len(p) > _LONG]}
-                memo.update(learned)
-        if not extra:
-            get = memo.__getitem__
-        else:
-            def get(p: str) -> bytes:
-                return memo[p] if p in memo else extra[p]
-        return [b"".join(map(get, pieces)) for pieces in split]
+        new = list(words.difference(memo))
+        learned = dict(zip(new, self._learn([" " + w for w in new]), strict=True))
+        local = {w: memo[w] for w in words if w in memo}
+        local.update(learned)
+        if len(memo) + len(learned) <= self._capacity:
+            memo.update((w, ids) for w, ids in learned.items() if len(w) < _LONG)
+        first = list(set(heads))
+        start = dict(zip(first, self._direct(first), strict=True))
+        get = local.__getitem__
+        return [whole[i] if i in odd else start[h] + b"".join(map(get, x)) for i, (h, x) in enumerate(zip(heads, split, strict=True))]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, secrets, token_counts, token_store, urls
+from . import decontaminate, jaccard, media, packing, quality, secrets, token_counts, token_store, toxicity, urls
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,10 +39,31 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_token_store, op2_token_counts, op3_best_fit_packing, op4_media_columns, op5_url_filters, op6_secret_scans)
-}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", modulus=5, held_out=0)
+    return toxicity.score(docs, model, modulus=5, held_out=0)
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", modulus=4, held_out=2)
+    return quality.score(docs, model, modulus=4, held_out=2)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_token_store, op2_token_counts, op3_best_fit_packing, op4_media_columns, op5_url_filters,
+    op6_secret_scans, op7_toxicity, op8_ngram_jaccard_join, op9_quality_classifier, op10_benchmark_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: SQL for what SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
