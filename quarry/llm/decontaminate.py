@@ -20,9 +20,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import mix64, prepare, texts
 
@@ -237,26 +239,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
     return out
 
 
+def _holder(index: Index) -> Callable[[pd.Series], pd.Series]:
+    def holds(text: pd.Series) -> pd.Series:
+        out, texts_, i = np.zeros(len(text), dtype=bool), text.tolist(), 0
+        while i < len(texts_):
+            j, size = i, 0
+            while j < len(texts_) and (j == i or size + len(texts_[j]) <= 1_000_000):
+                size += len(texts_[j])
+                j += 1
+            out[[i + m[0] for m in index.matches(texts_[i:j])]] = True
+            i = j
+        return pd.Series(out)
+
+    return holds
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     prepare(docs.sparkSession)
     for index in blocks(benchmark, edits):
-
-        @pandas_udf("boolean")
-        def holds(text: pd.Series, index: Index = index) -> pd.Series:
-            out, texts_ = np.zeros(len(text), dtype=bool), text.tolist()
-            i = 0
-            while i < len(texts_):
-                j, size = i, 0
-                while j < len(texts_) and (j == i or size + len(texts_[j]) <= 1_000_000):
-                    size += len(texts_[j])
-                    j += 1
-                out[[i + m[0] for m in index.matches(texts_[i:j])]] = True
-                i = j
-            return pd.Series(out)
-
+        holds = pandas_udf(_holder(index), "boolean")
         docs = docs.filter(~holds(F.coalesce(F.col("text"), F.lit(""))))
     return docs

@@ -16,10 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import prepare, texts
 from .labelled import Logistic, Sample, calibrate, fold, sample
@@ -112,14 +114,9 @@ def score(docs: DataFrame, model: QualityModel, modulus: int = 4, held_out: int
 
 def keep(docs: DataFrame, model: QualityModel, least: float = KEEP) -> DataFrame:
     """The rows of docs, all columns, whose text scores least or more."""
-    from pyspark.sql.functions import pandas_udf
-
     prepare(docs.sparkSession)
 
-    @pandas_udf("double")
-    def quality(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(model.scores([t or "" for t in text]))
+    def scores(text: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(text.tolist()))
 
-    return docs.filter(quality(F.coalesce(F.col("text"), F.lit(""))) >= least)
+    return docs.filter(pandas_udf(scores, "double")(F.coalesce(F.col("text"), F.lit(""))) >= least)
