@@ -1,5 +1,6 @@
 """All registered queries."""
 
+from . import q_analytics  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
