@@ -13,9 +13,12 @@ segments and those of the band below, where a smaller partner may stand.
 Plan: exact copies of a set are one class first, by partial aggregation; a task sends the segments of a set once.
 Rows (segment key, doc_id) are the one large shuffle. A key's rows give links to its smallest id only, never all pairs;
 candidates are verified on whole sets by a join that adaptive execution can split. Components of the verified links
-follow; then only rows of one key that still are in different components are paired and verified, so that no link that
-could join two components is missed, while a group of near copies costs its size, not its square. Sets are computed
-for texts in candidates only, told by a fixed-size bitmap. Intermediate tables are written to the shared folder.
+follow. What is left are rows of one key in different components. They are compared by sketches of SKETCH_BITS bits, in
+blocks of BLOCK rows a side, inside a task: only a pair whose Hamming distance doesn't exceed D leaves it, and is
+verified. So no link that could join two components is missed, and a group of near copies sends its size, not its
+square, through a shuffle. (Comparing sketches is quadratic for copies that share keys and yet don't link, 64 bytes a
+pair.) Sets are computed for texts in candidates only, told by a fixed-size bitmap. Intermediate tables are written to
+the shared folder.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component;
 a text with fewer words than SIZE has the whole sequence as one shingle; repeated rows are returned each; rows that
@@ -42,6 +45,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PIECE = 2_000_000
 BITMAP_BITS = 1 << 24
+SKETCH_BITS = 512
+BLOCK = 512
 
 
 @cache
@@ -174,6 +179,58 @@ def _segments(size: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of SKETCH_BITS bits: every element toggles one."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def close_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, sides: tuple[np.ndarray, np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs in different components that the sketches don't rule out: one of sides[0] and one of sides[1]."""
+    out = []
+    left, right = sides
+    for i in left:
+        j = right[(right > i)] if left is right else right
+        j = j[comps[j] != comps[i]]
+        if not len(j):
+            continue
+        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+        ok = (den * low >= num * high) & (apart * (den + num) <= (den - num) * (low + high))
+        out += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j[ok]]
+    return out
+
+
+def _close(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by (key, lo, hi): the close pairs of each run, one run in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            group = np.stack([t.column(n).to_numpy() for n in ("key", "lo", "hi")])
+            starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0)])
+            held = t.slice(int(starts[-1]))
+            yield from work(t.slice(0, int(starts[-1])), starts)
+        if held is not None and held.num_rows:
+            yield from work(held, np.array([0, held.num_rows]))
+
+    def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        node, comp, size, block, lo, hi = (t.column(n).to_numpy() for n in ("node", "c", "n", "block", "lo", "hi"))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            left = np.arange(a, b)[block[a:b] == lo[a]]
+            right = left if lo[a] == hi[a] else np.arange(a, b)[block[a:b] == hi[a]]
+            found.update(close_pairs(node, comp, size, bits, (left, right), num, den))
+        if found:
+            p = np.array(sorted(found), dtype=np.int64)
+            yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _sets_of(size: int, bitmap: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little") if bitmap else None
 
@@ -184,7 +241,8 @@ def _sets_of(size: int, bitmap: bytes) -> Callable[[Iterator[pa.RecordBatch]], I
             if len(keep):
                 part = batch.take(pa.array(keep))
                 sets = shingle_sets(part.column(1).to_pylist(), size)
-                yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "items"])
+                items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), items, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "items", "sketch"])
 
     return run
 
@@ -246,15 +304,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     first = hits.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
     pairs = stored(hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     nodes = hits.join(first.select("key"), "key", "left_semi").select("node")
-    sets = stored(rows.filter("doc_id is not null").mapInArrow(_sets_of(size, _bitmap(nodes)), "doc_id long, items array<long>"), "items")
+    sets = stored(rows.filter("doc_id is not null").mapInArrow(_sets_of(size, _bitmap(nodes)), "doc_id long, items array<long>, sketch binary"), "items")
     links = stored(_verified(pairs, sets, num, den), "links")
     label = components(links)
-    # What the stars left apart: rows of one key in different components, tried pair by pair.
+    # What the stars left apart: rows of one key in different components.
     placed = stored(hits.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "placed")
-    open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    left = stored(placed.join(open_, "key", "left_semi"), "open")
-    a, b = left.select("key", F.col("node").alias("p"), F.col("c").alias("cp")), left.select("key", F.col("node").alias("q"), F.col("c").alias("cq"))
-    more = a.join(b, "key").filter("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).filter("x < y")
+    open_ = open_.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    marks = sets.select(F.col("doc_id").alias("node"), F.size("items").cast("long").alias("n"), "sketch").dropDuplicates(["node"])
+    left = placed.join(open_, "key").join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "n", "sketch")
+    runs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = runs.mapInArrow(_close(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     extra = stored(_verified(more, sets, num, den), "links")
     if extra.limit(1).count():
         label = components(links.union(extra))
