@@ -89,7 +89,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 
 def names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"{(\w+)}", sql)))
+    return list(dict.fromkeys(re.findall(r"{([a-z_][a-z_0-9]*)}", sql)))
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -114,9 +114,12 @@ def standalone(sql: str) -> str:
 
     for n in names(sql):
         visit(n)
-    plain = lambda s: re.sub(r"{(\w+)}", r"\1", s)
+    plain = lambda s: re.sub(r"{([a-z_][a-z_0-9]*)}", r"\1", s)
     ctes = ",\n".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     body = plain(sql).strip()
     if not ctes:
         return body
-    return f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
+    return f"WITH {ctes}\n{body}"
