@@ -16,14 +16,17 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     """Let Python workers import this package, and bound Arrow batches."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Workers give memory back after each batch rather than keep it for the next stage's.
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_MMAP_THRESHOLD_", "1048576"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 

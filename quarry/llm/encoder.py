@@ -6,25 +6,30 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Before a space that follows a character which is not white space, the byte-level pattern always starts a new
-#: pre-token, and none of its alternatives looks behind: such pieces encode alone as they do in the text. A text
-#: without two white-space characters in a row of which the second is a space can so be split at every space.
+#: The byte-level pattern never looks behind, and gives the last space before another character to what follows. So a
+#: text may be split before every space but where white space stands on both sides of the space: there, and only
+#: there, a run of white space reaches over the cut. Texts with such a place are encoded whole.
 _SIMPLE = re.compile(r" \S+").fullmatch
-#: Pieces longer than this are encoded each time rather than kept.
+#: Words longer than this are encoded each time rather than kept.
 _LONG = 80
 _JOIN = 400
+#: Rows of an Arrow batch for encoding: the more, the fewer distinct words a text has of its own.
+ROWS = 2500
 
 
 class PieceEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
-    A word with the space before it goes through the library once a batch at most; its ids are kept, for the first
-    capacity words. Results are those of Tokenizer.encode(text, add_special_tokens=False), special strings inside
-    texts included.
+    Arrow splits a batch of texts into words and numbers the distinct ones; a word with the space before it goes
+    through the library once a batch at most, and its ids are kept, while there are no more than capacity words. The
+    ids of the batch are then gathered by word numbers. Results are those of Tokenizer.encode(text,
+    add_special_tokens=False), special strings inside texts included.
     """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +53,7 @@ class PieceEncoder:
         for part, done in zip(parts, self._tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(done.ids, dtype="<u4")
             upto = np.cumsum(self._bytes[ids])
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            ends = np.cumsum([len(p.encode()) for p in part])
             at = np.searchsorted(upto, ends)
             if upto[-1] != ends[-1] or (upto[at] != ends).any():
                 continue  # not as expected: each alone, below
@@ -59,24 +64,51 @@ class PieceEncoder:
         out.update(zip(rest, self._direct(rest), strict=True))
         return [out[p] for p in pieces]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [words.pop(0) for words in split]
-        words = set().union(*split)
-        runs = {w for w in words if not w or w[-1].isspace()}
-        odd = {i for i, (h, x) in enumerate(zip(heads, split, strict=True)) if x and (h[-1:].isspace() or runs and not runs.isdisjoint(x))}
-        whole = dict(zip(odd, self._direct([texts[i] for i in odd]), strict=True))
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = split.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        heads = offsets[:-1]
         memo = self._memo
-        new = list(words.difference(memo))
-        learned = dict(zip(new, self._learn([" " + w for w in new]), strict=True))
-        local = {w: memo[w] for w in words if w in memo}
-        local.update(learned)
-        if len(memo) + len(learned) <= self._capacity:
-            memo.update((w, ids) for w, ids in learned.items() if len(w) < _LONG)
-        first = list(set(heads))
-        start = dict(zip(first, self._direct(first), strict=True))
-        get = local.__getitem__
-        return [whole[i] if i in odd else start[h] + b"".join(map(get, x)) for i, (h, x) in enumerate(zip(heads, split, strict=True))]
+        found = list(map(memo.get, words))
+        inner = np.ones(len(number), dtype=bool)
+        inner[heads] = False
+        needed = np.zeros(len(words), dtype=bool)
+        needed[number[inner]] = True
+        new = [i for i in np.flatnonzero(needed).tolist() if found[i] is None]
+        for i, ids in zip(new, self._learn([" " + words[i] for i in new]), strict=True):
+            found[i] = ids
+        ends_open = np.fromiter((not w or w[-1].isspace() for w in words), dtype=bool, count=len(words))[number]
+        ends_open[heads[np.fromiter((not words[h] for h in number[heads].tolist()), dtype=bool, count=len(heads))]] = False
+        starts_open = np.fromiter((not w or w[0].isspace() for w in words), dtype=bool, count=len(words))[number]
+        over = np.flatnonzero(ends_open[:-1] & starts_open[1:] & inner[1:])
+        whole = sorted(set((np.searchsorted(offsets, over, "right") - 1).tolist()))
+        if len(memo) < self._capacity:
+            memo.update((words[i], found[i]) for i in new if len(words[i]) <= _LONG)
+        first = sorted(set(number[heads].tolist()))
+        starts = self._direct([words[i] for i in first])
+        # Distinct words, then heads, as one list of id runs to gather from.
+        runs = [x or b"" for x in found] + starts
+        number[heads] = len(words) + np.searchsorted(first, number[heads])
+        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
+        begin = np.cumsum(size) - size
+        n = size[number]
+        ends = np.cumsum(n)
+        kind = np.int32 if max(int(ends[-1]), int(size.sum())) < 2**31 else np.int64
+        source = np.repeat((begin[number] - (ends - n)).astype(kind), n)
+        source += np.arange(len(source), dtype=kind)
+        raw = np.frombuffer(b"".join(runs), "<u4")[source].tobytes()
+        cuts = [0, *(4 * ends[offsets[1:] - 1]).tolist()]
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, ids in zip(whole, self._direct([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

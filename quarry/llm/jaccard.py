@@ -11,7 +11,8 @@ rarely (then it sends those too), at least one that isn't empty. Bands are 1/t w
 segments and those of the band below, where a smaller partner may stand.
 
 Plan: exact copies of a set are one class first, by partial aggregation; a task sends the segments of a set once.
-Rows (segment key, doc_id) are the one large shuffle. A key's rows give links to its smallest id only, never all pairs;
+Rows (segment key, doc_id) are the one large shuffle. Keys with the same rows, as copies have by the hundred, become
+one. A key's rows give links to its smallest id only, never all pairs;
 candidates are verified on whole sets by a join that adaptive execution can split. Components of the verified links
 follow. What is left are rows of one key in different components. They are compared by sketches of SKETCH_BITS bits, in
 blocks of BLOCK rows a side, inside a task: only a pair whose Hamming distance doesn't exceed D leaves it, and is
@@ -43,7 +44,7 @@ _PRIME = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix64(np.arange(256, dtype=np.uint64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PIECE = 2_000_000
+_PIECE = 500_000
 BITMAP_BITS = 1 << 24
 SKETCH_BITS = 512
 BLOCK = 512
@@ -296,9 +297,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     copies = known.join(classes, "set_key").filter(F.col("doc_id") != F.col("node")).select("doc_id", "node")
     keyed = rows.filter("doc_id is not null").mapInArrow(_segments(size, num, den), "key long, doc_id long")
-    same = Window.partitionBy("key").orderBy("doc_id")
-    hits = keyed.select("key", "doc_id", F.lag("doc_id").over(same).alias("before"), F.lead("doc_id").over(same).alias("after"))
-    hits = stored(hits.filter("before <> doc_id or after <> doc_id").select("key", "doc_id"), "hits")
+    same = Window.partitionBy("key")
+    members = F.xxhash64(F.count("*").over(same), F.bit_xor(F.xxhash64("doc_id")).over(same))
+    hits = keyed.select("doc_id", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"), members.alias("members")).filter("lo < hi")
+    hits = stored(hits.select(F.xxhash64("lo", "hi", "members").alias("key"), "doc_id").distinct(), "hits")
     alias = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
     hits = stored(hits.join(alias, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct(), "members")
     first = hits.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import prepare, texts
-from .encoder import encoder
+from .encoder import ROWS, encoder
 
 OPEN_BINS = 96
 
@@ -77,7 +77,7 @@ def _pack(path: str, capacity: int, end_id: int, most: int) -> Callable[[Iterato
         bins = OpenBins(capacity, most, TaskContext.get().partitionId() << 33)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            raws = [r + end for r in enc.encode(batch.column(1).to_pylist())]
+            raws = [r + end for r in enc.encode(batch.column(1))]
             rows = [(n, i, k, s) for i, r in enumerate(raws) for k, (s, n) in enumerate(pieces(len(r) // 4, capacity))]
             rows.sort(key=lambda x: -x[0])
             at = [bins.place(n) for n, *_ in rows]
@@ -99,6 +99,6 @@ def _pack(path: str, capacity: int, end_id: int, most: int) -> Callable[[Iterato
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, ROWS)
     schema = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
     return texts(docs).mapInArrow(_pack(tokenizer_path, capacity, end_id, open_bins), schema)

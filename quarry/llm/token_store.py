@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import cut, gear_candidates, mix64, prepare, scratch, texts
-from .encoder import encoder
+from .encoder import ROWS, encoder
 
 SHORTEST, MASK_BITS, LONGEST = 512, 11, 8192
 FANOUT = 1024
@@ -66,7 +66,7 @@ def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            raws = [r + end for r in enc.encode(batch.column(1).to_pylist())]
+            raws = [r + end for r in enc.encode(batch.column(1))]
             ids = np.frombuffer(b"".join(raws), "<u4")
             ends = np.cumsum([len(r) // 4 for r in raws]).tolist() if raws else []
             cuts = gear_candidates((mix64(ids) >> np.uint64(32)).astype(np.uint32), MASK_BITS)
@@ -115,7 +115,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = END_ID) -> str:
     """Encode every whole text of docs (doc_id, text) into a store below root."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, ROWS)
     rows = texts(docs).mapInArrow(_encode(tokenizer_path, end_id), _OBJECT)
     first = Window.partitionBy("route", "kind", "key").orderBy(F.lit(0))
     (
