@@ -219,7 +219,7 @@ def _close(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         if not t.num_rows:
             return
         node, comp, size, block, lo, hi = (t.column(n).to_numpy() for n in ("node", "c", "n", "block", "lo", "hi"))
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+        bits = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
         found: set[tuple[int, int]] = set()
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             left = np.arange(a, b)[block[a:b] == lo[a]]
@@ -243,7 +243,7 @@ def _sets_of(size: int, bitmap: bytes) -> Callable[[Iterator[pa.RecordBatch]], I
                 part = batch.take(pa.array(keep))
                 sets = shingle_sets(part.column(1).to_pylist(), size)
                 items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), items, pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "items", "sketch"])
+                yield pa.record_batch([part.column(0), items, pa.array([np.frombuffer(sketch(s), "<i8") for s in sets], pa.list_(pa.int64()))], names=["doc_id", "items", "sketch"])
 
     return run
 
@@ -264,6 +264,15 @@ def _bitmap(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a < b) that sizes and sketches don't rule out."""
+    side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    return full.filter((den * small >= num * large) & (apart * (den + num) <= (den - num) * (small + large))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a < b) whose sets have den * |A & B| >= num * |A or B|."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -304,16 +313,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     alias = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
     hits = stored(hits.join(alias, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct(), "members")
     first = hits.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    pairs = stored(hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    stars = hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     nodes = hits.join(first.select("key"), "key", "left_semi").select("node")
-    sets = stored(rows.filter("doc_id is not null").mapInArrow(_sets_of(size, _bitmap(nodes)), "doc_id long, items array<long>, sketch binary"), "items")
+    sets = stored(rows.filter("doc_id is not null").mapInArrow(_sets_of(size, _bitmap(nodes)), "doc_id long, items array<long>, sketch array<long>"), "items")
+    marks = stored(sets.select(F.col("doc_id").alias("node"), F.size("items").cast("long").alias("n"), "sketch").dropDuplicates(["node"]), "marks")
+    # Of the links that a row's stars may give, the first and the last are tried; what they leave apart comes after.
+    likely = _plausible(stars, marks, num, den).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
+    pairs = stored(likely.select(F.explode("a").alias("a"), "b"), "pairs")
     links = stored(_verified(pairs, sets, num, den), "links")
     label = components(links)
     # What the stars left apart: rows of one key in different components.
     placed = stored(hits.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "placed")
     open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).filter("x < y")
     open_ = open_.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    marks = sets.select(F.col("doc_id").alias("node"), F.size("items").cast("long").alias("n"), "sketch").dropDuplicates(["node"])
     left = placed.join(open_, "key").join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "n", "sketch")
