@@ -18,6 +18,8 @@ _LONG = 80
 _JOIN = 400
 #: Rows of an Arrow batch for encoding: the more, the fewer distinct words a text has of its own.
 ROWS = 2500
+#: Words that a worker keeps unless it is told otherwise: about 150 bytes each.
+MEMO = 250_000
 
 
 class PieceEncoder:
@@ -29,7 +31,7 @@ class PieceEncoder:
     add_special_tokens=False), special strings inside texts included.
     """
 
-    def __init__(self, path: str, capacity: int = 250_000):
+    def __init__(self, path: str, capacity: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,11 +113,11 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder a Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, capacity: int = MEMO) -> PieceEncoder:
+    """One encoder a Python worker, vocabulary and capacity."""
+    if (path, capacity) not in _ENCODERS:
+        _ENCODERS[path, capacity] = PieceEncoder(path, capacity)
+    return _ENCODERS[path, capacity]

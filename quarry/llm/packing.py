@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import prepare, texts
-from .encoder import ROWS, encoder
+from .encoder import MEMO, ROWS, encoder
 
 OPEN_BINS = 96
 
@@ -71,9 +71,9 @@ def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return out + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def _pack(path: str, capacity: int, end_id: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(path: str, capacity: int, end_id: int, most: int, memo: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(path, memo), np.array([end_id], dtype="<u4").tobytes()
         bins = OpenBins(capacity, most, TaskContext.get().partitionId() << 33)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
@@ -97,8 +97,11 @@ def _pack(path: str, capacity: int, end_id: int, most: int) -> Callable[[Iterato
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, memo: int = MEMO) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
+
+    memo: words whose ids a worker keeps, about 150 bytes each; the more, the less is encoded again.
+    """
     prepare(docs.sparkSession, ROWS)
     schema = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-    return texts(docs).mapInArrow(_pack(tokenizer_path, capacity, end_id, open_bins), schema)
+    return texts(docs).mapInArrow(_pack(tokenizer_path, capacity, end_id, open_bins, memo), schema)

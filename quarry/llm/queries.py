@@ -23,7 +23,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, memo=900_000)
     return packed.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
 
 
