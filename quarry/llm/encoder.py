@@ -38,9 +38,10 @@ class PieceEncoder:
         self._tok = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
         self._capacity = capacity
+        self.vocabulary = self._tok.get_vocab_size(with_added_tokens=True)
         added = {i: t.content for i, t in self._tok.get_added_tokens_decoder().items()}
         #: Bytes of text behind each id: a byte-level token has one character a byte.
-        self._bytes = np.zeros(self._tok.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        self._bytes = np.zeros(self.vocabulary, dtype=np.int64)
         for token, i in self._tok.get_vocab(with_added_tokens=True).items():
             self._bytes[i] = len(added[i].encode()) if i in added else len(token)
 

@@ -62,14 +62,16 @@ def unpack(payload: bytes, decompressor: zstandard.ZstdDecompressor) -> bytes:
 
 def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, comp, seen = encoder(path), zstandard.ZstdCompressor(level=3), set()
+        enc, comp, seen = encoder(path), zstandard.ZstdCompressor(level=1), set()
+        gears = (mix64(np.arange(max(enc.vocabulary, end_id + 1), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             raws = [r + end for r in enc.encode(batch.column(1))]
-            ids = np.frombuffer(b"".join(raws), "<u4")
             ends = np.cumsum([len(r) // 4 for r in raws]).tolist() if raws else []
-            cuts = gear_candidates((mix64(ids) >> np.uint64(32)).astype(np.uint32), MASK_BITS)
+            ids = np.frombuffer(b"".join(raws), "<u4")
+            del raws
+            cuts = gear_candidates(gears[ids], MASK_BITS)
             out: dict[str, list] = {n: [] for n in ("kind", "route", "key", "payload", "doc_id", "digests", "lens")}
 
             def add(*row, out=out):
@@ -92,7 +94,7 @@ def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 route = int.from_bytes(hashlib.blake2b(f"{doc_id}".encode(), digest_size=8).digest(), "little", signed=True)
                 add(1, route, key, None, doc_id, digests, lens)
                 start = end_at
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()  # only costs sending a chunk again
             types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
