@@ -47,7 +47,8 @@ q("s56_repeats", "conversations", lambda v: v.select("conv_id", "turn", F.length
 q("s57_truncate", "documents", lambda d: d.select("doc_id", t.truncate(c("text"), 200).alias("text")),
   """SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE concat(CASE WHEN stop > 160 THEN substr(text, 1, stop + 1) ELSE substr(text, 1, 200) END, chr(10), '[... truncated due to length ...]') END AS text FROM (SELECT doc_id, text,
   greatest(CASE WHEN instr(b, '.') > 0 THEN 200 - instr(b, '.') ELSE -1 END, CASE WHEN instr(b, chr(10)) > 0 THEN 200 - instr(b, chr(10)) ELSE -1 END) AS stop FROM (SELECT doc_id, text, reverse(substr(text, 1, 200)) AS b FROM {documents}) y) z""")
-q("s58_summarize_lines", "documents", lambda d: d.select("doc_id", F.size(F.split(t.summarize_lines(c("text"), 8), "\n")).alias("n")), None)
+q("s58_summarize_lines", "documents", lambda d: d.select("doc_id", F.size(F.split(t.summarize_lines(c("text"), 8), "\n")).alias("n")),
+  "SELECT doc_id, CAST(least(8, len(string_split(text, chr(10)))) AS INT) AS n FROM {documents}")
 q("s59_contexts", "documents", lambda d: d.select("doc_id", F.length(t.truncate(c("text"), 5000)).alias("n")), "SELECT doc_id, CASE WHEN length(text) <= 5000 THEN length(text) ELSE 34 + CASE WHEN stop > 4000 THEN stop + 1 ELSE 5000 END END AS n FROM (SELECT doc_id, text, greatest(CASE WHEN instr(b, '.') > 0 THEN 5000 - instr(b, '.') ELSE -1 END, CASE WHEN instr(b, chr(10)) > 0 THEN 5000 - instr(b, chr(10)) ELSE -1 END) AS stop FROM (SELECT doc_id, text, reverse(substr(text, 1, 5000)) AS b FROM {documents}) y) z")
 q("s60_estimate", "documents", lambda d: d.select("doc_id", t.compression_estimate(c("text")).alias("pct")),
   """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM {documents}), m AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2) v GROUP BY 1)
@@ -65,7 +66,8 @@ def _routing(spark: SparkSession, d: str) -> DataFrame:
 q("s62_call_cost", "llm_calls documents", lambda p, d: p.select("id", k.call_cost(c("selected_model"), c("input_tokens"), c("output_tokens")).alias("cost")),
   "SELECT id, CASE WHEN selected_model = 'gpt-4o' THEN input_tokens / 1e6 * 5 + output_tokens / 1e6 * 15 END AS cost FROM {llm_calls}")
 q("s62_estimated_tokens", "documents", lambda d: d.select("doc_id", t.estimated_tokens(c("text")).alias("n")), "SELECT doc_id, CAST(ceil(length(text) / 4e0) AS BIGINT) AS n FROM {documents}")
-q("s63_feature_flags", "customer", lambda d: d.groupBy(k.feature_enabled(F.lit(True), F.lit(30), c("c_name")).alias("on")).agg(F.count("*").alias("n")), None)
+q("s63_feature_flags", "customer", lambda d: d.groupBy(k.feature_enabled(F.lit(True), F.lit(30), c("c_name")).alias("on")).agg(F.count("*").alias("n")),
+  "SELECT abs(list_reduce(list_transform(string_split(c_name, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda h, k: ((h * 31 + k + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, CAST(0 AS BIGINT))) % 100 < 30 AS on, count(*) AS n FROM {customer} GROUP BY 1".replace("AS on", 'AS "on"'))
 q("s64_flag_settings", "events", lambda v: k.latest_flags(v.select(c("event_type").alias("name"), c("event_id").alias("version"), (c("event_id") % 2 == 0).alias("enabled"))), "SELECT event_type AS name, max(event_id) AS version, max(event_id) % 2 = 0 AS enabled FROM {events} GROUP BY 1")
 
 

@@ -54,7 +54,8 @@ def _job_rows(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "jobs").select("id", "job_id", "deal_id", "type", "status", "progress_pct", "message", "updated_at")
 
 
-@query("t1_job_feed")
+@query("t1_job_feed", standalone("""SELECT CAST(updated_at AS VARCHAR) AS id, 'job.updated' AS event, concat('{"job_id":', job_id, ',"deal_id":7,"status":"', status, '"', CASE WHEN progress_pct IS NOT NULL THEN concat(',"progress_pct":', progress_pct) ELSE '' END,
+  CASE WHEN message IS NOT NULL THEN concat(',"message":"', message, '"') ELSE '' END, '}') AS data FROM {jobs} WHERE deal_id = 7"""))
 def _feed(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, _job_rows(spark, d), lambda s: feed.events(feed.for_client(s, 7)), "append")
 

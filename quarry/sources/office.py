@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,16 +116,18 @@ READERS: dict[str, Callable[[bytes], Iterator[dict]]] = {
 }
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [x.split()[0] for x in SCHEMA.split(", ")]
+_ARROW = pa.schema([(n, pa.int32() if kind == "int" else pa.string()) for n, kind in (x.split() for x in SCHEMA.split(", "))])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, kind, content in zip(batch["path"], batch["kind"], batch["content"], strict=True):
+        for path, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             try:
-                rows = [{"path": path, "kind": kind, "error": None, **r} for r in READERS[kind](bytes(content))]
+                rows = [{"path": path, "kind": kind, "error": None, **r} for r in READERS[kind](content)]
             except Exception as e:  # noqa: BLE001  the row carries it
                 rows = [{"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"}]
             if rows:
-                yield pd.DataFrame(rows).reindex(columns=columns).astype({"part": "Int32", "level": "Int32"})
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def files(spark: SparkSession, folder: str, limit: int = UPLOAD_LIMIT) -> DataFrame:
@@ -143,7 +145,7 @@ def decoded(uploads: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
 def extract(files_: DataFrame) -> DataFrame:
     """Rows of the files whose kind has a reader."""
     known = files_.filter(F.col("kind").isin(*READERS)).select("path", "kind", "content")
-    return known.mapInPandas(_extract, SCHEMA)
+    return known.mapInArrow(_extract, SCHEMA)
 
 
 def page_bound(part: Column, most: int = 30) -> Column:
