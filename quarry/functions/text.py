@@ -19,8 +19,9 @@ CONTROL = "[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 LINK = "https?://"
 PHONE = "[0-9]{3}[\\s.-]?[0-9]{3}[\\s.-]?[0-9]{4}"
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
-WORD3 = "\\b[a-zA-Z]{3,}\\b"
-CAPS3 = "\\b[A-Z]{3,}\\b"
+# A word boundary is between ASCII letters, digits or underscores and anything else, accented letters included.
+WORD3 = "(?<![A-Za-z0-9_])[a-zA-Z]{3,}(?![A-Za-z0-9_])"
+CAPS3 = "(?<![A-Za-z0-9_])[A-Z]{3,}(?![A-Za-z0-9_])"
 BRACKETS = "[\\]\\[)({}|<>\\\\]"
 LABEL_CHARACTER = "[A-Za-z0-9\\s\\-–%$.,/:]"
 NUMERIC = "(?i)(?:\\$[0-9,]+(?:\\.[0-9]+)?(?:%|[kmb]|x)?|[0-9,]+(?:\\.[0-9]+)?(?:%|[kmb]|x)|[0-9]+\\s*[–-]\\s*[0-9]+(?:%|[kmb]|x)?)"
@@ -89,7 +90,7 @@ def passes_for_title(t: Column) -> Column:
     enough = (n >= 10) & (n <= 120) & t.rlike(WORD3) & (F.size(F.split(t, " ")) >= 2)
     shape = (count(t, BRACKETS) < 2) & (count(t, "[A-Za-z]") * 100 >= n * 55)
     shouting = (count(t, CAPS3) >= 5) & (count(t, WORD3) < 3)
-    return enough & shape & ~is_boilerplate(t) & ~shouting & ~t.rlike("(?i)\\buse\\)\\b")
+    return enough & shape & ~is_boilerplate(t) & ~shouting & ~t.rlike("(?i)(?<![a-z0-9_])use\\)(?=[a-z0-9_])")
 
 
 def normalize_confidence(x: Column) -> Column:
