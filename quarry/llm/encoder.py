@@ -87,9 +87,14 @@ class PieceEncoder:
         new = [i for i in np.flatnonzero(needed).tolist() if found[i] is None]
         for i, ids in zip(new, self._learn([" " + words[i] for i in new]), strict=True):
             found[i] = ids
-        ends_open = np.fromiter((not w or w[-1].isspace() for w in words), dtype=bool, count=len(words))[number]
-        ends_open[heads[np.fromiter((not words[h] for h in number[heads].tolist()), dtype=bool, count=len(heads))]] = False
-        starts_open = np.fromiter((not w or w[0].isspace() for w in words), dtype=bool, count=len(words))[number]
+        void = pc.equal(pc.utf8_length(coded.dictionary), 0)
+
+        def open_at(start: int, stop: int | None) -> np.ndarray:
+            edge = pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, start, stop))
+            return pc.or_(edge, void).to_numpy(zero_copy_only=False)[number]
+
+        ends_open, starts_open = open_at(-1, None), open_at(0, 1)
+        ends_open[heads] &= ~void.to_numpy(zero_copy_only=False)[number[heads]]
         over = np.flatnonzero(ends_open[:-1] & starts_open[1:] & inner[1:])
         whole = sorted(set((np.searchsorted(offsets, over, "right") - 1).tolist()))
         if len(memo) < self._capacity:
