@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import office, sinks
+from ..sources import images, office, sinks
 from ..streaming import feed
 from .q_entities import q
 from .registry import query
@@ -24,6 +24,16 @@ q("snk3_documents", "ledgers", lambda g: sinks.from_document(sinks.to_document(g
 q("snk4_cache_import", "cache_events", lambda v: v.filter(c("created_at") + F.expr("INTERVAL 7 DAYS") >= F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("task_type").agg(F.count("*").alias("n")), "SELECT task_type, count(*) AS n FROM {cache_events} WHERE created_at + INTERVAL 7 DAY >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
 
 
+def _striped(n: DataFrame) -> DataFrame:
+    """Images of 64 by 64 gray samples with twenty striped rows."""
+    stripe = F.concat(F.repeat(F.lit("00"), 64), F.repeat(F.lit("FF"), 64))
+    pixels = F.unhex(F.concat(F.repeat(F.lit("FF"), 64 * 20), F.repeat(stripe, 10), F.repeat(F.lit("FF"), 64 * 24)))
+    return n.select("n_nationkey", F.size(images.regions(pixels, F.lit(64), F.lit(64))).alias("n"))
+
+
+q("x15_text_regions", "nation", _striped, "SELECT n_nationkey, 1 AS n FROM {nation}")
+
+
 @query("snk1_export", standalone("SELECT id, name FROM {deals} WHERE id IN (1, 2, 3)"))
 def _export(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{_folder(spark)}/export"
