@@ -18,8 +18,9 @@ follow. What is left are rows of one key in different components. They are compa
 blocks of BLOCK rows a side, inside a task: only a pair whose Hamming distance doesn't exceed D leaves it, and is
 verified. So no link that could join two components is missed, and a group of near copies sends its size, not its
 square, through a shuffle. (Comparing sketches is quadratic for copies that share keys and yet don't link, 64 bytes a
-pair.) Sets are computed for texts in candidates only, told by a fixed-size bitmap. Intermediate tables are written to
-the shared folder.
+pair.) Sketches are computed for texts in
+candidates, and sets for those in pairs to verify, each told by a fixed-size bitmap. Intermediate tables are written
+to the shared folder.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component;
 a text with fewer words than SIZE has the whole sequence as one shingle; repeated rows are returned each; rows that
@@ -232,22 +233,33 @@ def _close(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _sets_of(size: int, bitmap: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little") if bitmap else None
+def _sets_of(size: int, bitmap: bytes, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the texts whose id is in the bitmap, the whole sets or their sizes and sketches."""
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(bits[(mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
-            if len(keep):
-                part = batch.take(pa.array(keep))
-                sets = shingle_sets(part.column(1).to_pylist(), size)
-                items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), items, pa.array([np.frombuffer(sketch(s), "<i8") for s in sets], pa.list_(pa.int64()))], names=["doc_id", "items", "sketch"])
+            if not len(keep):
+                continue
+            part = batch.take(pa.array(keep))
+            sets = shingle_sets(part.column(1).to_pylist(), size)
+            longs = pa.list_(pa.int64())
+            if whole:
+                yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in sets], longs)], names=["node", "items"])
+            else:
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.record_batch([part.column(0), n, pa.array([np.frombuffer(sketch(s), "<i8") for s in sets], longs)], names=["node", "n", "sketch"])
 
     return run
 
 
+def _marks(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, n, sketch) of nodes, and of the few others whose bit is the same."""
+    return stored(rows.mapInArrow(_sets_of(size, _bitmap(nodes), False), "node long, n long, sketch array<long>").distinct(), "marks")
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -273,10 +285,12 @@ def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFr
     return full.filter((den * small >= num * large) & (apart * (den + num) <= (den - num) * (small + large))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a < b) whose sets have den * |A & B| >= num * |A or B|."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a < b) whose sets have den * |A & B| >= num * |A or B|. Only sets of texts in pairs are computed and shuffled."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = stored(rows.mapInArrow(_sets_of(size, _bitmap(nodes), True), "node long, items array<long>"), "items")
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     full = pairs.join(left, "a").join(right, "b")
     return full.filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -315,12 +329,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     first = hits.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
     stars = hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     nodes = hits.join(first.select("key"), "key", "left_semi").select("node")
-    sets = stored(rows.filter("doc_id is not null").mapInArrow(_sets_of(size, _bitmap(nodes)), "doc_id long, items array<long>, sketch array<long>"), "items")
-    marks = stored(sets.select(F.col("doc_id").alias("node"), F.size("items").cast("long").alias("n"), "sketch").dropDuplicates(["node"]), "marks")
+    known_rows = rows.filter("doc_id is not null")
+    marks = _marks(known_rows, nodes, size)
     # Of the links that a row's stars may give, the first and the last are tried; what they leave apart comes after.
     likely = _plausible(stars, marks, num, den).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
     pairs = stored(likely.select(F.explode("a").alias("a"), "b"), "pairs")
-    links = stored(_verified(pairs, sets, num, den), "links")
+    links = stored(_verified(pairs, known_rows, size, num, den), "links")
     label = components(links)
     # What the stars left apart: rows of one key in different components.
     placed = stored(hits.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "placed")
@@ -330,8 +344,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c", "n", "sketch")
     runs = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = runs.mapInArrow(_close(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = stored(_verified(more, sets, num, den), "links")
+    more = stored(runs.mapInArrow(_close(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    extra = stored(_verified(more, known_rows, size, num, den), "links")
     if extra.limit(1).count():
         label = components(links.union(extra))
     named = stored(classes.join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "named")
