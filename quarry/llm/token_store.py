@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import cut, gear_candidates, mix64, prepare, scratch, texts
-from .encoder import ROWS, encoder
+from .encoder import MEMO, ROWS, encoder
 
 SHORTEST, MASK_BITS, LONGEST = 512, 11, 8192
 FANOUT = 1024
@@ -60,9 +60,9 @@ def unpack(payload: bytes, decompressor: zstandard.ZstdDecompressor) -> bytes:
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[:1] == b"\0" else raw
 
 
-def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, end_id: int, memo: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, comp, seen = encoder(path), zstandard.ZstdCompressor(level=1), set()
+        enc, comp, seen = encoder(path, memo), zstandard.ZstdCompressor(level=1), set()
         gears = (mix64(np.arange(max(enc.vocabulary, end_id + 1), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -115,10 +115,10 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = END_ID) -> str:
-    """Encode every whole text of docs (doc_id, text) into a store below root."""
+def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = END_ID, memo: int = MEMO) -> str:
+    """Encode every whole text of docs (doc_id, text) into a store below root. memo: words whose ids a worker keeps."""
     spark = prepare(docs.sparkSession, ROWS)
-    rows = texts(docs).mapInArrow(_encode(tokenizer_path, end_id), _OBJECT)
+    rows = texts(docs).mapInArrow(_encode(tokenizer_path, end_id, memo), _OBJECT)
     first = Window.partitionBy("route", "kind", "key").orderBy(F.lit(0))
     (
         rows.repartition("route")
@@ -271,9 +271,9 @@ def reconstruct(spark: SparkSession, root: str) -> DataFrame:
     return whole.select("doc_id", "start", joined(F.col("parts")).alias("ids"))
 
 
-def store_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def store_and_read(docs: DataFrame, tokenizer_path: str, memo: int = MEMO) -> DataFrame:
     """Write a store to the shared folder, verify its manifest, and read the documents back."""
     spark = docs.sparkSession
-    root = write_store(docs, tokenizer_path, scratch(spark, "tokens"))
+    root = write_store(docs, tokenizer_path, scratch(spark, "tokens"), memo=memo)
     verify_manifest(spark, root)
     return read_store(spark, root)
