@@ -55,8 +55,12 @@ def truth(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
 
 
-FAILED = c("error_message").isNotNull()
-DAY = c("created_at").cast("date").alias("day")
+def failed() -> Column:
+    return c("error_message").isNotNull()
+
+
+def day() -> Column:
+    return c("created_at").cast("date").alias("day")
 
 
 def cost_per_deal(p: DataFrame) -> DataFrame:
@@ -105,19 +109,19 @@ def cache_metrics(k: DataFrame) -> DataFrame:
 
 
 def cost_trend(p: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
-    return since(p, days, as_of).groupBy(DAY).agg(n(), total("total_tokens", "total_tokens"), dollars("cost"), per_call("avg_cost"), per_million("cost_per_million"))
+    return since(p, days, as_of).groupBy(day()).agg(n(), total("total_tokens", "total_tokens"), dollars("cost"), per_call("avg_cost"), per_million("cost_per_million"))
 
 
 def provider_comparison(p: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
     return since(p, days, as_of).groupBy("provider_type").agg(
-        n(), total("total_tokens", "total_tokens"), dollars("cost"), mean("latency_ms", "avg_latency", 1), per_million("cost_per_million"), truth(FAILED, "errors"),
-        ratio(F.count_if(~FAILED), F.count("*"), 2, 100).alias("success_rate"),
+        n(), total("total_tokens", "total_tokens"), dollars("cost"), mean("latency_ms", "avg_latency", 1), per_million("cost_per_million"), truth(failed(), "errors"),
+        ratio(F.count_if(~failed()), F.count("*"), 2, 100).alias("success_rate"),
     )
 
 
 def token_efficiency(p: DataFrame) -> DataFrame:
     """By day; the input to output ratio divides by null where output is 1, as the rule says."""
-    daily = p.groupBy(DAY).agg(n(), total("input_tokens", "i"), total("output_tokens", "o"), total("total_tokens", "t"), total("cost_micro", "m"))
+    daily = p.groupBy(day()).agg(n(), total("input_tokens", "i"), total("output_tokens", "o"), total("total_tokens", "t"), total("cost_micro", "m"))
     return daily.select(
         "day", "calls", ratio(c("t"), c("calls"), 0).alias("avg_tokens"), half_up(c("i").cast("double") / F.nullif(c("o"), F.lit(1)), 2).alias("io_ratio"),
         ratio(c("m"), c("t"), 2).alias("cost_per_million"), half_up(c("m") * MICRO, 2).alias("daily_cost"),
@@ -126,12 +130,12 @@ def token_efficiency(p: DataFrame) -> DataFrame:
 
 def compression_effectiveness(p: DataFrame, days: int = 30, as_of: datetime | None = None, below: int = 2000) -> DataFrame:
     small = c("input_tokens") < below
-    return since(p, days, as_of).groupBy(DAY).agg(truth(small, "compressed"), n(), ratio(F.count_if(small), F.count("*"), 2, 100).alias("rate"), mean("input_tokens", "avg_input", 0), per_call("avg_cost"))
+    return since(p, days, as_of).groupBy(day()).agg(truth(small, "compressed"), n(), ratio(F.count_if(small), F.count("*"), 2, 100).alias("rate"), mean("input_tokens", "avg_input", 0), per_call("avg_cost"))
 
 
 def error_analysis(p: DataFrame, days: int = 7, as_of: datetime | None = None) -> DataFrame:
     """By error and provider, with the sorted distinct deals. The deals of one error are bounded by the deals."""
-    return since(p, days, as_of).filter(FAILED).groupBy("error_message", "provider_type").agg(
+    return since(p, days, as_of).filter(failed()).groupBy("error_message", "provider_type").agg(
         n("errors"), F.array_sort(F.collect_set("deal_id")).alias("deals"), F.max("created_at").alias("last_seen")
     ).orderBy(F.desc("errors"), "error_message", "provider_type")
 
@@ -146,7 +150,7 @@ def top_deals(p: DataFrame, limit: int = 20, days: int = 30, as_of: datetime | N
 
 
 def provider_reliability(p: DataFrame, days: int = 7, as_of: datetime | None = None) -> DataFrame:
-    return since(p, days, as_of).groupBy("provider_type").agg(n("total"), truth(~FAILED, "successes"), ratio(F.count_if(~FAILED), F.count("*"), 2, 100).alias("success_rate"), mean("latency_ms", "avg_latency", 1))
+    return since(p, days, as_of).groupBy("provider_type").agg(n("total"), truth(~failed(), "successes"), ratio(F.count_if(~failed()), F.count("*"), 2, 100).alias("success_rate"), mean("latency_ms", "avg_latency", 1))
 
 
 def cost_by_task(p: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
@@ -173,7 +177,7 @@ def api_cost_per_deal(p: DataFrame, limit: int = 10, days: int = 30, as_of: date
 
 
 def api_model_selection(p: DataFrame, days: int = 7, as_of: datetime | None = None) -> DataFrame:
-    return since(p, days, as_of, inclusive=False).groupBy("selected_model").agg(n(), dollars("cost", 6), F.floor(ratio(F.sum("latency_ms"), F.count("latency_ms"))).alias("avg_latency"), truth(FAILED, "errors"))
+    return since(p, days, as_of, inclusive=False).groupBy("selected_model").agg(n(), dollars("cost", 6), F.floor(ratio(F.sum("latency_ms"), F.count("latency_ms"))).alias("avg_latency"), truth(failed(), "errors"))
 
 
 def api_task_performance(p: DataFrame, days: int = 7, as_of: datetime | None = None) -> DataFrame:
@@ -193,18 +197,18 @@ def api_cache_effectiveness(k: DataFrame, days: int = 7, as_of: datetime | None
 
 
 def api_cost_trend(p: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
-    return since(p, days, as_of, inclusive=False).groupBy(DAY).agg(n(), dollars("cost", 6), F.sum(c("input_tokens") + c("output_tokens")).alias("tokens"), truth(c("cached"), "cached_calls")).orderBy("day")
+    return since(p, days, as_of, inclusive=False).groupBy(day()).agg(n(), dollars("cost", 6), F.sum(c("input_tokens") + c("output_tokens")).alias("tokens"), truth(c("cached"), "cached_calls")).orderBy("day")
 
 
 def api_error_analysis(p: DataFrame, days: int = 7, as_of: datetime | None = None) -> DataFrame:
-    rows = since(p, days, as_of, inclusive=False).groupBy("task_type").agg(n("total"), truth(FAILED, "errors"), ratio(F.count_if(FAILED), F.count("*"), 2, 100).alias("error_rate"), F.max("error_message").alias("sample"))
+    rows = since(p, days, as_of, inclusive=False).groupBy("task_type").agg(n("total"), truth(failed(), "errors"), ratio(F.count_if(failed()), F.count("*"), 2, 100).alias("error_rate"), F.max("error_message").alias("sample"))
     return rows.filter("errors > 0")
 
 
 def _two_totals(p: DataFrame, k: DataFrame) -> DataFrame:
     zero = lambda x, name: F.coalesce(x, F.lit(0)).alias(name)
     a = p.agg(
-        n(), zero(F.sum("total_tokens"), "tokens"), F.coalesce(half_up(F.sum("cost_micro") * MICRO, 6), F.lit(0.0)).alias("cost"), truth(FAILED, "errors"),
+        n(), zero(F.sum("total_tokens"), "tokens"), F.coalesce(half_up(F.sum("cost_micro") * MICRO, 6), F.lit(0.0)).alias("cost"), truth(failed(), "errors"),
         truth(c("cached"), "cached_calls"), F.coalesce(F.floor(ratio(F.sum("latency_ms"), F.count("latency_ms"))), F.lit(0)).alias("avg_latency"),
     )
     b = k.agg(truth(c("event_type") == "hit", "hits"), truth(c("event_type") == "miss", "misses"), zero(F.sum("tokens_saved"), "tokens_saved"))
@@ -222,7 +226,7 @@ def deal_summary(p: DataFrame, k: DataFrame, deal_id: int) -> DataFrame:
 
 def health(p: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Calls and errors of the last hour; healthy below a tenth of errors, active with any call."""
-    row = since(p, 1 / 24, as_of).agg(n(), truth(FAILED, "errors"))
+    row = since(p, 1 / 24, as_of).agg(n(), truth(failed(), "errors"))
     return row.select("*", (c("errors") * 10 < F.greatest(c("calls"), F.lit(1))).alias("healthy"), (c("calls") > 0).alias("active"))
 
 

@@ -10,6 +10,7 @@ from ..operators import cache as k
 from ..operators import client as x
 from ..operators import rules as r
 from .q_entities import q
+from .q_text import FILES
 from .registry import query
 from .sql import half_up, ratio
 from .views import standalone, view
@@ -83,7 +84,10 @@ def _complete(spark: SparkSession, d: str) -> DataFrame:
 q("s67_task_requests", "documents", lambda d: d.select("doc_id", F.format_string("Extract facts from %s of %s", "source", "lang").alias("prompt")), "SELECT doc_id, concat('Extract facts from ', source, ' of ', lang) AS prompt FROM {documents}")
 
 
-@query("s68_task_config")
+_TASKS = ", ".join(f"('{a}', '{b}', {n}, CAST({x} AS DOUBLE))" for a, b, n, x in k.TASKS)
+
+
+@query("s68_task_config", f"SELECT * FROM (VALUES {_TASKS}) v(task, model, max_tokens, temperature)")
 def _config(spark: SparkSession, d: str) -> DataFrame:
     return k.task_config(spark)
 
@@ -137,7 +141,8 @@ q("c10_selectable", "deals", lambda d: x.selectable(d.select("id"), d.filter("id
 q("c11_document_filter", "deal_documents", lambda d: x.filter_documents(d, {"pitch_deck": "Pitch Deck", "legal": "Legal File"}, "file", "completed").select("document_id", "label"), "SELECT document_id, 'Legal File' AS label FROM {deal_documents} WHERE type = 'legal' AND status = 'completed'")
 q("c12_document_stats", "deal_documents", lambda d: x.document_stats(d.withColumn("size", F.concat(s(c("page_count")), F.lit(".5 MB")))), f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS done, {ratio('count(*) FILTER (WHERE status = ' + chr(39) + 'completed' + chr(39) + ')', 'count(*)', 0, 100)} AS pct, {half_up('CAST(sum(quality_pct) AS DOUBLE) / count(quality_pct)')} AS avg_score, {half_up('sum(page_count * 10 + 5) / 10e0', 1)} AS mb FROM {{deal_documents}}")
 q("c13_library", "documents", lambda d: x.library(d.select(c("doc_id").alias("id"), c("source").alias("name"), F.array("lang", F.lit("Text")).alias("tags"), c("lang").alias("category")), "EN", "all").select("id"), "SELECT doc_id AS id FROM {documents} WHERE contains(lower(source), 'en') OR contains(lower(lang), 'en')")
-q("c14_file_sizes", "upload_files", lambda u: u.select("doc_id", t.human_size(c("n_bytes")).alias("size")), None)
+q("c14_file_sizes", "upload_files", lambda u: u.select("doc_id", t.human_size(c("n_bytes")).alias("size")),
+  f"SELECT doc_id, CASE WHEN n_bytes = 0 THEN '0 Bytes' ELSE concat(CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END, ' ', unit) END AS size FROM (SELECT doc_id, n_bytes, {half_up('n_bytes / d', 2)} AS v, unit FROM (SELECT *, CASE WHEN n_bytes < 1024 THEN 1e0 WHEN n_bytes < 1048576 THEN 1024e0 WHEN n_bytes < 1073741824 THEN 1048576e0 ELSE 1073741824e0 END AS d, CASE WHEN n_bytes < 1024 THEN 'Bytes' WHEN n_bytes < 1048576 THEN 'KB' WHEN n_bytes < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM {{upload_files}}) y) z")
 q("c15_category_scores", "deals", lambda d: x.category_scores(_form(d)).select("id", *x.CATEGORIES), f"WITH {SCORES} SELECT id, {CATS} FROM sc")
 q("c16_overall", "deals", lambda d: _scores(d).select("id", "overall", "grade"), f"WITH {SCORES} SELECT id, overall, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' ELSE 'Needs Improvement' END AS grade FROM ov")
 q("c17_completeness", "deals", lambda d: _form(d).select("id", x.completeness(d, ["market_size", "problem", "moat"]).alias("pct")), f"WITH {FORM} SELECT id, {half_up(f'(CAST({HAS('market_size')} AS INT) + CAST({HAS('problem')} AS INT) + CAST({HAS('moat')} AS INT)) * 100e0 / 3e0')} AS pct FROM form")
@@ -177,7 +182,9 @@ q("c33_log_summary", "events", lambda v: x.log_summary(v.select(c("event_type").
 q("c34_industries", "nation region", lambda n, g: n.join(F.broadcast(g), c("n_regionkey") == c("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names")), "SELECT r_name, list_sort(list(n_name)) AS names FROM {nation} JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1")
 q("c34_recommendations", "deals", lambda d: d.groupBy(x.recommendation(c("score")).alias("band")).agg(F.count("*").alias("n")), "SELECT CASE WHEN score >= 85 THEN 'strong buy' WHEN score >= 70 THEN 'buy' WHEN score >= 55 THEN 'watch' ELSE 'pass' END AS band, count(*) AS n FROM {deals} GROUP BY 1")
 q("c34_pinned_first", "conversations", lambda v: x.pinned_first(v.select("conv_id", (c("turn") % 3 == 0).alias("pinned"), c("turn").alias("position"))), "SELECT conv_id, turn % 3 = 0 AS pinned, turn AS position FROM {conversations}")
-q("c35_assigned_files", "upload_files documents", lambda u, d: x.assigned_files(u.select("filename"), u.filter("doc_id % 3 <> 0").select("filename", t.company(c("filename")).alias("company")).distinct(), d.filter("doc_id % 2 = 0").select(c("doc_id").alias("id"), F.concat("source", F.lit(" labs")).alias("name"))).groupBy("action").agg(F.count("*").alias("n")), None)
+q("c35_assigned_files", "upload_files documents", lambda u, d: x.assigned_files(u.select("filename"), u.filter("doc_id % 3 <> 0").select("filename", t.company(c("filename")).alias("company")).distinct(), d.filter("doc_id % 2 = 0").select(c("doc_id").alias("id"), F.concat("source", F.lit(" labs")).alias("name"))).groupBy("action").agg(F.count("*").alias("n")),
+  f"""WITH {FILES}, a AS (SELECT DISTINCT filename, company FROM g WHERE doc_id % 3 <> 0), e AS (SELECT lower(concat(source, ' labs')) AS n, min(doc_id) AS id FROM {{documents}} WHERE doc_id % 2 = 0 GROUP BY 1)
+  SELECT CASE WHEN a.company IS NULL THEN 'unassigned' WHEN e.id IS NULL THEN 'new deal' ELSE 'confirm' END AS action, count(*) AS n FROM {{upload_files}} u LEFT JOIN a ON a.filename = u.filename LEFT JOIN e ON e.n = lower(a.company) GROUP BY 1""")
 q("c36_upload_valid", "upload_files", lambda u: u.select("doc_id", x.upload_valid(c("filename"), c("n_bytes"), ["pdf", "docx", "png"], 100).alias("ok")), "SELECT doc_id, doc_id % 8 IN (0, 1, 4, 5, 6) AND n_chars * 30000 / 1048576e0 <= 100 AS ok FROM {documents}")
 q("c37_intents", "conversations", lambda v: v.groupBy(x.intent(F.concat(c("role"), F.when(c("turn") % 4 == 0, " RISK?").when(c("turn") % 4 == 1, " compare memo").otherwise(""))).alias("intent")).agg(F.count("*").alias("n")), "SELECT CASE turn % 4 WHEN 0 THEN 'risk' WHEN 1 THEN 'compare' ELSE 'general' END AS intent, count(*) AS n FROM {conversations} GROUP BY 1")
 q("c38_profit_flags", "customer", lambda m: m.select("c_custkey", x.is_profit(F.concat(F.lit("$"), F.floor("c_acctbal").cast("string"))).alias("profit")), "SELECT c_custkey, floor(c_acctbal) >= 0 AS profit FROM {customer}")
