@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +25,31 @@ def cache_key(content_hash: Column, task: Column, model: Column, temperature: Co
     return F.sha2(F.concat_ws(":", *parts), 256)
 
 
+def _replayed(ttl: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over requests (key, at in microseconds, id) in order of key and time: one entry in memory, however long a key's history."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stored = object(), 0
+        for batch in batches:
+            outcomes = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit = k == key and at - stored <= ttl
+                if not hit:
+                    key, stored = k, at
+                outcomes.append("hit" if hit else "miss")
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(outcomes, pa.string())], names=["key", "id", "outcome"])
+
+    return run
+
+
 def replay(requests: DataFrame, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Replay of requests (key, at, eligible, id) against an unbounded cache: hit, miss, or null where the task isn't
-    eligible. A miss stores the result; an entry lives for ttl_days from its store, which only the fold can tell, so
-    each key's requests are folded in order (a key's history is one row of a few requests)."""
-    ordered = requests.filter("eligible").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"))
-    days = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("stored"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        hit = state["stored"].isNotNull() & (days(x["at"], state["stored"]) <= ttl_days * 86_400_000_000)
-        return F.struct(F.when(hit, state["stored"]).otherwise(x["at"].cast("timestamp")).alias("stored"), F.array_append(state["out"], F.struct(x["id"].alias("id"), hit.alias("hit"))).alias("out"))
-
-    folded = ordered.select("key", F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("o")).select("key", "o.id", F.when(c("o.hit"), "hit").otherwise("miss").alias("outcome"))
-    return folded.unionByName(requests.filter(~c("eligible")).select("key", "id", F.lit(None).cast("string").alias("outcome")))
+    eligible. A miss stores the result; an entry lives for ttl_days from its store, which only going through a key's
+    requests in order can tell: they are sorted by key and time in their partition and read as a stream."""
+    micros = F.unix_micros(c("at").cast("timestamp"))
+    ordered = requests.filter("eligible").select("key", micros.alias("at"), "id").repartition("key").sortWithinPartitions("key", "at", "id")
+    done = ordered.mapInArrow(_replayed(ttl_days * 86_400_000_000), "key string, id long, outcome string")
+    return done.unionByName(requests.filter(~c("eligible")).select(c("key").cast("string").alias("key"), c("id").cast("long").alias("id"), F.lit(None).cast("string").alias("outcome")))
 
 
 def lookup(requests: DataFrame, entries: DataFrame, at: Column) -> DataFrame:
