@@ -47,7 +47,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents in sequences of at most 2048 tokens."""
-    packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048)
+    packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048, memo=100_000)
     return packed.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
 
 

@@ -327,13 +327,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     alias = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
     hits = stored(hits.join(alias, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct(), "members")
     first = hits.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    stars = hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = hits.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b"))
     nodes = hits.join(first.select("key"), "key", "left_semi").select("node")
     known_rows = rows.filter("doc_id is not null")
     marks = _marks(known_rows, nodes, size)
-    # Of the links that a row's stars may give, the first and the last are tried; what they leave apart comes after.
-    likely = _plausible(stars, marks, num, den).groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("a"))
-    pairs = stored(likely.select(F.explode("a").alias("a"), "b"), "pairs")
+    # Of a row's stars four are tried; what they leave apart comes after.
+    some = F.array_distinct(F.array(F.min("a"), F.max("a"), F.min_by("a", F.xxhash64("a")), F.max_by("a", F.xxhash64("a", "b"))))
+    tried = stars.groupBy("b").agg(some.alias("a")).select(F.explode("a").alias("a"), "b")
+    pairs = stored(_plausible(tried, marks, num, den), "pairs")
     links = stored(_verified(pairs, known_rows, size, num, den), "links")
     label = components(links)
     # What the stars left apart: rows of one key in different components.
