@@ -15,7 +15,7 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE, memo=700_000)
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE, memo=1_000_000)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
