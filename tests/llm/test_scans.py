@@ -170,3 +170,47 @@ def test_qgram_hashes_are_position_free():
     h = decontaminate.qgrams(x)
     assert len(h) == len(x) - decontaminate.Q + 1
     assert (h[:11] == h[20:31]).all() and len(np.unique(h)) == 20
+
+
+def test_excerpts_and_changed_words_leak(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(rng.randint(40, 60)) for _ in range(10)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        for share in (0.9, 0.7, 0.5):
+            size = int(len(item) * share)
+            a = rng.randint(0, len(item) - size)
+            want.add((len(rows), k))
+            rows.append((len(rows), f"{prose(40)} {item[a : a + size]} {prose(40)}"))
+        for share in (0.05, 0.1):
+            words = item.split()
+            for i in rng.sample(range(len(words)), round(share * len(words))):
+                words[i] = word()
+            want.add((len(rows), k))
+            rows.append((len(rows), f"{prose(40)} {' '.join(words)} {prose(40)}"))
+        rows.append((len(rows), prose(150)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_short_items_leak_exactly(spark):
+    docs = spark.createDataFrame([(0, "He asked: What  is\n2 + 2? Nobody knew."), (1, "what is 2 + 3?"), (2, "somewhat is 2 + 2?"), (3, "問題は東京都の人口です"), (4, ""), (5, "what is 2 + 2?")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "What is 2 + 2?"), (8, "東京都"), (9, " "), (10, "what is 2 + 2?")], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in got} == {(0, 7, 10), (0, 10, 10), (3, 8, 3), (5, 7, 0), (5, 10, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {1, 2, 4}
+
+
+def test_many_hits_are_taken_in_parts(monkeypatch):
+    rng = random.Random(13)
+    item = " ".join(f"{rng.choice('bcdfg')}{rng.randint(0, 999)}" for _ in range(60))
+    texts = [f"x {item[i : i + 150]}" for i in range(40)]
+    index = decontaminate.Index.build([(1, item)])
+    whole = index.matches(texts)
+    assert {m[0] for m in whole} == set(range(40))
+    monkeypatch.setattr(decontaminate, "_HITS", 100)
+    assert index.matches(texts) == whole
