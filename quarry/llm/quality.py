@@ -30,7 +30,6 @@ WINDOW = 256
 DICT_BYTES = 65_536
 LEVEL = 3
 KEEP = 0.7
-_TRAIN_WINDOWS = 40
 SHRINK = 128
 
 
@@ -40,8 +39,8 @@ def windows(text: str) -> list[bytes]:
 
 
 def dictionary(texts_: list[str], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary; where there is too little text to train on, the text itself."""
-    parts = [w for t in texts_ for w in windows(t)[:_TRAIN_WINDOWS]]
+    """A dictionary trained on all windows of the texts; where there is too little text to train on, the text itself."""
+    parts = [w for t in texts_ for w in windows(t)]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:

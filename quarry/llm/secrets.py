@@ -4,7 +4,8 @@ Base kinds are the patterns assign, access and hex. The method adds kind entropy
 base-64 and identifier characters) a window of WINDOW characters slides; the Shannon entropy of its characters is kept
 by incremental counts, and compared with a threshold of the window's character class (hexadecimal, letters and digits,
 or base 64). Windows above it merge into spans. An allow-list suppresses candidates that are known to be harmless:
-UUIDs, runs of one character class without a digit, dotted or dashed words, and runs that count up.
+UUIDs, runs of one character class without a digit, dotted or dashed words, and runs that repeat or count. A candidate
+that is a run for the most part is judged window by window, as a key may be joined to a rule of = or _.
 
 Defined results: a null or empty text has no spans, and the SHA-256 of an empty list is that of the empty string;
 repeated rows are scanned each; positions are code points; an empty table gives no row. One pass, no shuffle.
@@ -44,10 +45,13 @@ def threshold(window: str) -> float:
 
 def allowed(candidate: str) -> bool:
     """Known harmless: suppressed whatever its entropy."""
-    if _UUID.fullmatch(candidate) or _WORDS.fullmatch(candidate):
-        return True
-    steps = [ord(b) - ord(a) for a, b in zip(candidate, candidate[1:], strict=False)]
-    return sum(s in (0, 1, -1) for s in steps) * 2 > len(steps)
+    return bool(_UUID.fullmatch(candidate) or _WORDS.fullmatch(candidate))
+
+
+def runs(s: str) -> bool:
+    """Whether most characters repeat their neighbour or count on from it."""
+    steps = [ord(b) - ord(a) for a, b in zip(s, s[1:], strict=False)]
+    return sum(x in (0, 1, -1) for x in steps) * 2 > len(steps)
 
 
 def window_entropies(candidate: str) -> Iterator[float]:
@@ -73,9 +77,13 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         s = m[0]
         if not any(c.isdigit() for c in s) or allowed(s):
             continue
+        run = runs(s)
+        if run and allowed(s.strip("+/_=-")):
+            continue
         for i, h in enumerate(window_entropies(s)):
             a = m.start() + i
-            if h >= threshold(s[i : i + WINDOW]) - 1e-9 and any(c.isdigit() for c in s[i : i + WINDOW]):
+            window = s[i : i + WINDOW]
+            if h >= threshold(window) - 1e-9 and any(c.isdigit() for c in window) and not (run and runs(window)):
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], a + WINDOW)
                 else:

@@ -6,7 +6,9 @@ ones. As both hold the same ordinary text, a window's two lengths differ only by
 
 A window is one word between two carriers, strings which both dictionaries hold: zstandard neither looks for matches
 in the last bytes of its input nor keeps a block that saves little, so that a word alone would never show a gain. A
-window's gain depends on its word only, so gains are kept by word, for the first MEMO words. A text's evidence is the
+window's gain depends on its word only, so gains are kept by word, for the first MEMO words. A run of more than
+_LONGEST_RUN letters, as in scripts without spaces, is taken in windows of that length which overlap by _LONGEST_WORD
+and cover it, each in place of a word. A text's evidence is the
 share of windows with a gain of GAIN or more bytes, the mean gain, and the mean of the three highest; a logistic
 function of it, fitted on labelled rows that neither dictionary has seen, is the score.
 
@@ -36,6 +38,7 @@ from .quality import dictionary
 _WORD = re.compile(r"[^\W\d_]+")
 _LEFT, _RIGHT = bytes(range(1, 25)), bytes(range(200, 224))
 _LONGEST_WORD = 24
+_LONGEST_RUN = 4 * _LONGEST_WORD
 BASE_BYTES, SEGMENT_BYTES = 12_000, 8_192
 LEAST_SHARE, LEAST_RATIO = 0.02, 10.0
 GAIN = 3
@@ -51,6 +54,18 @@ def _terms(text: str) -> set[str]:
     return out
 
 
+def windows(text: str) -> list[str]:
+    """The words of text in lower case; longer runs in overlapping windows, the last flush with the end."""
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= _LONGEST_RUN:
+        return words
+    out = []
+    for w in words:
+        last = max(0, len(w) - _LONGEST_RUN)
+        out += [w[s : s + _LONGEST_RUN] for s in (*range(0, last, _LONGEST_RUN - _LONGEST_WORD), last)]
+    return out
+
+
 def toxic_terms(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Words and beginnings of words that mark toxic texts, rarest first.
 
@@ -96,7 +111,7 @@ class ToxicityModel:
         return out
 
     def evidence(self, texts_: list[str]) -> np.ndarray:
-        split = [[w[: 4 * _LONGEST_WORD] for w in _WORD.findall(t.lower())] for t in texts_]
+        split = [windows(t) for t in texts_]
         new = {w for words in split for w in words if w not in self.memo}
         gains = self.memo
         if new:

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, folds, odd rows."""
 
+import random
 import zlib
 
 import pytest
@@ -63,3 +64,23 @@ def test_labels_are_no_inputs(spark, tables):
 def test_thinned():
     t = " ".join(f"w{i}" for i in range(50))
     assert len(thinned([t, t + " x", "other words here that are not the same"])) == 2
+
+
+def test_long_runs_are_scored_whole():
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    bad = "zxqvwzyrtuvszxwqvytz"
+    base = letters(4000).encode()
+    model = toxicity.ToxicityModel(base, f" {bad}".encode() + base, None, 0.5)
+    for before in (0, 50, 80, 95, 150, 333):
+        run = letters(before) + bad + letters(200)
+        assert model.evidence([run])[0, 0] > 0, before
+        assert "".join(w[: toxicity._LONGEST_RUN - toxicity._LONGEST_WORD] for w in toxicity.windows(run)[:-2]) in run
+    assert model.evidence([letters(400)])[0, 0] == 0
+
+
+def test_dictionaries_learn_from_whole_texts():
+    rng = random.Random(15)
+    late = "this phrase marks the end of every text that was sampled"
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(11_000)) + late for _ in range(40)]
+    assert late[8:40].encode() in quality.dictionary(texts, 4096)

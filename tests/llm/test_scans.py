@@ -214,3 +214,16 @@ def test_many_hits_are_taken_in_parts(monkeypatch):
     assert {m[0] for m in whole} == set(range(40))
     monkeypatch.setattr(decontaminate, "_HITS", 100)
     assert index.matches(texts) == whole
+
+
+def test_keys_joined_to_runs_are_found():
+    rng = random.Random(16)
+    for rule in ("=" * 40, "_" * 40, "0123456789" * 5):
+        for _ in range(20):
+            key = "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 29)) + "7"
+            for text, a in ((rule + key, len(rule)), (key + rule, 0)):
+                spans = secrets.entropy_spans(f"see {text} there")
+                assert spans and spans[0][0] <= a + 4 and spans[-1][1] >= a + 4 + len(key)
+                assert key not in secrets.redact(text)
+    for harmless in ("=" * 80 + "123e4567-e89b-12d3-a456-426614174000", "_" * 60 + "some-long-file-name-2024" + "_" * 60, "=" * 40 + "0123456789" * 4):
+        assert not secrets.entropy_spans(f"see {harmless} there")
