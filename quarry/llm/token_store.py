@@ -11,7 +11,7 @@ Format, all Parquet, below one folder:
 Chunks end where a rolling gear hash over the ids has zero high bits, so equal passages give equal chunks wherever
 they stand. Plans: one pass encodes; one exchange, keyed by chunk (or by document for recipes), carries compressed
 chunks that each task has already made distinct; ids are never gathered per document. Reading back verifies every
-stored chunk against its key and combines the chunks' checksums, so that payloads aren't shuffled again.
+stored chunk against its key and every recipe against its leaf, and combines the chunks' checksums, so that payloads aren't shuffled again.
 
 Defined results: a null text is empty and gives the end id alone; rows that repeat a doc_id stay separate rows, in
 order of their leaves; a null doc_id comes first; an empty table gives an empty store whose manifest has no row.
@@ -39,6 +39,7 @@ FANOUT = 1024
 END_ID = 0
 
 _OBJECT = "kind int, route long, key binary, payload binary, doc_id long, digests array<binary>, lens array<int>"
+_RECIPE = "doc_id long, leaf binary, digests array<binary>, lens array<int>, segment int, local_start long, position long, n_tokens long"
 
 
 def _digest(raw: bytes) -> bytes:
@@ -103,7 +104,7 @@ def _encode(path: str, end_id: int, memo: int) -> Callable[[Iterator[pa.RecordBa
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Running totals along a sorted segment, and each recipe's leaf checked."""
+    """Running totals along a sorted segment."""
     total = position = 0
     for batch in batches:
         n = np.array([sum(x) for x in batch.column("lens").to_pylist()], dtype=np.int64)
@@ -136,18 +137,30 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = E
         .sortWithinPartitions("doc_id", "leaf")
         .withColumn("segment", F.spark_partition_id())
     )
-    schema = "doc_id long, leaf binary, digests array<binary>, lens array<int>, segment int, local_start long, position long, n_tokens long"
-    recipes.mapInArrow(_place, schema).write.parquet(f"{root}/recipes")
+    recipes.mapInArrow(_place, _RECIPE).write.parquet(f"{root}/recipes")
     nodes = None
-    for level, nodes in enumerate(_levels(read_recipes(spark, root))):
+    for level, nodes in enumerate(_levels(read_recipes(spark, root, verify=False))):
         nodes.select(F.lit(level).alias("level"), "node", "hash").write.mode("append").parquet(f"{root}/manifest")
     return root
 
 
-def read_recipes(spark: SparkSession, root: str) -> DataFrame:
-    """Recipes with start, the ids of all documents before. Segments are as many as partitions, so their totals are broadcast."""
-    recipes = spark.read.parquet(f"{root}/recipes")
-    totals = recipes.groupBy("segment").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("c"))
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("leaf", "digests", "lens", "n_tokens"))
+        for key, digests, lens, n in zip(*columns, strict=True):
+            if leaf(digests, lens) != key or sum(lens) != n:
+                raise ValueError(f"recipe {key.hex()} doesn't match its leaf")
+        yield batch
+
+
+def read_recipes(spark: SparkSession, root: str, verify: bool = True) -> DataFrame:
+    """Recipes with start, the ids of all documents before; with verify each is checked against its leaf.
+
+    Segments are as many as partitions, so their totals are broadcast.
+    """
+    stored = spark.read.schema(_RECIPE).parquet(f"{root}/recipes")
+    recipes = stored.mapInArrow(_sound, _RECIPE) if verify else stored
+    totals = stored.groupBy("segment").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("c"))
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "segment", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("docs_before")

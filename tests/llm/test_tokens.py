@@ -79,6 +79,22 @@ def test_changed_chunk_is_found(spark, tmp_path):
         token_store.read_chunks(spark, root).collect()
 
 
+def test_changed_recipe_is_found(spark, tmp_path):
+    rng = random.Random(17)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(6000))
+    root = token_store.write_store(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTE, str(tmp_path / "s"))
+    recipes = spark.read.parquet(f"{root}/recipes")
+    row = recipes.first().asDict()
+    assert len(row["digests"]) > 1
+    swapped = row | {"digests": row["digests"][::-1], "lens": row["lens"][::-1]}
+    other = row | {"digests": [b"x" * 16, *row["digests"][1:]]}
+    for bad in (swapped, other):
+        spark.createDataFrame([tuple(bad[n] for n in recipes.columns)], recipes.schema).write.mode("overwrite").parquet(f"{root}/recipes")
+        for read in (token_store.verify_manifest, lambda s, r: token_store.read_store(s, r).collect(), lambda s, r: token_store.reconstruct(s, r).collect()):
+            with pytest.raises(Exception, match="match its leaf"):
+                read(spark, root)
+
+
 def test_empty_store(spark, none):
     root = token_store.write_store(none, BYTE, scratch(spark, "t"))
     assert token_store.read_store(spark, root).count() == 0
