@@ -5,7 +5,8 @@ base-64 and identifier characters) a window of WINDOW characters slides; the Sha
 by incremental counts, and compared with a threshold of the window's character class (hexadecimal, letters and digits,
 or base 64). Windows above it merge into spans. An allow-list suppresses candidates that are known to be harmless:
 UUIDs, runs of one character class without a digit, dotted or dashed words, and runs that repeat or count. A candidate
-that is a run for the most part is judged window by window, as a key may be joined to a rule of = or _.
+that is a run for the most part is judged window by window, as a key may be joined to a rule of = or _; there a digit
+is asked of the span, as the run may hold those next to the key, elsewhere of each window.
 
 Defined results: a null or empty text has no spans, and the SHA-256 of an empty list is that of the empty string;
 repeated rows are scanned each; positions are code points; an empty table gives no row. One pass, no shuffle.
@@ -80,14 +81,16 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         run = runs(s)
         if run and allowed(s.strip("+/_=-")):
             continue
+        found: list[tuple[int, int]] = []
         for i, h in enumerate(window_entropies(s)):
             a = m.start() + i
             window = s[i : i + WINDOW]
-            if h >= threshold(window) - 1e-9 and any(c.isdigit() for c in window) and not (run and runs(window)):
-                if spans and a <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], a + WINDOW)
+            if h >= threshold(window) - 1e-9 and (not runs(window) if run else any(c.isdigit() for c in window)):
+                if found and a <= found[-1][1]:
+                    found[-1] = (found[-1][0], a + WINDOW)
                 else:
-                    spans.append((a, a + WINDOW))
+                    found.append((a, a + WINDOW))
+        spans += [x for x in found if any(c.isdigit() for c in text[x[0] : x[1]])]
     return spans
 
 
