@@ -1,29 +1,30 @@
 """Toxicity by compression distance: two zstandard dictionaries, window compression lengths, calibrated thresholds.
 
-The ordinary dictionary is trained on ordinary labelled text. The toxic one is the same with a segment before it that
-is learnt from toxic text: the words and word beginnings whose share of toxic texts far exceeds that of ordinary
-ones. As both hold the same ordinary text, a window's two lengths differ only by what the toxic segment explains.
-
-A window is one word between two carriers, strings which both dictionaries hold: zstandard neither looks for matches
-in the last bytes of its input nor keeps a block that saves little, so that a word alone would never show a gain. A
-window's gain depends on its word only, so gains are kept by word, for the first MEMO words. A run of more than
-_LONGEST_RUN letters, as in scripts without spaces, is taken in windows of that length which overlap by _LONGEST_WORD
-and cover it, each in place of a word. A text's evidence is the
-share of windows with a gain of GAIN or more bytes, the mean gain, and the mean of the three highest; a logistic
-function of it, fitted on labelled rows that neither dictionary has seen, is the score.
+The ordinary dictionary is zstandard's trainer's on windows of ordinary labelled text. The toxic one is trained on
+those stretches of toxic labelled text that ordinary text least explains: bytes covered by GRAM-byte grams which a
+share of toxic texts at least LEAST_RATIO times that of ordinary ones holds, with PAD bytes on either side. Windows of
+WORDS words are compressed with the ordinary dictionary alone and with the toxic one before it: as both then hold the
+same ordinary text, the two lengths differ by what toxic text alone explains. (Dictionaries of the two kinds of text
+that are compared each on its own differ mostly by the ordinary words that happen to be in either.)
+
+A window stands between two carriers, strings that both dictionaries hold: zstandard neither looks for matches in the
+last bytes of its input nor keeps a block that saves little, and would hide gains. Words are runs of anything but white
+space, in lower case; one above LONGEST_WORD letters, as in scripts without spaces, is taken in overlapping pieces that
+cover it. So all of a text is compressed. Its evidence is the mean gain, the three highest, the share of windows with a
+gain, and how many have HIGH bytes or more; a logistic function of it, fitted on labelled rows that neither dictionary
+has seen, is the score. The trainer's segment length and the size of the toxic dictionary are those of GRID with the
+least log loss on these rows.
 
 Defined results: a null or empty text has no window and gets the score of no gain; a null doc_id isn't held out;
 repeated rows are scored each; without labels of both classes every score is the share of label 1. One pass, no
-shuffle; the model is two dictionaries below 24 KB.
+shuffle; the model is two dictionaries of 52 KB in all; counts of grams take fixed memory.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +32,77 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts
+from .common import mix64, prepare, texts
 from .labelled import Logistic, Sample, calibrate, fold, sample
-from .quality import dictionary
 
-_WORD = re.compile(r"[^\W\d_]+")
 _LEFT, _RIGHT = bytes(range(1, 25)), bytes(range(200, 224))
-_LONGEST_WORD = 24
-_LONGEST_RUN = 4 * _LONGEST_WORD
-BASE_BYTES, SEGMENT_BYTES = 12_000, 8_192
-LEAST_SHARE, LEAST_RATIO = 0.02, 10.0
-GAIN = 3
-MEMO = 1_000_000
+WORDS = 8
+LONGEST_WORD, OVERLAP = 96, 24
+GRAM, PAD = 6, 3
+_SLOT_BITS = 24
+LEAST_SHARE, LEAST_RATIO = 0.01, 10.0
+ORDINARY_BYTES, ORDINARY_SEGMENT = 48_000, 32
+#: (segment length, size) of the toxic dictionary.
+GRID = ((16, 1024), (20, 2048), (32, 4096))
+LOW, HIGH = 3, 5
 FLAG = 0.5
+_PARAMS = {"window_log": 17, "hash_log": 17, "chain_log": 17, "search_log": 6, "min_match": 5, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2, "write_content_size": 0, "write_dict_id": 0}
 
 
-def _terms(text: str) -> set[str]:
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(w[:_LONGEST_WORD])
-        out.update(w[:k] for k in range(4, 8) if len(w) > k)
+def words(text: str) -> list[str]:
+    """The words of text in lower case; longer ones in overlapping pieces, the last flush with the end."""
+    found = text.lower().split()
+    if max(map(len, found), default=0) <= LONGEST_WORD:
+        return found
+    out = []
+    for w in found:
+        last = max(0, len(w) - LONGEST_WORD)
+        out += [w[s : s + LONGEST_WORD] for s in (*range(0, last, LONGEST_WORD - OVERLAP), last)]
     return out
 
 
-def windows(text: str) -> list[str]:
-    """The words of text in lower case; longer runs in overlapping windows, the last flush with the end."""
-    words = _WORD.findall(text.lower())
-    if max(map(len, words), default=0) <= _LONGEST_RUN:
-        return words
-    out = []
-    for w in words:
-        last = max(0, len(w) - _LONGEST_RUN)
-        out += [w[s : s + _LONGEST_RUN] for s in (*range(0, last, _LONGEST_RUN - _LONGEST_WORD), last)]
-    return out
+def windows(text: str) -> list[bytes]:
+    """Windows of WORDS words, one space before, between and after them."""
+    w = words(text)
+    return [f" {' '.join(w[i : i + WORDS])} ".encode("utf-8", "surrogatepass") for i in range(0, len(w), WORDS)]
+
+
+def _trained(parts: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by zstandard's trainer; where there is too little to train on, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, parts, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[-size:]
+
 
+def _slots(raw: bytes) -> np.ndarray:
+    """The slot of each gram of raw."""
+    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    n = len(x) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    grams = sum((x[i : n + i] << np.uint64(8 * i) for i in range(1, GRAM)), x[:n].copy())
+    return (mix64(grams) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-def toxic_terms(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words and beginnings of words that mark toxic texts, rarest first.
 
-    Of a word and its beginnings the longest that holds most of the texts stays.
-    """
-    t, o = Counter(x for s in toxic for x in _terms(s)), Counter(x for s in ordinary for x in _terms(s))
-    least = max(4, LEAST_SHARE * len(toxic))
-    ratio = lambda x: (t[x] + 0.5) / (len(toxic) + 1) / ((o[x] + 0.5) / (len(ordinary) + 1))
-    chosen: list[str] = []
-    for x in sorted((x for x, n in t.items() if n >= least and ratio(x) >= LEAST_RATIO), key=lambda x: (-len(x), x)):
-        if not any(y.startswith(x) and t[y] >= 0.6 * t[x] for y in chosen):
-            chosen.append(x)
-    chosen = [x for x in chosen if not any(x != y and x.startswith(y) and t[x] < 0.6 * t[y] for y in chosen)]
-    return sorted(chosen, key=lambda x: (t[x], x))
+def _holders(raws: list[bytes]) -> np.ndarray:
+    """How many of the texts hold a gram, by slot."""
+    out = np.zeros(1 << _SLOT_BITS, dtype=np.uint16)
+    for raw in raws:
+        out[np.unique(_slots(raw))] += 1
+    return out
+
+
+def toxic_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts whose grams mark them."""
+    t, o = _holders(toxic), _holders(ordinary)
+    marked = (t >= max(3, LEAST_SHARE * len(toxic))) & ((t + 0.5) * (len(ordinary) + 1) >= LEAST_RATIO * (o + 0.5) * (len(toxic) + 1))
+    out = []
+    for raw in toxic:
+        hit = np.r_[False, marked[_slots(raw)], False]
+        edge = np.flatnonzero(hit[1:] != hit[:-1])
+        out += [raw[max(0, a - PAD) : b + GRAM - 1 + PAD] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return out
 
 
 @dataclass
@@ -88,44 +111,33 @@ class ToxicityModel:
     toxic: bytes
     logistic: Logistic | None
     prior: float
-    memo: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
 
-    def gains(self, words: set[str]) -> dict[str, int]:
-        """Bytes that the toxic dictionary saves over the ordinary one, per word."""
-        params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2
-        )
+    def gains(self, parts: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves over the ordinary one, per window."""
 
         def load(raw: bytes) -> zstandard.ZstdCompressor:
             d = zstandard.ZstdCompressionDict(_LEFT + _RIGHT + raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(compression_params=params, dict_data=d)
+            return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**_PARAMS), dict_data=d)
 
-        a, b = load(self.ordinary), load(self.toxic)
-        out = {}
-        for w in words:
-            window = _LEFT + b" " + w.encode("utf-8", "surrogatepass") + b" " + _RIGHT
-            out[w] = len(a.compress(window)) - len(b.compress(window))
+        a, b = load(self.ordinary).compress, load(self.toxic + self.ordinary).compress
+        out = np.zeros(len(parts))
+        for i, w in enumerate(parts):
+            w = _LEFT + w + _RIGHT
+            out[i] = len(a(w)) - len(b(w))
         return out
 
     def evidence(self, texts_: list[str]) -> np.ndarray:
         split = [windows(t) for t in texts_]
-        new = {w for words in split for w in words if w not in self.memo}
-        gains = self.memo
-        if new:
-            found = self.gains(new)
-            if len(gains) + len(found) <= MEMO:
-                gains.update(found)
-            else:
-                gains = {**{w: gains[w] for words in split for w in words if w in gains}, **found}
-        out = np.zeros((len(texts_), 3))
-        for i, words in enumerate(split):
-            if words:
-                d = np.fromiter(map(gains.__getitem__, words), dtype=np.int32, count=len(words))
-                top = np.sort(np.partition(d, -3)[-3:] if len(d) > 3 else d)[::-1]
-                out[i] = math.sqrt((d >= GAIN).mean()), d.mean(), top.sum() / 3
+        gains = self.gains([w for ws in split for w in ws])
+        out, at = np.zeros((len(texts_), 7)), 0
+        for i, ws in enumerate(split):
+            if ws:
+                d = gains[at : at + len(ws)]
+                at += len(ws)
+                top = np.zeros(3)
+                high = np.sort(np.partition(d, -3)[-3:] if len(d) > 3 else d)[::-1]
+                top[: len(high)] = high
+                out[i] = d.mean(), *top, math.sqrt((d >= LOW).mean()), (d >= 1).mean(), math.log1p((d >= HIGH).sum())
         return out
 
     def scores(self, texts_: list[str]) -> np.ndarray:
@@ -137,13 +149,20 @@ def fit(s: Sample) -> ToxicityModel:
     if min(len(s.negative), len(s.positive)) < 6:
         return ToxicityModel(b"", b"", None, s.prior)
     a, b = len(s.negative) * 2 // 3, len(s.positive) * 2 // 3
-    base = dictionary([t.lower() for t in s.negative[:a]], BASE_BYTES + 4096)[-BASE_BYTES:]
-    segment = "".join(f" {x}" for x in toxic_terms(s.positive[:b], s.negative[:a])).encode()[-SEGMENT_BYTES:]
-    model = ToxicityModel(base, segment + base, None, s.prior)
+    ordinary, toxic = ([b"".join(w[:-1] for w in windows(t)) + b" " for t in part] for part in (s.negative[:a], s.positive[:b]))
+    base = _trained([w for t in s.negative[:a] for w in windows(t)], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    stretches, rest = toxic_stretches(toxic, ordinary), s.negative[a:] + s.positive[b:]
     y = np.r_[np.zeros(len(s.negative) - a), np.ones(len(s.positive) - b)]
-    model.logistic = calibrate(model.evidence(s.negative[a:] + s.positive[b:]), y, s.prior)
-    model.memo = {}
-    return model
+    best, least = ToxicityModel(base, b"", None, s.prior), math.inf
+    for segment, size in GRID:
+        model = ToxicityModel(base, _trained(stretches, size, segment), None, s.prior)
+        x = model.evidence(rest)
+        model.logistic = calibrate(x, y, s.prior)
+        p = np.clip(model.logistic(x), 1e-9, 1 - 1e-9)
+        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+        if loss < least:
+            best, least = model, loss
+    return best
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = 5, held_out: int = 0) -> ToxicityModel:
