@@ -92,7 +92,7 @@ def _encode(path: str, end_id: int, memo: int) -> Callable[[Iterator[pa.RecordBa
                         add(0, int.from_bytes(key[:8], "little", signed=True), key, pack(chunk, comp), None, None, None)
                     a = b
                 key = leaf(digests, lens)
-                route = int.from_bytes(hashlib.blake2b(f"{doc_id}".encode(), digest_size=8).digest(), "little", signed=True)
+                route = int.from_bytes(hashlib.blake2b(f"{doc_id}".encode() + key, digest_size=8).digest(), "little", signed=True)
                 add(1, route, key, None, doc_id, digests, lens)
                 start = end_at
             if len(seen) > 200_000:
@@ -133,7 +133,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = E
     recipes = spark.read.schema(_OBJECT.replace("route long, ", "")).parquet(f"{root}/objects").filter("kind = 1")
     recipes = (
         recipes.select("doc_id", F.col("key").alias("leaf"), "digests", "lens")
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", "leaf")
         .sortWithinPartitions("doc_id", "leaf")
         .withColumn("segment", F.spark_partition_id())
     )
@@ -150,23 +150,25 @@ def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, digests, lens, n in zip(*columns, strict=True):
             if leaf(digests, lens) != key or sum(lens) != n:
                 raise ValueError(f"recipe {key.hex()} doesn't match its leaf")
-        yield batch
+        ends = pa.array([np.cumsum(x) for x in batch.column("lens").to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, ends], names=[*batch.schema.names, "ends"])
 
 
 def read_recipes(spark: SparkSession, root: str, verify: bool = True) -> DataFrame:
-    """Recipes with start, the ids of all documents before; with verify each is checked against its leaf.
+    """Recipes with start, the ids of all documents before; with verify each is checked against its leaf, and ends, the
+    ids up to the end of each chunk, are added.
 
     Segments are as many as partitions, so their totals are broadcast.
     """
     stored = spark.read.schema(_RECIPE).parquet(f"{root}/recipes")
-    recipes = stored.mapInArrow(_sound, _RECIPE) if verify else stored
+    recipes = stored.mapInArrow(_sound, f"{_RECIPE}, ends array<long>") if verify else stored
     totals = stored.groupBy("segment").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("c"))
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "segment", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("docs_before")
     )
     return recipes.join(F.broadcast(totals), "segment").select(
-        "doc_id", (F.col("ids_before") + F.col("local_start")).alias("start"), "n_tokens", "leaf", "digests", "lens", (F.col("docs_before") + F.col("position")).alias("place")
+        "doc_id", (F.col("ids_before") + F.col("local_start")).alias("start"), "n_tokens", "leaf", "digests", "lens", (F.col("docs_before") + F.col("position")).alias("place"), *(["ends"] if verify else [])
     )
 
 
@@ -259,10 +261,8 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     """
     prepare(spark)
     recipes = read_recipes(spark, root)
-    total = F.aggregate("lens", F.lit(0).cast("long"), lambda s, n: s + n)
-    ends = F.transform(F.sequence(F.lit(1), F.size("lens")), lambda i: F.aggregate(F.slice("lens", F.lit(1), i), F.lit(0).cast("long"), lambda s, n: s + n))
-    refs = recipes.select("doc_id", "start", "n_tokens", total.alias("total"), F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("lens").alias("n"), ends.alias("end"))).alias("c"))
-    refs = refs.select("doc_id", "start", "n_tokens", F.col("c.digest").alias("digest"), ((F.col("total") - F.col("c.end")) * 4).alias("after"))
+    refs = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("ends").alias("end"))).alias("c"))
+    refs = refs.select("doc_id", "start", "n_tokens", F.col("c.digest").alias("digest"), ((F.col("n_tokens") - F.col("c.end")) * 4).alias("after"))
     parts = refs.join(read_chunks(spark, root), "digest").select("doc_id", "start", "n_tokens", "size", pandas_udf(_shifted, "long")("crc", "after").alias("part"))
     docs = parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("size").alias("read"))
     whole = F.when(F.col("read") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document is incomplete")).cast("long"))

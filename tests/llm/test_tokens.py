@@ -169,3 +169,44 @@ def test_best_fit_is_bounded_and_tight():
         used[at] = offset + n
         assert bins.open <= 8 and bins.bits.bit_count() <= 8
     assert sum(used.values()) / (100 * len(used)) > 0.85
+
+
+def naive_bins(sizes, capacity, most):
+    """Best-fit over a plain list of open bins: (bin, offset) of each piece."""
+    opened, out, n = [], [], 0  # opened: [free, bin]
+    for size in sizes:
+        fitting = [b for b in opened if b[0] >= size]
+        if fitting:
+            best = min(fitting, key=lambda b: b[0])
+            latest = [b for b in opened if b[0] == best[0]][-1]
+            opened.remove(latest)
+        else:
+            if len(opened) >= most:
+                fullest = min(b[0] for b in opened)
+                opened.remove([b for b in opened if b[0] == fullest][-1])
+            latest, n = [capacity, n], n + 1
+        out.append((latest[1], capacity - latest[0]))
+        if latest[0] > size:
+            opened.append([latest[0] - size, latest[1]])
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_best_fit_against_a_plain_list(most):
+    rng = random.Random(most)
+    sizes = [rng.randint(1, 60) if rng.random() < 0.7 else rng.randint(61, 100) for _ in range(1500)]
+    bins = packing.OpenBins(100, most=most)
+    assert [bins.place(n) for n in sizes] == naive_bins(sizes, 100, most)
+
+
+def test_packing_is_near_the_lower_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
+    rows = packing.pack_documents(docs, BYTE, capacity=2048).selectExpr("sum(length) AS n", "count(distinct sequence_id) AS bins").first()
+    assert rows["bins"] <= 1.01 * -(-rows["n"] // 2048)
+
+
+def test_many_rows_without_an_id(spark):
+    docs = spark.range(40).selectExpr("cast(null as long) AS doc_id", "concat('text number ', id % 30) AS text").repartition(5)
+    got = token_store.store_and_read(docs, BYTE).orderBy("start").collect()
+    assert len(got) == 40 and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(40)]
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(ids(f"text number {i % 30}") + b"\0\0\0\0") for i in range(40))
