@@ -2,17 +2,22 @@
 
 Rules (host, path prefix) are a bounded parameter: one CASE expression, longest rule first. For the rest, paths are
 generalised to templates per host: a segment's digit runs become {n} and long hexadecimal runs {x} where it stands;
-then, level by level, a node with more than LITERALS distinct children has them replaced by {s}. Leaves under one
-parent are merged when their labelled block rates don't differ statistically (two-proportion z-test below Z, or one
-has no label). A template is rejected when its smoothed labelled purity, (blocked + ALPHA * PRIOR) / (labelled +
-ALPHA), exceeds REJECT. Labels are a column of the input: in the query, the rules' verdicts.
+then, level by level, a node with more than LITERALS distinct children has them replaced by {s}. What is below LEVELS
+segments stays one last segment. Labels are a column of the input: in the query, the rules' verdicts.
+
+Evidence: every node of a host's tree has the labelled and the blocked pages below it. At each level, a labelled node
+takes the counts of its labelled siblings too if its block rate doesn't differ from theirs statistically (two-proportion
+z-test below Z): such branches are merged. A node's purity is (blocked + ALPHA * q) / (labelled + ALPHA), where q is what
+is expected there: the mean rate of the same node on other hosts, each labelled host one vote, smoothed by ALPHA votes
+for the purity of the parent; the root's parent has PRIOR. A template is rejected when the purity of its leaf exceeds
+REJECT. So a branch without labels of its own is judged by its host's and by the same branch elsewhere.
 
 The pages are aggregated to (host, shaped path) first, so that a host with a third of all pages costs no more than its
 distinct shapes; only the small template table is joined back, by a join that adaptive execution can split. All of it
 is DataFrame code.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and the method's verdict for the
-empty template (allow, as it can have no label); repeated rows are judged each; an empty table gives no row.
+template of an empty path on an empty host; repeated rows are judged each; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -62,31 +67,44 @@ def shape(path: Column) -> Column:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes (host, parts, n, blocked, labelled) with template added, by widening nodes with too many children."""
-    out = shapes.withColumn("prefix", F.lit(""))
+    """shapes (host, parts, ...) with template and prefixes (the template's nodes from the root on) added, by widening
+    nodes with too many children."""
+    out = shapes.withColumn("template", F.lit("")).withColumn("prefixes", F.array(F.lit("")))
     for level in range(LEVELS):
-        part = F.coalesce(F.get("parts", F.lit(level)), F.lit(""))
+        part = F.get("parts", F.lit(level))
         here = F.size("parts") > level
-        wide = out.filter(here).groupBy("host", "prefix").agg(F.approx_count_distinct(part).alias("children")).filter(F.col("children") > LITERALS)
-        wide = wide.select("host", "prefix", F.lit(True).alias("wide"))
+        wide = out.filter(here).groupBy("host", "template").agg(F.countDistinct(part).alias("children")).filter(F.col("children") > LITERALS)
+        wide = wide.select("host", "template", F.lit(True).alias("wide"))
         kept = F.when(F.col("wide") & ~part.contains("{"), F.regexp_replace(part, r"^[^.]*", "{s}")).otherwise(part)
-        out = out.join(wide, ["host", "prefix"], "left").withColumn("prefix", F.when(here, F.concat("prefix", F.lit("/"), kept)).otherwise(F.col("prefix"))).drop("wide")
-    return out.withColumnRenamed("prefix", "template")
+        out = out.join(wide, ["host", "template"], "left").withColumn("template", F.when(here, F.concat("template", F.lit("/"), kept)).otherwise(F.col("template")))
+        out = out.withColumn("prefixes", F.when(here, F.array_append("prefixes", F.col("template"))).otherwise(F.col("prefixes"))).drop("wide")
+    return out
 
 
 def purity(shaped: DataFrame) -> DataFrame:
-    """Per (host, template): the smoothed block purity of the branch it belongs to after merging."""
-    leaves = shaped.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    leaves = leaves.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    kin = Window.partitionBy("host", "parent")  # a parent has about LITERALS leaves and their few shapes
-    others_b, others_n = F.sum("blocked").over(kin) - F.col("blocked"), F.sum("labelled").over(kin) - F.col("labelled")
-    pooled = F.try_divide(F.col("blocked") + others_b, F.col("labelled") + others_n)
-    gap = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(others_b, others_n))
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others_n)))
-    alike = F.coalesce(gap <= Z * spread, F.lit(True))
-    b = F.when(alike, F.col("blocked") + others_b).otherwise(F.col("blocked"))
-    n = F.when(alike, F.col("labelled") + others_n).otherwise(F.col("labelled"))
-    return leaves.select("host", "template", ((b + ALPHA * PRIOR) / (n + ALPHA)).alias("purity"))
+    """Per (host, template): the smoothed block purity of its leaf."""
+    leaves = shaped.groupBy("host", "template", "prefixes").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    below = leaves.select("host", "template", "prefixes", "blocked", "labelled", F.posexplode("prefixes").alias("depth", "node"))
+    parent = F.get("prefixes", F.col("depth") - 1)
+    nodes = below.groupBy("host", "depth", "node", parent.alias("parent")).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"))
+    kin = Window.partitionBy("host", "depth", "parent")  # a parent has about LITERALS children and their few shapes
+    nodes = nodes.withColumn("ob", F.sum("b").over(kin) - F.col("b")).withColumn("on", F.sum("n").over(kin) - F.col("n"))
+    pooled = F.try_divide(F.col("b") + F.col("ob"), F.col("n") + F.col("on"))
+    gap = F.abs(F.try_divide("b", "n") - F.try_divide("ob", "on"))
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), F.col("on"))))
+    alike = F.coalesce((F.col("depth") > 0) & (gap <= Z * spread), F.lit(False))
+    rate = F.try_divide("b", "n")
+    nodes = nodes.select("host", "depth", "node", rate.alias("rate"), F.when(alike, F.col("b") + F.col("ob")).otherwise(F.col("b")).alias("b"), F.when(alike, F.col("n") + F.col("on")).otherwise(F.col("n")).alias("n"))
+    # Rates in millionths: sums of integers don't depend on their order.
+    rate = F.round(F.col("rate") * 1_000_000).cast("long")
+    votes = nodes.groupBy("depth", "node").agg(F.coalesce(F.sum(rate), F.lit(0)).alias("all_rates"), F.count("rate").alias("hosts"))
+    nodes = nodes.withColumn("own", rate).join(votes, ["depth", "node"])
+    others = (F.col("all_rates") - F.coalesce("own", F.lit(0))) / 1_000_000
+    facts = F.struct("depth", "b", "n", others.alias("v"), (F.col("hosts") - F.when(F.col("own").isNull(), 0).otherwise(1)).alias("m"))
+    nodes = nodes.select("host", "depth", "node", facts.alias("facts"))
+    branch = below.select("host", "template", "depth", "node").join(nodes, ["host", "depth", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list("facts")).alias("branch"))
+    step = lambda p, x: (x["b"] + ALPHA * ((x["v"] + ALPHA * p) / (x["m"] + ALPHA))) / (x["n"] + ALPHA)
+    return branch.select("host", "template", F.aggregate("branch", F.lit(PRIOR), step).alias("purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, label: Column | None = None) -> DataFrame:
@@ -103,7 +121,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, label: C
     rows = rows.select("*", rule.alias("rule"), verdict.alias("said"), F.array_join(shape(F.col("path")), "/").alias("shape"))
     known = F.coalesce("given", F.col("said") == "block")
     shapes = rows.groupBy("host", "shape").agg(F.count_if(known).alias("blocked"), F.count(known).alias("labelled"))
-    tree = stored(templates(shapes.withColumn("parts", F.split("shape", "/"))).select("host", "shape", "template", "blocked", "labelled"), "templates")
+    tree = stored(templates(shapes.withColumn("parts", F.split("shape", "/", LEVELS))).select("host", "shape", "template", "prefixes", "blocked", "labelled"), "templates")
     judged = stored(tree.select("host", "shape", "template").join(purity(tree), ["host", "template"]), "purity")
     return rows.join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity"
