@@ -14,7 +14,7 @@ Plan: exact copies of a set are one class first, by partial aggregation; a task
 Rows (segment key, doc_id) are the one large shuffle. Keys with the same rows, as copies have by the hundred, become
 one. What follows finds families, sets that may be linked, and then verifies inside each family:
 
-1. Two sets are close if sizes and parity sketches of SKETCH_BITS bits don't rule a link out. Up to four stars a row
+1. Two sets are close if sizes and parity sketches, of one bit or more a shingle, don't rule a link out. Up to four stars a row
    (the row and a key's smallest id) are compared by joins; their components collapse groups of copies in linear work.
 2. Keys whose rows are still in different components are compared in runs, inside tasks. A run gives a spanning forest
    of its close pairs, fewer edges than rows, so the components of both are exactly those of all close pairs: families.
@@ -222,9 +222,23 @@ def _segments(size: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity sketch of SKETCH_BITS bits: every element toggles one."""
-    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch, in 64-bit words: every element toggles one bit of at least SKETCH_BITS and one an element."""
+    bits = max(SKETCH_BITS, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A sketch of fewer bits from one of more: halves are XORed, as the low bits of an element choose its bit."""
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def stacked(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of a matrix, all of the length of the shortest."""
+    n = min(map(len, sketches))
+    return np.stack([folded(x, n) for x in sketches])
 
 
 def forest(comps: np.ndarray, sides: np.ndarray | None, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -269,7 +283,7 @@ def link_edges(comps: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarra
     starts = np.r_[0, np.cumsum(sizes)]
     distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids, mark = ids.astype(np.int32), np.zeros(len(distinct), dtype=bool)
-    bits = np.stack([np.frombuffer(sketch(s), "<u8") for s in sets])
+    bits = stacked([sketch(s) for s in sets])
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         ok = _possible(i, others, sizes, bits, num, den)
@@ -285,6 +299,12 @@ def link_edges(comps: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarra
     return forest(comps, sides, near)
 
 
+def _split(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column of array<long>, as 64-bit words."""
+    lists = lists.combine_chunks()
+    return np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
 def _in_runs(found: Callable[[pa.Table, np.ndarray, np.ndarray | None], list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows sorted by (key, lo, hi): the edges (a < b) that found(rows, comps, sides) gives of each run; one run in memory at a time."""
 
@@ -327,8 +347,7 @@ def _close(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """Edges of close pairs in runs of (node, c, block, n, sketch)."""
 
     def found(t: pa.Table, comps: np.ndarray, sides: np.ndarray | None) -> list[tuple[int, int]]:
-        bits = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
-        return close_edges(comps, sides, t.column("n").to_numpy(), bits, num, den)
+        return close_edges(comps, sides, t.column("n").to_numpy(), stacked(_split(t.column("sketch"))), num, den)
 
     return _in_runs(found)
 
@@ -337,9 +356,7 @@ def _linked(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """Edges of links in runs of (node, c, block, items)."""
 
     def found(t: pa.Table, comps: np.ndarray, sides: np.ndarray | None) -> list[tuple[int, int]]:
-        items = t.column("items").combine_chunks()
-        flat, ends = items.flatten().to_numpy().view(np.uint64), np.cumsum(items.value_lengths().to_numpy())
-        return link_edges(comps, sides, np.split(flat, ends[:-1]), num, den)
+        return link_edges(comps, sides, _split(t.column("items")), num, den)
 
     return _in_runs(found)
 
@@ -381,7 +398,7 @@ def _sets_of(size: int, bitmap: bytes, whole: bool) -> Callable[[Iterator[pa.Rec
                 yield pa.record_batch([part.column(0), pa.array([s.view(np.int64) for s in sets], longs)], names=["node", "items"])
             else:
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.record_batch([part.column(0), n, pa.array([np.frombuffer(sketch(s), "<i8") for s in sets], longs)], names=["node", "n", "sketch"])
+                yield pa.record_batch([part.column(0), n, pa.array([sketch(s).view(np.int64) for s in sets], longs)], names=["node", "n", "sketch"])
 
     return run
 
@@ -408,12 +425,17 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a < b) that sizes and sketches don't rule out."""
+    """The pairs (a < b) that sizes and sketches don't rule out. Of two lengths the double is folded; others tell nothing."""
     side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    return full.filter((den * small >= num * large) & (apart * (den + num) <= (den - num) * (small + large))).select("a", "b")
+    full = pairs.join(side("a"), "a").join(side("b"), "b").filter(den * small >= num * large)
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    at = lambda x, k: F.slice(x, F.lit(1) + k, F.greatest(F.size(x) / 2, F.lit(1)).cast("int"))
+    fold = lambda x: xor(at(x, F.lit(0)), at(x, (F.size(x) / 2).cast("int")))
+    sa, sb = F.col("sa"), F.col("sb")
+    x = F.when(F.size(sa) == F.size(sb), xor(sa, sb)).when(F.size(sa) == 2 * F.size(sb), xor(fold(sa), sb)).when(2 * F.size(sa) == F.size(sb), xor(sa, fold(sb)))
+    apart = F.aggregate(F.coalesce(x, F.array().cast("array<long>")), F.lit(0), lambda t, k: t + F.bit_count(k))
+    return full.filter(apart * (den + num) <= (den - num) * (small + large)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
