@@ -378,11 +378,14 @@ def summarize_lines(x: Column, most: int) -> Column:
     return F.when(n <= most, text(x)).otherwise(F.array_join(F.slice(F.concat(F.slice(lines, F.lit(1), edge), picked, tail), 1, most), "\n"))
 
 
-def compress(x: Column, most: int | None = None, lines: int | None = None) -> Column:
-    """White space, comments, repeats, then a cut and a summary of lines where they are asked for."""
-    out = abbreviate_repeats(without_comments(squeeze(x)))
-    out = truncate(out, most) if most else out
-    return summarize_lines(out, lines) if lines else out
+def condensed(x: Column) -> Column:
+    """Without needless white space, comments and repeats."""
+    return abbreviate_repeats(without_comments(squeeze(x)))
+
+
+def compress(x: Column, most: int | None = None) -> Column:
+    """Condensed, then cut where that is asked for."""
+    return truncate(condensed(x), most) if most else condensed(x)
 
 
 def compression_estimate(x: Column) -> Column:

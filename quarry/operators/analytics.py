@@ -225,9 +225,9 @@ def deal_summary(p: DataFrame, k: DataFrame, deal_id: int) -> DataFrame:
 
 
 def health(p: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Calls and errors of the last hour; healthy below a tenth of errors, active with any call."""
-    row = since(p, 1 / 24, as_of).agg(n(), truth(failed(), "errors"))
-    return row.select("*", (c("errors") * 10 < F.greatest(c("calls"), F.lit(1))).alias("healthy"), (c("calls") > 0).alias("active"))
+    """Calls and errors of the last hour, its beginning excluded."""
+    as_of = as_of or p.agg(F.max("created_at")).first()[0]
+    return since(p, 1 / 24, as_of, inclusive=False).agg(n(), truth(failed(), "errors"))
 
 
 def metric_rows(calls: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,13 +16,15 @@ from .rules import messages
 c = F.col
 TTL_DAYS, MOST_ENTRIES = 7, 10_000
 CACHED_TASKS = ("fact-extraction", "hypothesis-generation", "classification", "query-generation")
-#: Dollars for a million tokens saved.
-PRICES = {"gpt-4o": 5.0, "qwen": 0.02, "llama": 0.05}
+# Dollars for a million tokens saved, by the model's whole name.
+PRICES = {"gpt-4o": 5.0, "qwen-14b": 0.02, "llama-70b": 0.05}
 DEFAULT_PRICE = 5.0
 
 
 def cache_key(content_hash: Column, task: Column, model: Column, temperature: Column) -> Column:
-    parts = (content_hash, task, F.coalesce(model, F.lit("default")), F.coalesce(temperature.cast("string"), F.lit("0.7")))
+    """A missing model is 'default'; a missing temperature, or one of 0, is 0.7; whole numbers have no point."""
+    number = F.when(temperature == F.floor(temperature), temperature.cast("long").cast("string")).otherwise(temperature.cast("string"))
+    parts = (content_hash, task, F.coalesce(F.nullif(model, F.lit("")), F.lit("default")), F.coalesce(F.when(temperature != 0, number), F.lit("0.7")))
     return F.sha2(F.concat_ws(":", *parts), 256)
 
 
@@ -68,10 +71,8 @@ def import_entries(entries: DataFrame, at: Column) -> DataFrame:
 
 
 def model_price(model: Column) -> Column:
-    out = F.lit(DEFAULT_PRICE)
-    for name, price in PRICES.items():
-        out = F.when(F.startswith(model, F.lit(name)), F.lit(price)).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(v) for kv in PRICES.items() for v in kv))
+    return F.coalesce(F.try_element_at(known, model), F.lit(DEFAULT_PRICE))
 
 
 def savings(tokens: Column, model: Column) -> Column:
@@ -128,8 +129,23 @@ def feature_enabled(enabled: Column, percentage: Column, user: Column) -> Column
     return enabled & F.when(percentage <= 0, False).when(percentage >= 100, True).otherwise(t.bucket_31(user) < percentage)
 
 
-def config_errors(ttl: Column, size: Column, strategy: Column) -> Column:
-    return messages((~ttl.between(1, 90), "ttl must be 1 to 90 days"), (size < 100, "size must be 100 or more"), (~strategy.isin("cost", "speed", "quality", "balanced"), "unknown strategy"))
+# Fixed values.
+STRATEGIES = ("cost-aware", "performance", "balanced")
+
+
+def config_errors(key: Column) -> Column:
+    """What keeps a configuration from running: a model key that is missing or has less than ten characters."""
+    n = F.length(F.coalesce(key, F.lit("")))
+    return messages((n == 0, "no key"), ((n > 0) & (n < 10), "the key is short"))
+
+
+def config_warnings(enabled: Column, key: Column, cache: Column, compression: Column, analytics: Column, ttl: Column, size: Column, strategy: Column) -> Column:
+    """What may be meant otherwise: switches that are off, a key of another form, and values out of their ranges."""
+    n = F.length(F.coalesce(key, F.lit("")))
+    return messages(
+        (~enabled, "models are off"), ((n >= 10) & ~key.startswith("sk-"), "the key has another form"), (~cache, "the cache is off"), (~compression, "compression is off"), (~analytics, "analytics is off"),
+        (~ttl.between(1, 90), "time to live is out of 1 to 90 days"), (size < 100, "the cache is below 100 entries"), (~strategy.isin(*STRATEGIES), "unknown strategy"),
+    )
 
 
 # Prompts
@@ -146,9 +162,20 @@ def system_prompt(cycle: Column) -> Column:
     return F.element_at(F.array(*(F.lit(SYSTEM_PROMPTS[k]) for k in (1, 2, 3))), cycle)
 
 
-def user_prompt(cycle: Column, facts: Column) -> Column:
-    lines = F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n")
-    return F.concat(F.lit("Cycle "), cycle.cast("string"), F.lit("\nFacts:\n"), lines)
+def user_prompt(cycle: Column, deal: Column, deck: Column, documents: Column, first: Column, second: Column, facts: Column) -> Column:
+    """The prompt of a cycle: the first with deck and documents, the second with the first's output and the deck, the
+    third with both outputs and the facts (claim, source, confidence). The asking sentence is in own wording."""
+    part = lambda title, body: F.concat(F.lit(f"{title}:\n"), body)
+    blocks = lambda *x: F.concat_ws("\n\n", *x)
+    some = F.when(F.size(F.coalesce(documents, F.array().cast("array<string>"))) > 0, part("SUPPORTING DOCUMENTS", F.array_join(documents, "\n---\n")))
+    listed = F.array_join(F.transform(facts, lambda f: F.concat(F.lit('- "'), f["claim"], F.lit('" ('), f["source"], F.lit(", confidence: "), f["confidence"], F.lit(")"))), "\n")
+    body = (
+        F.when(cycle == 1, blocks(part("PITCH DECK", deck), some))
+        .when(cycle == 2, blocks(part("CYCLE 1 ANALYSIS", first), part("DEAL MATERIALS", deck)))
+        .otherwise(blocks(part("CYCLE 1 ANALYSIS", first), part("CYCLE 2 ANALYSIS", second), part("ALL EXTRACTED FACTS", listed)))
+    )
+    ask = F.concat(F.lit("Carry out cycle "), cycle.cast("string"), F.lit(" as the system prompt says. Answer in valid JSON."))
+    return blocks(F.concat(F.lit("DEAL: "), deal), body, ask)
 
 
 def replace_first(x: Column, old: str, new: str) -> Column:
@@ -156,19 +183,41 @@ def replace_first(x: Column, old: str, new: str) -> Column:
     return F.when(at > 0, F.concat(F.left(x, at - 1), F.lit(new), F.substring(x, at + len(old), F.length(x)))).otherwise(x)
 
 
-def paraphrases(prompt: Column) -> Column:
-    """The prompt, a formal and a casual form, each by replacing the first occurrences."""
+# The plain and the formal wording.
+REPHRASED = (("What is", "Please specify"), ("How can", "In what manner might"), ("Does", "To what extent does"))
+
+
+def paraphrases(prompt: Column, count: int = 3) -> Column:
+    """The prompt; with count 2 its formal form too, with 3 its casual one, the inverse. Each wording is replaced where
+    it first stands, one after the other."""
     formal, casual = prompt, prompt
-    for old, new in (("What", "Please state what"), ("list", "enumerate")):
-        formal = replace_first(formal, old, new)
-    for old, new in (("What", "So, what"), ("list", "jot down")):
-        casual = replace_first(casual, old, new)
-    return F.array(prompt, formal, casual)
+    for plain, stiff in REPHRASED:
+        formal, casual = replace_first(formal, plain, stiff), replace_first(casual, stiff, plain)
+    return F.array(*(prompt, formal, casual)[: min(max(count, 1), 3)])
+
+
+# Own wording; the answers asked for are the rule.
+CITATION_ASK = "Does the source bear the claim? Answer VALID, NEEDS_VERIFICATION or INVALID."
+CALIBRATION_ASK = "Does the confidence fit the evidence? Answer APPROPRIATE, TOO_HIGH or TOO_LOW."
+PRESSURE_ASK = "Does it bind, what speaks against it, how likely is it met? Answer BINDING, CONDITIONALLY_BINDING or NOT_BINDING."
+RISK_ASK = "Which risks follow if the claim is false? Answer in JSON: risks with risk, severity and mitigation."
+
+
+def citation_prompt(claim: Column, source: Column) -> Column:
+    return F.concat(F.lit('CLAIM: "'), claim, F.lit('"\nPROPOSED SOURCE: "'), source, F.lit(f'"\n\n{CITATION_ASK}'))
 
 
-def check_prompt(kind: str, subject: Column) -> Column:
-    forms = {"citation": "Check that every claim cites its source: %s", "calibration": "Compare stated confidence with outcomes: %s", "pressure": "Argue against the conclusion: %s", "risk": "Name the ways this fails: %s"}
-    return F.format_string(forms[kind], subject)
+def calibration_prompt(claim: Column, evidence: Column, confidence: Column) -> Column:
+    return F.concat(F.lit('CLAIM: "'), claim, F.lit('"\nEVIDENCE: "'), evidence, F.lit('"\nASSIGNED CONFIDENCE: '), confidence, F.lit(f"\n\n{CALIBRATION_ASK}"))
+
+
+def pressure_prompt(constraint: Column, evidence: Column) -> Column:
+    lines = F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("- "), e)), "\n")
+    return F.concat(F.lit('BINDING CONSTRAINT: "'), constraint, F.lit('"\n\nEVIDENCE:\n'), lines, F.lit(f"\n\n{PRESSURE_ASK}"))
+
+
+def risk_prompt(claim: Column, context: Column) -> Column:
+    return F.concat(F.lit('CLAIM: "'), claim, F.lit('"\nCONTEXT: "'), context, F.lit(f'"\n\n{RISK_ASK}'))
 
 
 def prompt_errors(prompt: Column) -> Column:
@@ -188,6 +237,30 @@ def parse_answer(answer: Column, cycle: int) -> Column:
     return F.from_json(answer, CONTRACTS[cycle])
 
 
+def _reduced(rows: DataFrame, names: dict[str, tuple[int | None, int | None]]) -> DataFrame:
+    """rows with the named texts condensed, cut at so many characters and summarised to so many lines, and the
+    reduction in per cent. The Python half is a projection of its own, below the lambdas of the summary."""
+    folded = rows.withColumns({f"__{n}": t.condensed(c(n)) for n in names})
+    out = {}
+    for n, (most, lines) in names.items():
+        x = t.truncate(c(f"__{n}"), most) if most else c(f"__{n}")
+        out[f"__{n}"] = t.summarize_lines(x, lines) if lines else x
+    size = lambda xs: reduce(lambda a, b: a + b, (F.length(t.text(c(x))) for x in xs))
+    cut = folded.withColumns(out)
+    cut = cut.withColumn("reduction", 100 - ratio(size([f"__{n}" for n in names]), size(names)) * 100)
+    return cut.drop(*names).withColumnsRenamed({f"__{n}": n for n in names})
+
+
+def document_contexts(rows: DataFrame) -> DataFrame:
+    """rows (document, instructions, ...): the document to 5,000 characters and 100 lines, the instructions whole."""
+    return _reduced(rows, {"document": (5000, 100), "instructions": (None, None)})
+
+
+def analysis_contexts(rows: DataFrame) -> DataFrame:
+    """rows (facts, hypotheses, queries, ...): facts to 8,000 characters, hypotheses whole, queries to 4,000 and 50 lines."""
+    return _reduced(rows, {"facts": (8000, None), "hypotheses": (None, None), "queries": (4000, 50)})
+
+
 def complete(requests: DataFrame, entries: DataFrame, tasks: DataFrame, models: DataFrame, at: Column, most: int = 5000) -> DataFrame:
     """A request table through cache, compression and routing: hits keep their result, misses have a compressed prompt and a model."""
     looked = lookup(requests, entries, at)

@@ -108,25 +108,66 @@ def library(rows: DataFrame, term: str = "", category: str = "all") -> DataFrame
 
 # Workspace
 
+#: Fields of a deal form; a field counts as given unless it is null or empty.
+FORM_FIELDS = (
+    "company_name", "industry", "stage", "target_market", "market_size", "competitor_analysis", "team_size", "founder_experience", "advisors", "revenue", "funding_amount", "previous_funding", "burn_rate",
+    "unit_economics", "financial_projections", "customers", "growth_rate", "key_metrics", "risk_factors", "mitigation_strategy", "unique_value", "competitive_advantage", "moat",
+)
+
+
+def given(field: str | Column) -> Column:
+    return F.length(F.coalesce(c(field) if isinstance(field, str) else field, F.lit(""))) > 0
+
 
 def revenue(x: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9]", ""), F.lit("")).cast("decimal(38,0)").cast("double"), F.lit(0.0))
+    """The digits of a text as a number, 0 if there are none."""
+    return F.coalesce(digits(x), F.lit(0.0))
+
+
+def digits(x: Column) -> Column:
+    return F.nullif(F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9]", ""), F.lit("")).cast("decimal(38,0)").cast("double")
+
+
+def leading_number(x: Column) -> Column:
+    """The integer that a text starts with, else null."""
+    return F.nullif(F.regexp_extract(x, "^\\s*([+-]?[0-9]+)", 1), F.lit("")).cast("double")
+
+
+def holds(condition: Column) -> Column:
+    """The condition, false where it is null."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def _money() -> Column:
+    return revenue(c("revenue"))
+
 
+def _team() -> Column:
+    return leading_number(c("team_size"))
 
-def has(x: Column) -> Column:
-    return F.length(F.trim(F.coalesce(x, F.lit("")))) > 0
+
+def _customers() -> Column:
+    return leading_number(c("customers"))
+
+
+def _no_customers() -> Column:
+    return ~given("customers") | holds(_customers() == 0)
+
+
+def _smaller(n: int) -> Column:
+    return ~given("team_size") | holds(_team() < n)
 
 
 def category_scores(form: DataFrame) -> DataFrame:
-    """Scores of a form (id, market_size, problem, solution, customers, timing, team_size, founders, revenue, growth, users, runway, competitors, moat)."""
+    """form (id and FORM_FIELDS as text) with a score of 0 to 100 for each category."""
     p = lambda condition, n: F.when(condition, n).otherwise(0)
-    market = 20 + p(has(c("market_size")), 15) + p(has(c("problem")), 25) + p(has(c("solution")), 20) + p(has(c("timing")), 20)
-    team = F.least(40 + p(has(c("founders")), 20) + F.coalesce(c("team_size"), F.lit(0)) * 3, F.lit(100))
-    money = 30 + p(revenue(c("revenue")) > 0, 15) + p(revenue(c("revenue")) > 100000, 15) + p(has(c("growth")), 20) + p(has(c("runway")), 20)
-    traction = 40 + p(has(c("users")), 30) + p(has(c("growth")), 30)
-    risk = 70 - p(~has(c("runway")), 15) - p(~has(c("moat")), 15) - p(~has(c("customers")), 10)
-    competitive = 50 + p(has(c("competitors")), 25) + p(has(c("moat")), 25)
-    return form.select("*", *(F.least(x, F.lit(100)).alias(n) for n, x in zip(CATEGORIES, (market, team, money, traction, risk, competitive), strict=True)))
+    market = p(given("industry"), 20) + p(given("stage"), 15) + p(given("target_market"), 25) + p(given("funding_amount"), 20) + p(_money() > 0, 20)
+    team = 40 + p(_team() > 5, 20) + p(given("company_name"), 20) + p(given("founder_experience"), 20)
+    money = p(_money() > 0, 30) + p(_money() > 100_000, 15) + p(_money() > 1_000_000, 15) + p(given("funding_amount"), 20) + p(given("previous_funding"), 20)
+    traction = p(_money() > 0, 40) + p(_customers() > 0, 30) + p(given("growth_rate"), 30)
+    risk = 70 - p(~given("revenue") | (digits(c("revenue")) == 0), 15) - p(_no_customers(), 15) - p(_smaller(3), 10)
+    competitive = 50 + p(given("unique_value"), 25) + p(given("competitive_advantage"), 25)
+    return form.select("*", *(F.greatest(F.least(x, F.lit(100)), F.lit(0)).alias(n) for n, x in zip(CATEGORIES, (market, team, money, traction, risk, competitive), strict=True)))
 
 
 def overall(scores: DataFrame) -> DataFrame:
@@ -134,46 +175,80 @@ def overall(scores: DataFrame) -> DataFrame:
     return scores.withColumn("overall", half_up(total / F.lit(6.0))).withColumn("grade", grade(c("overall")))
 
 
-def completeness(form: DataFrame, fields: list[str]) -> Column:
-    filled = reduce(lambda a, b: a + b, (has(c(f).cast("string")).cast("int") for f in fields))
+def completeness(fields: tuple[str, ...] = FORM_FIELDS) -> Column:
+    """Per cent of the fields that are given."""
+    filled = reduce(lambda a, b: a + b, (given(c(f).cast("string")).cast("int") for f in fields))
     return half_up(filled * 100.0 / F.lit(float(len(fields))))
 
 
-RECOMMENDATIONS = {
-    "market": "Size the market from its buyers and cite the source", "team": "Name who leads each function", "financial": "Give a monthly plan with its assumptions, and the cash it needs",
-    "traction": "Show users over time", "risk": "Write down the runway and what protects the business", "competitive": "Compare with rivals",
-}
-
+def issues() -> dict[str, Column]:
+    """Per category, what is missing; own wording."""
+    return {
+        "market": messages((~given("target_market"), "no target market"), (~given("industry"), "no industry"), (_money() == 0, "no revenue figure")),
+        "team": messages((_smaller(3), "the team is small"), (~given("founder_experience"), "nothing on the founders")),
+        "financial": messages((_money() == 0, "no revenue yet"), (~given("funding_amount"), "no funding amount"), (~given("burn_rate"), "no burn rate")),
+        "traction": messages((_no_customers(), "no customers shown"), (~given("growth_rate"), "no growth rate"), (~given("key_metrics"), "no key metrics")),
+        "risk": messages((~given("risk_factors"), "no risks listed"), (~given("mitigation_strategy"), "no mitigation")),
+        "competitive": messages((~given("competitive_advantage"), "no advantage named"), (~given("moat"), "no moat named")),
+    }
+
+
+def strengths() -> dict[str, Column]:
+    say = lambda before, field, after="": F.concat(F.lit(before), c(field), F.lit(after))
+    return {
+        "market": messages((given("target_market"), "target market named"), (given("industry"), say("sector: ", "industry")), (_money() > 100_000, "revenue of six figures")),
+        "team": messages((holds(_team() >= 5), "a team of five or more"), (given("founder_experience"), "experienced founders")),
+        "financial": messages((_money() > 0, say("revenue: ", "revenue")), (given("funding_amount"), say("asks for ", "funding_amount")), (given("previous_funding"), "funded before")),
+        "traction": messages((holds(_customers() > 0), say("customers: ", "customers")), (given("growth_rate"), say("growth: ", "growth_rate"))),
+        "risk": messages((given("risk_factors"), "risks disclosed"), (given("mitigation_strategy"), "mitigation described")),
+        "competitive": messages((given("competitive_advantage"), "clear advantage"), (given("unique_value"), "unique value")),
+    }
+
+
+def recommendations() -> dict[str, Column]:
+    """Per category, what to do next. Own wording; a text has 50 characters or more where the effort must be medium."""
+    always = F.lit(True)
+    return {
+        "market": messages((~given("target_market"), "Name the buyers that you address and count them by segment"), (~given("market_size"), "Put numbers with their sources to the size of the market"), (~given("competitor_analysis"), "Compare with the rivals")),
+        "team": messages((~given("founder_experience"), "Say what the founders did before"), (~given("advisors"), "List advisers who would vouch for the team and its plan"), (always, "Show open positions")),
+        "financial": messages((~given("burn_rate"), "Give monthly burn and runway"), (~given("unit_economics"), "Give cost and value of a customer"), (~given("financial_projections"), "Project three years")),
+        "traction": F.array(F.lit("Show growth month by month"), F.lit("Show retention"), F.lit("Tell of customers won")),
+        "risk": F.array(F.lit("List the main risks"), F.lit("Answer each risk"), F.lit("Cover regulation")),
+        "competitive": F.array(F.lit("Set your features beside those of each rival in a table"), F.lit("Name the barriers"), F.lit("Say why you win")),
+    }
 
-def issues(scores: DataFrame) -> Column:
-    """Messages for the categories below 55."""
-    return messages(*((c(x) < 55, f"{x} is weak") for x in CATEGORIES))
 
+def red_flags() -> Column:
+    """Severity, message and action of what speaks against a deal."""
 
-def strengths() -> Column:
-    return messages(*((c(x) >= 80, f"{x} is strong") for x in CATEGORIES))
-
+    def flag(bad: Column, severity: str, text: str, action: str) -> Column:
+        return F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("message"), F.lit(action).alias("action")))
 
-def red_flags() -> Column:
-    """Severity and message of what speaks against a deal."""
-    flag = lambda bad, severity, text: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("message")))
-    return F.array_compact(F.array(flag(c("risk") < 40, "high", "risks aren't covered"), flag(c("financial") < 50, "medium", "numbers are missing"), flag(~has(c("moat")), "low", "no protection named")))
+    late = F.lower(F.coalesce("stage", F.lit(""))) != "pre-seed"
+    return F.array_compact(F.array(
+        flag((_money() == 0) & late, "high", "no revenue after the first stage", "add revenue or say when it comes"), flag(_no_customers(), "medium", "no customers", "add references or letters of intent"),
+        flag(_smaller(2), "medium", "a founder alone", "add a founder or advisers"), flag(~given("competitive_advantage"), "low", "no advantage named", "say what sets the product apart"),
+    ))
 
 
 def green_flags() -> Column:
-    return messages((c("team") >= 70, "the team is complete"), (c("traction") >= 70, "users grow"))
+    best = F.greatest(*CATEGORIES)
+    return messages(
+        (_money() > 100_000, "revenue above 100 thousand"), (_money() > 1_000_000, "revenue above a million"), (holds(_customers() > 50), "more than 50 customers"), (holds(_team() >= 10), "a team of ten or more"),
+        (given("previous_funding"), "funded before"), (best >= 90, "a category at 90 or more"),
+    )
 
 
 def quick_wins(most: int = 3) -> Column:
-    """Of the categories below 70, in order: the recommendation, its impact, its effort by its length."""
-    rows = F.array(*(F.struct(F.lit(x).alias("category"), c(x).alias("score"), F.lit(RECOMMENDATIONS[x]).alias("what")) for x in CATEGORIES))
-    weak = F.filter(rows, lambda r: r["score"] < 70)
+    """Of the categories below 70 with a recommendation, in order: the first one, its impact, its effort by its length."""
+    rows = F.array(*(F.struct(F.lit(x).alias("category"), c(x).alias("score"), F.get(r, F.lit(0)).alias("what")) for x, r in recommendations().items()))
+    weak = F.filter(rows, lambda r: (r["score"] < 70) & r["what"].isNotNull())
     win = lambda r: F.struct(r["category"].alias("category"), r["what"].alias("what"), (100 - r["score"]).alias("impact"), F.when(F.length(r["what"]) < 50, "low").otherwise("medium").alias("effort"))
     return F.slice(F.transform(weak, win), 1, most)
 
 
-def achievements(documents: Column, score: Column, complete: Column) -> Column:
-    return F.struct((documents >= 1).alias("first_upload"), (score >= 70).alias("investor_ready"), (complete >= 100).alias("complete"))
+def achievements(score: Column, complete: Column) -> Column:
+    return F.struct(F.lit(True).alias("first_analysis"), (complete >= 80).alias("complete_profile"), (score >= 85).alias("investment_ready"), (score == 100).alias("perfect"))
 
 
 # Reports
@@ -185,8 +260,8 @@ def risk_matrix(risks: DataFrame) -> DataFrame:
 
 
 def notification_bucket(when: Column) -> Column:
-    low = F.lower(when)
-    return F.when(low.contains("min") | low.contains("hour") | low.contains("now"), "today").when(low.contains("yesterday") | low.startswith("1 day"), "yesterday").otherwise("this week")
+    """By words in a text such as '5 minutes ago'; upper and lower case differ."""
+    return F.when(when.rlike("now|minute|hour|Today"), "today").when(when.contains("Yesterday"), "yesterday").otherwise("this week")
 
 
 def notifications(rows: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -256,15 +331,17 @@ def upload_valid(filename: Column, n_bytes: Column, accepted: list[str], most_mb
     return F.lower(F.regexp_extract(filename, "\\.([^.]+)$", 1)).isin(accepted) & (n_bytes / F.lit(1024.0 * 1024.0) <= most_mb)
 
 
-def intent(question: Column) -> Column:
-    """The first keyword's intent."""
+def intent(question: Column, investor: Column) -> Column:
+    """The first keyword's intent, by who asks."""
     low = F.lower(question)
-    table = (("risk", "risk"), ("compar", "compare"), ("memo", "memo"), ("score", "score"), ("team", "team"))
-    out = F
-    for word, name in table:
-        out = out.when(low.contains(word), name)
-    return out.otherwise("general")
+    by = lambda table: F.coalesce(*(F.when(low.rlike(words), name) for words, name in table), F.lit("general"))
+    return F.when(investor, by(INVESTOR_INTENTS)).otherwise(by(FOUNDER_INTENTS))
+
+
+# Keywords of an investor's and of a founder's question, in order.
+INVESTOR_INTENTS = (("red flag|risk", "risk"), ("compare|benchmark", "compare"), ("memo|summary", "memo"))
+FOUNDER_INTENTS = (("score|improve", "score"), ("missing|document", "documents"), ("value prop|pitch", "pitch"))
 
 
 def is_profit(amount: Column) -> Column:
-    return amount.startswith("$") & ~F.contains(amount, F.lit("-"))
+    return amount.startswith("$")

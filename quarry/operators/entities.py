@@ -75,9 +75,10 @@ def document_type(kind: Column) -> Column:
 
 
 def document_with_job(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Documents with the latest job of their deal."""
-    last = jobs.groupBy("deal_id").agg(F.max(F.struct("updated_at", "id", "status")).alias("j"))
-    return documents.join(last, "deal_id", "left").select("document_id", "deal_id", "title", c("j.id").alias("job"), c("j.status").alias("job_status"))
+    """Documents with the status, message and progress of their own latest job."""
+    last = jobs.filter("document_id is not null").groupBy("document_id").agg(F.max_by(F.struct("id", "status", "message", "progress_pct"), F.struct("updated_at", "id")).alias("j"))
+    job = (c("j.id").alias("job"), c("j.status").alias("job_status"), c("j.message").alias("job_message"), c("j.progress_pct").alias("job_progress"))
+    return documents.join(last, "document_id", "left").select("document_id", "deal_id", "title", *job)
 
 
 def retried(documents: DataFrame) -> DataFrame:

@@ -77,15 +77,13 @@ def depth_continues(constraints: Column, coverage: Column, paraphrase: Column) -
     return ~constraints | ~coverage | (paraphrase < 0.75)
 
 
-def depth_reason(findings: Column, facts: Column, questions: Column, uncertainties: Column, paraphrase: Column) -> Column:
-    return F.concat_ws(
-        "; ",
-        F.when(findings >= 5, "strong findings").when(findings >= 1, "some findings").otherwise("no findings"),
-        F.when(facts >= 10, "many facts").when(facts >= 5, "enough facts"),
-        F.when(questions > 0, "questions answered"),
-        F.when(uncertainties > 0, "uncertainties named"),
-        F.when(paraphrase < 0.75, "answers vary"),
-    )
+def depth_reason(questions: Column, uncertainties: Column, constraints: Column, coverage: Column, paraphrase: Column) -> Column:
+    """What the depth lacks, or that it is adequate. Own wording."""
+    lacking = messages(
+        (questions == 0, "no key questions"), (uncertainties == 0, "uncertainties unmapped"), (~constraints, "constraints unclear"), (~coverage, "thin evidence"),
+        (F.coalesce(paraphrase, F.lit(1.0)) < 0.75, "answers vary"),
+    )
+    return F.when(F.size(lacking) == 0, "Depth adequate").otherwise(F.concat(F.lit("Depth insufficient: "), F.array_join(lacking, "; ")))
 
 
 def next_cycle(cycle: Column, metric: Column, goes_on: Column, threshold: float = DEPTH_THRESHOLD) -> Column:
@@ -103,17 +101,24 @@ def overall_confidence(avg_fact: Column, depth_: Column, citation: Column, facts
     return F.when(facts == 0, F.lit(0.0)).otherwise(clamp(mixed, 0.0, 1.0))
 
 
-def cycle_summary(cycle: Column, findings: Column, facts: Column, depth_: Column) -> Column:
-    return F.format_string("Cycle %d: %d findings, %d facts, depth %s", cycle, findings, facts, half_up(depth_, 1).cast("string"))
+def fixed(x: Column, digits: int) -> Column:
+    """x as text with so many digits behind the point, rounded half up."""
+    scaled = F.floor(x.cast("double") * 10**digits + F.lit(0.5)).cast("long")
+    whole = F.floor(scaled / 10**digits).cast("string")
+    return F.concat(whole, F.lit("."), F.lpad((scaled % 10**digits).cast("string"), digits, "0")) if digits else scaled.cast("string")
+
 
+def cycle_summary(cycle: Column, millis: Column, findings: Column, facts: Column, depth_: Column, goes_on: Column) -> Column:
+    return F.format_string("Cycle %d completed in %dms | Findings: %d | Facts: %d | Depth: %s/10 | Continue: %s", cycle, millis, findings, facts, fixed(depth_, 1), goes_on.cast("string"))
 
-def cycle_errors(cycle: Column, findings: Column, facts: Column, confidence: Column) -> Column:
+
+def cycle_errors(cycle: Column, status: Column, output: Column, depth_: Column, millis: Column, error: Column) -> Column:
+    """What is wrong with a cycle's result: number, status, worker output, depth, duration, and an error where it failed."""
+    empty = lambda x: F.length(F.coalesce(x, F.lit(""))) == 0
     return messages(
-        (~cycle.between(1, MAX_CYCLE), "cycle must be 1 to 3"),
-        (findings < 0, "findings must not be negative"),
-        (facts < 0, "facts must not be negative"),
-        (~confidence.between(0, 1), "confidence must be 0 to 1"),
-    )
+        (~F.coalesce(cycle.between(1, MAX_CYCLE), F.lit(False)), "cycle must be 1 to 3"), (empty(status), "a status is needed"), (output.isNull(), "a worker output is needed"), (depth_.isNull(), "a depth is needed"),
+        (F.coalesce(millis < 0, F.lit(True)), "duration must not be negative"), ((status == "failure") & empty(error), "a failure needs its error"),
+    )
 
 
 def progression(cycles: DataFrame) -> DataFrame:
@@ -173,21 +178,32 @@ def record_depth(deltas: Column, delta: Column, cycles: Column, cycle: Column) -
     return F.array_append(deltas, delta), F.greatest(cycles, cycle)
 
 
-def ledger_quality(paraphrase: Column, brier: Column, any_depth: Column) -> Column:
+def ledger_quality(paraphrase: Column, brier: Column) -> Column:
     """Quality points, 100 at most: 25 for citations, up to 30 for paraphrases, up to 25 for calibration, 20."""
     b = F.coalesce(brier, F.lit(0.5))
     p = points((paraphrase >= 0.9, 30), (paraphrase >= 0.8, 25), (paraphrase >= 0.7, 15), otherwise=5)
-    q = points((b <= 0.1, 25), (b <= 0.2, 20), (b <= 0.3, 10), otherwise=5)
-    return F.least(F.when(any_depth, F.lit(25)).otherwise(F.lit(25)) + p + q + F.lit(20), F.lit(100))
+    q = points((b < 0.1, 25), (b < 0.2, 20), (b < 0.3, 10), otherwise=5)
+    return F.least(F.lit(25) + p + q + F.lit(20), F.lit(100))
+
+
+def citation_grade(any_depth: Column) -> Column:
+    return F.when(any_depth, "good").otherwise("acceptable")
+
+
+def paraphrase_grade(paraphrase: Column) -> Column:
+    return F.when(paraphrase >= 0.9, "excellent").when(paraphrase >= 0.8, "good").when(paraphrase >= 0.7, "acceptable").otherwise("poor")
 
 
 def calibration_grade(brier: Column) -> Column:
-    return F.when(brier.isNull(), "unknown").when(brier <= 0.1, "excellent").when(brier <= 0.2, "good").when(brier <= 0.3, "acceptable").otherwise("poor")
+    """A missing Brier score counts as 0.5."""
+    b = F.coalesce(brier, F.lit(0.5))
+    return F.when(b < 0.1, "excellent").when(b < 0.2, "good").when(b < 0.3, "acceptable").otherwise("poor")
 
 
-def ledger_summary(cycles: Column, subgoals: Column, constraints: Column, dead_ends: Column) -> Column:
+def ledger_summary(cycles: Column, subgoals: Column, constraints: Column, dead_ends: Column, paraphrase: Column, brier: Column) -> Column:
     """The subgoals are printed as facts, as the rule says."""
-    return F.format_string("Cycles: %d | Facts: %d | Constraints: %d | Dead ends: %d", cycles, subgoals, constraints, dead_ends)
+    last = (fixed(paraphrase * 100, 0), fixed(F.coalesce(brier, F.lit(0.0)), 2))
+    return F.format_string("Cycles: %d | Facts: %d | Constraints: %d | Dead Ends: %d | Paraphrase Invariance: %s%% | Brier: %s", cycles, subgoals, constraints, dead_ends, *last)
 
 
 # Planner
@@ -213,30 +229,39 @@ def hypothesis_status(state: Column, confidence: Column) -> Column:
     return F.when(state == "resolved", F.when(confidence > 0.7, "supported").otherwise("contradicted")).when(state == "refined", "inconclusive").otherwise("testing")
 
 
-def planner_errors(cycle: Column, goals: Column, focus: Column) -> Column:
-    return messages((~cycle.between(0, MAX_CYCLE), "cycle must be 0 to 3"), (F.coalesce(F.size(goals), F.lit(0)) == 0, "a goal is needed"), (F.trim(F.coalesce(focus, F.lit(""))) == "", "a focus is needed"))
+def planner_errors(goals: Column, constraints: Column, cycle: Column) -> Column:
+    none = lambda x: F.coalesce(F.size(x), F.lit(0)) <= 0
+    return messages((none(goals), "a goal is needed"), (none(constraints), "a constraint is needed"), (~cycle.between(1, MAX_CYCLE), "cycle must be 1 to 3"))
 
 
 def next_focus(subgoals: Column, cycle: Column) -> Column:
-    by_cycle = F.when(cycle == 1, "scan broadly").when(cycle == 2, "go deeper into what is uncertain").otherwise("bring the findings together")
-    return F.when(F.size(subgoals) > 0, F.get(subgoals, F.lit(0))).otherwise(by_cycle)
+    """The first open subgoal, else by the cycle. Own wording but for the prefix."""
+    by_cycle = F.when(cycle == 1, "go deeper into the constraints").when(cycle == 2, "bring the findings together").when(cycle == 3, "finish the decision pack").otherwise("go on")
+    return F.when(F.size(subgoals) > 0, F.concat(F.lit("Address: "), F.get(subgoals, F.lit(0)))).otherwise(by_cycle)
 
 
-def planner_summary(cycle: Column, focus: Column, hypotheses: Column, subgoals: Column) -> Column:
-    return F.format_string("Cycle %d | Focus: %s | Hypotheses: %d | Subgoals: %d", cycle, focus, F.size(hypotheses), F.size(subgoals))
+def planner_summary(cycle: Column, goals: Column, hypotheses: Column, subgoals: Column, focus: Column, stop: Column) -> Column:
+    text = lambda x: F.nullif(x, F.lit(""))
+    state = F.coalesce(F.concat(F.lit("Stopped: "), text(stop)), F.lit("Active"))
+    return F.format_string("Cycle %d | Goals: %d | Hypotheses: %d | Subgoals: %d | Focus: %s | %s", cycle, F.size(goals), F.size(hypotheses), F.size(subgoals), F.coalesce(text(focus), F.lit("None")), state)
 
 
 def progress_rule(cycle: Column, delta: Column) -> Column:
-    """synthesize at the last cycle or below the threshold, else the next cycle, with the reason."""
-    return (
-        F.when(cycle >= MAX_CYCLE, F.struct(F.lit("synthesize").alias("action"), F.lit("last cycle").alias("reason")))
-        .when(delta >= DEPTH_THRESHOLD, F.struct(F.lit("next_cycle").alias("action"), F.lit("depth still grows").alias("reason")))
-        .otherwise(F.struct(F.lit("synthesize").alias("action"), F.lit("depth no longer grows").alias("reason")))
-    )
+    """(progresses, next, reason): synthesize at the last cycle or below the threshold, else the next cycle's number."""
+    grows = (cycle != MAX_CYCLE) & (delta >= DEPTH_THRESHOLD)
+    reason = F.when(cycle == MAX_CYCLE, "last cycle").when(delta >= DEPTH_THRESHOLD, "depth still grows").otherwise("depth no longer grows")
+    return F.struct(grows.alias("progresses"), F.when(grows, (cycle + 1).cast("string")).otherwise("synthesize").alias("next"), reason.alias("reason"))
+
+
+# The states of an analysis by its cycle.
+ACTIONS = {1: "run_cycle_2", 2: "run_cycle_3", 3: "synthesize"}
 
 
-def next_action(cycle: Column) -> Column:
-    return F.when(cycle == 0, "start cycle 1").when(cycle < MAX_CYCLE, F.concat(F.lit("run cycle "), (cycle + 1).cast("string"))).otherwise("synthesize")
+def next_action(cycle: Column, status: Column) -> Column:
+    out = F
+    for k, action in ACTIONS.items():
+        out = out.when(cycle == k, action)
+    return out.when(status == "complete", "view_decision_pack").otherwise("waiting_for_cycle_1")
 
 
 def progress_percent(cycle: Column, done: Column) -> Column:
@@ -244,7 +269,7 @@ def progress_percent(cycle: Column, done: Column) -> Column:
 
 
 def prerequisite_errors(live: Column, documents: Column, decks: Column) -> Column:
-    return messages((~live, "the deal doesn't exist"), (documents == 0, "a document is needed"), ((documents > 0) & (decks == 0), "a pitch deck is needed"))
+    return messages((~live, "the deal doesn't exist"), (documents == 0, "a document is needed"), (decks == 0, "a pitch deck is needed"))
 
 
 # Workspace scores
@@ -254,13 +279,21 @@ def grade(score: Column) -> Column:
     return F.when(score >= 85, "Excellent").when(score >= 70, "Good").when(score >= 55, "Fair").otherwise("Needs Improvement")
 
 
-def savings(base_dollars: Column, base_hours: Column, round_type: Column, stage: Column) -> tuple[Column, Column]:
-    """(dollars, hours) saved, by the multipliers of the round and the stage."""
-    rounds = {"pre_seed": 0.7, "seed": 1.0, "series_a": 1.3, "series_b": 1.6}
-    stages = {"idea": 0.8, "mvp": 0.9, "revenue": 1.0, "growth": 1.2}
-    pick = lambda m, x: F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in m.items() for v in kv)), x), F.lit(1.0))
-    k = pick(rounds, round_type) * pick(stages, stage)
-    return half_up(base_dollars * k), half_up(base_hours * k)
+# Multipliers of a deal's round and stage, and the dollars and hours of a plain deal.
+ROUNDS = {"seed": 1.0, "series-a": 1.3, "series-b": 1.6, "series-c": 2.0, "series-d": 2.5}
+ROUND_STAGES = {"idea": 1.5, "mvp": 1.2, "growth": 1.0, "scale": 0.9}
+BASE_DOLLARS, BASE_HOURS = 22_000, 85
+
+
+def savings(round_type: Column, stage: Column) -> tuple[Column, Column]:
+    """(dollars, hours) saved, by the multipliers; a missing round is a seed, a missing stage an idea, an unknown one 1."""
+
+    def pick(m: dict[str, float], x: Column, default: str) -> Column:
+        known = F.create_map(*(F.lit(v) for kv in m.items() for v in kv))
+        return F.coalesce(F.try_element_at(known, F.coalesce(F.nullif(x, F.lit("")), F.lit(default))), F.lit(1.0))
+
+    money, hours = (F.lit(float(base)) * pick(ROUNDS, round_type, "seed") * pick(ROUND_STAGES, stage, "idea") for base in (BASE_DOLLARS, BASE_HOURS))
+    return half_up(money), half_up(hours)
 
 
 def risk_score(probability: Column, impact: Column) -> Column:

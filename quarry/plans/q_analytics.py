@@ -83,7 +83,7 @@ def _totals(p: str, k: str) -> str:
 
 _pk("a24_api_summary", a.api_summary, _totals(since("llm_calls", 30, ">"), since("cache_events", 30, ">")))
 _pk("a25_deal_summary", lambda p, k: a.deal_summary(p, k, 7), _totals("FROM {llm_calls} WHERE deal_id = 7", "FROM {cache_events} WHERE deal_id = 7"))
-_p("a26_health", a.health, f"SELECT count(*) AS calls, {ERR} AS errors, {ERR} * 10 < greatest(count(*), 1) AS healthy, count(*) > 0 AS active {since('llm_calls', 1 / 24)}")
+_p("a26_health", a.health, f"SELECT count(*) AS calls, {ERR} AS errors {since('llm_calls', 1 / 24, '>')}")
 _p("a27_metric_rows", lambda p: a.metric_rows(p).groupBy("provider_type").agg(a.n(), a.total("total_tokens", "total_tokens"), a.truth(a.failed(), "errors")),
    f"SELECT provider_type, count(*) AS calls, {big('sum(input_tokens + output_tokens)')} AS total_tokens, {ERR} AS errors FROM {{llm_calls}} GROUP BY 1")
 _k("a28_cache_rows", lambda k: a.cache_rows(k).groupBy("event_type").agg(a.n("events"), a.total("tokens_saved", "tokens_saved")),

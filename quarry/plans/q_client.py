@@ -23,22 +23,31 @@ def s(n: Column) -> Column:
     return n.cast("string")
 
 
-q("s43_user_prompts", "cycles", lambda y: y.select("deal_id", "cycle_number", k.user_prompt(c("cycle_number"), F.array(F.lit("a"), s(c("findings_count")))).alias("prompt")),
-  "SELECT deal_id, cycle_number, concat('Cycle ', CAST(cycle_number AS VARCHAR(4)), chr(10), 'Facts:', chr(10), '- a', chr(10), '- ', CAST(findings_count AS VARCHAR(8))) AS prompt FROM {cycles}")
+q("s43_user_prompts", "cycles", lambda y: y.select("deal_id", "cycle_number", k.user_prompt(c("cycle_number"), s(c("deal_id")), F.lit("deck"), F.when(c("coverage_met"), F.array(F.lit("one"), F.lit("two"))), F.lit("out1"), F.lit("out2"), F.array(F.struct(F.lit("a").alias("claim"), F.lit("deck.pdf").alias("source"), s(c("questions")).alias("confidence")))).alias("prompt")),
+  """SELECT deal_id, cycle_number, concat('DEAL: ', CAST(deal_id AS VARCHAR(20)), chr(10), chr(10), CASE cycle_number
+  WHEN 1 THEN concat('PITCH DECK:', chr(10), 'deck', CASE WHEN coverage_met THEN concat(chr(10), chr(10), 'SUPPORTING DOCUMENTS:', chr(10), 'one', chr(10), '---', chr(10), 'two') ELSE '' END)
+  WHEN 2 THEN concat('CYCLE 1 ANALYSIS:', chr(10), 'out1', chr(10), chr(10), 'DEAL MATERIALS:', chr(10), 'deck')
+  ELSE concat('CYCLE 1 ANALYSIS:', chr(10), 'out1', chr(10), chr(10), 'CYCLE 2 ANALYSIS:', chr(10), 'out2', chr(10), chr(10), 'ALL EXTRACTED FACTS:', chr(10), '- "a" (deck.pdf, confidence: ', CAST(questions AS VARCHAR(20)), ')') END,
+  chr(10), chr(10), 'Carry out cycle ', CAST(cycle_number AS VARCHAR(4)), ' as the system prompt says. Answer in valid JSON.') AS prompt FROM {cycles}""")
 q("s44_system_prompts", "cycles", lambda y: y.select("deal_id", F.length(k.system_prompt(c("cycle_number"))).alias("n")), f"SELECT deal_id, CASE cycle_number WHEN 1 THEN {len(k.SYSTEM_PROMPTS[1])} WHEN 2 THEN {len(k.SYSTEM_PROMPTS[2])} ELSE {len(k.SYSTEM_PROMPTS[3])} END AS n FROM {{cycles}}")
-q("s45_paraphrases", "deals", lambda d: d.select("id", k.paraphrases(F.concat(F.lit("What is it? list "), "name")).alias("p")), "SELECT id, [concat('What is it? list ', name), concat('Please state what is it? enumerate ', name), concat('So, what is it? jot down ', name)] AS p FROM {deals}")
-q("s46_check_prompts", "deals", lambda d: d.select("id", k.check_prompt("risk", c("name")).alias("p")), "SELECT id, concat('Name the ways this fails: ', name) AS p FROM {deals}")
+q("s45_paraphrases", "deals", lambda d: d.select("id", k.paraphrases(F.concat(F.when(c("id") % 3 == 0, "What is it? Does ").when(c("id") % 3 == 1, "Please specify, please: How can ").otherwise("To what extent does "), "name", F.lit(" What is"))).alias("p")),
+  """SELECT id, CASE id % 3 WHEN 0 THEN [concat('What is it? Does ', name, ' What is'), concat('Please specify it? To what extent does ', name, ' What is'), concat('What is it? Does ', name, ' What is')]
+  WHEN 1 THEN [concat('Please specify, please: How can ', name, ' What is'), concat('Please specify, please: In what manner might ', name, ' Please specify'), concat('What is, please: How can ', name, ' What is')]
+  ELSE [concat('To what extent does ', name, ' What is'), concat('To what extent does ', name, ' Please specify'), concat('Does ', name, ' What is')] END AS p FROM {deals}""")
+q("s46_check_prompts", "deals", lambda d: d.select("id", k.citation_prompt(c("name"), c("stage")).alias("citation"), k.calibration_prompt(c("name"), c("stage"), s(c("id"))).alias("calibration"), k.pressure_prompt(c("name"), F.array("stage", "priority")).alias("pressure"), k.risk_prompt(c("name"), c("stage")).alias("risk")),
+  f"""SELECT id, concat('CLAIM: "', name, '"', chr(10), 'PROPOSED SOURCE: "', stage, '"', chr(10), chr(10), '{k.CITATION_ASK}') AS citation, concat('CLAIM: "', name, '"', chr(10), 'EVIDENCE: "', stage, '"', chr(10), 'ASSIGNED CONFIDENCE: ', CAST(id AS VARCHAR(20)), chr(10), chr(10), '{k.CALIBRATION_ASK}') AS calibration,
+  concat('BINDING CONSTRAINT: "', name, '"', chr(10), chr(10), 'EVIDENCE:', chr(10), '- ', stage, chr(10), '- ', priority, chr(10), chr(10), '{k.PRESSURE_ASK}') AS pressure, concat('CLAIM: "', name, '"', chr(10), 'CONTEXT: "', stage, '"', chr(10), chr(10), '{k.RISK_ASK}') AS risk FROM {{deals}}""")
 q("s47_prompt_errors", "documents", lambda d: d.select("doc_id", k.prompt_errors(F.when(c("doc_id") % 3 == 0, F.concat(F.lit("OBJECTIVE "), "text")).otherwise(c("source"))).alias("errors")),
   "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN length(text) + 10 > 8000 THEN ['the prompt is too long'] ELSE [] END ELSE ['the prompt has no instructions'] END AS errors FROM {documents}")
-q("s48_cache_keys", "cache_events", lambda v: v.select("id", k.cache_key(c("content_hash"), c("task_type"), F.when(c("id") % 2 == 0, c("model")), F.lit(None).cast("double")).alias("key")),
-  "SELECT id, sha256(concat_ws(':', content_hash, task_type, CASE WHEN id % 2 = 0 THEN model ELSE 'default' END, '0.7')) AS key FROM {cache_events}")
+q("s48_cache_keys", "cache_events", lambda v: v.select("id", k.cache_key(c("content_hash"), c("task_type"), F.when(c("id") % 2 == 0, c("model")), F.when(c("id") % 5 == 0, F.lit(0.0)).when(c("id") % 5 == 1, F.lit(0.2)).when(c("id") % 5 == 2, F.lit(1.0))).alias("key")),
+  "SELECT id, sha256(concat_ws(':', content_hash, task_type, CASE WHEN id % 2 = 0 THEN model ELSE 'default' END, CASE id % 5 WHEN 1 THEN '0.2' WHEN 2 THEN '1' ELSE '0.7' END)) AS key FROM {cache_events}")
 q("s49_cache_replay", "cache_events", lambda v: k.replay(v.select(c("content_hash").alias("key"), c("created_at").alias("at"), (c("task_type") != "error").alias("eligible"), "id")).groupBy("outcome").agg(F.count("*").alias("n")),
   """WITH RECURSIVE o AS (SELECT content_hash AS key, created_at AS stamp, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS n FROM {cache_events} WHERE task_type <> 'error'),
   f AS (SELECT key, n, stamp AS stored, false AS hit FROM o WHERE n = 1 UNION ALL SELECT o.key, o.n, CASE WHEN o.stamp - f.stored <= INTERVAL 7 DAY THEN f.stored ELSE o.stamp END, o.stamp - f.stored <= INTERVAL 7 DAY FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
   SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM {cache_events} WHERE task_type = 'error'""")
 q("s50_eviction", "cache_events", lambda v: k.evict(v.select(c("id").alias("key"), "created_at"), 100).select("key"), "SELECT id AS key FROM {cache_events} ORDER BY created_at DESC, id LIMIT 100")
 q("s51_savings", "cache_events", lambda v: v.filter("event_type = 'hit'").select("id", k.savings(c("tokens_saved"), c("model")).alias("saved")),
-  "SELECT id, tokens_saved / 1e6 * CASE WHEN starts_with(model, 'llama') THEN 0.05e0 WHEN starts_with(model, 'qwen') THEN 0.02e0 ELSE 5e0 END AS saved FROM {cache_events} WHERE event_type = 'hit'")
+  "SELECT id, tokens_saved / 1e6 * CASE model WHEN 'llama-70b' THEN 0.05e0 WHEN 'qwen-14b' THEN 0.02e0 ELSE 5e0 END AS saved FROM {cache_events} WHERE event_type = 'hit'")
 q("s52_cache_stats", "cache_events", k.stats, f"SELECT {HIT} AS hits, {MISS} AS misses, {ratio(HIT, f'({HIT} + {MISS})', 2, 100)} AS hit_rate, min(created_at) AS oldest, max(created_at) AS newest FROM {{cache_events}}")
 q("s53_top_hits", "cache_events", k.top_hits, "SELECT content_hash, count(*) AS hits FROM {cache_events} WHERE event_type = 'hit' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 q("s54_compress", "conversations", lambda v: v.select("conv_id", "turn", F.length(t.compress(c("text"), 500)).alias("n")), None)
@@ -50,7 +59,8 @@ q("s57_truncate", "documents", lambda d: d.select("doc_id", t.truncate(c("text")
   greatest(CASE WHEN instr(b, '.') > 0 THEN 200 - instr(b, '.') ELSE -1 END, CASE WHEN instr(b, chr(10)) > 0 THEN 200 - instr(b, chr(10)) ELSE -1 END) AS stop FROM (SELECT doc_id, text, reverse(substr(text, 1, 200)) AS b FROM {documents}) y) z""")
 q("s58_summarize_lines", "documents", lambda d: d.select("doc_id", F.size(F.split(t.summarize_lines(c("text"), 8), "\n")).alias("n")),
   "SELECT doc_id, CAST(least(8, len(string_split(text, chr(10)))) AS INT) AS n FROM {documents}")
-q("s59_contexts", "documents", lambda d: d.select("doc_id", F.length(t.truncate(c("text"), 5000)).alias("n")), "SELECT doc_id, CASE WHEN length(text) <= 5000 THEN length(text) ELSE 34 + CASE WHEN stop > 4000 THEN stop + 1 ELSE 5000 END END AS n FROM (SELECT doc_id, text, greatest(CASE WHEN instr(b, '.') > 0 THEN 5000 - instr(b, '.') ELSE -1 END, CASE WHEN instr(b, chr(10)) > 0 THEN 5000 - instr(b, chr(10)) ELSE -1 END) AS stop FROM (SELECT doc_id, text, reverse(substr(text, 1, 5000)) AS b FROM {documents}) y) z")
+q("s59_document_contexts", "documents", lambda d: k.document_contexts(d.select("doc_id", c("text").alias("document"), F.concat(F.lit("Extract facts.  "), "lang").alias("instructions"))).select("doc_id", F.length("document").alias("n"), "instructions", r.half_up(c("reduction"), 6).alias("reduction")), None)
+q("s59_analysis_contexts", "documents", lambda d: k.analysis_contexts(d.select("doc_id", c("text").alias("facts"), F.concat(F.lit("H:   "), "lang").alias("hypotheses"), F.concat(F.lit("Q:   "), "source").alias("queries"))).select("doc_id", F.length("facts").alias("n"), "hypotheses", "queries", r.half_up(c("reduction"), 6).alias("reduction")), None)
 q("s60_estimate", "documents", lambda d: d.select("doc_id", t.compression_estimate(c("text")).alias("pct")),
   """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS w FROM {documents}), m AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2) v GROUP BY 1)
   SELECT doc_id, least(40, CASE WHEN regexp_matches(text, '\\n\\n\\n|\\s\\s+') THEN 7 ELSE 0 END + CASE WHEN regexp_matches(text, '/\\*|//|<!--|--') THEN 10 ELSE 0 END + CASE WHEN most > 5 THEN 3 ELSE 0 END + CASE WHEN length(text) > 5000 THEN 20 ELSE 0 END) AS pct FROM {documents} JOIN m USING (doc_id)""")
@@ -92,8 +102,14 @@ def _config(spark: SparkSession, d: str) -> DataFrame:
     return k.task_config(spark)
 
 
-q("s69_config_errors", "part", lambda p: p.select("p_partkey", k.config_errors(c("p_size") * 3 - 5, c("p_size") * 10, F.when(c("p_size") % 2 == 0, "cost").otherwise("none")).alias("errors")),
-  "SELECT p_partkey, list_filter([CASE WHEN p_size * 3 - 5 NOT BETWEEN 1 AND 90 THEN 'ttl must be 1 to 90 days' END, CASE WHEN p_size * 10 < 100 THEN 'size must be 100 or more' END, CASE WHEN p_size % 2 <> 0 THEN 'unknown strategy' END], lambda x: x IS NOT NULL) AS errors FROM {part}")
+def _key() -> Column:
+    return F.when(c("p_size") % 4 == 1, "sk-1").when(c("p_size") % 4 == 2, "key-1234567").when(c("p_size") % 4 == 3, "sk-12345678")
+
+
+q("s69_config_errors", "part", lambda p: p.select("p_partkey", k.config_errors(_key()).alias("errors"), k.config_warnings(c("p_size") % 3 > 0, _key(), c("p_size") % 2 == 0, c("p_size") % 5 > 0, c("p_size") % 7 > 0, c("p_size") * 3 - 5, c("p_size") * 10, F.when(c("p_size") % 2 == 0, "cost-aware").otherwise("none")).alias("warnings")),
+  """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ['no key'] WHEN 1 THEN ['the key is short'] ELSE [] END AS errors, list_filter([CASE WHEN p_size % 3 = 0 THEN 'models are off' END, CASE WHEN p_size % 4 = 2 THEN 'the key has another form' END, CASE WHEN p_size % 2 <> 0 THEN 'the cache is off' END,
+  CASE WHEN p_size % 5 = 0 THEN 'compression is off' END, CASE WHEN p_size % 7 = 0 THEN 'analytics is off' END, CASE WHEN p_size * 3 - 5 < 1 OR p_size * 3 - 5 > 90 THEN 'time to live is out of 1 to 90 days' END, CASE WHEN p_size * 10 < 100 THEN 'the cache is below 100 entries' END,
+  CASE WHEN p_size % 2 <> 0 THEN 'unknown strategy' END], lambda x: x IS NOT NULL) AS warnings FROM {part}""")
 q("s70_answers", "deals", lambda d: d.select("id", k.parse_answer(F.concat(F.lit('{"summary":"'), "name", F.lit('","risks":[{"risk":"a","severity":"low"}],"what_to_verify":["x","y"]}')), 3).alias("a")).select("id", "a.summary", c("a.risks")[0]["risk"].alias("risk"), F.size("a.what_to_verify").alias("verify")),
   "SELECT id, name AS summary, 'a' AS risk, 2 AS verify FROM {deals}")
 
@@ -108,26 +124,33 @@ q("c05_sorted", "deals", lambda d: x.sort_by(d, "score", "desc").select("id", "s
 q("c06_stage_distribution", "deals", lambda d: x.distribution(d, "stage"), f"SELECT stage AS key, count(*) AS n, {ratio('count(*)', '(SELECT count(*) FROM {deals})', 1, 100)} AS pct FROM {{deals}} GROUP BY 1")
 q("c06_score_buckets", "deals", lambda d: x.distribution(d, x.score_bucket(c("score"))), f"SELECT CASE WHEN score <= 50 THEN '0-50' WHEN score <= 70 THEN '51-70' WHEN score <= 85 THEN '71-85' WHEN score <= 100 THEN '86-100' END AS key, count(*) AS n, {ratio('count(*)', '(SELECT count(*) FROM {deals})', 1, 100)} AS pct FROM {{deals}} GROUP BY 1")
 q("c07_monthly", "deal_documents", lambda d: x.monthly(d, "uploaded_at"), "SELECT month, n, n - lag(n) OVER (ORDER BY month) AS change FROM (SELECT CAST(date_trunc('month', uploaded_at) AS DATE) AS month, count(*) AS n FROM {deal_documents} GROUP BY 1) y")
-FORM = """form AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'x' END AS market_size, CASE WHEN id % 3 <> 0 THEN 'x' ELSE ' ' END AS problem, 'x' AS solution, CASE WHEN id % 5 = 0 THEN 'x' END AS customers, CASE WHEN id % 7 <> 0 THEN 'x' END AS timing, CAST(id % 12 AS INT) AS team_size,
-  CASE WHEN id % 4 = 0 THEN 'x' END AS founders, CASE WHEN id % 3 = 0 THEN concat('$', CAST(id AS VARCHAR(20)), ',000') END AS revenue, CASE WHEN id % 6 <> 0 THEN 'x' END AS growth, CASE WHEN id % 2 = 1 THEN 'x' END AS users, CASE WHEN id % 9 <> 0 THEN 'x' END AS runway,
-  CASE WHEN id % 8 = 0 THEN 'x' END AS competitors, CASE WHEN id % 10 < 5 THEN 'x' END AS moat FROM {deals})"""
-HAS = lambda f: f"(length(trim(coalesce({f}, ''))) > 0)"
+#: A form of each deal, as SQL that both engines run; a field is null, empty or given.
+FORM_SQL = """SELECT id, name AS company_name, CASE WHEN id % 2 = 0 THEN 'saas' END AS industry, CASE id % 4 WHEN 0 THEN 'Pre-Seed' WHEN 1 THEN 'seed' WHEN 2 THEN '' ELSE 'series-a' END AS stage, CASE WHEN id % 3 <> 0 THEN 'smb' ELSE '' END AS target_market,
+  CASE WHEN id % 5 = 0 THEN '1B' END AS market_size, CASE WHEN id % 8 = 0 THEN 'x' END AS competitor_analysis, CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '5' WHEN 4 THEN '6-10' ELSE '12 people' END AS team_size,
+  CASE WHEN id % 4 = 0 THEN 'x' END AS founder_experience, CASE WHEN id % 9 = 0 THEN 'x' END AS advisors,
+  CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN '$0' WHEN 3 THEN '$100,000' WHEN 4 THEN '$100,001' WHEN 5 THEN '$1,000,001 ARR' ELSE '' END AS revenue,
+  CASE WHEN id % 5 < 3 THEN '$2M' END AS funding_amount, CASE WHEN id % 6 < 2 THEN 'angel' END AS previous_funding, CASE WHEN id % 10 < 4 THEN '50k' END AS burn_rate, CASE WHEN id % 11 < 5 THEN 'x' END AS unit_economics, CASE WHEN id % 12 = 0 THEN 'x' END AS financial_projections,
+  CASE id % 5 WHEN 0 THEN '0' WHEN 1 THEN '50' WHEN 2 THEN '51' WHEN 3 THEN 'many' END AS customers, CASE WHEN id % 6 <> 0 THEN '10%' END AS growth_rate, CASE WHEN id % 3 = 1 THEN 'x' END AS key_metrics, CASE WHEN id % 7 < 3 THEN 'x' END AS risk_factors,
+  CASE WHEN id % 7 < 2 THEN 'x' END AS mitigation_strategy, CASE WHEN id % 2 = 1 THEN 'x' END AS unique_value, CASE WHEN id % 10 < 5 THEN 'x' ELSE '' END AS competitive_advantage, CASE WHEN id % 13 = 0 THEN 'x' END AS moat FROM {deals}"""
+FORM = f"form AS ({FORM_SQL})"
+HAS = lambda f: f"(coalesce({f}, '') <> '')"
 P = lambda cond, n: f"CASE WHEN {cond} THEN {n} ELSE 0 END"
-REV = "coalesce(CAST(nullif(regexp_replace(coalesce(revenue, ''), '[^0-9]', '', 'g'), '') AS DOUBLE), 0e0)"
-SCORES = f"""{FORM}, sc AS (SELECT *, least(100, 20 + {P(HAS('market_size'), 15)} + {P(HAS('problem'), 25)} + {P(HAS('solution'), 20)} + {P(HAS('timing'), 20)}) AS market, least(100, 40 + {P(HAS('founders'), 20)} + team_size * 3) AS team,
-  least(100, 30 + {P(REV + ' > 0', 15)} + {P(REV + ' > 100000', 15)} + {P(HAS('growth'), 20)} + {P(HAS('runway'), 20)}) AS financial, least(100, 40 + {P(HAS('users'), 30)} + {P(HAS('growth'), 30)}) AS traction,
-  least(100, 70 - {P('NOT ' + HAS('runway'), 15)} - {P('NOT ' + HAS('moat'), 15)} - {P('NOT ' + HAS('customers'), 10)}) AS risk, least(100, 50 + {P(HAS('competitors'), 25)} + {P(HAS('moat'), 25)}) AS competitive FROM form),
+REV = "coalesce(TRY_CAST(regexp_replace(coalesce(revenue, ''), '[^0-9]', '', 'g') AS DOUBLE), 0e0)"
+INT = lambda f: f"TRY_CAST(regexp_extract({f}, '^[ ]*([+-]?[0-9]+)', 1) AS DOUBLE)"
+TEAM, CUSTOMERS = INT("team_size"), INT("customers")
+NO_CUSTOMERS = f"(NOT {HAS('customers')} OR coalesce({CUSTOMERS} = 0, false))"
+SMALL = lambda n: f"(NOT {HAS('team_size')} OR coalesce({TEAM} < {n}, false))"
+SCORES = f"""{FORM}, sc AS (SELECT *, least(100, {P(HAS('industry'), 20)} + {P(HAS('stage'), 15)} + {P(HAS('target_market'), 25)} + {P(HAS('funding_amount'), 20)} + {P(REV + ' > 0', 20)}) AS market,
+  least(100, 40 + {P(TEAM + ' > 5', 20)} + {P(HAS('company_name'), 20)} + {P(HAS('founder_experience'), 20)}) AS team,
+  least(100, {P(REV + ' > 0', 30)} + {P(REV + ' > 100000', 15)} + {P(REV + ' > 1000000', 15)} + {P(HAS('funding_amount'), 20)} + {P(HAS('previous_funding'), 20)}) AS financial,
+  least(100, {P(REV + ' > 0', 40)} + {P(CUSTOMERS + ' > 0', 30)} + {P(HAS('growth_rate'), 30)}) AS traction,
+  greatest(0, 70 - {P(f"NOT {HAS('revenue')} OR regexp_replace(revenue, '[^0-9]', '', 'g') = '0'", 15)} - {P(NO_CUSTOMERS, 15)} - {P(SMALL(3), 10)}) AS risk,
+  least(100, 50 + {P(HAS('unique_value'), 25)} + {P(HAS('competitive_advantage'), 25)}) AS competitive FROM form),
   ov AS (SELECT *, {half_up('(market + team + financial + traction + risk + competitive) / 6e0')} AS overall FROM sc)"""
 
 
 def _form(d: DataFrame) -> DataFrame:
-    i = c("id")
-    some = lambda condition: F.when(condition, "x")
-    return d.select(
-        "id", some(i % 2 == 0).alias("market_size"), F.when(i % 3 != 0, "x").otherwise(" ").alias("problem"), F.lit("x").alias("solution"), some(i % 5 == 0).alias("customers"), some(i % 7 != 0).alias("timing"), (i % 12).cast("int").alias("team_size"),
-        some(i % 4 == 0).alias("founders"), F.when(i % 3 == 0, F.concat(F.lit("$"), s(i), F.lit(",000"))).alias("revenue"), some(i % 6 != 0).alias("growth"), some(i % 2 == 1).alias("users"), some(i % 9 != 0).alias("runway"),
-        some(i % 8 == 0).alias("competitors"), some(i % 10 < 5).alias("moat"),
-    )
+    return d.sparkSession.sql(FORM_SQL, deals=d)
 
 
 def _scores(d: DataFrame) -> DataFrame:
@@ -145,15 +168,54 @@ q("c14_file_sizes", "upload_files", lambda u: u.select("doc_id", t.human_size(c(
   f"SELECT doc_id, CASE WHEN n_bytes = 0 THEN '0 Bytes' ELSE concat(CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END, ' ', unit) END AS size FROM (SELECT doc_id, n_bytes, {half_up('n_bytes / d', 2)} AS v, unit FROM (SELECT *, CASE WHEN n_bytes < 1024 THEN 1e0 WHEN n_bytes < 1048576 THEN 1024e0 WHEN n_bytes < 1073741824 THEN 1048576e0 ELSE 1073741824e0 END AS d, CASE WHEN n_bytes < 1024 THEN 'Bytes' WHEN n_bytes < 1048576 THEN 'KB' WHEN n_bytes < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM {{upload_files}}) y) z")
 q("c15_category_scores", "deals", lambda d: x.category_scores(_form(d)).select("id", *x.CATEGORIES), f"WITH {SCORES} SELECT id, {CATS} FROM sc")
 q("c16_overall", "deals", lambda d: _scores(d).select("id", "overall", "grade"), f"WITH {SCORES} SELECT id, overall, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' ELSE 'Needs Improvement' END AS grade FROM ov")
-q("c17_completeness", "deals", lambda d: _form(d).select("id", x.completeness(d, ["market_size", "problem", "moat"]).alias("pct")), f"WITH {FORM} SELECT id, {half_up(f'(CAST({HAS('market_size')} AS INT) + CAST({HAS('problem')} AS INT) + CAST({HAS('moat')} AS INT)) * 100e0 / 3e0')} AS pct FROM form")
-LISTED = lambda op, n, word: "list_filter([" + ", ".join(f"CASE WHEN {k_} {op} {n} THEN '{k_} is {word}' END" for k_ in x.CATEGORIES) + "], lambda z: z IS NOT NULL)"
-q("c18_issues", "deals", lambda d: _scores(d).select("id", x.issues(d).alias("issues"), x.strengths().alias("strengths")), f"WITH {SCORES} SELECT id, {LISTED('<', 55, 'weak')} AS issues, {LISTED('>=', 80, 'strong')} AS strengths FROM sc")
-q("c19_flags", "deals", lambda d: _scores(d).select("id", F.size(x.red_flags()).alias("red"), x.green_flags().alias("green")),
-  f"WITH {SCORES} SELECT id, CAST(risk < 40 AS INT) + CAST(financial < 50 AS INT) + CAST(NOT {HAS('moat')} AS INT) AS red, list_filter([CASE WHEN team >= 70 THEN 'the team is complete' END, CASE WHEN traction >= 70 THEN 'users grow' END], lambda z: z IS NOT NULL) AS green FROM sc")
-q("c20_quick_wins", "deals", lambda d: _scores(d).select("id", F.transform(x.quick_wins(), lambda w: w["category"]).alias("wins")), f"WITH {SCORES} SELECT id, list_slice(list_filter([" + ", ".join(f"CASE WHEN {k_} < 70 THEN '{k_}' END" for k_ in x.CATEGORIES) + "], lambda z: z IS NOT NULL), 1, 3) AS wins FROM sc")
-q("c21_achievements", "deals", lambda d: _scores(d).select("id", x.achievements(c("id") % 3, c("overall"), c("market")).alias("a")).select("id", "a.*"), f"WITH {SCORES} SELECT id, id % 3 >= 1 AS first_upload, overall >= 70 AS investor_ready, market >= 100 AS complete FROM ov")
-q("c22_savings", "deals", lambda d: d.select("id", *(v.alias(n) for n, v in zip(("dollars", "hours"), r.savings(F.lit(22000.0), F.lit(85.0), F.when(c("id") % 2 == 0, "seed").otherwise("series_a"), F.when(c("id") % 3 == 0, "growth").otherwise("other")), strict=True))),
-  f"SELECT id, {half_up('22000e0 * (CASE WHEN id % 2 = 0 THEN 1e0 ELSE 1.3e0 END * CASE WHEN id % 3 = 0 THEN 1.2e0 ELSE 1e0 END)')} AS dollars, {half_up('85e0 * (CASE WHEN id % 2 = 0 THEN 1e0 ELSE 1.3e0 END * CASE WHEN id % 3 = 0 THEN 1.2e0 ELSE 1e0 END)')} AS hours FROM {{deals}}")
+q("c17_completeness", "deals", lambda d: _form(d).select("id", x.completeness().alias("pct")), f"WITH {FORM} SELECT id, {half_up('(' + ' + '.join(f'CAST({HAS(f)} AS INT)' for f in x.FORM_FIELDS) + f') * 100e0 / {len(x.FORM_FIELDS)}e0')} AS pct FROM form")
+def listed(*checks: tuple[str, str]) -> str:
+    """SQL for the list of the texts (SQL expressions) whose conditions hold."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {say} END" for cond, say in checks) + "], lambda z: z IS NOT NULL)"
+
+
+NOT = lambda f: f"NOT {HAS(f)}"
+ISSUES = {
+    "market": listed((NOT("target_market"), "'no target market'"), (NOT("industry"), "'no industry'"), (f"{REV} = 0", "'no revenue figure'")),
+    "team": listed((SMALL(3), "'the team is small'"), (NOT("founder_experience"), "'nothing on the founders'")),
+    "financial": listed((f"{REV} = 0", "'no revenue yet'"), (NOT("funding_amount"), "'no funding amount'"), (NOT("burn_rate"), "'no burn rate'")),
+    "traction": listed((NO_CUSTOMERS, "'no customers shown'"), (NOT("growth_rate"), "'no growth rate'"), (NOT("key_metrics"), "'no key metrics'")),
+    "risk": listed((NOT("risk_factors"), "'no risks listed'"), (NOT("mitigation_strategy"), "'no mitigation'")),
+    "competitive": listed((NOT("competitive_advantage"), "'no advantage named'"), (NOT("moat"), "'no moat named'")),
+}
+STRENGTHS = {
+    "market": listed((HAS("target_market"), "'target market named'"), (HAS("industry"), "concat('sector: ', industry)"), (f"{REV} > 100000", "'revenue of six figures'")),
+    "team": listed((f"{TEAM} >= 5", "'a team of five or more'"), (HAS("founder_experience"), "'experienced founders'")),
+    "financial": listed((f"{REV} > 0", "concat('revenue: ', revenue)"), (HAS("funding_amount"), "concat('asks for ', funding_amount)"), (HAS("previous_funding"), "'funded before'")),
+    "traction": listed((f"{CUSTOMERS} > 0", "concat('customers: ', customers)"), (HAS("growth_rate"), "concat('growth: ', growth_rate)")),
+    "risk": listed((HAS("risk_factors"), "'risks disclosed'"), (HAS("mitigation_strategy"), "'mitigation described'")),
+    "competitive": listed((HAS("competitive_advantage"), "'clear advantage'"), (HAS("unique_value"), "'unique value'")),
+}
+q("c18_issues", "deals", lambda d: _form(d).select("id", *(v.alias(f"{n}_issues") for n, v in x.issues().items()), *(v.alias(f"{n}_strengths") for n, v in x.strengths().items()), *(F.size(v).alias(f"{n}_advice") for n, v in x.recommendations().items())),
+  f"WITH {FORM} SELECT id, " + ", ".join(f"{v} AS {n}_issues" for n, v in ISSUES.items()) + ", " + ", ".join(f"{v} AS {n}_strengths" for n, v in STRENGTHS.items())
+  + f""", {P(NOT('target_market'), 1)} + {P(NOT('market_size'), 1)} + {P(NOT('competitor_analysis'), 1)} AS market_advice, {P(NOT('founder_experience'), 1)} + {P(NOT('advisors'), 1)} + 1 AS team_advice,
+  {P(NOT('burn_rate'), 1)} + {P(NOT('unit_economics'), 1)} + {P(NOT('financial_projections'), 1)} AS financial_advice, 3 AS traction_advice, 3 AS risk_advice, 3 AS competitive_advice FROM form""")
+FLAGS = (
+    (f"{REV} = 0 AND lower(coalesce(stage, '')) <> 'pre-seed'", "'high: no revenue after the first stage'"), (NO_CUSTOMERS, "'medium: no customers'"), (SMALL(2), "'medium: a founder alone'"), (NOT("competitive_advantage"), "'low: no advantage named'"),
+)
+GREEN = (
+    (f"{REV} > 100000", "'revenue above 100 thousand'"), (f"{REV} > 1000000", "'revenue above a million'"), (f"{CUSTOMERS} > 50", "'more than 50 customers'"), (f"{TEAM} >= 10", "'a team of ten or more'"), (HAS("previous_funding"), "'funded before'"),
+    ("greatest(market, team, financial, traction, risk, competitive) >= 90", "'a category at 90 or more'"),
+)
+q("c19_flags", "deals", lambda d: _scores(d).select("id", F.transform(x.red_flags(), lambda f: F.concat(f["severity"], F.lit(": "), f["message"])).alias("red"), x.green_flags().alias("green")), f"WITH {SCORES} SELECT id, {listed(*FLAGS)} AS red, {listed(*GREEN)} AS green FROM ov")
+# The first advice of a category below 70; an effort is medium for the market's first and second and for the team's second and the competitive one.
+FIRST = {
+    "market": ((NOT("target_market"), "medium"), (NOT("market_size"), "medium"), (NOT("competitor_analysis"), "low")), "team": ((NOT("founder_experience"), "low"), (NOT("advisors"), "medium"), ("true", "low")),
+    "financial": ((NOT("burn_rate"), "low"), (NOT("unit_economics"), "low"), (NOT("financial_projections"), "low")), "traction": (("true", "low"),), "risk": (("true", "low"),), "competitive": (("true", "medium"),),
+}
+WINS = [(f"{n} < 70 AND ({' OR '.join(cond for cond, _ in steps)})", f"concat('{n}', ' ', CAST(100 - {n} AS VARCHAR(8)), ' ', CASE " + " ".join(f"WHEN {cond} THEN '{effort}'" for cond, effort in steps) + " END)") for n, steps in FIRST.items()]
+q("c20_quick_wins", "deals", lambda d: _scores(d).select("id", F.transform(x.quick_wins(), lambda w: F.concat_ws(" ", w["category"], w["impact"].cast("string"), w["effort"])).alias("wins")), f"WITH {SCORES} SELECT id, list_slice({listed(*WINS)}, 1, 3) AS wins FROM ov")
+q("c21_achievements", "deals", lambda d: _scores(d).select("id", x.achievements(c("overall"), x.completeness()).alias("a")).select("id", "a.*"),
+  f"WITH {SCORES} SELECT id, true AS first_analysis, {half_up('(' + ' + '.join(f'CAST({HAS(f)} AS INT)' for f in x.FORM_FIELDS) + f') * 100e0 / {len(x.FORM_FIELDS)}e0')} >= 80 AS complete_profile, overall >= 85 AS investment_ready, overall = 100 AS perfect FROM ov")
+ROUND, STAGE = ("CASE id % 7 WHEN 0 THEN 'seed' WHEN 1 THEN 'series-a' WHEN 2 THEN 'series-b' WHEN 3 THEN 'series-c' WHEN 4 THEN 'series-d' WHEN 5 THEN 'other' END", "CASE id % 6 WHEN 0 THEN 'idea' WHEN 1 THEN 'mvp' WHEN 2 THEN 'growth' WHEN 3 THEN 'scale' WHEN 4 THEN 'other' END")
+TIMES = "CASE id % 7 WHEN 1 THEN 1.3e0 WHEN 2 THEN 1.6e0 WHEN 3 THEN 2e0 WHEN 4 THEN 2.5e0 ELSE 1e0 END * CASE id % 6 WHEN 0 THEN 1.5e0 WHEN 1 THEN 1.2e0 WHEN 3 THEN 0.9e0 WHEN 5 THEN 1.5e0 ELSE 1e0 END"
+q("c22_savings", "deals", lambda d: d.select("id", *(v.alias(n) for n, v in zip(("dollars", "hours"), r.savings(F.expr(ROUND), F.expr(STAGE)), strict=True))),
+  f"SELECT id, {half_up('22000e0*' + TIMES)} AS dollars, {half_up('85e0*' + TIMES)} AS hours FROM {{deals}}")
 RISKS = "(SELECT CAST(id % 5 + 1 AS INT) AS probability, CAST(id * 3 % 5 + 1 AS INT) AS impact FROM {deals}) y"
 
 
@@ -164,8 +226,8 @@ def _risks(d: DataFrame) -> DataFrame:
 q("c23_risk_matrix", "deals", lambda d: x.risk_matrix(_risks(d)), f"SELECT probability, impact, count(*) AS n, probability * impact AS score FROM {RISKS} GROUP BY 1, 2")
 q("c24_risk_bands", "deals", lambda d: _risks(d).groupBy(r.risk_band(r.risk_score(c("probability"), c("impact"))).alias("band")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN probability * impact >= 15 THEN 'critical' WHEN probability * impact >= 10 THEN 'high' WHEN probability * impact >= 5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM {RISKS} GROUP BY 1")
 q("c25_risk_mean", "deals", lambda d: _risks(d).agg(r.ratio(F.sum(c("probability") * c("impact")), F.count("*"), 2).alias("mean"), F.sum("impact").alias("points")), f"SELECT {ratio('sum(probability * impact)', 'count(*)', 2)} AS mean, CAST(sum(impact) AS BIGINT) AS points FROM {RISKS}")
-q("c26_notifications", "events", lambda v: x.notifications(v.select(c("event_type").alias("type"), (c("event_id") % 2 == 0).alias("unread"), F.when(c("event_id") % 3 == 0, "5 min ago").when(c("event_id") % 3 == 1, "Yesterday").otherwise("3 days ago").alias("when")), v.select(c("event_type").alias("type"), (c("event_type") != "error").alias("enabled")).distinct()),
-  "SELECT CASE event_id % 3 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE 'this week' END AS bucket, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0) AS unread FROM {events} WHERE event_type <> 'error' GROUP BY 1")
+q("c26_notifications", "events", lambda v: x.notifications(v.select(c("event_type").alias("type"), (c("event_id") % 2 == 0).alias("unread"), F.expr("CASE event_id % 8 WHEN 0 THEN '5 minutes ago' WHEN 1 THEN 'Yesterday, 4:22 PM' WHEN 2 THEN 'Today, 9:00' WHEN 3 THEN '1 hour ago' WHEN 4 THEN 'just now' WHEN 5 THEN 'yesterday' WHEN 6 THEN '1 day ago' ELSE '5 min' END").alias("when")), v.select(c("event_type").alias("type"), (c("event_type") != "error").alias("enabled")).distinct()),
+  "SELECT CASE WHEN event_id % 8 IN (0, 2, 3, 4) THEN 'today' WHEN event_id % 8 = 1 THEN 'yesterday' ELSE 'this week' END AS bucket, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0) AS unread FROM {events} WHERE event_type <> 'error' GROUP BY 1")
 q("c27_template_counts", "deal_documents", lambda d: x.counts_with_all(d, "type"), "SELECT type AS key, count(*) AS n FROM {deal_documents} GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM {deal_documents}")
 q("c28_members", "customer", lambda m: m.filter(F.lower("c_name").contains("0042") & (c("c_mktsegment") == "BUILDING")).select("c_custkey"), "SELECT c_custkey FROM {customer} WHERE contains(lower(c_name), '0042') AND c_mktsegment = 'BUILDING'")
 STEPS = "(SELECT user_id AS deal_id, event_type AS step, count(*) AS n FROM {events} GROUP BY 1, 2) y"
@@ -186,5 +248,8 @@ q("c35_assigned_files", "upload_files documents", lambda u, d: x.assigned_files(
   f"""WITH {FILES}, a AS (SELECT DISTINCT filename, company FROM g WHERE doc_id % 3 <> 0), e AS (SELECT lower(concat(source, ' labs')) AS n, min(doc_id) AS id FROM {{documents}} WHERE doc_id % 2 = 0 GROUP BY 1)
   SELECT CASE WHEN a.company IS NULL THEN 'unassigned' WHEN e.id IS NULL THEN 'new deal' ELSE 'confirm' END AS action, count(*) AS n FROM {{upload_files}} u LEFT JOIN a ON a.filename = u.filename LEFT JOIN e ON e.n = lower(a.company) GROUP BY 1""")
 q("c36_upload_valid", "upload_files", lambda u: u.select("doc_id", x.upload_valid(c("filename"), c("n_bytes"), ["pdf", "docx", "png"], 100).alias("ok")), "SELECT doc_id, doc_id % 8 IN (0, 1, 4, 5, 6) AND n_chars * 30000 / 1048576e0 <= 100 AS ok FROM {documents}")
-q("c37_intents", "conversations", lambda v: v.groupBy(x.intent(F.concat(c("role"), F.when(c("turn") % 4 == 0, " RISK?").when(c("turn") % 4 == 1, " compare memo").otherwise(""))).alias("intent")).agg(F.count("*").alias("n")), "SELECT CASE turn % 4 WHEN 0 THEN 'risk' WHEN 1 THEN 'compare' ELSE 'general' END AS intent, count(*) AS n FROM {conversations} GROUP BY 1")
-q("c38_profit_flags", "customer", lambda m: m.select("c_custkey", x.is_profit(F.concat(F.lit("$"), F.floor("c_acctbal").cast("string"))).alias("profit")), "SELECT c_custkey, floor(c_acctbal) >= 0 AS profit FROM {customer}")
+ASKED = "CASE turn % 9 WHEN 0 THEN ' Any RED FLAG?' WHEN 1 THEN ' benchmark, then a memo' WHEN 2 THEN ' a Summary' WHEN 3 THEN ' improve the pitch' WHEN 4 THEN ' missing document' WHEN 5 THEN ' value prop' WHEN 6 THEN ' compare the score' WHEN 7 THEN ' risk of the team' ELSE '' END"
+q("c37_intents", "conversations", lambda v: v.groupBy(x.intent(F.concat("role", F.expr(ASKED)), c("conv_id") % 2 == 0).alias("intent")).agg(F.count("*").alias("n")),
+  """SELECT CASE WHEN conv_id % 2 = 0 THEN CASE turn % 9 WHEN 0 THEN 'risk' WHEN 1 THEN 'compare' WHEN 2 THEN 'memo' WHEN 6 THEN 'compare' WHEN 7 THEN 'risk' ELSE 'general' END
+  ELSE CASE turn % 9 WHEN 3 THEN 'score' WHEN 4 THEN 'documents' WHEN 5 THEN 'pitch' WHEN 6 THEN 'score' ELSE 'general' END END AS intent, count(*) AS n FROM {conversations} GROUP BY 1""")
+q("c38_profit_flags", "customer", lambda m: m.select("c_custkey", x.is_profit(F.concat(F.when(c("c_acctbal") < 0, "-$").otherwise("$"), F.lit("1.2M - 3M"))).alias("profit")), "SELECT c_custkey, c_acctbal >= 0 AS profit FROM {customer}")

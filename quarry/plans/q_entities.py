@@ -65,8 +65,8 @@ q("r08_uploads_accepted", "orders deal_documents", lambda o, d: e.uploads_accept
 q("r09_document_types", "events", lambda v: v.select(e.document_type(F.when(c("event_id") % 3 == 0, "legal").otherwise(c("event_type"))).alias("type")).groupBy("type").agg(F.count("*").alias("n")),
   "SELECT CASE WHEN event_id % 3 = 0 THEN 'legal' ELSE 'other' END AS type, count(*) AS n FROM {events} GROUP BY 1")
 q("r10_documents_of_deal", "deal_documents", lambda d: d.filter("deal_id = 7").orderBy(F.desc("uploaded_at")).select("document_id", "title", "uploaded_at"), "SELECT document_id, title, uploaded_at FROM {deal_documents} WHERE deal_id = 7")
-q("r11_document_with_job", "deal_documents jobs", e.document_with_job, """SELECT d.document_id, d.deal_id, d.title, j.id AS job, j.status AS job_status FROM {deal_documents} d
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY updated_at DESC, id DESC) AS k FROM {jobs}) j ON j.deal_id = d.deal_id AND k = 1""")
+q("r11_document_with_job", "deal_documents jobs", e.document_with_job, """SELECT d.document_id, d.deal_id, d.title, j.id AS job, j.status AS job_status, j.message AS job_message, j.progress_pct AS job_progress FROM {deal_documents} d
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, id DESC) AS k FROM {jobs}) j ON j.document_id = d.document_id AND k = 1""")
 q("r12_retried", "deal_documents", lambda d: e.retried(d).groupBy("status", "type").agg(F.count("*").alias("n")), "SELECT 'pending' AS status, type, count(*) AS n FROM {deal_documents} WHERE status <> 'completed' GROUP BY 1, 2")
 q("r13_deals_by_name", "deals", lambda d: d.select("id", "name").orderBy("name", "id"), "SELECT id, name FROM {deals}")
 q("r14_bulk_assign", "upload_files deals", lambda u, d: e.bulk_assign(u.select("filename", F.when(c("doc_id") % 3 != 0, c("doc_id")).alias("deal_id"), F.when(c("doc_id") % 6 != 0, c("filename")).alias("new_name")), d).groupBy("outcome").agg(F.count("*").alias("n")),
@@ -147,20 +147,21 @@ q("s02_next_stage", "deals", lambda d: d.select("id", r.next_stage(c("stage"), c
   "SELECT id, CASE WHEN stage = 'intake' AND id % 2 = 0 THEN 'under_review' WHEN stage = 'under_review' AND id % 2 = 0 AND id % 4 >= 2 THEN 'in_diligence' WHEN stage = 'in_diligence' AND score >= 70 AND id % 5 >= 2 THEN 'ready_decision' ELSE stage END AS stage FROM {deals}")
 q("s03_depth", "cycles", lambda y: y.select("deal_id", "cycle_number", r.half_up(_depth(), 6).alias("depth"), r.depth_continues(c("constraints_met"), c("coverage_met"), _par()).alias("goes_on")),
   f"SELECT deal_id, cycle_number, {half_up(DEPTH, 6)} AS depth, NOT constraints_met OR NOT coverage_met OR {CY} < 0.75e0 AS goes_on FROM {{cycles}}")
-q("s04_depth_reason", "cycles", lambda y: y.select("deal_id", "cycle_number", r.depth_reason(c("findings_count"), c("facts_extracted"), c("questions"), c("uncertainties"), _par()).alias("reason")),
-  f"""SELECT deal_id, cycle_number, concat_ws('; ', CASE WHEN findings_count >= 5 THEN 'strong findings' WHEN findings_count >= 1 THEN 'some findings' ELSE 'no findings' END,
-  CASE WHEN facts_extracted >= 10 THEN 'many facts' WHEN facts_extracted >= 5 THEN 'enough facts' END, CASE WHEN questions > 0 THEN 'questions answered' END, CASE WHEN uncertainties > 0 THEN 'uncertainties named' END,
-  CASE WHEN {CY} < 0.75e0 THEN 'answers vary' END) AS reason FROM {{cycles}}""")
+q("s04_depth_reason", "cycles", lambda y: y.select("deal_id", "cycle_number", r.depth_reason(c("questions"), c("uncertainties"), c("constraints_met"), c("coverage_met"), _par()).alias("reason")),
+  f"""SELECT deal_id, cycle_number, CASE WHEN len(l) = 0 THEN 'Depth adequate' ELSE concat('Depth insufficient: ', array_to_string(l, '; ')) END AS reason FROM (SELECT deal_id, cycle_number, list_filter([CASE WHEN questions = 0 THEN 'no key questions' END,
+  CASE WHEN uncertainties = 0 THEN 'uncertainties unmapped' END, CASE WHEN NOT constraints_met THEN 'constraints unclear' END, CASE WHEN NOT coverage_met THEN 'thin evidence' END, CASE WHEN {CY} < 0.75e0 THEN 'answers vary' END], lambda x: x IS NOT NULL) AS l FROM {{cycles}}) y""")
 q("s05_next_cycle", "cycles", lambda y: y.select("deal_id", "cycle_number", r.next_cycle(c("cycle_number"), c("questions") * 1.0, c("coverage_met")).alias("next")),
   "SELECT deal_id, cycle_number, CASE WHEN cycle_number >= 3 OR (questions < 2 AND NOT coverage_met) THEN 'synthesize' ELSE CAST(cycle_number + 1 AS VARCHAR(8)) END AS next FROM {cycles}")
 q("s06_stop_reason", "cycles", lambda y: y.select("deal_id", "cycle_number", r.stop_reason(c("uncertainties"), c("cycle_number"), _par()).alias("stop")),
   f"SELECT deal_id, cycle_number, CASE WHEN uncertainties > 0 THEN 'errors' WHEN cycle_number >= 3 THEN 'max_cycles' WHEN {CY} < 0.5e0 THEN 'inconsistent' END AS stop FROM {{cycles}}")
 q("s07_overall_confidence", "cycles", lambda y: y.select("deal_id", "cycle_number", r.half_up(r.overall_confidence(c("confidence_pct") / F.lit(100.0), _depth(), _par(), c("facts_extracted")), 6).alias("confidence")),
   f"SELECT deal_id, cycle_number, {half_up(f'CASE WHEN facts_extracted = 0 THEN 0e0 ELSE least(greatest(0.5e0 * (confidence_pct / 100e0) + 0.3e0 * {DEPTH} / 10e0 + 0.2e0 * ({CY}), 0e0), 1e0) END', 6)} AS confidence FROM {{cycles}}")
-q("s08_cycle_summary", "cycles", lambda y: y.select("deal_id", r.cycle_summary(c("cycle_number"), c("findings_count"), c("facts_extracted"), F.lit(2.5)).alias("summary")),
-  "SELECT deal_id, concat('Cycle ', CAST(cycle_number AS VARCHAR(8)), ': ', CAST(findings_count AS VARCHAR(8)), ' findings, ', CAST(facts_extracted AS VARCHAR(8)), ' facts, depth 2.5') AS summary FROM {cycles}")
-q("s09_cycle_errors", "cycles", lambda y: y.select("deal_id", "cycle_number", r.cycle_errors(c("cycle_number") + c("uncertainties"), c("findings_count"), c("facts_extracted"), c("confidence_pct") / F.lit(90.0)).alias("errors")),
-  "SELECT deal_id, cycle_number, list_filter([CASE WHEN cycle_number + uncertainties NOT BETWEEN 1 AND 3 THEN 'cycle must be 1 to 3' END, CASE WHEN confidence_pct / 90e0 NOT BETWEEN 0 AND 1 THEN 'confidence must be 0 to 1' END], lambda x: x IS NOT NULL) AS errors FROM {cycles}")
+q("s08_cycle_summary", "cycles", lambda y: y.select("deal_id", "cycle_number", r.cycle_summary(c("cycle_number"), c("facts_extracted") * 10, c("findings_count"), c("facts_extracted"), c("findings_count") / F.lit(8.0), c("coverage_met")).alias("summary")),
+  """SELECT deal_id, cycle_number, concat('Cycle ', CAST(cycle_number AS VARCHAR(8)), ' completed in ', CAST(facts_extracted * 10 AS VARCHAR(20)), 'ms | Findings: ', CAST(findings_count AS VARCHAR(20)), ' | Facts: ', CAST(facts_extracted AS VARCHAR(20)),
+  ' | Depth: ', CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) // 10 AS VARCHAR(20)), '.', CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) % 10 AS VARCHAR(4)), '/10 | Continue: ', CASE WHEN coverage_met THEN 'true' ELSE 'false' END) AS summary FROM {cycles}""")
+q("s09_cycle_errors", "cycles", lambda y: y.select("deal_id", "cycle_number", r.cycle_errors(c("cycle_number") + c("uncertainties") - 1, F.when(c("questions") == 0, "").when(c("questions") == 1, "failure").otherwise("success"), F.when(c("coverage_met"), F.lit("x")), F.when(c("constraints_met"), F.lit(1.0)), c("uncertainties") - 1, F.when(c("uncertainties") == 2, "e")).alias("errors")),
+  """SELECT deal_id, cycle_number, list_filter([CASE WHEN cycle_number + uncertainties - 1 < 1 OR cycle_number + uncertainties - 1 > 3 THEN 'cycle must be 1 to 3' END, CASE WHEN questions = 0 THEN 'a status is needed' END, CASE WHEN NOT coverage_met THEN 'a worker output is needed' END,
+  CASE WHEN NOT constraints_met THEN 'a depth is needed' END, CASE WHEN uncertainties < 1 THEN 'duration must not be negative' END, CASE WHEN questions = 1 AND uncertainties <> 2 THEN 'a failure needs its error' END], lambda x: x IS NOT NULL) AS errors FROM {cycles}""")
 q("s10_progression", "cycles", lambda y: r.progression(y.withColumn("confidence", c("confidence_pct"))).select("deal_id", "cycle_number", "findings_delta", "facts_delta", "confidence_delta", "depth_delta", "goes_on"),
   """SELECT deal_id, cycle_number, d AS findings_delta, f AS facts_delta, k AS confidence_delta, CASE WHEN d > 0 THEN least(10e0, 2e0 + 0.5e0 * d) ELSE 1.5e0 END AS depth_delta, coalesce(d > 0 AND k >= -0.05, false) AS goes_on
   FROM (SELECT *, findings_count - lag(findings_count) OVER w AS d, facts_extracted - lag(facts_extracted) OVER w AS f, confidence_pct - lag(confidence_pct) OVER w AS k FROM {cycles} WINDOW w AS (PARTITION BY deal_id ORDER BY cycle_number)) x""")
@@ -192,33 +193,34 @@ q("s23_record_depth", "cycles", lambda y: y.select("deal_id", "cycle_number", *(
 q("s24_counters", "cycles", lambda y: y.groupBy("deal_id").agg(F.sum("questions").alias("subgoals"), F.sum("uncertainties").alias("dead_ends"), F.sum("facts_extracted").alias("facts")),
   "SELECT deal_id, CAST(sum(questions) AS BIGINT) AS subgoals, CAST(sum(uncertainties) AS BIGINT) AS dead_ends, CAST(sum(facts_extracted) AS BIGINT) AS facts FROM {cycles} GROUP BY 1")
 q("s25_calibration", "ledgers", lambda g: g.select("deal_id", F.coalesce(F.when(c("deal_id") % 2 == 0, F.lit(10)), c("brier_pct")).alias("brier_pct")), "SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN 10 ELSE brier_pct END AS brier_pct FROM {ledgers}")
-q("s26_ledger_quality", "ledgers", lambda g: g.select("deal_id", r.ledger_quality(_par(), c("brier_pct") / F.lit(100.0), c("depth_tenths") > 0).cast("int").alias("quality"), r.calibration_grade(c("brier_pct") / F.lit(100.0)).alias("calibration")),
+q("s26_ledger_quality", "ledgers", lambda g: g.select("deal_id", r.ledger_quality(_par(), c("brier_pct") / F.lit(100.0)).cast("int").alias("quality"), r.citation_grade(c("depth_tenths") > 0).alias("citation"), r.paraphrase_grade(_par()).alias("paraphrase"), r.calibration_grade(c("brier_pct") / F.lit(100.0)).alias("calibration")),
   f"""SELECT deal_id, CAST(least(100, 45 + CASE WHEN {CY} >= 0.9e0 THEN 30 WHEN {CY} >= 0.8e0 THEN 25 WHEN {CY} >= 0.7e0 THEN 15 ELSE 5 END
-  + CASE WHEN coalesce(brier_pct, 50) <= 10 THEN 25 WHEN coalesce(brier_pct, 50) <= 20 THEN 20 WHEN coalesce(brier_pct, 50) <= 30 THEN 10 ELSE 5 END) AS INT) AS quality,
-  CASE WHEN brier_pct IS NULL THEN 'unknown' WHEN brier_pct <= 10 THEN 'excellent' WHEN brier_pct <= 20 THEN 'good' WHEN brier_pct <= 30 THEN 'acceptable' ELSE 'poor' END AS calibration FROM {{ledgers}}""")
-q("s27_ledger_summary", "ledgers", lambda g: g.select("deal_id", r.ledger_summary(c("cycles"), c("subgoals"), c("constraints_checked"), c("dead_ends")).alias("summary")),
-  "SELECT deal_id, format('Cycles: {} | Facts: {} | Constraints: {} | Dead ends: {}', cycles, subgoals, constraints_checked, dead_ends) AS summary FROM {ledgers}")
+  + CASE WHEN coalesce(brier_pct, 50) < 10 THEN 25 WHEN coalesce(brier_pct, 50) < 20 THEN 20 WHEN coalesce(brier_pct, 50) < 30 THEN 10 ELSE 5 END) AS INT) AS quality, CASE WHEN depth_tenths > 0 THEN 'good' ELSE 'acceptable' END AS citation,
+  CASE WHEN paraphrase_pct >= 90 THEN 'excellent' WHEN paraphrase_pct >= 80 THEN 'good' WHEN paraphrase_pct >= 70 THEN 'acceptable' ELSE 'poor' END AS paraphrase,
+  CASE WHEN brier_pct < 10 THEN 'excellent' WHEN brier_pct < 20 THEN 'good' WHEN brier_pct < 30 THEN 'acceptable' ELSE 'poor' END AS calibration FROM {{ledgers}}""")
+q("s27_ledger_summary", "ledgers", lambda g: g.select("deal_id", r.ledger_summary(c("cycles"), c("subgoals"), c("constraints_checked"), c("dead_ends"), _par(), c("brier_pct") / F.lit(100.0)).alias("summary")),
+  "SELECT deal_id, format('Cycles: {} | Facts: {} | Constraints: {} | Dead Ends: {} | Paraphrase Invariance: {}% | Brier: 0.{:02d}', cycles, subgoals, constraints_checked, dead_ends, paraphrase_pct, coalesce(brier_pct, 0)) AS summary FROM {ledgers}")
 q("s28_planner_defaults", "deals", lambda d: d.select("id", F.size(F.array(*map(F.lit, r.DEFAULT_GOALS))).alias("goals"), F.size(F.array(*map(F.lit, r.DEFAULT_CONSTRAINTS))).alias("constraints")), "SELECT id, 4 AS goals, 2 AS constraints FROM {deals}")
 q("s29_hypotheses", "deals", lambda d: d.select("id", r.remove_item(r.add_item(F.array(F.lit("a"), F.lit("b")), F.when(c("id") % 2 == 0, "a").otherwise("c")), F.lit("b")).alias("items")), "SELECT id, CASE WHEN id % 2 = 0 THEN ['a'] ELSE ['a', 'c'] END AS items FROM {deals}")
 q("s30_subgoals", "deals", lambda d: d.select("id", r.add_item(F.array(F.lit("x")), F.concat(F.lit("g"), (c("id") % 3).cast("string"))).alias("items")), "SELECT id, ['x', concat('g', CAST(id % 3 AS VARCHAR(4)))] AS items FROM {deals}")
 q("s31_planner_state", "cycles", lambda y: y.select("deal_id", F.struct(c("cycle_number").alias("cycle"), F.lit("a").alias("focus")).withField("focus", r.next_focus(F.array().cast("array<string>"), c("cycle_number"))).alias("s")).select("deal_id", "s.cycle", "s.focus"),
-  "SELECT deal_id, cycle_number AS cycle, CASE cycle_number WHEN 1 THEN 'scan broadly' WHEN 2 THEN 'go deeper into what is uncertain' ELSE 'bring the findings together' END AS focus FROM {cycles}")
+  "SELECT deal_id, cycle_number AS cycle, CASE cycle_number WHEN 1 THEN 'go deeper into the constraints' WHEN 2 THEN 'bring the findings together' WHEN 3 THEN 'finish the decision pack' ELSE 'go on' END AS focus FROM {cycles}")
 q("s32_planner_goes_on", "cycles", lambda y: y.select("deal_id", "cycle_number", r.planner_goes_on(c("cycle_number"), c("questions")).alias("goes_on")), "SELECT deal_id, cycle_number, cycle_number <> 3 AND questions >= 2 AS goes_on FROM {cycles}")
 q("s33_hypothesis_status", "cycles", lambda y: y.select("deal_id", "cycle_number", r.hypothesis_status(F.when(c("questions") == 0, "resolved").when(c("questions") == 1, "refined"), c("confidence_pct") / F.lit(100.0)).alias("status")),
   "SELECT deal_id, cycle_number, CASE WHEN questions = 0 THEN CASE WHEN confidence_pct > 70 THEN 'supported' ELSE 'contradicted' END WHEN questions = 1 THEN 'inconclusive' ELSE 'testing' END AS status FROM {cycles}")
-q("s34_planner_errors", "cycles", lambda y: y.select("deal_id", "cycle_number", r.planner_errors(c("cycle_number") + c("questions"), F.when(c("coverage_met"), F.array(F.lit("g"))), F.when(c("constraints_met"), F.lit(" ")).otherwise("f")).alias("errors")),
-  "SELECT deal_id, cycle_number, list_filter([CASE WHEN cycle_number + questions NOT BETWEEN 0 AND 3 THEN 'cycle must be 0 to 3' END, CASE WHEN NOT coverage_met THEN 'a goal is needed' END, CASE WHEN constraints_met THEN 'a focus is needed' END], lambda x: x IS NOT NULL) AS errors FROM {cycles}")
+q("s34_planner_errors", "cycles", lambda y: y.select("deal_id", "cycle_number", r.planner_errors(F.when(c("coverage_met"), F.array(F.lit("g"))), F.when(c("constraints_met"), F.array(F.lit("k"))).otherwise(F.array().cast("array<string>")), c("cycle_number") + c("questions") - 1).alias("errors")),
+  "SELECT deal_id, cycle_number, list_filter([CASE WHEN NOT coverage_met THEN 'a goal is needed' END, CASE WHEN NOT constraints_met THEN 'a constraint is needed' END, CASE WHEN cycle_number + questions - 1 < 1 OR cycle_number + questions - 1 > 3 THEN 'cycle must be 1 to 3' END], lambda x: x IS NOT NULL) AS errors FROM {cycles}")
 q("s35_next_focus", "cycles", lambda y: y.select("deal_id", "cycle_number", r.next_focus(F.when(c("coverage_met"), F.array(F.lit("price"), F.lit("team"))).otherwise(F.array().cast("array<string>")), c("cycle_number")).alias("focus")),
-  "SELECT deal_id, cycle_number, CASE WHEN coverage_met THEN 'price' WHEN cycle_number = 1 THEN 'scan broadly' WHEN cycle_number = 2 THEN 'go deeper into what is uncertain' ELSE 'bring the findings together' END AS focus FROM {cycles}")
-q("s36_planner_summary", "cycles", lambda y: y.select("deal_id", r.planner_summary(c("cycle_number"), F.lit("team"), F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))).alias("summary")),
-  "SELECT deal_id, format('Cycle {} | Focus: team | Hypotheses: 1 | Subgoals: 2', cycle_number) AS summary FROM {cycles}")
-q("s37_progress_rule", "cycles", lambda y: y.select("deal_id", "cycle_number", r.progress_rule(c("cycle_number"), c("questions")).alias("p")).select("deal_id", "cycle_number", "p.action", "p.reason"),
-  """SELECT deal_id, cycle_number, CASE WHEN cycle_number >= 3 OR questions < 2 THEN 'synthesize' ELSE 'next_cycle' END AS action,
-  CASE WHEN cycle_number >= 3 THEN 'last cycle' WHEN questions >= 2 THEN 'depth still grows' ELSE 'depth no longer grows' END AS reason FROM {cycles}""")
-q("s38_analysis_summary", "fact_rows", lambda f: r.fact_ledger(f).select("deal_id", "facts", r.half_up(c("avg_confidence") * 100).alias("confidence"), r.next_action((c("deal_id") % 4).cast("int")).alias("next_action")),
-  f"""SELECT deal_id, facts, {half_up('a * 100')} AS confidence, CASE WHEN deal_id % 4 = 0 THEN 'start cycle 1' WHEN deal_id % 4 < 3 THEN concat('run cycle ', CAST(deal_id % 4 + 1 AS VARCHAR(4))) ELSE 'synthesize' END AS next_action
+  "SELECT deal_id, cycle_number, CASE WHEN coverage_met THEN 'Address: price' ELSE CASE cycle_number WHEN 1 THEN 'go deeper into the constraints' WHEN 2 THEN 'bring the findings together' WHEN 3 THEN 'finish the decision pack' ELSE 'go on' END END AS focus FROM {cycles}")
+q("s36_planner_summary", "cycles", lambda y: y.select("deal_id", "cycle_number", r.planner_summary(c("cycle_number"), F.array(F.lit("g"), F.lit("h"), F.lit("i")), F.array(F.lit(1)), F.array(F.lit(1), F.lit(2)), F.when(c("coverage_met"), "team"), F.when(c("constraints_met"), "").otherwise("errors")).alias("summary")),
+  "SELECT deal_id, cycle_number, format('Cycle {} | Goals: 3 | Hypotheses: 1 | Subgoals: 2 | Focus: {} | {}', cycle_number, CASE WHEN coverage_met THEN 'team' ELSE 'None' END, CASE WHEN constraints_met THEN 'Active' ELSE 'Stopped: errors' END) AS summary FROM {cycles}")
+q("s37_progress_rule", "cycles", lambda y: y.select("deal_id", "cycle_number", r.progress_rule(c("cycle_number"), c("questions")).alias("p")).select("deal_id", "cycle_number", "p.*"),
+  """SELECT deal_id, cycle_number, cycle_number <> 3 AND questions >= 2 AS progresses, CASE WHEN cycle_number = 1 AND questions >= 2 THEN '2' WHEN cycle_number = 2 AND questions >= 2 THEN '3' ELSE 'synthesize' END AS next,
+  CASE WHEN cycle_number = 3 THEN 'last cycle' WHEN questions >= 2 THEN 'depth still grows' ELSE 'depth no longer grows' END AS reason FROM {cycles}""")
+q("s38_analysis_summary", "fact_rows", lambda f: r.fact_ledger(f).select("deal_id", "facts", r.half_up(c("avg_confidence") * 100).alias("confidence"), r.next_action((c("deal_id") % 5).cast("int"), F.when(c("deal_id") % 2 == 0, "complete").otherwise("running")).alias("next_action")),
+  f"""SELECT deal_id, facts, {half_up('a * 100')} AS confidence, CASE deal_id % 5 WHEN 1 THEN 'run_cycle_2' WHEN 2 THEN 'run_cycle_3' WHEN 3 THEN 'synthesize' ELSE CASE WHEN deal_id % 2 = 0 THEN 'view_decision_pack' ELSE 'waiting_for_cycle_1' END END AS next_action
   FROM (SELECT deal_id, count(*) AS facts, {half_up("CAST(sum(confidence_pct) AS DOUBLE) * 0.01e0 / count(confidence_pct)", 4)} AS a FROM {{fact_rows}} GROUP BY 1) x""")
-q("s39_prerequisites", "deals deal_documents", lambda d, x: e.start_checks(d, x).groupBy(F.size("errors").alias("errors")).agg(F.count("*").alias("n")), """SELECT CAST(deleted AS INT) + CAST(n = 0 OR k = 0 AS INT) AS errors, count(*) AS n FROM (SELECT d.id, d.deleted, count(x.document_id) AS n,
+q("s39_prerequisites", "deals deal_documents", lambda d, x: e.start_checks(d, x).groupBy(F.size("errors").alias("errors")).agg(F.count("*").alias("n")), """SELECT CAST(deleted AS INT) + CAST(n = 0 AS INT) + CAST(k = 0 AS INT) AS errors, count(*) AS n FROM (SELECT d.id, d.deleted, count(x.document_id) AS n,
   count(x.document_id) FILTER (WHERE x.type IN ('pitch_deck', 'other')) AS k FROM {deals} d LEFT JOIN {deal_documents} x ON x.deal_id = d.id GROUP BY 1, 2) y GROUP BY 1""")
 q("s40_progress", "cycles", lambda y: y.select("deal_id", "cycle_number", r.progress_percent(c("cycle_number"), c("questions") == 0).alias("percent")), f"SELECT deal_id, cycle_number, CASE WHEN questions = 0 THEN 100e0 ELSE {half_up('cycle_number / 3e0 * 100e0')} END AS percent FROM {{cycles}}")
 q("s41_result", "fact_rows", lambda f: f.groupBy("deal_id").agg(F.array_sort(F.collect_set("source")).alias("risks"), r.half_up(F.sum("confidence_pct") / F.count("*")).alias("confidence")),

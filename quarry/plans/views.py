@@ -56,13 +56,13 @@ SELECT o_orderkey AS id, o_custkey AS deal_id, CAST(row_number() OVER (PARTITION
   'published' AS status, o_orderdate AS created_at
 FROM {orders} WHERE o_orderstatus = 'F'""",
     "jobs": """
-SELECT event_id AS id, event_id % 500 AS job_id, user_id AS deal_id, event_type AS type,
+SELECT event_id AS id, event_id % 500 AS job_id, user_id AS deal_id, CASE WHEN event_id % 7 <> 0 THEN event_id % 4000 END AS document_id, event_type AS type,
   CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'failed' ELSE 'retrying' END AS status,
   CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 101 AS INT) END AS progress_pct,
   CASE WHEN event_id % 3 <> 0 THEN concat('m', CAST(event_id % 9 AS VARCHAR(8))) END AS message, ts AS updated_at
 FROM {events}""",
     "fact_rows": """
-SELECT doc_id AS id, doc_id % 20 AS deal_id, substr(text, 1, 150) AS claim,
+SELECT doc_id AS id, doc_id % 20 AS deal_id, text AS claim,
   CASE doc_id % 4 WHEN 0 THEN 'deck.pdf' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'https://example.org/a' ELSE 'notes.txt' END AS source,
   CAST(doc_id * 31 % 108 AS BIGINT) AS confidence_pct, CAST(doc_id % 4 + 1 AS INT) AS created_cycle
 FROM {documents}""",
