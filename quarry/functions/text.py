@@ -15,10 +15,18 @@ from .numbers import half_up
 
 # Patterns whose matches must equal those of the rules they express.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+NOT_SPACE = "[^" + SPACE[1:]
 CONTROL = "[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 LINK = "https?://"
 PHONE = "[0-9]{3}[\\s.-]?[0-9]{3}[\\s.-]?[0-9]{4}"
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
+EMAIL = "(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"
+WWW = "(?i)(?<![A-Za-z0-9_])www\\.[^\\s]+"
+WHOLE_PHONE = "(?<![A-Za-z0-9_])[0-9]{3}[\\s.-]?[0-9]{3}[\\s.-]?[0-9]{4}(?![A-Za-z0-9_])"
+PAGE_NUMBER = "(\\$[0-9,]+(?:\\.[0-9]{2})?|[0-9,]+(?:\\.[0-9]{2})?%|[0-9,]+(?:\\.[0-9]+)?[KMB]?)"
+IMAGE_NUMBER = "([$€£]?[0-9]+[.,]?[0-9]*%?|[0-9]+[.,][0-9]+|[0-9]+%)"
+IMAGE_HEADING = "^[A-Z][a-z\\s]+$"
+CAPS_RUN = "[A-Z]{3,}"
+WEIRD = "[^A-Za-z0-9\\s\\-–%$.,/:]"
 # A word boundary is between ASCII letters, digits or underscores and anything else, accented letters included.
 WORD3 = "(?<![A-Za-z0-9_])[a-zA-Z]{3,}(?![A-Za-z0-9_])"
 CAPS3 = "(?<![A-Za-z0-9_])[A-Z]{3,}(?![A-Za-z0-9_])"
@@ -132,34 +140,62 @@ def locate(x: Column, part: Column) -> Column:
     return F.call_function("locate", part, x)
 
 
-def key_numbers(x: Column, most: int = 20, reach: int = 50) -> Column:
-    """Numeric tokens with the context of their first occurrence, first of each value, without garbled or boilerplate contexts."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text(x), F.lit(f"({NUMERIC})"), F.lit(1)), lambda v: F.lower(v)))
-    low = F.lower(text(x))
-    pairs = F.transform(found, lambda v: F.struct(v.alias("value"), collapse(F.substring(low, F.greatest(locate(low, v) - reach, F.lit(1)), F.length(v) + 2 * reach)).alias("context")))
-    good = F.filter(pairs, lambda p: ~is_boilerplate(p["context"]))
-    return F.slice(F.transform(good, lambda p: F.struct(p["value"].alias("value"), F.when(F.length(p["context"]) > 120, F.concat(F.left(p["context"], F.lit(117)), F.lit("..."))).otherwise(p["context"]).alias("context"))), 1, most)
+def trimmed(x: Column) -> Column:
+    """Without white space at either end, Unicode's included."""
+    return F.regexp_replace(text(x), f"^{SPACE}|{SPACE}$", "")
+
+
+def key_numbers(x: Column, reach: int = 50) -> Column:
+    """array<struct<value, context>>: every numeric token of a page in order, with the text around the token's first
+    occurrence, reach characters to both sides of its beginning."""
+    t = text(x)
+    found = F.filter(F.regexp_extract_all(t, F.lit(PAGE_NUMBER), F.lit(1)), is_numeric_value)
+
+    def around(v: Column) -> Column:
+        at = locate(t, v) - 1
+        start = F.greatest(at - reach, F.lit(0))
+        return F.struct(v.alias("value"), trimmed(F.substring(t, start + 1, at + reach - start)).alias("context"))
 
+    return F.transform(found, around)
 
-def headings(x: Column, most: int = 10) -> Column:
-    """Lines that pass for titles, one of each key, in order."""
-    lines = F.filter(F.transform(F.split(text(x), "\n"), strip_logo), passes_for_title)
-    keyed = F.transform(lines, lambda t: F.struct(title_key(t).alias("k"), t.alias("t")))
-    return F.slice(F.transform(first_of(keyed, lambda a, b: a["k"] == b["k"]), lambda p: p["t"]), 1, most)
+
+def headings(titles: Column, boilerplate: Column | None = None, most: int = 10) -> Column:
+    """Of slide titles in order those that pass, aren't boilerplate keys, and have a key of their own; the first most."""
+    clean = F.filter(F.transform(titles, strip_logo), passes_for_title)
+    keyed = F.transform(clean, lambda t: F.struct(F.trim(F.regexp_replace(title_key(t), "^[^a-z]+", "")).alias("k"), boilerplate_key(t).alias("b"), t.alias("t")))
+    keyed = F.filter(keyed, lambda p: (p["k"] != "") & (p["b"] != ""))
+    if boilerplate is not None:
+        keyed = F.filter(keyed, lambda p: ~F.array_contains(boilerplate, p["b"]))
+    first = F.array_distinct(F.transform(keyed, lambda p: p["k"]))
+    return F.transform(F.slice(first, 1, most), lambda k: F.get(F.filter(keyed, lambda p: p["k"] == k), F.lit(0))["t"])
 
 
 def image_headings(x: Column, most: int = 10) -> Column:
-    """Short lines that start upper case and are all capitals or title case."""
-    lines = F.transform(F.split(text(x), "\n"), lambda t: F.trim(t))
-    good = F.filter(lines, lambda t: (F.length(t) > 0) & (F.length(t) < 60) & t.rlike("^[A-Z]") & (t.rlike("^[^a-z]+$") | t.rlike("^([A-Z][a-z]*\\s?)+$")))
+    """Lines below 60 characters that start with no lower-case letter and are all capitals, or one capital and then
+    small letters, without repeats."""
+    lines = F.transform(F.split(text(x), "\n"), trimmed)
+    capital = lambda t: t == F.upper(t)
+    good = F.filter(lines, lambda t: (F.length(t) > 0) & (F.length(t) < 60) & capital(F.left(t, F.lit(1))) & (capital(t) | t.rlike(IMAGE_HEADING)))
     return F.slice(F.array_distinct(good), 1, most)
 
 
-def strip_boilerplate(x: Column) -> Column:
-    """Links, addresses and phone numbers become spaces."""
+def image_numbers(x: Column, most: int = 20, reach: int = 50) -> Column:
+    """array<struct<value, context>>: the numbers of all lines, each where it first stands, with the beginning of the
+    last line that holds it; the first most."""
+    lines = F.filter(F.transform(F.split(text(x), "\n"), trimmed), lambda t: F.length(t) > 0)
+    pairs = F.flatten(F.transform(lines, lambda t: F.transform(F.regexp_extract_all(t, F.lit(IMAGE_NUMBER), F.lit(1)), lambda v: F.struct(v.alias("value"), F.left(t, F.lit(reach)).alias("context")))))
+    first = F.slice(F.array_distinct(F.transform(pairs, lambda p: p["value"])), 1, most)
+    return F.transform(first, lambda v: F.element_at(F.filter(pairs, lambda p: p["value"] == v), -1))
+
+
+def strip_boilerplate(x: Column, titles: Column | None = None) -> Column:
+    """Links, addresses and phone numbers, and titles whatever their case, become spaces."""
     out = text(x)
-    for pattern in ("(?i)https?://\\S+", "(?i)www\\.\\S+", EMAIL, PHONE):
+    for pattern in ("(?i)https?://\\S+", WWW, EMAIL, WHOLE_PHONE):
         out = F.regexp_replace(out, pattern, " ")
+    if titles is not None:
+        quoted = lambda t: F.concat(F.lit("(?i)\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        out = F.aggregate(titles, out, lambda s, t: F.regexp_replace(s, quoted(t), F.lit(" ")))
     return collapse(out)
 
 
@@ -176,28 +212,35 @@ def has_text_layer(tokens: Column, items: Column) -> Column:
 
 
 def slide_title(words: Column, height: Column) -> Column:
-    """The line of the tallest word in the top quarter: its readable words from left to right."""
-    readable = F.filter(words, lambda w: (F.length(w["text"]) > 1) & (w["conf"] >= 50) & (w["h"] >= 8) & (w["y"] <= height * 0.25) & ~is_boilerplate(w["text"]))
-    anchor = F.array_max(F.transform(readable, lambda w: F.struct(w["h"].alias("h"), w["conf"].alias("c"), w["y"].alias("y"))))
-    line = F.filter(readable, lambda w: F.abs(w["y"] - anchor["y"]) <= anchor["h"] * 0.8)
-    ordered = F.array_sort(F.transform(line, lambda w: F.struct(w["x"].alias("x"), w["text"].alias("t"))))
-    return F.array_join(F.transform(ordered, lambda w: w["t"]), " ")
+    """The line of the tallest word in the top quarter, its readable words from left to right; with less than three
+    words, and readable ones in a second line close below, both lines."""
+    top = F.filter(words, lambda w: (F.length(text(w["text"])) > 0) & (w["y"] <= height * 0.25) & (w["h"] > 0))
+    # Heights within a tenth are as good as equal; then the more certain word.
+    tall = F.array_max(F.transform(top, lambda w: w["h"]))
+    anchor = F.array_max(F.transform(F.filter(top, lambda w: tall - w["h"] <= 0.1), lambda w, i: F.struct(w["conf"].alias("c"), (-i).alias("i"), w["h"].alias("h"), w["y"].alias("y"))))
+    y, h = anchor["y"], anchor["h"]
+    readable = F.filter(top, lambda w: (F.length(trimmed(w["text"])) > 1) & (w["conf"] >= 50) & (w["h"] >= 8) & ~is_boilerplate(w["text"]))
+    band = lambda w: F.abs(w["y"] - y)
+    one, two = F.filter(readable, lambda w: band(w) <= h * 0.8), F.filter(readable, lambda w: (band(w) > h * 0.8) & (w["y"] >= y) & (band(w) <= h * 1.3))
+
+    places = lambda ws: F.transform(ws, lambda w, i: F.struct(w["x"].alias("x"), i.alias("i"), w["y"].alias("y"), trimmed(w["text"]).alias("t")))
+    by_line = lambda a, b: F.when(F.abs(a["y"] - b["y"]) > h * 0.2, F.signum(a["y"] - b["y"])).otherwise(F.signum(a["x"] - b["x"])).cast("int")
+    both = F.when((F.size(one) < 3) & (F.size(two) > 0), F.array_sort(places(F.concat(one, two)), by_line)).otherwise(F.array_sort(places(one)))
+    return F.coalesce(F.array_join(F.transform(both, lambda w: w["t"]), " "), F.lit(""))
 
 
 def word_metrics(words: Column, most: int = 10) -> Column:
-    """array<struct<value, label>>: each numeric word with the other words near it, one of each pair."""
-    numeric = F.filter(words, lambda w: is_numeric_value(w["text"]))
+    """array<struct<value, label>>: each numeric word with the first most words near it as its label, from left to
+    right; one of each pair, none without a label."""
 
     def label(v: Column) -> Column:
-        near = F.filter(
-            words,
-            lambda w: (F.abs(w["y"] - v["y"]) <= v["h"] * 0.75 + 8) & (w["x"] >= v["x"] - 120) & (w["x"] <= v["x"] + v["w"] + 120) & ~is_numeric_value(w["text"]) & ~is_boilerplate(w["text"]),
-        )
-        ordered = F.array_sort(F.transform(near, lambda w: F.struct(w["x"].alias("x"), w["text"].alias("t"))))
-        return F.array_join(F.slice(F.transform(ordered, lambda w: w["t"]), 1, 10), " ")
+        near = F.filter(words, lambda w: (F.abs(w["y"] - v["y"]) <= v["h"] * 0.75 + 8) & (w["x"] >= v["x"] - 120) & (w["x"] <= v["x"] + v["w"] + 120))
+        ordered = F.transform(F.array_sort(F.transform(near, lambda w, i: F.struct(w["x"].alias("x"), i.alias("i"), trimmed(w["text"]).alias("t")))), lambda w: w["t"])
+        return F.array_join(F.slice(F.filter(ordered, lambda t: (t != "") & ~is_numeric_value(t) & ~is_boilerplate(t)), 1, most), " ")
 
-    pairs = F.transform(numeric, lambda v: F.struct(v["text"].alias("value"), label(v).alias("label")))
-    return F.slice(first_of(pairs, lambda a, b: (F.lower(a["value"]) == F.lower(b["value"])) & (F.lower(a["label"]) == F.lower(b["label"]))), 1, most)
+    numeric = F.filter(words, lambda w: is_numeric_value(w["text"]))
+    pairs = F.filter(F.transform(numeric, lambda v: F.struct(v["text"].alias("value"), label(v).alias("label"))), lambda p: p["label"] != "")
+    return first_of(pairs, lambda a, b: (F.lower(a["value"]) == F.lower(b["value"])) & (F.lower(a["label"]) == F.lower(b["label"])))
 
 
 def readable_words(words: Column) -> Column:
@@ -223,9 +266,7 @@ def data_completeness(summary_length: Column, headings_: Column, metrics: Column
 def coherence(x: Column) -> Column:
     """Hundredths: 100 less 30 for special characters, 20 each for odd word lengths, confused glyphs, short text; 0 if empty."""
     t = text(x)
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
-    n = F.size(words)
-    letters = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
+    n, letters = count(t, NOT_SPACE), F.length(F.regexp_replace(t, SPACE, ""))
     score = (
         F.lit(100)
         - F.when(count(t, SPECIAL) * 100 > F.length(t) * 15, 30).otherwise(0)

@@ -11,19 +11,6 @@ from ..functions.numbers import half_up
 c = F.col
 
 
-def words_of(orders: DataFrame) -> DataFrame:
-    """Positioned words made from order columns: a small page each, for the positional rules."""
-    def word(s: Column, x: float, y: float, h: float) -> Column:
-        return F.struct(s.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(40.0).alias("w"), F.lit(h).alias("h"), F.lit(90.0).alias("conf"))
-
-    money = F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"))
-    words = F.array(
-        word(c("o_orderpriority"), 10.0, 20.0, 30.0), word(F.lit("Revenue"), 60.0, 24.0, 30.0), word(F.lit("Growth"), 120.0, 20.0, 28.0),
-        word(F.lit("total"), 20.0, 300.0, 12.0), word(money, 80.0, 302.0, 12.0), word(F.lit("a"), 90.0, 500.0, 4.0),
-    )
-    return orders.select(c("o_orderkey").alias("id"), words.alias("words"))
-
-
 def page_boilerplate(pages: DataFrame, share: float = 0.4) -> DataFrame:
     """Keys (document_id, key) on at least share of a document's pages."""
     seen = pages.groupBy("document_id", "key").agg(F.count("*").alias("seen"))
@@ -61,11 +48,11 @@ def ingest_state(empty: Column, error: Column, hundredths: Column, kind: Column,
 
 
 def evidence_rows(analysed: DataFrame) -> DataFrame:
-    """One row per metric (0.8), heading (0.9) and summary (0.85), from one explode."""
+    """One row per metric (0.8), heading (kind section, 0.9) and summary (0.85), from one explode."""
     item = lambda kind, conf: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"), F.lit(conf).alias("confidence"))
     summary = F.filter(F.array(item("summary", 0.85)(c("summary"))), lambda x: F.length(x["text"]) > 0)
-    rows = F.concat(F.transform("metrics", item("metric", 0.8)), F.transform("headings", item("heading", 0.9)), summary)
-    return analysed.select("document_id", F.explode(rows).alias("e")).select("document_id", "e.*")
+    rows = F.concat(F.transform("metrics", item("metric", 0.8)), F.transform("headings", item("section", 0.9)), summary)
+    return analysed.select("document_id", F.explode(rows).alias("e")).select("document_id", F.lit("extraction").alias("source"), "e.*")
 
 
 def ocr_stats(words: DataFrame) -> DataFrame:
@@ -91,7 +78,9 @@ def evidence_drafts(documents: DataFrame, done: DataFrame, term: str) -> DataFra
     rows = documents.join(done.select("document_id").distinct(), "document_id", "left_anti")
     rows = rows.filter(F.lower(F.concat_ws(" ", "title", "type")).contains(term)) if term else rows
     text = F.concat(c("title"), F.lit(" ("), c("type"), F.lit(")"))
-    return rows.select("document_id", "deal_id", text.alias("text"), F.concat_ws(" • ", "title", "type", "status").alias("excerpt"), F.lit("fact").alias("kind"), F.lit(0.7).alias("confidence"))
+    kind = F.when(F.length(F.coalesce("type", F.lit(""))) > 0, F.concat(F.lit("type: "), c("type")))
+    excerpt = F.concat_ws(" • ", c("title"), kind, F.concat(F.lit("status: "), c("status")))
+    return rows.select("document_id", "deal_id", F.lit("fetch_evidence").alias("source"), F.lit("document").alias("kind"), text.alias("text"), excerpt.alias("excerpt"), F.lit(0.7).alias("confidence"))
 
 
 def groups(files: DataFrame, fold: bool = True) -> DataFrame:
@@ -114,19 +103,30 @@ def batch_analysis(groups_: DataFrame, deals: DataFrame) -> DataFrame:
 
 
 def column_profiles(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per sheet and column of JSON rows: type from the first value that isn't null, and numeric range."""
-    cells = rows.select("sheet", F.posexplode(F.array(*(F.struct(F.lit(x).alias("column"), F.get_json_object("row", f"$.{x}").alias("v")) for x in columns))).alias("i", "cell")).select("sheet", "i", "cell.*")
-    number = F.expr("try_cast(v AS double)")
-    kind = F.when(F.count("v") == 0, "empty").when(F.count_if(c("v").isNotNull() & number.isNull()) == 0, "numeric").when(F.count_if(c("v").isNotNull() & ~c("v").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")) == 0, "date").otherwise("text")
-    out = cells.groupBy("sheet", "i", "column").agg(kind.alias("type"), F.min(number).alias("low"), F.max(number).alias("high"), (F.sum(number) / F.count(number)).alias("mean"))
+    """Per sheet and column of JSON rows (sheet, n, row): the type of the first value by n that isn't null (a number, a
+    text that starts with a date, other text), and the range and mean of the numbers if that type is numeric."""
+    cell = lambda x: F.struct(F.lit(x).alias("column"), F.try_variant_get(F.parse_json("row"), f"$.{x}", "variant").alias("v"))
+    cells = rows.select("sheet", "n", F.posexplode(F.array(*map(cell, columns))).alias("i", "cell")).select("sheet", "n", "i", "cell.column", F.col("cell.v").alias("v"))
+    kind = F.schema_of_variant("v")
+    is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    cells = cells.select("sheet", "n", "i", "column", F.when(kind != "VOID", kind).alias("kind"), F.when(is_number, F.try_variant_get("v", "$", "double")).alias("number"), F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).alias("text"))
+    name = F.when(c("number").isNotNull(), "numeric").when(c("text").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "date").otherwise("text")
+    first = F.min_by(F.when(c("kind").isNotNull(), name), F.when(c("kind").isNotNull(), c("n")))
+    out = cells.groupBy("sheet", "i", "column").agg(F.coalesce(first, F.lit("empty")).alias("type"), F.min("number").alias("low"), F.max("number").alias("high"), (F.sum("number") / F.count("number")).alias("mean"))
     return out.select("sheet", "column", "type", *(F.when(c("type") == "numeric", c(x)).alias(x) for x in ("low", "high", "mean")))
 
 
-def best_contexts(found: DataFrame) -> DataFrame:
-    """Per document and value the context with the least noise; the first wins ties."""
-    noise = F.length("context") + 40 * F.when(t.count(c("context"), t.CAPS3) > 6, 1).otherwise(0) + 15 * t.count(c("context"), "[^A-Za-z0-9\\s.,%$-]")
-    good = found.filter(~t.is_boilerplate(c("context")))
-    return good.groupBy("document_id", F.lower("value").alias("value")).agg(F.min(F.struct(noise.alias("noise"), "n", "context")).alias("b")).select("document_id", "value", "b.context", "b.n")
+def best_contexts(found: DataFrame, boilerplate: DataFrame | None = None) -> DataFrame:
+    """Per document and numeric value of found (document_id, value, context, n) the context with the least noise; the
+    first wins ties. Garbled contexts, and those with a key of boilerplate (document_id, key), are left out."""
+    rows = found.select("document_id", F.lower(t.trimmed(c("value"))).alias("value"), t.collapse(c("context")).alias("context"), "n")
+    rows = rows.filter(t.is_numeric_value(c("value")) & ~t.is_garbled(c("context")))
+    if boilerplate is not None:
+        keys = boilerplate.select("document_id", c("key").alias("__key")).distinct()
+        rows = rows.withColumn("__key", t.boilerplate_key(c("context"))).join(keys, ["document_id", "__key"], "left_anti").drop("__key")
+    noise = F.length("context") + 40 * F.when(t.count(c("context"), t.CAPS_RUN) > 6, 1).otherwise(0) + 15 * t.count(c("context"), t.WEIRD)
+    best = rows.groupBy("document_id", "value").agg(F.min(F.struct(noise.alias("noise"), "n", "context")).alias("b"))
+    return best.select("document_id", "value", "b.context", "b.n")
 
 
 def structured_data(analysed: DataFrame) -> DataFrame:

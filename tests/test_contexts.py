@@ -1,19 +1,108 @@
-"""Contexts against brute force over every line of every text."""
+"""Text rules that no SQL expresses, against plain versions over whole texts."""
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions import text
+from quarry.operators import cache, documents
 from quarry.plans.catalog import QUERIES
 
+PAGE = "Revenue 12% grew to $1,200.50 (12% of plan), 3-5x. Call 415-555-0100.\nOWNED 12K of 15 units\nMarket size\nTITLE LINE 2024\n 12% again\n9lives\n€7,5 and 12.5 or 12%\nmixed Case Title"
+NUMERIC = re.compile(r"(?i)(?:\$[0-9,]+(?:\.[0-9]+)?(?:%|[kmb]|x)?|[0-9,]+(?:\.[0-9]+)?(?:%|[kmb]|x)|[0-9]+\s*[–-]\s*[0-9]+(?:%|[kmb]|x)?)")
+
+
+def one(spark, x, rule):
+    return spark.createDataFrame([(x,)], "x string").select(rule(F.col("x")).alias("v")).first()["v"]
+
+
+def numbers(t):
+    out = []
+    for m in re.finditer(r"(\$[0-9,]+(?:\.[0-9]{2})?|[0-9,]+(?:\.[0-9]{2})?%|[0-9,]+(?:\.[0-9]+)?[KMB]?)", t):
+        if NUMERIC.search(m[0]):
+            at = t.index(m[0])
+            out.append((m[0], t[max(0, at - 50) : min(len(t), at + 50)].strip()))
+    return out
+
+
+@pytest.mark.parametrize("t", ["", "no number", PAGE, "x" * 80 + " 5% " + "y" * 80 + " 5%", "5%" * 30])
+def test_key_numbers(spark, t):
+    assert [(m["value"], m["context"]) for m in one(spark, t, text.key_numbers)] == numbers(t)
+
+
+@pytest.mark.parametrize("t", ["", "  \n ", PAGE, "\n".join(f"{i} of {i % 7}% and {i}" for i in range(60))])
+def test_image_text(spark, t):
+    lines = [x.strip() for x in t.split("\n") if x.strip()]
+    heads = [x for x in lines if len(x) < 60 and x[0] == x[0].upper() and (x == x.upper() or re.fullmatch(r"[A-Z][a-z\s]+", x))]
+    assert one(spark, t, text.image_headings) == list(dict.fromkeys(heads))[:10]
+    found = {}
+    for x in lines:
+        for m in re.finditer(r"[$€£]?[0-9]+[.,]?[0-9]*%?|[0-9]+[.,][0-9]+|[0-9]+%", x):
+            found[m[0]] = x[:50]
+    assert [(m["value"], m["context"]) for m in one(spark, t, text.image_numbers)] == list(found.items())[:20]
+
+
+def test_headings(spark):
+    titles = ["AB Market Entry Strategy", "market entry strategy", "2024 Market Entry Strategy", "Team Growth Plan", "Repeated Page Title", "see www.x.org for more", "ab", "Product Roadmap Now"]
+    got = spark.range(1).select(text.headings(F.array(*map(F.lit, titles)), F.array(F.lit("repeated page title"))).alias("h")).first()["h"]
+    assert got == ["Market Entry Strategy", "Team Growth Plan", "Product Roadmap Now"]
+    many = [f"Chapter {chr(97 + i) * 3} of a Book" for i in range(15)]
+    assert spark.range(1).select(text.headings(F.array(*map(F.lit, many))).alias("h")).first()["h"] == many[:10]
+
+
+def test_best_contexts(spark):
+    rows = [
+        (1, "5%", "growth a year on year basis", 1), (1, "5%", "growth of sales", 2), (1, "5%", "growth of units", 3), (1, "7x", "[garbled {context}", 4), (1, "none", "not a number here", 5), (2, "$5M", "repeated footer text", 6), (2, "$5m", "raised from angels", 7), (2, "9%", "", 8),
+        (3, "1K", "Net Profit ÄÄ margin", 9), (3, "1K", "Net Profit margin of the year", 10),
+    ]
+    found = spark.createDataFrame(rows, "document_id long, value string, context string, n long")
+    footer = spark.createDataFrame([(2, "repeated footer text"), (1, "raised from angels")], "document_id long, key string")
+    got = {(r["document_id"], r["value"]): (r["context"], r["n"]) for r in documents.best_contexts(found, footer).collect()}
+    assert got == {(1, "5%"): ("growth of sales", 2), (2, "$5m"): ("raised from angels", 7), (3, "1k"): ("Net Profit margin of the year", 10)}
+
 
 def test_best_contexts_judge_whole_texts(spark, tmp_path):
-    long = "A first line of the document that is much longer than what a prefix of sixty characters would hold"
-    rows = [(1, "s", f"{long}\n\n  \nshort line"), (51, "s", "a line of mid size"), (2, "s", "mail a@b.c"), (52, "s", f"{long}\nsee www.x.org"), (3, "t", ""), (4, "t", None)]
-    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    best = {}
-    for i, source, text in rows:
-        for line in (text or "").split("\n"):
-            if line.strip() and not re.search("https?://|www[.]|@", line):
-                noise = len(line) + 15 * len(re.findall(r"[^A-Za-z0-9\s.,%$-]", line))
-                best[i % 50, source] = min(best.get((i % 50, source), (noise, i)), (noise, i))
-    got = {(r["document_id"], r["value"]): r["n"] for r in QUERIES["x24_best_contexts"](spark, str(tmp_path)).collect()}
-    assert got == {k: n for k, (_, n) in best.items()} == {(1, "s"): 1, (2, "s"): 52}
+    late = "x " * 4000 + "sales rose 88% now"
+    rows = [(1, late), (51, "margin 88%"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["document_id"], r["value"]): (r["n"], r["context"]) for r in QUERIES["x24_best_contexts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "88%"): (51, "margin 88%")}
+
+
+def test_strip_boilerplate(spark):
+    x = "See http://a.b/c or WWW.x.org, mail A.b@c.De or a@b, call 415 555-0100 or 1415555010099. ACME (Deck) here \\E end"
+    got = spark.createDataFrame([(x,)], "x string").select(text.strip_boilerplate(F.col("x"), F.array(F.lit("acme (deck)"), F.lit("\\E end"))).alias("v")).first()["v"]
+    assert got == "See or mail or a@b, call or 1415555010099. here"
+
+
+def plain_condensed(t):
+    from collections import Counter
+
+    t = "\n".join(re.sub(r"[\t\v\f\r ]+$", "", x) for x in t.split("\n"))
+    t = re.sub(r"\n{3,}", "\n\n", t).strip()
+    for pattern in (r"(?s)<!--.*?-->", r"(?s)/\*.*?\*/", r"(?m)//.*$", r"(?m)--.*$", r"(?m)^(?!#\s)#[^#].*$"):
+        t = re.sub(pattern, "", t)
+    words = t.split()
+    for gram, n in Counter(" ".join(words[i : i + 3]) for i in range(len(words) - 2)).items():
+        if n >= 3 and len(gram) > 20:
+            t = t.replace(gram, "".join(w[0] for w in gram.split(" ")[:2]).upper())
+    return t
+
+
+def test_condensed(spark):
+    texts = ["", "a  \n\n\n\nb // c", "Quarterly revenue increased strongly. " * 5, "<!-- x\ny -->keep /* z */ this -- not\n# Title\n#tag"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1)
+    assert [r["v"] for r in df.select(text.condensed(F.col("x")).alias("v")).collect()] == [plain_condensed(t) for t in texts]
+
+
+def test_contexts(spark):
+    doc, ask = "This is a long document. " * 400, "Extract facts from the document."
+    r = cache.document_contexts(spark.createDataFrame([(1, doc, ask)], "id long, document string, instructions string")).first()
+    assert len(r["document"]) < len(doc) and r["instructions"] == ask and 0 < r["reduction"] < 100
+    facts, hypotheses = "Fact number one: " * 900, "This is a critical hypothesis\nthat must be true"
+    rows = spark.createDataFrame([(facts, hypotheses, "\n".join(f"query {i}" for i in range(200)))], "facts string, hypotheses string, queries string")
+    r = cache.analysis_contexts(rows).first()
+    assert len(r["facts"]) <= 8000 + len(text.MARKER) and r["hypotheses"] == hypotheses and len(r["queries"].split("\n")) == 50
+    empty = cache.document_contexts(spark.createDataFrame([(1, "", None)], "id long, document string, instructions string")).first()
+    assert (empty["document"], empty["instructions"], empty["reduction"]) == ("", "", None)

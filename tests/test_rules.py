@@ -115,3 +115,67 @@ def test_revenue_and_grade(spark):
     assert value(spark, client.revenue(L("$1,250,000"))) == 1250000.0
     assert value(spark, client.revenue(L(None).cast("string"))) == 0.0
     assert value(spark, rules.grade(L(55))) == "Fair"
+
+
+def form(spark, **fields):
+    return spark.createDataFrame([tuple(fields.get(f) for f in client.FORM_FIELDS)], ", ".join(f"{f} string" for f in client.FORM_FIELDS))
+
+
+@pytest.mark.parametrize(
+    ("fields", "scores"),
+    [
+        ({}, [0, 40, 0, 0, 30, 50]),
+        ({"revenue": "n/a", "customers": "many", "team_size": "few"}, [0, 40, 0, 0, 70, 50]),
+        ({"revenue": "$0", "customers": "0", "team_size": "2"}, [0, 40, 0, 0, 30, 50]),
+        ({"revenue": "100000", "customers": "1", "team_size": "5", "growth_rate": "9%"}, [20, 40, 30, 100, 70, 50]),
+        ({"revenue": "$1,000,001", "team_size": "6 people", "company_name": "A", "founder_experience": "x", "funding_amount": "1", "previous_funding": "1"}, [40, 100, 100, 40, 55, 50]),
+        ({"industry": "a", "stage": "b", "target_market": "c", "funding_amount": "d", "revenue": "1", "unique_value": " ", "competitive_advantage": "x"}, [100, 40, 50, 40, 45, 100]),
+    ],
+)
+def test_category_scores(spark, fields, scores):
+    row = client.overall(client.category_scores(form(spark, **fields))).first()
+    assert [row[x] for x in client.CATEGORIES] == scores
+    assert row["overall"] == int(sum(scores) / 6 + 0.5)
+
+
+def test_flags_and_wins(spark):
+    scored = client.category_scores(form(spark, stage="Pre-Seed", team_size="1", competitive_advantage="x"))
+    row = scored.select(client.red_flags().alias("red"), client.green_flags().alias("green"), client.quick_wins().alias("wins")).first()
+    assert [f["severity"] for f in row["red"]] == ["medium", "medium"] and row["green"] == []
+    assert [(w["category"], w["effort"]) for w in row["wins"]] == [("market", "medium"), ("team", "low"), ("financial", "low")]
+
+
+@pytest.mark.parametrize(("round_type", "stage", "dollars", "hours"), [("seed", "growth", 22000, 85), (None, None, 33000, 128), ("series-d", "scale", 49500, 191), ("other", "other", 22000, 85)])
+def test_savings(spark, round_type, stage, dollars, hours):
+    money, time = rules.savings(L(round_type).cast("string"), L(stage).cast("string"))
+    assert (value(spark, money), value(spark, time)) == (dollars, hours)
+
+
+@pytest.mark.parametrize(("brier", "grade", "points"), [(0.09, "excellent", 100), (0.1, "good", 95), (0.2, "acceptable", 85), (0.3, "poor", 80), (None, "poor", 80)])
+def test_ledger_quality(spark, brier, grade, points):
+    b = L(brier).cast("double")
+    assert value(spark, rules.calibration_grade(b)) == grade
+    assert value(spark, rules.ledger_quality(L(0.9), b)) == points
+
+
+@pytest.mark.parametrize(("model", "price"), [("qwen-14b", 0.02), ("qwen-7b-quantized", 5.0), ("llama-70b", 0.05), ("gpt-4o", 5.0), (None, 5.0)])
+def test_model_price(spark, model, price):
+    assert value(spark, cache.model_price(L(model).cast("string"))) == price
+
+
+def test_cache_key(spark):
+    import hashlib
+
+    for model, temperature, tail in ((None, None, "default:0.7"), ("m", 0.0, "m:0.7"), ("m", 0.2, "m:0.2"), ("", 1.0, "default:1")):
+        key = value(spark, cache.cache_key(L("h"), L("t"), L(model).cast("string"), L(temperature).cast("double")))
+        assert key == hashlib.sha256(f"h:t:{tail}".encode()).hexdigest()
+
+
+def test_prerequisites_give_both_errors(spark):
+    assert len(value(spark, rules.prerequisite_errors(L(True), L(0), L(0)))) == 2
+    assert len(value(spark, rules.prerequisite_errors(L(True), L(2), L(0)))) == 1
+
+
+@pytest.mark.parametrize(("when", "bucket"), [("5 minutes ago", "today"), ("Today, 9:00", "today"), ("just now", "today"), ("5 min", "this week"), ("Yesterday, 4:22 PM", "yesterday"), ("yesterday", "this week")])
+def test_notification_bucket(spark, when, bucket):
+    assert value(spark, client.notification_bucket(L(when))) == bucket
