@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +44,26 @@ def _export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder where a query may write: in the shared folder if the cluster names one."""
-    import uuid
+    """A fresh folder where a query may write: in the shared folder that the cluster names; a local one only if the session is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/query-{uuid.uuid4().hex[:12]}"
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex[:12]}"
 
-
-def _streamed(spark: SparkSession, rows: DataFrame, make: object, mode: str) -> DataFrame:
-    """Write rows as a stream's files, run the stream over what is there, and return its table."""
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Write rows as a stream's files, run the stream over what is there, and read what it wrote: appended rows, or with
+    mode complete the table of the last batch."""
     folder = _folder(spark)
     rows.write.parquet(f"{folder}/in")
-    source = feed.job_updates(spark, f"{folder}/in")
-    name = f"feed_{folder[-12:]}"
-    stream = make(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.table(name)
+    result, out = make(feed.job_updates(spark, f"{folder}/in")), f"{folder}/out"
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
 
 
 def _job_rows(spark: SparkSession, d: str) -> DataFrame:
