@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -41,31 +44,45 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, a local one."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
+    """A fresh folder in the shared folder of spark.checkpoint.dir; a local one only where that is unset and the session
+    is local, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = tempfile.mkdtemp(prefix="quarry-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back."""
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+def stored(df: DataFrame, label: str, keep: bool = False, **options: str) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back. Within temporary() the folder goes at its end, but for keep."""
     path = scratch(df.sparkSession, label)
     df.write.options(**options).parquet(path)
+    if not keep and (made := _OPEN.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of scratch(), through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete what stored() writes within, through the file system that holds it: only for tables that no result reads."""
+    made: list[str] = []
+    token = _OPEN.set(made)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, stored, texts
+from .common import mix64, prepare, stored, temporary, texts
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix64(np.arange(256, dtype=np.uint64))
@@ -381,12 +381,12 @@ def _blocks(placed: DataFrame, rows: int, items: int | None = None) -> DataFrame
 
 def _sets_of(size: int, bitmap: bytes, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of the texts whose id is in the bitmap, the whole sets or their sizes and sketches."""
-    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(bits[(mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
+            at = mix64(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)
+            keep = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
             if not len(keep):
                 continue
             part = batch.take(pa.array(keep))
@@ -541,17 +541,19 @@ def _links(family: DataFrame, stars: DataFrame, marks: DataFrame, rows: DataFram
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id; links are pairs with similarity num / den or more."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     rows = texts(docs)
-    listed = stored(rows.mapInArrow(_classes(size), "doc_id long, n_shingles long, set_key binary"), "sets")
+    listed = stored(rows.mapInArrow(_classes(size), "doc_id long, n_shingles long, set_key binary"), "sets", keep=True)
     known = listed.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()).select("doc_id", "set_key")
-    classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     rows = rows.filter("doc_id is not null")
-    hits, same_id = _hits(rows, known, classes, size, num, den)
-    family, stars, marks = _families(hits, rows, size, num, den)
-    links = _links(family, stars, marks, rows, size, num, den)
-    label = components(links.union(same_id))
-    named = stored(classes.join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "named")
+    with temporary(spark):
+        classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
+        hits, same_id = _hits(rows, known, classes, size, num, den)
+        family, stars, marks = _families(hits, rows, size, num, den)
+        links = _links(family, stars, marks, rows, size, num, den)
+        label = components(links.union(same_id))
+        named = classes.join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+        named = stored(named, "named", keep=True)
     out = listed.join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

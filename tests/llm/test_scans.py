@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, media, secrets, urls
@@ -27,6 +28,53 @@ def test_media(spark, odd, odd_rows, none):
     assert media.media_features(none).count() == 0
 
 
+def brute_media(text):
+    """All values of one text, byte by byte: padding, rolling hash, chunks, frames, stored form and feature."""
+    raw = (text or "").encode()
+    pay = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+    mask = 2**64 - 1
+    gears = []
+    for i in range(256):
+        x = (i + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        gears.append((x ^ x >> 31) >> 32)
+    chunks, start, h = [], 0, 0
+    for i, b in enumerate(pay):
+        h = ((h << 1) + gears[b]) & 0xFFFFFFFF
+        n = i + 1 - start
+        if (n >= 2048 and h >> 20 == 0 and i + 1 < len(pay)) or n == 16384:
+            chunks.append(pay[start : i + 1])
+            start = i + 1
+    if start < len(pay):
+        chunks.append(pay[start:])
+    form = b""
+    for part in chunks:
+        frame = zstandard.ZstdCompressor(level=6).compress(part)
+        assert zstandard.ZstdDecompressor().decompress(frame) == part
+        form += hashlib.blake2b(part, digest_size=16).digest() + len(part).to_bytes(4, "little") + len(frame).to_bytes(4, "little") + frame
+    counts = Counter(pay)
+    mean = sum(pay) / len(pay)
+    std = (sum((b - mean) ** 2 for b in pay) / len(pay)) ** 0.5
+    entropy = -sum(v / len(pay) * math.log2(v / len(pay)) for v in counts.values())
+    feature = (len(pay) // 576, round(mean, 3), round(std, 3), round(entropy, 4), len(counts))
+    return len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature
+
+
+def test_media_against_brute_force(spark, odd, odd_rows):
+    rng = random.Random(8)
+    texts = [t for _, t in odd_rows] + ["".join(rng.choice("abcdefgh éß日\n") for _ in range(n)) for n in (575, 576, 577, 9000, 40_000)]
+    texts += ["z" * 50_000, texts[-1][:30_000] + "tail", texts[-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    for r in media.media_features(docs).collect():
+        *want, (rows, mean, std, entropy, distinct) = brute_media(texts[r["doc_id"]])
+        assert [r[n] for n in names] == want
+        found = re.fullmatch(r"(\d+)x576 mean=([\d.]+) std=([\d.]+) entropy=(-?[\d.]+) distinct=(\d+)", r["feature"])
+        assert (int(found[1]), int(found[5])) == (rows, distinct)
+        assert all(abs(float(found[k]) - v) <= 1.1e-3 for k, v in ((2, mean), (3, std), (4, entropy)))
+
+
 def test_shared_chunks_are_pooled_once(spark):
     rng = random.Random(5)
     part = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
