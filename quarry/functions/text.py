@@ -263,18 +263,54 @@ def data_completeness(summary_length: Column, headings_: Column, metrics: Column
     return a + b + F.when(summary_length >= 300, 40).when(summary_length >= 100, 20).when(summary_length > 0, 10).otherwise(0)
 
 
-def coherence(x: Column) -> Column:
-    """Hundredths: 100 less 30 for special characters, 20 each for odd word lengths, confused glyphs, short text; 0 if empty."""
+def listed(*checks: tuple[Column, str]) -> Column:
+    """The texts whose conditions hold, in order."""
+    return F.array_compact(F.array(*(F.when(holds, F.lit(say)) for holds, say in checks)))
+
+
+def coherence_checks(x: Column) -> tuple[tuple[Column, int, str], ...]:
+    """(condition, hundredths it costs, own wording) of what makes a text incoherent."""
     t = text(x)
     n, letters = count(t, NOT_SPACE), F.length(F.regexp_replace(t, SPACE, ""))
-    score = (
-        F.lit(100)
-        - F.when(count(t, SPECIAL) * 100 > F.length(t) * 15, 30).otherwise(0)
-        - F.when((n > 0) & ((letters < n * 2) | (letters > n * 15)), 20).otherwise(0)
-        - F.when(t.rlike(CONFUSED), 20).otherwise(0)
-        - F.when(F.length(t) < 50, 20).otherwise(0)
-    )
-    return F.when(F.length(t) == 0, 0).otherwise(F.greatest(score, F.lit(0)))
+    return (
+        (count(t, SPECIAL) * 100 > F.length(t) * 15, 30, "many special characters"), ((n > 0) & ((letters < n * 2) | (letters > n * 15)), 20, "words of odd length"),
+        (t.rlike(CONFUSED), 20, "confused glyphs"), (F.length(t) < 50, 20, "little text"),
+    )
+
+
+def coherence(x: Column) -> Column:
+    """Hundredths: 100 less 30 for special characters, 20 each for odd word lengths, confused glyphs, short text; 0 if empty."""
+    score = F.lit(100)
+    for bad, cost, _ in coherence_checks(x):
+        score = score - F.when(bad, cost).otherwise(0)
+    return F.when(F.length(text(x)) == 0, 0).otherwise(F.greatest(score, F.lit(0)))
+
+
+def coherence_issues(x: Column) -> Column:
+    return F.when(F.length(text(x)) == 0, F.array(F.lit("no text"))).otherwise(listed(*((bad, say) for bad, _, say in coherence_checks(x))))
+
+
+def completeness_issues(summary_length: Column, headings_: Column, metrics: Column, pages: Column) -> Column:
+    """What is missing for full points, and headings fewer than one in three pages, two at least, where there are pages."""
+    return listed(
+        (metrics.between(1, 2), "few metrics"), (metrics == 0, "no metrics"), (headings_.between(2, 4), "few sections"), (headings_ < 2, "hardly any structure"),
+        (summary_length.between(1, 99), "a brief summary"), (summary_length == 0, "no summary"), ((pages > 0) & (headings_ < F.greatest(F.lit(2), F.floor(pages / 3))), "fewer sections than pages suggest"),
+    )
+
+
+def verification(x: Column, kind: Column, ocr_mean: Column, ocr_words: Column, coherence_: Column, summary_length: Column, headings_: Column, metrics: Column, pages: Column) -> Column:
+    """struct<overall, ocr, coherence, completeness, warnings, recommendations> of an extracted document; coherence_ is
+    coherence(x), which callers compute once. Only PDF text that went through OCR has an OCR grade of its own."""
+    complete = data_completeness(summary_length, headings_, metrics)
+    ocr = F.when((kind == "pdf") & (ocr_words > 0), ocr_grade(ocr_mean)).otherwise("pass")
+    total, c_grade, d_grade = overall(ocr, coherence_, complete), part_grade(coherence_), part_grade(complete)
+    warnings = F.concat(listed((ocr == "warn", "OCR below ideal"), (ocr == "fail", "OCR very low")), coherence_issues(x), completeness_issues(summary_length, headings_, metrics, pages))
+    advice = listed(
+        (ocr == "fail", "scan again"), (c_grade == "fail", "review the text by hand"), (d_grade != "pass", "compare with the source"),
+        (total >= 0.8, "ready for analysis"), ((total >= 0.6) & (total < 0.8), "review before analysis"), (total < 0.6, "manual review required"),
+    )
+    parts = {"overall": total, "ocr": ocr, "coherence": c_grade, "completeness": d_grade, "warnings": warnings, "recommendations": advice}
+    return F.struct(*(v.alias(n) for n, v in parts.items()))
 
 
 def ocr_grade(mean: Column) -> Column:
