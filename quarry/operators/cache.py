@@ -95,29 +95,47 @@ TASKS = [
     ("fact-extraction", "qwen-14b", 2000, 0.2), ("hypothesis-generation", "gpt-4o", 3000, 0.7), ("classification", "qwen-7b-quantized", 500, 0.1),
     ("synthesis", "gpt-4o", 4000, 0.5), ("chat-response", "llama-70b", 1500, 0.7), ("query-generation", "qwen-7b-quantized", 800, 0.3),
 ]
-PROVIDERS = [("openai", "gpt-4o", 1, True), ("self-hosted", "qwen-14b", 2, True), ("self-hosted", "qwen-7b-quantized", 2, False), ("self-hosted", "llama-70b", 3, True)]
+# Each provider's priority, health and models; the model of a task that has no configuration, if the
+# provider named first is up, and otherwise.
+PROVIDERS = [("openai", 1, True, ["gpt-4o"]), ("self-hosted", 2, True, ["qwen-14b", "qwen-7b-quantized", "llama-70b"])]
+SIMPLE_TASKS = ("fact-extraction", "classification", "query-generation", "hypothesis-generation", "cycle-analysis")
+HARD_TASKS = ("synthesis", "validation", "chat-response")
+SIMPLE_CHOICE, HARD_CHOICE = ("self-hosted", "qwen-14b", "gpt-4o"), ("openai", "gpt-4o", "llama-70b")
 
 
 def task_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TASKS, "task string, model string, max_tokens int, temperature double")
 
 
-def providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROVIDERS, "provider string, model string, priority int, healthy boolean")
-
-
-def route(requests: DataFrame, tasks: DataFrame, models: DataFrame, fallback: str = "gpt-4o") -> DataFrame:
-    """Model and provider of each request (task, model): the model asked for, else the task's if healthy, else the
-    healthy one with the lowest priority number. The routing tables are literals of a few rows."""
-    healthy = models.filter("healthy")
-    best = healthy.agg(F.min_by("model", F.struct("priority", "model")).alias("__best"))
-    up = healthy.groupBy("model").agg(F.min_by("provider", F.struct("priority", "provider")).alias("provider"))
-    asked = c("asked")
-    rows = requests.withColumnRenamed("model", "asked").join(F.broadcast(tasks.select("task", c("model").alias("__task_model"))), "task", "left").crossJoin(F.broadcast(best))
-    rows = rows.join(F.broadcast(up.select(c("model").alias("__task_model"), F.lit(True).alias("__ok"))), "__task_model", "left")
-    chosen = F.coalesce(asked, F.when(c("__ok"), c("__task_model")), "__best", F.lit(fallback))
-    rows = rows.withColumn("model", chosen).drop("__task_model", "__ok", "__best", "asked")
-    return rows.join(F.broadcast(up), "model", "left").withColumn("provider", F.coalesce("provider", F.lit("openai")))
+def providers(spark: SparkSession, down: tuple[str, ...] = ()) -> DataFrame:
+    return spark.createDataFrame([(p, n, up and p not in down, m) for p, n, up, m in PROVIDERS], "provider string, priority int, healthy boolean, models array<string>")
+
+
+def route(requests: DataFrame, tasks: DataFrame, offers: DataFrame, default: str = "gpt-4o") -> DataFrame:
+    """Model, provider and fallback provider of each request (task, model).
+
+    Model: the one asked for, else the task's in tasks (task, model, and perhaps provider and fallback_provider), else by
+    the kind of task and what is up, else default. Provider: the task's if it is up and has the model, unless a model
+    was asked for; else one that is up and has it; else any that is up, by priority; else null. Fallback: the task's if
+    it is up, else the one up with the lowest priority number. The routing tables are literals of a few rows.
+    """
+    extra = [x if x in tasks.columns else F.lit(None).cast("string").alias(x) for x in ("provider", "fallback_provider")]
+    config = tasks.select("task", c("model").alias("__model"), *extra).withColumnsRenamed({"provider": "__provider", "fallback_provider": "__fallback"})
+    up = offers.filter("healthy").agg(F.array_sort(F.collect_list(F.struct("priority", "provider", "models"))).alias("__up"))
+    rows = requests.withColumnRenamed("model", "__asked").join(F.broadcast(config), "task", "left").crossJoin(F.broadcast(up))
+    is_up = lambda p: F.exists("__up", lambda x: x["provider"] == p)
+    choice = lambda first, good, other: F.when(is_up(F.lit(first)), good).otherwise(other)
+    by_kind = F.when(c("task").isin(*SIMPLE_TASKS), choice(*SIMPLE_CHOICE)).when(c("task").isin(*HARD_TASKS), choice(*HARD_CHOICE))
+    asked = F.nullif(c("__asked"), F.lit(""))
+    rows = rows.withColumn("model", F.coalesce(asked, "__model", by_kind, F.lit(default)))
+    serving = F.filter("__up", lambda x: F.array_contains(x["models"], c("model")))
+    wanted = F.filter(serving, lambda x: asked.isNull() & (x["provider"] == c("__provider")))
+    first = lambda xs: F.get(xs, F.lit(0))["provider"]
+    out = rows.withColumns({
+        "provider": F.coalesce(first(wanted), first(serving), first(c("__up"))),
+        "fallback": F.coalesce(F.when(is_up(c("__fallback")), c("__fallback")), first(c("__up"))),
+    })
+    return out.drop("__asked", "__model", "__provider", "__fallback", "__up")
 
 
 def call_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:

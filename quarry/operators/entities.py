@@ -182,6 +182,13 @@ def stage_changes(metrics: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.select("id", c("stage").alias("old"), new.alias("new")).filter("old <> new")
 
 
+def progressed(metrics: DataFrame, versions: DataFrame) -> DataFrame:
+    """(id, old, new, priority) of the deals whose stage changes, with the priority that follows from the new stage."""
+    moved = stage_changes(metrics, versions)
+    rows = reprioritised(metrics.join(moved, "id").withColumn("stage", c("new")))
+    return rows.select("id", "old", "new", c("new_priority").alias("priority"))
+
+
 def days_since(ts: Column, as_of: Column) -> Column:
     return F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))) / 86400)
 

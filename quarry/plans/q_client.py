@@ -66,14 +66,27 @@ q("s60_estimate", "documents", lambda d: d.select("doc_id", t.compression_estima
   SELECT doc_id, least(40, CASE WHEN regexp_matches(text, '\\n\\n\\n|\\s\\s+') THEN 7 ELSE 0 END + CASE WHEN regexp_matches(text, '/\\*|//|<!--|--') THEN 10 ELSE 0 END + CASE WHEN most > 5 THEN 3 ELSE 0 END + CASE WHEN length(text) > 5000 THEN 20 ELSE 0 END) AS pct FROM {documents} JOIN m USING (doc_id)""")
 
 
-@query("s61_routing", standalone("""SELECT model, provider, count(*) AS n FROM (SELECT CASE WHEN id % 5 = 0 THEN 'llama-70b' WHEN id % 3 = 0 THEN 'qwen-14b' ELSE 'gpt-4o' END AS model,
-  CASE WHEN id % 5 = 0 OR id % 3 = 0 THEN 'self-hosted' ELSE 'openai' END AS provider FROM {llm_calls}) y GROUP BY 1, 2"""))
-def _routing(spark: SparkSession, d: str) -> DataFrame:
-    task = F.when(c("id") % 3 == 0, "fact-extraction").when(c("id") % 3 == 1, "classification").otherwise("synthesis")
-    rows = view(spark, d, "llm_calls").select("id", task.alias("task"), F.when(c("id") % 5 == 0, "llama-70b").alias("model"))
-    return k.route(rows, k.task_config(spark), k.providers(spark)).groupBy("model", "provider").agg(F.count("*").alias("n"))
+# The task of a request by its id; one that no configuration has, and an unknown one, are among them.
+_TASK = "CASE id % 7 WHEN 0 THEN 'fact-extraction' WHEN 1 THEN 'classification' WHEN 2 THEN 'synthesis' WHEN 3 THEN 'validation' WHEN 4 THEN 'cycle-analysis' WHEN 5 THEN 'other' END"
 
 
+def _routed(down: str) -> None:
+    """Routing with all providers up, or one of them down."""
+    hosted, own = down != "openai", down != "self-hosted"
+    model = f"""CASE WHEN id % 5 = 0 THEN 'llama-70b' WHEN id % 7 = 0 THEN 'qwen-14b' WHEN id % 7 = 1 THEN 'qwen-7b-quantized' WHEN id % 7 = 2 THEN 'gpt-4o' WHEN id % 7 = 3 THEN '{"gpt-4o" if hosted else "llama-70b"}'
+      WHEN id % 7 = 4 THEN '{"qwen-14b" if own else "gpt-4o"}' ELSE 'gpt-4o' END"""
+    where = f"CASE WHEN model = 'gpt-4o' THEN '{'openai' if hosted else 'self-hosted'}' ELSE '{'self-hosted' if own else 'openai'}' END"
+    name = "s61_routing" + (f"_without_{down.replace('-', '_')}" if down else "")
+    sql = f"SELECT model, {where} AS provider, '{'openai' if hosted else 'self-hosted'}' AS fallback, count(*) AS n FROM (SELECT {model} AS model FROM {{llm_calls}}) y GROUP BY 1"
+
+    @query(name, standalone(sql))
+    def _run(spark: SparkSession, d: str) -> DataFrame:
+        rows = view(spark, d, "llm_calls").select("id", F.expr(_TASK).alias("task"), F.when(c("id") % 5 == 0, "llama-70b").alias("model"))
+        return k.route(rows, k.task_config(spark), k.providers(spark, (down,))).groupBy("model", "provider", "fallback").agg(F.count("*").alias("n"))
+
+
+for _down in ("", "openai", "self-hosted"):
+    _routed(_down)
 q("s62_call_cost", "llm_calls documents", lambda p, d: p.select("id", k.call_cost(c("selected_model"), c("input_tokens"), c("output_tokens")).alias("cost")),
   "SELECT id, CASE WHEN selected_model = 'gpt-4o' THEN input_tokens / 1e6 * 5 + output_tokens / 1e6 * 15 END AS cost FROM {llm_calls}")
 q("s62_estimated_tokens", "documents", lambda d: d.select("doc_id", t.estimated_tokens(c("text")).alias("n")), "SELECT doc_id, CAST(ceil(length(text) / 4e0) AS BIGINT) AS n FROM {documents}")

@@ -110,8 +110,8 @@ q("r33_stage_inputs", "deals deal_documents evidence", lambda d, x, v: e.deal_me
 NEXT = """CASE WHEN stage = 'intake' AND analysed THEN 'under_review' WHEN stage = 'under_review' AND analysed AND documents >= 2 THEN 'in_diligence'
   WHEN stage = 'in_diligence' AND score >= 70 AND evidence >= 2 THEN 'ready_decision' ELSE stage END"""
 CHANGES = f"{METRICS}, s AS (SELECT m.*, id IN (SELECT deal_id FROM {{dio_versions}}) AS analysed FROM m), t AS (SELECT id, stage AS old, {NEXT} AS new FROM s)"
-q("r34_stage_then_priority", "deals deal_documents evidence dio_versions", lambda d, x, v, w: e.stage_changes(e.deal_metrics(d, x, v), w).groupBy("old", "new").agg(F.count("*").alias("n")),
-  f"WITH {CHANGES} SELECT old, new, count(*) AS n FROM t WHERE old <> new GROUP BY 1, 2")
+q("r34_stage_then_priority", "deals deal_documents evidence dio_versions", lambda d, x, v, w: e.progressed(e.deal_metrics(d, x, v), w),
+  f"WITH {CHANGES}, u AS (SELECT t.id, old, new, documents, evidence, score, new AS stage FROM t JOIN m ON m.id = t.id WHERE old <> new), p AS (SELECT id, old, new, {POINTS} AS points FROM u) SELECT id, old, new, {PRIORITY} AS priority FROM p")
 q("r35_stage_changes", "deals deal_documents evidence dio_versions", lambda d, x, v, w: e.stage_changes(e.deal_metrics(d, x, v), w), f"WITH {CHANGES} SELECT * FROM t WHERE old <> new")
 q("r36_upsert_ledgers", "ledgers", lambda g: e.upsert(g, g.filter("deal_id % 4 = 0").withColumn("cycles", c("cycles") + 1), ["deal_id"]).select("deal_id", "cycles"), "SELECT deal_id, CASE WHEN deal_id % 4 = 0 THEN cycles + 1 ELSE cycles END AS cycles FROM {ledgers}")
 q("r37_analysis_state", "deals fact_rows ledgers", e.analysis_state, """SELECT f.deal_id, f.fact_ids, g.cycles, coalesce(g.paraphrase_pct, 100) AS paraphrase_pct, coalesce(g.brier_pct, 0) AS brier_pct
