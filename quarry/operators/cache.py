@@ -88,6 +88,17 @@ def top_hits(events: DataFrame, k: int = 10) -> DataFrame:
     return events.filter("event_type = 'hit'").groupBy("content_hash").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "content_hash").limit(k)
 
 
+def by_task(entries: DataFrame, task: str) -> DataFrame:
+    return entries.filter(c("task_type") == task)
+
+
+def entries_of(completed: DataFrame, answers: DataFrame, at: Column, days: int = TTL_DAYS) -> DataFrame:
+    """The entries that answers (key, result) to the misses among completed requests add to the cache; tasks that aren't
+    cached add none."""
+    misses = completed.filter((c("outcome") == "miss") & c("task").isin(*CACHED_TASKS)).select("key", "task").distinct()
+    return misses.join(answers, "key").select("key", "task", "result", at.alias("created_at"), (at + F.expr(f"INTERVAL {days} DAYS")).alias("expires_at"))
+
+
 # Routing
 
 # The default model, tokens and temperature of each task.

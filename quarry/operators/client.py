@@ -278,12 +278,37 @@ def counts_with_all(rows: DataFrame, key: str) -> DataFrame:
 
 
 def funnel(steps: DataFrame) -> DataFrame:
-    """steps (deal_id, step, n): width as per cent of the first step, 30 at least; share of the largest."""
+    """steps (deal_id, position, step, n): width as per cent of the step at the first position, 30 at least; share of the largest."""
     w = Window.partitionBy("deal_id")
-    first = F.min_by("n", "step").over(w)
+    first = F.min_by("n", "position").over(w)
     return steps.select("deal_id", "step", "n", F.greatest(ratio(c("n"), first, 1, 100), F.lit(30.0)).alias("width"), ratio(c("n"), F.max("n").over(w), 1, 100).alias("bar"))
 
 
+def first_and_last(points: DataFrame) -> DataFrame:
+    """points (deal_id, month, v): the first and the last value of each deal, and the largest."""
+    return points.groupBy("deal_id").agg(F.min_by("v", "month").alias("first"), F.max_by("v", "month").alias("last"), F.max("v").alias("most"))
+
+
+def last_cohorts(cohorts: DataFrame, most: int = 6) -> DataFrame:
+    """cohorts (deal_id, month, retention): the last ones of each deal with their band; the number is the feature."""
+    w = Window.partitionBy("deal_id").orderBy(F.desc("month"))
+    return cohorts.withColumn("__n", F.row_number().over(w)).filter(c("__n") <= most).drop("__n").withColumn("band", retention_band(c("retention")))
+
+
+def templates(rows: DataFrame, term: str = "", category: str = "all") -> DataFrame:
+    """By a search in name or description, and category."""
+    low = term.lower()
+    found = rows.filter(F.contains(F.lower("name"), F.lit(low)) | F.contains(F.lower("description"), F.lit(low))) if low else rows
+    return found.filter(c("category") == category) if category != "all" else found
+
+
+def kpi(months: DataFrame) -> DataFrame:
+    """months (month, n): the last month's value and its change on the month before in per cent."""
+    w = Window.orderBy("month")  # months are few
+    rows = months.select("month", "n", F.lag("n").over(w).alias("before"))
+    return rows.agg(F.max_by("n", "month").alias("value"), F.max_by(half_up((c("n") - c("before")) / F.nullif(c("before").cast("double"), F.lit(0.0)) * 100), "month").alias("change"))
+
+
 def retention_band(pct: Column) -> Column:
     return F.when(pct >= 70, "strong").when(pct >= 50, "fair").otherwise("weak")
 

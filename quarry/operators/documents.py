@@ -11,10 +11,17 @@ from ..functions.numbers import half_up
 c = F.col
 
 
+def page_keys(pages: DataFrame, reach: int = 300) -> DataFrame:
+    """(document_id, key): the keys of each page's title and of the beginning of its text; empty ones are left out. The
+    beginning is what the rule compares: running heads stand there."""
+    samples = F.explode(F.array(t.text(c("title")), F.left(t.text(c("text")), F.lit(reach))))
+    return pages.select("document_id", samples.alias("x")).select("document_id", t.boilerplate_key(c("x")).alias("key")).filter(c("key") != "")
+
+
 def page_boilerplate(pages: DataFrame, share: float = 0.4) -> DataFrame:
-    """Keys (document_id, key) on at least share of a document's pages."""
-    seen = pages.groupBy("document_id", "key").agg(F.count("*").alias("seen"))
-    total = seen.groupBy("document_id").agg(F.sum("seen").alias("pages"))
+    """Keys of pages (document_id, title, text) that occur at least as often as a share of the document's pages."""
+    seen = page_keys(pages).groupBy("document_id", "key").agg(F.count("*").alias("seen"))
+    total = pages.groupBy("document_id").agg(F.count("*").alias("pages"))
     return seen.join(total, "document_id").filter(c("seen") >= F.greatest(F.lit(1), F.ceil(c("pages") * share))).drop("pages")
 
 

@@ -85,6 +85,11 @@ def retried(documents: DataFrame) -> DataFrame:
     return documents.filter(~c("status").isin("completed")).withColumn("status", F.lit("pending"))
 
 
+def retry_jobs(documents: DataFrame, at: Column) -> DataFrame:
+    """The ingestion jobs to append for documents that are retried."""
+    return retried(documents).select("document_id", "deal_id", F.lit("ingest").alias("type"), F.lit("queued").alias("status"), at.alias("updated_at"))
+
+
 def bulk_assign(assignments: DataFrame, deals: DataFrame) -> DataFrame:
     """Log of assignments (file, deal_id, new_name): to a live deal, to a new one, or an error."""
     known = live(deals).select(c("id").alias("deal_id"), F.lit(True).alias("__known"))
@@ -161,6 +166,19 @@ def citations(evidence: DataFrame, k: int = 3) -> DataFrame:
     return top_per(evidence, "deal_id", k, F.desc_nulls_last("created_at"), F.desc("evidence_id"))
 
 
+def latest_version(versions: DataFrame) -> DataFrame:
+    """Per deal its highest version; a version that is null comes last."""
+    best = F.max_by(F.struct("id", "version", "status"), F.struct(F.coalesce("version", F.lit(-1)), "id"))
+    return versions.groupBy("deal_id").agg(best.alias("v")).select("deal_id", "v.*")
+
+
+def stage_inputs(metrics: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
+    """What a stage depends on: counts, whether an analysis exists, days since the last change."""
+    analysed = versions.select(c("deal_id").alias("id")).distinct().withColumn("analysed", F.lit(True))
+    rows = metrics.join(analysed, "id", "left")
+    return rows.select("id", "stage", "score", "documents", "evidence", F.coalesce("analysed", F.lit(False)).alias("analysed"), days_since(c("updated_at"), as_of).alias("days"))
+
+
 def deal_metrics(deals: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
     """Live deals with counts of documents and evidence: each fact table is aggregated before it is joined."""
     d = documents.groupBy(c("deal_id").alias("id")).agg(F.count("*").alias("documents"))

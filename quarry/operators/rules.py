@@ -112,6 +112,12 @@ def cycle_summary(cycle: Column, millis: Column, findings: Column, facts: Column
     return F.format_string("Cycle %d completed in %dms | Findings: %d | Facts: %d | Depth: %s/10 | Continue: %s", cycle, millis, findings, facts, fixed(depth_, 1), goes_on.cast("string"))
 
 
+def cycle_log(at: Column, cycle: Column, millis: Column, findings: Column, facts: Column, confidence: Column, depth_: Column) -> Column:
+    """A log line: the cycle, then its metrics as JSON, shares with fixed digits."""
+    entry = {"timestamp": at, "cycle": cycle, "duration_ms": millis, "findings_count": findings, "facts_count": facts, "confidence_score": fixed(confidence, 2), "depth_metric": fixed(depth_, 1)}
+    return F.concat(F.lit("[CYCLE "), cycle.cast("string"), F.lit("] "), F.to_json(F.struct(*(v.alias(n) for n, v in entry.items()))))
+
+
 def cycle_errors(cycle: Column, status: Column, output: Column, depth_: Column, millis: Column, error: Column) -> Column:
     """What is wrong with a cycle's result: number, status, worker output, depth, duration, and an error where it failed."""
     empty = lambda x: F.length(F.coalesce(x, F.lit(""))) == 0

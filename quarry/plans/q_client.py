@@ -45,11 +45,12 @@ q("s49_cache_replay", "cache_events", lambda v: k.replay(v.select(c("content_has
   """WITH RECURSIVE o AS (SELECT content_hash AS key, created_at AS stamp, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS n FROM {cache_events} WHERE task_type <> 'error'),
   f AS (SELECT key, n, stamp AS stored, false AS hit FROM o WHERE n = 1 UNION ALL SELECT o.key, o.n, CASE WHEN o.stamp - f.stored <= INTERVAL 7 DAY THEN f.stored ELSE o.stamp END, o.stamp - f.stored <= INTERVAL 7 DAY FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
   SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM {cache_events} WHERE task_type = 'error'""")
-q("s50_eviction", "cache_events", lambda v: k.evict(v.select(c("id").alias("key"), "created_at"), 100).select("key"), "SELECT id AS key FROM {cache_events} ORDER BY created_at DESC, id LIMIT 100")
+q("s50_eviction", "cache_events", lambda v: k.evict(v.select(c("id").alias("key"), "created_at"), k.MOST_ENTRIES - 1).select("key"), "SELECT id AS key FROM {cache_events} ORDER BY created_at DESC, id LIMIT 9999")
 q("s51_savings", "cache_events", lambda v: v.filter("event_type = 'hit'").select("id", k.savings(c("tokens_saved"), c("model")).alias("saved")),
   "SELECT id, tokens_saved / 1e6 * CASE model WHEN 'llama-70b' THEN 0.05e0 WHEN 'qwen-14b' THEN 0.02e0 ELSE 5e0 END AS saved FROM {cache_events} WHERE event_type = 'hit'")
 q("s52_cache_stats", "cache_events", k.stats, f"SELECT {HIT} AS hits, {MISS} AS misses, {ratio(HIT, f'({HIT} + {MISS})', 2, 100)} AS hit_rate, min(created_at) AS oldest, max(created_at) AS newest FROM {{cache_events}}")
 q("s53_top_hits", "cache_events", k.top_hits, "SELECT content_hash, count(*) AS hits FROM {cache_events} WHERE event_type = 'hit' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+q("s53_entries_by_task", "cache_events", lambda v: k.by_task(v, "click").select("id", "content_hash"), "SELECT id, content_hash FROM {cache_events} WHERE task_type = 'click'")
 q("s54_compress", "conversations", lambda v: v.select("conv_id", "turn", F.length(t.compress(c("text"), 500)).alias("n")), None)
 q("s55_squeeze", "conversations", lambda v: v.select("conv_id", "turn", t.squeeze(c("text")).alias("text")),
   "SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?m)[\\t\\v\\f\\r ]+$', '', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM {conversations}")
@@ -104,6 +105,15 @@ def _complete(spark: SparkSession, d: str) -> DataFrame:
     return k.complete(requests, entries, k.task_config(spark), k.providers(spark), now).groupBy("outcome", "model").agg(F.count("*").alias("n"))
 
 
+@query("s66_stored", standalone("SELECT CAST(doc_id AS VARCHAR(20)) AS key, 'fact-extraction' AS task, source AS result, TIMESTAMP '2024-06-01 00:00:00' AS created_at, TIMESTAMP '2024-06-08 00:00:00' AS expires_at FROM {documents} WHERE doc_id % 4 <> 0 AND doc_id % 2 = 0"))
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    docs, now = view(spark, d, "documents"), F.lit("2024-06-01").cast("timestamp_ntz")
+    requests = docs.select(s(c("doc_id")).alias("key"), F.when(c("doc_id") % 2 == 0, "fact-extraction").otherwise("synthesis").alias("task"), c("text").alias("content"))
+    entries = docs.filter("doc_id % 4 = 0").select(s(c("doc_id")).alias("key"), F.lit("2024-07-01").cast("timestamp_ntz").alias("expires_at"), F.lit("r").alias("result"))
+    completed = k.complete(requests, entries, k.task_config(spark), k.providers(spark), now)
+    return k.entries_of(completed, docs.select(s(c("doc_id")).alias("key"), c("source").alias("result")), now)
+
+
 q("s67_task_requests", "documents", lambda d: d.select("doc_id", F.format_string("Extract facts from %s of %s", "source", "lang").alias("prompt")), "SELECT doc_id, concat('Extract facts from ', source, ' of ', lang) AS prompt FROM {documents}")
 
 
@@ -137,6 +147,8 @@ q("c05_sorted", "deals", lambda d: x.sort_by(d, "score", "desc").select("id", "s
 q("c06_stage_distribution", "deals", lambda d: x.distribution(d, "stage"), f"SELECT stage AS key, count(*) AS n, {ratio('count(*)', '(SELECT count(*) FROM {deals})', 1, 100)} AS pct FROM {{deals}} GROUP BY 1")
 q("c06_score_buckets", "deals", lambda d: x.distribution(d, x.score_bucket(c("score"))), f"SELECT CASE WHEN score <= 50 THEN '0-50' WHEN score <= 70 THEN '51-70' WHEN score <= 85 THEN '71-85' WHEN score <= 100 THEN '86-100' END AS key, count(*) AS n, {ratio('count(*)', '(SELECT count(*) FROM {deals})', 1, 100)} AS pct FROM {{deals}} GROUP BY 1")
 q("c07_monthly", "deal_documents", lambda d: x.monthly(d, "uploaded_at"), "SELECT month, n, n - lag(n) OVER (ORDER BY month) AS change FROM (SELECT CAST(date_trunc('month', uploaded_at) AS DATE) AS month, count(*) AS n FROM {deal_documents} GROUP BY 1) y")
+q("c07_kpi", "deal_documents", lambda d: x.kpi(x.monthly(d, "uploaded_at")), f"""SELECT max_by(n, month) AS value, max_by(change, month) AS change FROM (SELECT month, n, {half_up('(n - b) / nullif(CAST(b AS DOUBLE), 0e0) * 100')} AS change FROM (SELECT month, n, lag(n) OVER (ORDER BY month) AS b
+  FROM (SELECT CAST(date_trunc('month', uploaded_at) AS DATE) AS month, count(*) AS n FROM {{deal_documents}} GROUP BY 1) y) z) w""")
 #: A form of each deal, as SQL that both engines run; a field is null, empty or given.
 FORM_SQL = """SELECT id, name AS company_name, CASE WHEN id % 2 = 0 THEN 'saas' END AS industry, CASE id % 4 WHEN 0 THEN 'Pre-Seed' WHEN 1 THEN 'seed' WHEN 2 THEN '' ELSE 'series-a' END AS stage, CASE WHEN id % 3 <> 0 THEN 'smb' ELSE '' END AS target_market,
   CASE WHEN id % 5 = 0 THEN '1B' END AS market_size, CASE WHEN id % 8 = 0 THEN 'x' END AS competitor_analysis, CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '5' WHEN 4 THEN '6-10' ELSE '12 people' END AS team_size,
@@ -238,14 +250,28 @@ def _risks(d: DataFrame) -> DataFrame:
 
 q("c23_risk_matrix", "deals", lambda d: x.risk_matrix(_risks(d)), f"SELECT probability, impact, count(*) AS n, probability * impact AS score FROM {RISKS} GROUP BY 1, 2")
 q("c24_risk_bands", "deals", lambda d: _risks(d).groupBy(r.risk_band(r.risk_score(c("probability"), c("impact"))).alias("band")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN probability * impact >= 15 THEN 'critical' WHEN probability * impact >= 10 THEN 'high' WHEN probability * impact >= 5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM {RISKS} GROUP BY 1")
-q("c25_risk_mean", "deals", lambda d: _risks(d).agg(r.ratio(F.sum(c("probability") * c("impact")), F.count("*"), 2).alias("mean"), F.sum("impact").alias("points")), f"SELECT {ratio('sum(probability * impact)', 'count(*)', 2)} AS mean, CAST(sum(impact) AS BIGINT) AS points FROM {RISKS}")
+q("c25_means", "deals", lambda d: _risks(d).agg(r.half_up(F.sum(c("probability") * c("impact")) / F.count("*")).alias("risk"), r.half_up(F.sum("impact") / F.count("*")).alias("ai"), F.sum("impact").alias("points")),
+  f"SELECT {half_up('CAST(sum(probability * impact) AS DOUBLE) / count(*)')} AS risk, {half_up('CAST(sum(impact) AS DOUBLE) / count(*)')} AS ai, CAST(sum(impact) AS BIGINT) AS points FROM {RISKS}")
 q("c26_notifications", "events", lambda v: x.notifications(v.select(c("event_type").alias("type"), (c("event_id") % 2 == 0).alias("unread"), F.expr("CASE event_id % 8 WHEN 0 THEN '5 minutes ago' WHEN 1 THEN 'Yesterday, 4:22 PM' WHEN 2 THEN 'Today, 9:00' WHEN 3 THEN '1 hour ago' WHEN 4 THEN 'just now' WHEN 5 THEN 'yesterday' WHEN 6 THEN '1 day ago' ELSE '5 min' END").alias("when")), v.select(c("event_type").alias("type"), (c("event_type") != "error").alias("enabled")).distinct()),
   "SELECT CASE WHEN event_id % 8 IN (0, 2, 3, 4) THEN 'today' WHEN event_id % 8 = 1 THEN 'yesterday' ELSE 'this week' END AS bucket, count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 0) AS unread FROM {events} WHERE event_type <> 'error' GROUP BY 1")
 q("c27_template_counts", "deal_documents", lambda d: x.counts_with_all(d, "type"), "SELECT type AS key, count(*) AS n FROM {deal_documents} GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM {deal_documents}")
+q("c27_templates", "part", lambda m: x.templates(m.select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_type").alias("description"), c("p_brand").alias("category")), "E", "Brand#11").select("id"), "SELECT p_partkey AS id FROM {part} WHERE (contains(lower(p_name), 'e') OR contains(lower(p_type), 'e')) AND p_brand = 'Brand#11'")
+q("c27_popular", "part", lambda m: m.filter(c("p_size") > 40).select(c("p_partkey").alias("id")), "SELECT p_partkey AS id FROM {part} WHERE p_size > 40")
 q("c28_members", "customer", lambda m: m.filter(F.lower("c_name").contains("0042") & (c("c_mktsegment") == "BUILDING")).select("c_custkey"), "SELECT c_custkey FROM {customer} WHERE contains(lower(c_name), '0042') AND c_mktsegment = 'BUILDING'")
-STEPS = "(SELECT user_id AS deal_id, event_type AS step, count(*) AS n FROM {events} GROUP BY 1, 2) y"
-q("c29_funnel", "events", lambda v: x.funnel(v.groupBy(c("user_id").alias("deal_id"), c("event_type").alias("step")).agg(F.count("*").alias("n"))),
-  f"SELECT deal_id, step, n, greatest({ratio('n', 'first_value(n) OVER (PARTITION BY deal_id ORDER BY step)', 1, 100)}, 30e0) AS width, {ratio('n', 'max(n) OVER (PARTITION BY deal_id)', 1, 100)} AS bar FROM {STEPS}")
+#: The order of a funnel's steps: not that of their names.
+PLACE = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'login' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END"
+STEPS = f"(SELECT user_id AS deal_id, event_type AS step, {PLACE} AS position, count(*) AS n FROM {{events}} GROUP BY 1, 2, 3) y"
+q("c29_funnel", "events", lambda v: x.funnel(v.groupBy(c("user_id").alias("deal_id"), c("event_type").alias("step"), F.expr(PLACE).alias("position")).agg(F.count("*").alias("n"))),
+  f"SELECT deal_id, step, n, greatest({ratio('n', 'first_value(n) OVER (PARTITION BY deal_id ORDER BY position)', 1, 100)}, 30e0) AS width, {ratio('n', 'max(n) OVER (PARTITION BY deal_id)', 1, 100)} AS bar FROM {STEPS}")
+MONTHS = "(SELECT o_custkey AS deal_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(count(*) AS BIGINT) AS v, CAST(max(o_orderkey) % 101 AS BIGINT) AS retention FROM {orders} GROUP BY 1, 2) y"
+
+
+def _months(o: DataFrame) -> DataFrame:
+    return o.groupBy(c("o_custkey").alias("deal_id"), F.trunc(c("o_orderdate").cast("date"), "month").alias("month")).agg(F.count("*").alias("v"), (F.max("o_orderkey") % 101).alias("retention"))
+
+
+q("c29_first_and_last", "orders", lambda o: x.first_and_last(_months(o)), f"SELECT deal_id, min_by(v, month) AS first, max_by(v, month) AS last, max(v) AS most FROM {MONTHS} GROUP BY 1".replace("AS first", 'AS "first"').replace("AS last", 'AS "last"'))
+q("c29_last_cohorts", "orders", lambda o: x.last_cohorts(_months(o)).select("deal_id", "month", "retention", "band"), f"SELECT deal_id, month, retention, CASE WHEN retention >= 70 THEN 'strong' WHEN retention >= 50 THEN 'fair' ELSE 'weak' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY month DESC) AS k FROM {MONTHS}) z WHERE k <= 6")
 q("c29_retention_bands", "ledgers", lambda g: g.groupBy(x.retention_band(c("paraphrase_pct")).alias("band")).agg(F.count("*").alias("n")), "SELECT CASE WHEN paraphrase_pct >= 70 THEN 'strong' WHEN paraphrase_pct >= 50 THEN 'fair' ELSE 'weak' END AS band, count(*) AS n FROM {ledgers} GROUP BY 1")
 q("c30_sparkline", "cycles", lambda y: x.sparkline(y.select("deal_id", c("cycle_number").alias("i"), c("findings_count").alias("v"))),
   f"""SELECT deal_id, cycle_number AS i, coalesce({ratio('row_number() OVER (PARTITION BY deal_id ORDER BY cycle_number) - 1', 'count(*) OVER (PARTITION BY deal_id) - 1')}, 0e0) AS x,

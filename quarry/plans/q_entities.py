@@ -68,6 +68,7 @@ q("r10_documents_of_deal", "deal_documents", lambda d: d.filter("deal_id = 7").o
 q("r11_document_with_job", "deal_documents jobs", e.document_with_job, """SELECT d.document_id, d.deal_id, d.title, j.id AS job, j.status AS job_status, j.message AS job_message, j.progress_pct AS job_progress FROM {deal_documents} d
   LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, id DESC) AS k FROM {jobs}) j ON j.document_id = d.document_id AND k = 1""")
 q("r12_retried", "deal_documents", lambda d: e.retried(d).groupBy("status", "type").agg(F.count("*").alias("n")), "SELECT 'pending' AS status, type, count(*) AS n FROM {deal_documents} WHERE status <> 'completed' GROUP BY 1, 2")
+q("r12_retry_jobs", "deal_documents", lambda d: e.retry_jobs(d, F.lit("2024-06-01").cast("timestamp_ntz")), "SELECT document_id, deal_id, 'ingest' AS type, 'queued' AS status, TIMESTAMP '2024-06-01 00:00:00' AS updated_at FROM {deal_documents} WHERE status <> 'completed'")
 q("r13_deals_by_name", "deals", lambda d: d.select("id", "name").orderBy("name", "id"), "SELECT id, name FROM {deals}")
 q("r14_bulk_assign", "upload_files deals", lambda u, d: e.bulk_assign(u.select("filename", F.when(c("doc_id") % 3 != 0, c("doc_id")).alias("deal_id"), F.when(c("doc_id") % 6 != 0, c("filename")).alias("new_name")), d).groupBy("outcome").agg(F.count("*").alias("n")),
   """SELECT CASE WHEN d.id IS NOT NULL THEN 'assigned' WHEN u.doc_id % 3 = 0 AND u.doc_id % 6 <> 0 THEN 'created' ELSE 'error' END AS outcome, count(*) AS n
@@ -77,15 +78,15 @@ q("r15_ingestion_status", "deal_documents", e.ingestion_status, """SELECT *, CAS
   count(*) FILTER (WHERE verification_status = 'failed') AS failed, count(*) FILTER (WHERE verification_status IS NULL) AS pending, CAST(sum(page_count) AS BIGINT) AS pages FROM {deal_documents} GROUP BY 1) x""")
 q("r16_verification_detail", "deal_documents", lambda d: d.select("document_id", F.coalesce("verification_status", F.lit("pending")).alias("status"), F.coalesce(ratio_col("quality_pct"), F.lit(0.0)).alias("score")),
   f"SELECT document_id, coalesce(verification_status, 'pending') AS status, coalesce({ratio('quality_pct', '100', 2)}, 0e0) AS score FROM {{deal_documents}}")
-q("r17_evidence_list", "evidence deals", lambda v, d: e.evidence_list(v, d, 5).select("deal_id", "evidence_id", "rank"), """SELECT deal_id, evidence_id, CAST(rank AS INT) AS rank FROM (SELECT v.deal_id, v.evidence_id,
-  row_number() OVER (PARTITION BY v.deal_id ORDER BY v.created_at DESC, v.evidence_id DESC) AS rank FROM {evidence} v WHERE v.deal_id IN (SELECT id FROM {deals} WHERE NOT deleted)) x WHERE rank <= 5""")
+q("r17_evidence_list", "evidence deals", lambda v, d: e.evidence_list(v, d).select("deal_id", "evidence_id", "rank"), """SELECT deal_id, evidence_id, CAST(rank AS INT) AS rank FROM (SELECT v.deal_id, v.evidence_id,
+  row_number() OVER (PARTITION BY v.deal_id ORDER BY v.created_at DESC, v.evidence_id DESC) AS rank FROM {evidence} v WHERE v.deal_id IN (SELECT id FROM {deals} WHERE NOT deleted)) x WHERE rank <= 50""")
 q("r18_evidence_requests", "deals", lambda d: e.accepted(d.select(c("id").alias("deal_id")), d), "SELECT id AS deal_id, CASE WHEN deleted THEN 404 ELSE 202 END AS status FROM {deals}")
 q("r19_evidence_rows", "evidence", lambda v: e.with_default_confidence(v.withColumn("confidence", F.when(c("evidence_id") % 2 == 0, c("confidence_pct") / 100.0))).groupBy("source").agg(F.count("*").alias("n"), F.count_if(c("confidence") == 0.5).alias("half")),
   "SELECT source, count(*) AS n, count(*) FILTER (WHERE evidence_id % 2 <> 0 OR confidence_pct = 50) AS half FROM {evidence} GROUP BY 1")
 q("r20_documents_with_evidence", "evidence", e.documents_with_evidence, "SELECT DISTINCT document_id FROM {evidence} WHERE source = 'fetch_evidence'")
 q("r20_documents_without_evidence", "deal_documents evidence", lambda d, v: e.documents_without_evidence(d, v).select("document_id"), "SELECT document_id FROM {deal_documents} WHERE document_id NOT IN (SELECT document_id FROM {evidence} WHERE source = 'fetch_evidence')")
-q("r21_latest_documents", "deal_documents", lambda d: e.top_per(d, "deal_id", 3, F.desc("uploaded_at"), F.desc("document_id")).select("deal_id", "document_id"),
-  "SELECT deal_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY uploaded_at DESC, document_id DESC) AS k FROM {deal_documents}) x WHERE k <= 3")
+q("r21_latest_documents", "deal_documents", lambda d: e.top_per(d, "deal_id", 100, F.desc("uploaded_at"), F.desc("document_id")).select("deal_id", "document_id"),
+  "SELECT deal_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY uploaded_at DESC, document_id DESC) AS k FROM {deal_documents}) x WHERE k <= 100")
 q("r22_documents_by_ids", "deal_documents evidence", lambda d, v: e.by_ids(d, v.filter("confidence_pct = 97").select("document_id")).select("document_id", "title"),
   "SELECT document_id, title FROM {deal_documents} WHERE document_id IN (SELECT document_id FROM {evidence} WHERE confidence_pct = 97)")
 q("r23_document_analysis", "deal_documents", lambda d: e.patch(d, d.filter("document_id % 4 = 1").select("document_id", F.lit("completed").alias("status"), F.when(c("document_id") % 8 == 1, F.lit(99)).alias("page_count")), "document_id", ["status", "page_count"]).groupBy("status").agg(F.count("*").alias("n"), F.sum("page_count").alias("pages")),
@@ -102,11 +103,12 @@ q("r28_job_state", "jobs", e.job_state, """SELECT job_id, max_by(status, k) AS s
 q("r29_poll", "jobs", lambda j: e.poll(j, "2024-01-10 00:00:00", 50).select("id", "job_id", "updated_at"), "SELECT id, job_id, updated_at FROM {jobs} WHERE updated_at > TIMESTAMP '2024-01-10 00:00:00' ORDER BY updated_at, id LIMIT 50")
 q("r30_citations", "evidence", lambda v: e.citations(v).select("deal_id", "evidence_id", F.coalesce("excerpt", "text").alias("excerpt")),
   "SELECT deal_id, evidence_id, coalesce(excerpt, text) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY created_at DESC, evidence_id DESC) AS k FROM {evidence}) x WHERE k <= 3")
+q("r30_latest_versions", "dio_versions", e.latest_version, "SELECT deal_id, id, version, status FROM (SELECT *, row_number() OVER (PARTITION BY deal_id ORDER BY version DESC NULLS LAST, id DESC) AS k FROM {dio_versions}) x WHERE k = 1")
 q("r31_deal_metrics", "deals deal_documents evidence", lambda d, x, v: e.deal_metrics(d, x, v).select("id", "score", "documents", "evidence"), f"WITH {METRICS} SELECT id, score, documents, evidence FROM m")
 q("r32_priority_tally", "deals deal_documents evidence", lambda d, x, v: e.reprioritised(e.deal_metrics(d, x, v)).groupBy("new_priority").agg(F.count("*").alias("n")),
   f"WITH {METRICS}, p AS (SELECT {POINTS} AS points FROM m) SELECT {PRIORITY} AS new_priority, count(*) AS n FROM p GROUP BY 1")
-q("r33_stage_inputs", "deals deal_documents evidence", lambda d, x, v: e.deal_metrics(d, x, v).select("id", "documents", "evidence", e.days_since(c("updated_at"), F.lit("2025-01-01").cast("date")).alias("days")),
-  f"WITH {METRICS} SELECT id, documents, evidence, CAST(date_diff('day', updated_at, DATE '2025-01-01') AS BIGINT) AS days FROM m")
+q("r33_stage_inputs", "deals deal_documents evidence dio_versions", lambda d, x, v, w: e.stage_inputs(e.deal_metrics(d, x, v), w, F.lit("2025-01-01").cast("date")),
+  f"WITH {METRICS} SELECT id, stage, score, documents, evidence, id IN (SELECT deal_id FROM {{dio_versions}}) AS analysed, CAST(date_diff('day', updated_at, DATE '2025-01-01') AS BIGINT) AS days FROM m")
 NEXT = """CASE WHEN stage = 'intake' AND analysed THEN 'under_review' WHEN stage = 'under_review' AND analysed AND documents >= 2 THEN 'in_diligence'
   WHEN stage = 'in_diligence' AND score >= 70 AND evidence >= 2 THEN 'ready_decision' ELSE stage END"""
 CHANGES = f"{METRICS}, s AS (SELECT m.*, id IN (SELECT deal_id FROM {{dio_versions}}) AS analysed FROM m), t AS (SELECT id, stage AS old, {NEXT} AS new FROM s)"
@@ -167,8 +169,10 @@ q("s10_progression", "cycles", lambda y: r.progression(y.withColumn("confidence"
   FROM (SELECT *, findings_count - lag(findings_count) OVER w AS d, facts_extracted - lag(facts_extracted) OVER w AS f, confidence_pct - lag(confidence_pct) OVER w AS k FROM {cycles} WINDOW w AS (PARTITION BY deal_id ORDER BY cycle_number)) x""")
 q("s11_cycles_remaining", "cycles", lambda y: y.select("deal_id", "cycle_number", r.cycles_remaining(c("cycle_number"), c("confidence_pct") / F.lit(100.0)).alias("remaining")),
   "SELECT deal_id, cycle_number, CASE WHEN confidence_pct / 100e0 >= 0.7e0 THEN CASE WHEN cycle_number >= 3 THEN 0 ELSE 1 END ELSE greatest(3 - cycle_number, 0) END AS remaining FROM {cycles}")
-q("s12_cycle_log", "cycles", lambda y: y.select("deal_id", F.to_json(F.struct(c("cycle_number").alias("cycle"), c("findings_count").alias("findings"))).alias("entry")),
-  """SELECT deal_id, concat('{{"cycle":', CAST(cycle_number AS VARCHAR(8)), ',"findings":', CAST(findings_count AS VARCHAR(8)), '}}') AS entry FROM {cycles}""".replace("{{", "{").replace("}}", "}"))
+q("s12_cycle_log", "cycles", lambda y: y.select("deal_id", r.cycle_log(F.lit("2024-06-01T00:00:00.000Z"), c("cycle_number"), c("facts_extracted") * 10, c("findings_count"), c("facts_extracted"), c("confidence_pct") / F.lit(100.0), c("findings_count") / F.lit(8.0)).alias("entry")),
+  """SELECT deal_id, concat('[CYCLE ', CAST(cycle_number AS VARCHAR(4)), '] <"timestamp":"2024-06-01T00:00:00.000Z","cycle":', CAST(cycle_number AS VARCHAR(4)), ',"duration_ms":', CAST(facts_extracted * 10 AS VARCHAR(20)), ',"findings_count":', CAST(findings_count AS VARCHAR(20)),
+  ',"facts_count":', CAST(facts_extracted AS VARCHAR(20)), ',"confidence_score":"', CASE WHEN confidence_pct = 100 THEN '1.00' ELSE concat('0.', lpad(CAST(confidence_pct AS VARCHAR(4)), 2, '0')) END, '","depth_metric":"', CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) // 10 AS VARCHAR(20)), '.',
+  CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) % 10 AS VARCHAR(4)), '">') AS entry FROM {cycles}""".replace("<", chr(123)).replace(">", chr(125)))
 q("s13_empty_ledgers", "deals", lambda d: d.select("id", F.lit(0).alias("cycles"), F.lit(0).alias("facts"), F.lit(1.0).alias("paraphrase")), "SELECT id, 0 AS cycles, 0 AS facts, 1e0 AS paraphrase FROM {deals}")
 FACT_ERRORS = """list_filter([CASE WHEN NOT coalesce(length(claim) BETWEEN 10 AND 200, false) THEN 'claim must have 10 to 200 characters' END,
   CASE WHEN NOT (source IN ('deck.pdf', 'uncertain') OR starts_with(source, 'http')) THEN 'source must be deck.pdf, uncertain or a link' END,
