@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -289,22 +290,21 @@ def _find(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def blocks(benchmark: DataFrame, edits: float = EDITS) -> list[Index]:
-    """The benchmark as indexes of bounded size."""
+def blocks(benchmark: DataFrame, edits: float = EDITS) -> Iterator[Index]:
+    """The benchmark as indexes of bounded size, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-chars // BLOCK_CHARS)
     part = F.pmod(F.xxhash64("text"), F.lit(max(n, 1)))
-    return [Index.build([tuple(r) for r in items.filter(part == b).orderBy("item_id", "text").collect()], edits) for b in range(n)]
+    for b in range(n):
+        yield Index.build([tuple(r) for r in items.filter(part == b).orderBy("item_id", "text").collect()], edits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, windows_found, windows_total, edits, start): one row for each document and item it holds."""
     spark = prepare(docs.sparkSession)
-    out = spark.createDataFrame([], _OUT)
-    for index in blocks(benchmark, edits):
-        out = out.unionByName(texts(docs).mapInArrow(_find(index), _OUT))
-    return out
+    found = [texts(docs).mapInArrow(_find(index), _OUT) for index in blocks(benchmark, edits)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _OUT)
 
 
 def _holder(index: Index) -> Callable[[pd.Series], pd.Series]:
