@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each is written as Parquet to the
 shared folder and read again, which also cuts lineage. All stages but the last return the columns of documents.
+
+Odd rows: a null text counts as empty in every stage, rows that repeat are rows of their own, other columns pass through
+whatever their names, and an empty table gives an empty one of the same columns.
 """
 
 from __future__ import annotations
@@ -19,22 +22,24 @@ from quarry.llm.queries import BYTE_BPE
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. A text that is null, empty or a few words has no evidence
+    either way and is kept or not by the score of that; without labels of both classes that is the share of good ones."""
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates, that of the smallest id: five-word shingles, similarity 0.8 or more.
+    Texts without words, and rows without an id, are all kept; of rows that share an id all are kept or none."""
     return jaccard.distinct_documents(docs, size=5, num=80, den=100)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; an empty text holds none, an empty benchmark rejects nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by their kinds."""
+    """All documents, with the secrets in their texts replaced by their kinds; a null text becomes empty, n_chars follows."""
     prepare(spark)
 
     @pandas_udf("string")
@@ -46,7 +51,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents in sequences of at most 2048 tokens."""
+    """The kept documents in sequences of at most 2048 tokens; an empty text is its end id alone."""
     packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048, memo=100_000)
     return packed.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
 
