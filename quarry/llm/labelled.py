@@ -44,8 +44,9 @@ class Sample:
 def sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, per_class: int = PER_CLASS) -> Sample:
     """At most per_class texts of each class, in the order of a hash of their ids, without the held-out fold.
 
-    Only ids are sorted (a top-k); they are joined to the texts by broadcast, as their number is bounded. Rows whose
-    id or label is null, and texts above LONGEST_TEXT bytes, aren't learnt from.
+    Only ids are sorted (a top-k); they are joined to the texts by broadcast, as their number is bounded. Of rows that
+    share an id the smallest text counts, so that twice per_class texts reach the driver at most. Rows whose id or label
+    is null, and texts above LONGEST_TEXT bytes, aren't learnt from.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     marks = marks.filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), modulus) != held_out))
@@ -53,7 +54,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_o
     order = F.xxhash64("doc_id")
     ids = [marks.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text").between(1, LONGEST_TEXT))
-    found = rows.join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "label", "text").orderBy(order, "doc_id", "text").collect()
+    found = rows.join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(order, "doc_id").collect()
     negative, positive = (thinned([r["text"] for r in found if r["label"] == y]) for y in (0, 1))
     return Sample(negative, positive, ones / total if total else 0.5)
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from quarry.llm import quality, toxicity
-from quarry.llm.labelled import thinned
+from quarry.llm.labelled import sample, thinned
 
 SF, CHECK = "/root/testdata/sf0.1", "/root/testdata/check_s"
 
@@ -44,6 +44,14 @@ def test_without_labels(spark, tables, odd):
         assert {r["score"] for r in module.score(odd, model).collect()} == {0.5}
 
 
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, f"text number {i} of a document that many rows share") for i in range(500)] + [(i, f"other text {i}") for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] * 3, "doc_id long, quality int")
+    s = sample(docs, labels, "quality", 10**9, -1)
+    assert sorted(s.negative + s.positive) == sorted([min(t for i, t in rows if i == 1), *(t for i, t in rows if i > 1)])
+
+
 def test_keep_returns_all_columns(spark, tables, odd):
     docs, labels = tables
     model = quality.train(docs, labels)
