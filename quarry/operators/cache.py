@@ -149,6 +149,25 @@ def route(requests: DataFrame, tasks: DataFrame, offers: DataFrame, default: str
     return out.drop("__asked", "__model", "__provider", "__fallback", "__up")
 
 
+# Events that fill a provider's buffer, seconds between its timed flushes, the first delay of a retry.
+BUFFER_EVENTS, BUFFER_SECONDS, FIRST_DELAY = 100, 30, 1000
+
+
+def flushes(events: DataFrame) -> DataFrame:
+    """The flushes of each provider's event buffer, from events (provider, at, id): a full buffer is flushed at once, the
+    rest at the next tick of the clock. Per flush its number of events and the total so far."""
+    tick = F.floor(F.unix_micros(c("at").cast("timestamp")) / (BUFFER_SECONDS * 1_000_000))
+    within = Window.partitionBy("provider", "tick").orderBy("at", "id")
+    rows = events.withColumn("tick", tick).withColumn("flush", F.floor((F.row_number().over(within) - 1) / BUFFER_EVENTS))
+    done = rows.groupBy("provider", "tick", "flush").agg(F.count("*").alias("events"))
+    return done.withColumn("total_flushed", F.sum("events").over(Window.partitionBy("provider").orderBy("tick", "flush")))
+
+
+def retry_delay(attempt: Column) -> Column:
+    """Milliseconds before the next attempt: doubled each time, from attempt 0 on."""
+    return F.lit(FIRST_DELAY) * F.pow(F.lit(2), attempt).cast("long")
+
+
 def call_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     """Dollars of a hosted call; null for models that have no price."""
     return F.when(model == "gpt-4o", tokens_in / F.lit(1e6) * 5 + tokens_out / F.lit(1e6) * 15)

@@ -148,13 +148,12 @@ def cycles_remaining(cycle: Column, confidence: Column) -> Column:
 
 
 def fact_errors(claim: Column, source: Column, confidence: Column, cycle: Column) -> Column:
+    """What is wrong with a fact; nulls are wrong in the first of two ways."""
     good_source = source.isin("deck.pdf", "uncertain") | source.startswith("http")
     return messages(
-        (~F.coalesce(F.length(claim).between(10, 200), F.lit(False)), "claim must have 10 to 200 characters"),
-        (~F.coalesce(good_source, F.lit(False)), "source must be deck.pdf, uncertain or a link"),
-        (~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence must be 0 to 1"),
-        (~F.coalesce(cycle.between(1, MAX_CYCLE), F.lit(False)), "cycle must be 1 to 3"),
-    )
+        (F.coalesce(F.length(claim) < 10, F.lit(True)), "claim too short"), (F.length(claim) > 200, "claim too long"), (~F.coalesce(good_source, F.lit(False)), "source must be deck.pdf, uncertain or a link"),
+        (F.coalesce(confidence < 0, F.lit(True)), "confidence below 0"), (confidence > 1, "confidence above 1"), (~F.coalesce(cycle.between(1, MAX_CYCLE), F.lit(False)), "cycle must be 1 to 3"),
+    )
 
 
 def add_facts(facts: DataFrame) -> DataFrame:

@@ -96,6 +96,14 @@ q("s63_feature_flags", "customer", lambda d: d.groupBy(k.feature_enabled(F.lit(T
 q("s64_flag_settings", "events", lambda v: k.latest_flags(v.select(c("event_type").alias("name"), c("event_id").alias("version"), (c("event_id") % 2 == 0).alias("enabled"))), "SELECT event_type AS name, max(event_id) AS version, max(event_id) % 2 = 0 AS enabled FROM {events} GROUP BY 1")
 
 
+#: Calls a hundred times as dense as they are, so that buffers fill.
+DENSE = "SELECT provider_type AS provider, id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(id // 9 AS BIGINT)) AS stamp FROM {llm_calls}"
+q("s65_flushes", "llm_calls", lambda p: k.flushes(p.select(c("provider_type").alias("provider"), "id", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(id DIV 9 AS DECIMAL(18, 6)))").alias("at"))).select("provider", "events", "total_flushed"),
+  f"""SELECT provider, events, CAST(sum(events) OVER (PARTITION BY provider ORDER BY tick, flush) AS BIGINT) AS total_flushed FROM (SELECT provider, tick, flush, count(*) AS events FROM (SELECT provider, tick, (row_number() OVER (PARTITION BY provider, tick ORDER BY stamp, id) - 1) // 100 AS flush
+  FROM (SELECT *, CAST(floor(epoch(stamp) / 30) AS BIGINT) AS tick FROM ({DENSE}) y) z) w GROUP BY 1, 2, 3) v""")
+q("s65_retry_delays", "region", lambda g: g.select("r_regionkey", k.retry_delay(c("r_regionkey")).alias("ms")), "SELECT r_regionkey, CAST(1000 * power(2, r_regionkey) AS BIGINT) AS ms FROM {region}")
+
+
 @query("s66_complete", standalone("SELECT CASE WHEN doc_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN doc_id % 4 <> 0 THEN 'qwen-14b' END AS model, count(*) AS n FROM {documents} GROUP BY 1, 2"))
 def _complete(spark: SparkSession, d: str) -> DataFrame:
     docs = view(spark, d, "documents")

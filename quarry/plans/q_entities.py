@@ -174,9 +174,9 @@ q("s12_cycle_log", "cycles", lambda y: y.select("deal_id", r.cycle_log(F.lit("20
   ',"facts_count":', CAST(facts_extracted AS VARCHAR(20)), ',"confidence_score":"', CASE WHEN confidence_pct = 100 THEN '1.00' ELSE concat('0.', lpad(CAST(confidence_pct AS VARCHAR(4)), 2, '0')) END, '","depth_metric":"', CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) // 10 AS VARCHAR(20)), '.',
   CAST(CAST(floor(findings_count / 0.8e0 + 0.5e0) AS BIGINT) % 10 AS VARCHAR(4)), '">') AS entry FROM {cycles}""".replace("<", chr(123)).replace(">", chr(125)))
 q("s13_empty_ledgers", "deals", lambda d: d.select("id", F.lit(0).alias("cycles"), F.lit(0).alias("facts"), F.lit(1.0).alias("paraphrase")), "SELECT id, 0 AS cycles, 0 AS facts, 1e0 AS paraphrase FROM {deals}")
-FACT_ERRORS = """list_filter([CASE WHEN NOT coalesce(length(claim) BETWEEN 10 AND 200, false) THEN 'claim must have 10 to 200 characters' END,
+FACT_ERRORS = """list_filter([CASE WHEN coalesce(length(claim) < 10, true) THEN 'claim too short' END, CASE WHEN length(claim) > 200 THEN 'claim too long' END,
   CASE WHEN NOT (source IN ('deck.pdf', 'uncertain') OR starts_with(source, 'http')) THEN 'source must be deck.pdf, uncertain or a link' END,
-  CASE WHEN NOT confidence_pct / 100e0 BETWEEN 0 AND 1 THEN 'confidence must be 0 to 1' END, CASE WHEN NOT created_cycle BETWEEN 1 AND 3 THEN 'cycle must be 1 to 3' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN confidence_pct < 0 THEN 'confidence below 0' END, CASE WHEN confidence_pct > 100 THEN 'confidence above 1' END, CASE WHEN created_cycle < 1 OR created_cycle > 3 THEN 'cycle must be 1 to 3' END], lambda x: x IS NOT NULL)"""
 
 
 def _facts(f: DataFrame) -> DataFrame:
