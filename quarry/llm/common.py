@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the texts are.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
