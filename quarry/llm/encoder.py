@@ -28,14 +28,16 @@ class PieceEncoder:
     Arrow splits a batch of texts into words and numbers the distinct ones; a word with the space before it goes
     through the library once a batch at most, and its ids are kept, while there are no more than capacity words. The
     ids of the batch are then gathered by word numbers. Results are those of Tokenizer.encode(text,
-    add_special_tokens=False), special strings inside texts included.
+    add_special_tokens=False), special strings inside texts included; with plain, these strings are ordinary text. Texts are
+    strings: callers make nulls empty, and an empty text has no ids.
     """
 
-    def __init__(self, path: str, capacity: int = MEMO):
+    def __init__(self, path: str, capacity: int = MEMO, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        self._tok.encode_special_tokens = plain
         self._memo: dict[str, bytes] = {}
         self._capacity = capacity
         self.vocabulary = self._tok.get_vocab_size(with_added_tokens=True)
@@ -45,6 +47,11 @@ class PieceEncoder:
         for token, i in self._tok.get_vocab(with_added_tokens=True).items():
             self._bytes[i] = len(added[i].encode()) if i in added else len(token)
 
+    def tokens(self) -> list[str]:
+        """The entry of each id."""
+        by_id = {i: t for t, i in self._tok.get_vocab(with_added_tokens=True).items()}
+        return [by_id.get(i, "") for i in range(max(by_id) + 1)]
+
     def _direct(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, media, packing, quality, secrets, token_counts, token_store, toxicity, urls
+from . import alignment, decontaminate, jaccard, licenses, media, packing, quality, secrets, token_counts, token_store, toxicity, urls, vectors
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,9 +59,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_token_store, op2_token_counts, op3_best_fit_packing, op4_media_columns, op5_url_filters,
     op6_secret_scans, op7_toxicity, op8_ngram_jaccard_join, op9_quality_classifier, op10_benchmark_decontamination,
+    op11_license_scans, op12_cross_tokenizer_alignment, op13_vector_code_compression,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -78,4 +91,8 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id FROM s JOI
 """
 
 #: SQL for what SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": _JACCARD}
+ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard_join": _JACCARD,
+    "op11_license_scans": licenses.oracle(),
+    "op13_vector_code_compression": vectors.oracle(),
+}
