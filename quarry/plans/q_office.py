@@ -1,9 +1,10 @@
-"""Queries of the office readers: each makes one small file a region from its nations, then reads the files back."""
+"""Queries of the readers: files made from rows of tables (one a region, or one a document), then read back."""
 
 from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,3 +69,85 @@ q("src7_slides", "nation region", lambda n, g: office.extract(_files(n, g, ".ppt
 q("src8_word", "nation region", lambda n, g: office.extract(_files(n, g, ".docx", _word)).select("path", "part", "name", "level", "text", "error"),
   f"""SELECT concat(r_name, '.docx') AS path, 0 AS part, 'heading' AS name, 2 AS level, r_name AS text, CAST(NULL AS VARCHAR) AS error FROM {{region}} WHERE r_regionkey IN (SELECT n_regionkey FROM {{nation}})
   UNION ALL SELECT concat(r_name, '.docx'), CAST(i AS INT), 'paragraph', NULL, n_name, NULL FROM ({RANKED}) y UNION ALL SELECT concat(r_name, '.docx'), CAST(n + i AS INT), 'table', NULL, concat(n_name, ' | ', k), NULL FROM ({RANKED}) z""")
+
+
+WORDS, LINE = 300, 10
+
+
+def _ascii(x: str) -> bytes:
+    return b"(" + b"".join(b"\\" + bytes([b]) if b in b"()\\" else b"\\r" if b == 13 else bytes([b]) for b in x.encode("cp1252")) + b")"
+
+
+def _pdf(number: int, title: str, text: str) -> bytes:
+    """A file of pages of WORDS words, LINE a line. By number: tables or streams of references, objects in streams or not, contents
+    deflated or not, codes of one or two bytes, a wrong place of the table; every tenth file draws no text."""
+    words = [w for w in text.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
+    lines = [[" ".join(words[i : i + LINE]) for i in range(s, min(s + WORDS, len(words)), LINE)] for s in range(0, max(1, len(words)), WORDS)]
+    try:
+        text.encode("cp1252")
+        wide = number % 4 == 2
+    except UnicodeEncodeError:
+        wide = True
+    letters = {x: i + 1 for i, x in enumerate(dict.fromkeys(text))} if wide else {}
+    said = (lambda x: b"<" + b"".join(b"%04X" % letters[y] for y in x) + b">") if wide else _ascii
+    objects: dict[int, bytes] = {1: b"<</Type/Catalog/Pages 2 0 R>>", 5: b"<</Title<FEFF%s>>>" % title.encode("utf-16-be").hex().encode()}
+    streams: dict[int, bytes] = {}
+
+    def stream(n: int, body: bytes, head: bytes = b"") -> None:
+        if number % 3:
+            body, head = zlib.compress(body), head + b"/Filter/FlateDecode"
+        streams[n] = b"<<%s/Length %d>>stream\n%s\nendstream" % (head, len(body), body)
+
+    if wide:
+        pairs = [b"<%04X><%s>" % (i, x.encode("utf-16-be").hex().encode()) for x, i in letters.items()]
+        stream(4, b"\n".join(b"%d beginbfchar\n%s\nendbfchar" % (len(p), b"\n".join(p)) for p in (pairs[i : i + 100] for i in range(0, len(pairs), 100))))
+        objects[3] = b"<</Type/Font/Subtype/Type0/ToUnicode 4 0 R>>"
+    else:
+        objects[3] = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"
+    kids = []
+    for k, page in enumerate(lines):
+        kids.append(6 + 2 * k)
+        objects[kids[-1]] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (kids[-1] + 1)
+        drawn = b"" if number % 10 == 9 else b"BT /F1 12 Tf 14 TL 72 720 Td\n%s ET" % b"\n".join((b"[%s] TJ T*" if number % 2 else b"%s Tj T*") % said(x) for x in page)
+        stream(kids[-1] + 1, b"q 1 0 0 1 0 0 cm\n%s\nQ" % drawn)
+    objects[2] = b"<</Type/Pages/Count %d/Kids[%s]/Resources<</Font<</F1 3 0 R>>>>/MediaBox[0 0 612 792]>>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    last = max([*objects, *streams]) + 1
+    out, at = bytearray(b"%PDF-1.7\n"), {}
+    packed = number % 4 == 1
+    if packed:
+        listed, body = b"", b""
+        for n, x in objects.items():
+            listed, body = listed + b"%d %d " % (n, len(body)), body + x + b" "
+        stream(last, listed + body, b"/Type/ObjStm/N %d/First %d" % (len(objects), len(listed)))
+    for n, x in (streams if packed else objects | streams).items():
+        at[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, x)
+    place = len(out)
+    if packed:
+        inner = {n: i for i, n in enumerate(objects)}
+        rows = [(2, last, inner[n]) if n in inner else (1, at.get(n, place), 0) if n in at or n == last + 1 else (0, 0, 0) for n in range(last + 2)]
+        raw = [bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big") for a, b, c in rows]
+        above = [bytes(7), *raw]
+        body = zlib.compress(b"".join(b"\2" + bytes((x - y) & 255 for x, y in zip(r, p, strict=True)) for r, p in zip(raw, above, strict=False)))
+        out += b"%d 0 obj\n<</Type/XRef/Size %d/W[1 4 2]/Root 1 0 R/Info 5 0 R/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 7>>/Length %d>>stream\n%s\nendstream\nendobj\n" % (last + 1, last + 2, len(body), body)
+    else:
+        rows = b"".join(b"%010d 00000 n \n" % at[n] if n in at else b"0000000000 65535 f \n" for n in range(last))
+        out += b"xref\n0 %d\n%strailer\n<</Size %d/Root 1 0 R/Info 5 0 R>>\n" % (last, rows, last)
+    return bytes(out) + b"startxref\n%d\n%%%%EOF" % (place + (number % 4 == 3) * 7)
+
+
+def _pdfs(documents_: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            yield pa.record_batch([batch.column(0), pa.array([_pdf(*r) for r in rows], pa.binary())], names=["doc_id", "content"])
+
+    made = documents_.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, content binary")
+    return made.select(c("doc_id").cast("string").alias("path"), F.lit("pdf").alias("kind"), "content")
+
+
+q("src5_pdf_pages", "documents", lambda d: office.extract(_pdfs(d)).select(c("path").cast("long").alias("doc_id"), "part", "name", "level", "text", "error"),
+  f"""WITH w AS (SELECT doc_id, source, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]'), lambda x: x <> '') AS w FROM {{documents}}),
+  p AS (SELECT *, greatest(1, (len(w) + {WORDS - 1}) // {WORDS}) AS n FROM w), k AS (SELECT *, unnest(range(-1, least(n, 30))) AS k FROM p)
+  SELECT doc_id, CAST(k AS INT) AS part, CASE WHEN k < 0 THEN 'file' WHEN doc_id % 10 = 9 OR len(w) = 0 THEN 'scan' ELSE 'page' END AS name, CASE WHEN k < 0 THEN CAST(n AS INT) END AS level,
+  CASE WHEN k < 0 THEN source WHEN doc_id % 10 = 9 THEN '' ELSE array_to_string(w[k * {WORDS} + 1:(k + 1) * {WORDS}], ' ') END AS text, CAST(NULL AS VARCHAR) AS error FROM k""")

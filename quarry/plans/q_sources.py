@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,39 @@ q("snk3_documents", "ledgers", lambda g: sinks.from_document(sinks.to_document(g
 q("snk4_cache_import", "cache_events", lambda v: v.filter(c("created_at") + F.expr("INTERVAL 7 DAYS") >= F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("task_type").agg(F.count("*").alias("n")), "SELECT task_type, count(*) AS n FROM {cache_events} WHERE created_at + INTERVAL 7 DAY >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
 
 
-def _striped(n: DataFrame) -> DataFrame:
-    """Images of 64 by 64 gray samples with twenty striped rows."""
-    stripe = F.concat(F.repeat(F.lit("00"), 64), F.repeat(F.lit("FF"), 64))
-    pixels = F.unhex(F.concat(F.repeat(F.lit("FF"), 64 * 20), F.repeat(stripe, 10), F.repeat(F.lit("FF"), 64 * 24)))
-    return n.select("n_nationkey", F.size(images.regions(pixels, F.lit(64), F.lit(64))).alias("n"))
+SIDE = 256
 
 
-q("x15_text_regions", "nation", _striped, "SELECT n_nationkey, 1 AS n FROM {nation}")
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Images of SIDE by SIDE pixels on light ground, by a key: a block of dark stripes whose size and place vary, a banner, and a
+    block whose gray lies just below or at the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in batch.column(0).to_pylist():
+                image = np.full((SIDE, SIDE, 3), 240, np.uint8)
+                for x, y, w, h, level in ((10, 90, 40 + k % 30 * 2, 15 + k % 17, k % 100), (10, 4 if k % 2 else 70, 200, 6, 20), (140, 110, 60, 30, 171 + k % 3 % 2)):
+                    image[y : y + h, x : x + w : 2] = level
+                out.append(image.tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["key", "pixels"])
+
+    return rows.mapInArrow(run, "key long, pixels binary")
+
+
+def _found(suppliers: DataFrame) -> DataFrame:
+    made = _drawn(suppliers.select("s_suppkey"))
+    return made.select("key", F.posexplode(images.regions(c("pixels"), F.lit(SIDE), F.lit(SIDE)))).select("key", "pos", "col.*")
+
+
+# A block of w by h stripes at x, y has edges from x - 1 and y - 1 on; the banner is too flat beyond the top quarter; gray from 171.4 on turns white.
+_BLOCKS = """b AS (SELECT s_suppkey AS key, 9 AS x, 89 AS y, 40 + s_suppkey % 30 * 2 AS w, 16 + s_suppkey % 17 AS h, 1 AS k FROM {supplier}
+  UNION ALL SELECT s_suppkey, 9, CASE WHEN s_suppkey % 2 = 1 THEN 3 ELSE 69 END, 200, 7, 2 FROM {supplier} UNION ALL SELECT s_suppkey, 139, 109, 60, 31, 3 FROM {supplier} WHERE s_suppkey % 3 % 2 = 0)"""
+
+q("x15_text_regions", "supplier", _found, f"""WITH {_BLOCKS}
+  SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY w * h DESC, y) - 1 AS INT) AS pos, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h, w >= 60 AND h >= 25 AND NOT (w > 25 * h AND y >= 64) AS read FROM b""")
+q("x17_preprocessed", "supplier", lambda s: _drawn(s.select("s_suppkey")).select("key", images.gray_counts(c("pixels")).alias("black")),
+  "SELECT s_suppkey AS key, CAST((20 + s_suppkey % 30) * (15 + s_suppkey % 17) + 600 + CASE WHEN s_suppkey % 3 % 2 = 0 THEN 900 ELSE 0 END AS BIGINT) AS black FROM {supplier}")
 
 
 @query("snk1_export", standalone("SELECT id, name FROM {deals} WHERE id IN (1, 2, 3)"))

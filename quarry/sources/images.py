@@ -1,70 +1,133 @@
-"""Page images: gray levels, contrast, threshold, and regions that hold text."""
+"""Page images before their text is recognised: gray levels, contrast and threshold, regions of dense edges, and which are worth reading."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-REGION = "array<struct<x:int,y:int,w:int,h:int>>"
-
-
-def binarized(rgb: np.ndarray) -> np.ndarray:
-    """Luma, contrast 1.2 around 128, threshold 180."""
-    gray = rgb[..., :3].astype(float) @ np.array([0.299, 0.587, 0.114])
-    return np.where((gray - 128) * 1.2 + 128 >= 180, 255, 0).astype(np.uint8)
-
-
-def labels(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 4-connected parts of a mask: each cell takes the least number of its neighbours until none changes."""
-    ids = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(np.where(mask, ids, mask.size + 1), 1, constant_values=mask.size + 1)
-        least = np.minimum.reduce([padded[1:-1, 1:-1], padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
-        new = np.where(mask, least, 0)
-        if (new == ids).all():
-            return ids
-        ids = new
-
-
-def text_regions(gray: np.ndarray, side: int = 256, edge: int = 40, least: int = 20, gap: int = 4, most: int = 12) -> list[tuple[int, int, int, int]]:
-    """Boxes (x, y, w, h) of dense edges, largest first: on a downscaled image, near ones merged, the footer left out."""
-    step = max(1, -(-max(gray.shape) // side))
-    small = gray[::step, ::step].astype(int)
-    gx, gy = np.abs(np.diff(small, axis=1, append=small[:, -1:])), np.abs(np.diff(small, axis=0, append=small[-1:]))
-    ids = labels(np.maximum(gx, gy) > edge)
-    boxes = []
-    for k in np.unique(ids[ids > 0]):
-        ys, xs = np.nonzero(ids == k)
-        if len(ys) >= least:
-            boxes.append([xs.min(), ys.min(), xs.max() + 1, ys.max() + 1])
-    merged = True
-    while merged:
-        merged = False
-        for i in range(len(boxes)):
-            for j in range(i + 1, len(boxes)):
-                a, b = boxes[i], boxes[j]
-                if a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]:
-                    boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                    del boxes[j]
-                    merged = True
-                    break
-            if merged:
-                break
-    kept = [b for b in boxes if b[1] < small.shape[0] * 0.92]
-    kept.sort(key=lambda b: -(b[2] - b[0]) * (b[3] - b[1]))
-    return [(int(b[0] * step), int(b[1] * step), int((b[2] - b[0]) * step), int((b[3] - b[1]) * step)) for b in kept[:most]]
-
-
-def regions(pixels: Column, width: Column, height: Column) -> Column:
-    """Text regions of gray images (bytes, width, height), in Arrow batches."""
+REGION = "array<struct<x:int,y:int,w:int,h:int,read:boolean>>"
+#: Regions of an image at most: the largest.
+MOST = 12
+_LUMA = (0.299, 0.587, 0.114)
+
+
+def luma(rgb: np.ndarray) -> np.ndarray:
+    r, g, b = (rgb[..., i].astype(float) for i in range(3))
+    return _LUMA[0] * r + _LUMA[1] * g + _LUMA[2] * b
+
+
+def binarized(rgb: np.ndarray, contrast: float = 1.2, threshold: float = 180) -> np.ndarray:
+    """Gray levels with a linear contrast around 128, black below the threshold and white from it on."""
+    stretched = np.clip((luma(rgb) - 128) * contrast + 128, 0, 255)
+    return np.where(stretched >= threshold, 255, 0).astype(np.uint8)
+
+
+def parts(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The 4-connected parts of a mask in the order of their first cells by row: x, y, w, h and number of cells.
+
+    Two passes: runs of a row that touch runs of the row above are joined (union-find, the earlier run stays the root);
+    then each root sums its runs up. Work grows with the number of runs, not with that of cells times a part's extent.
+    """
+    padded = np.pad(mask.astype(np.int8), ((0, 0), (1, 1)))
+    step = np.diff(padded, axis=1)
+    rows, starts = np.nonzero(step == 1)
+    stops = np.nonzero(step == -1)[1]
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1)).tolist()
+    s, e = starts.tolist(), stops.tolist()
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if s[i] < e[j] and s[j] < e[i]:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            if e[i] <= e[j]:
+                i += 1
+            else:
+                j += 1
+    boxes: dict[int, list[int]] = {}
+    for i, y in enumerate(rows.tolist()):
+        box = boxes.setdefault(root(i), [s[i], y, e[i], y + 1, 0])
+        box[0], box[2], box[3] = min(box[0], s[i]), max(box[2], e[i]), y + 1
+        box[4] += e[i] - s[i]
+    return [(x, y, right - x, bottom - y, n) for x, y, right, bottom, n in (boxes[k] for k in sorted(boxes))]
+
+
+def merged(boxes: list[tuple[int, int, int, int]], gap: int = 4) -> list[tuple[int, int, int, int]]:
+    """Each box goes into the first earlier one that is within gap of it, which grows; else it stays its own. One pass."""
+    out = np.zeros((len(boxes), 4), np.int64)  # left, top, right, bottom
+    n = 0
+    for x, y, w, h in boxes:
+        o = out[:n]
+        near = np.flatnonzero((x <= o[:, 2] + gap) & (o[:, 0] <= x + w + gap) & (y <= o[:, 3] + gap) & (o[:, 1] <= y + h + gap))
+        box = (x, y, x + w, y + h)
+        if len(near):
+            k = near[0]
+            out[k] = [*np.minimum(out[k, :2], box[:2]), *np.maximum(out[k, 2:], box[2:])]
+        else:
+            out[n] = box
+            n += 1
+    return [(a, b, c - a, d - b) for a, b, c, d in out[:n].tolist()]
+
+
+def text_regions(gray: np.ndarray, side: int = 256, edge: float = 40, least: int = 20, gap: int = 4, most: int = MOST) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) of dense edges, the largest first.
+
+    The image is sampled down to side; a sample is an edge if its pixel differs from those right of and below it by more than edge in
+    all. Parts of least samples are merged and scaled back; boxes under 3 % of the width or 2 % of the height, over 95 % or
+    half of it, or that reach into the last 12 % are left out.
+    """
+    height, width = gray.shape
+    scale = max(1.0, max(width, height) / side)
+    xs = np.minimum(width - 1, np.floor(np.arange(max(16, math.floor(width / scale))) * scale).astype(int))
+    ys = np.minimum(height - 1, np.floor(np.arange(max(16, math.floor(height / scale))) * scale).astype(int))
+    g = gray.astype(float)
+    here = g[np.ix_(ys, xs)]
+    change = np.abs(here - g[np.ix_(ys, np.minimum(width - 1, xs + 1))]) + np.abs(here - g[np.ix_(np.minimum(height - 1, ys + 1), xs)])
+    boxes = merged([p[:4] for p in parts(change > edge) if p[4] >= least], gap)
+    scaled = [(math.floor(x * scale), math.floor(y * scale), min(width, math.ceil(w * scale)), min(height, math.ceil(h * scale))) for x, y, w, h in boxes]
+    kept = [b for b in scaled if width * 0.03 <= b[2] <= width * 0.95 and height * 0.02 <= b[3] <= height * 0.5 and b[1] + b[3] < height * 0.88]
+    return sorted(kept, key=lambda b: -b[2] * b[3])[:most]
+
+
+def readable(x: int, y: int, w: int, h: int, height: int) -> bool:
+    """Whether a region is worth reading: not tiny, and not like a banner unless it is in the top quarter."""
+    return w >= 60 and h >= 25 and not (w / max(1, h) > 25 and y >= height * 0.25)
+
+
+def regions(pixels: Column, width: Column, height: Column, preprocess: bool = True) -> Column:
+    """Text regions of images (rows of red, green and blue bytes), in Arrow batches. None for a null or empty image, or one of another
+    size than it says."""
 
     def find(p: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
         out = []
         for raw, x, y in zip(p, w, h, strict=True):
-            gray = np.frombuffer(raw, np.uint8).reshape(int(y), int(x))
-            out.append([{"x": a, "y": b, "w": c, "h": d} for a, b, c, d in text_regions(gray)])
+            if raw is None or pd.isna(x) or pd.isna(y) or len(raw) != 3 * int(x) * int(y) or not len(raw):
+                out.append(None)
+                continue
+            rgb = np.frombuffer(raw, np.uint8).reshape(int(y), int(x), 3)
+            gray = binarized(rgb) if preprocess else luma(rgb)
+            out.append([{"x": a, "y": b, "w": c, "h": d, "read": readable(a, b, c, d, int(y))} for a, b, c, d in text_regions(gray)])
         return pd.Series(out)
 
     return pandas_udf(find, REGION)(pixels, width, height)
+
+
+def gray_counts(pixels: Column) -> Column:
+    """Black pixels of an image after preprocessing."""
+
+    def count(p: pd.Series) -> pd.Series:
+        return pd.Series([None if raw is None else int((binarized(np.frombuffer(raw, np.uint8).reshape(-1, 3)) == 0).sum()) for raw in p], dtype="Int64")
+
+    return pandas_udf(count, "long")(pixels)

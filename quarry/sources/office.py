@@ -1,7 +1,7 @@
 """Readers of office files: binary files in, rows out. Standard library zip and XML only, one file at a time in a task.
 
 A file that can't be read gives one row with its error, so that one bad upload doesn't end a job. Formats whose
-libraries aren't installed (PDF, images with text) go through adapters, which say so.
+libraries aren't installed (images with text) go through adapters, which say so.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_type
+from .pdf import read_pdf
 
 UPLOAD_LIMIT = 50 * 1024 * 1024
 SCHEMA = "path string, kind string, part int, name string, level int, text string, row string, error string"
@@ -112,7 +113,7 @@ def unavailable(what: str) -> Callable[[bytes], Iterator[dict]]:
 
 #: Readers by kind; register another to support a format.
 READERS: dict[str, Callable[[bytes], Iterator[dict]]] = {
-    "word": read_word, "powerpoint": read_slides, "excel": read_workbook, "pdf": unavailable("PDF"), "image": unavailable("OCR"),
+    "word": read_word, "powerpoint": read_slides, "excel": read_workbook, "pdf": read_pdf, "image": unavailable("OCR"),
 }
 
 
