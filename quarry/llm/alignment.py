@@ -2,8 +2,10 @@
 
 Every text is tokenised whole by both, A with the space before it that B adds. Byte offsets at which tokens of both end cut the tokens
 into groups. Where such a shared end stands before tokens that both start with a space, it is an anchor; anchors split a text into windows
-of token ids, mostly words. Equal windows have equal groups and links, so windows are aligned once a batch at most: they are found equal by
-hashes of their ids, which are compared afterwards, and their alignments are kept by the ids as key while there are no more than MEMO.
+of token ids, mostly words. Texts are aligned some MB at a time, and there equal windows once: they are found equal by hashes of their id
+tuples, which are compared afterwards. Within windows every byte offset at which a token ends closes one link, as two tokens overlap
+in one piece; so links, groups and the groups' text come from sorted offsets, without a loop over tokens.
+
 An anchor is verified as the bytes of a window's A ids must be those of its B ids; a text with another window has no tokens.
 
 Within a text, B is encoded word by word, each word once a batch: for a model whose pieces hold no space mark after another character
@@ -24,7 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import mix64, prepare, stored, texts
 from .encoder import ROWS, PieceEncoder
 
-#: Window alignments, and words of either tokenizer, that a worker keeps.
-MEMO = 200_000
-WORDS = 100_000
+#: Words of either tokenizer that a worker keeps.
+WORDS = 60_000
+#: Bytes of text that are aligned at once: some hundred bytes of memory each. A longer text is aligned alone.
+GROUP_BYTES = 1 << 21
 #: Distinct pairs that a task adds up before it returns them.
 PENDING = 1 << 20
 #: Distinct id pairs whose counts are broadcast at most: 54 MB.
@@ -53,28 +57,37 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """values[starts[i] : starts[i] + counts[i]] of all i, joined."""
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """values[starts[i] : starts[i] + counts[i]] of all i, or of those in which, joined."""
+    if which is not None:
+        starts, counts = starts[which], counts[which]
     ends = np.cumsum(counts)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    return values[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+    kind = np.int32 if max(int(ends[-1]), len(values)) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    at += np.arange(ends[-1], dtype=kind)
+    return values[at]
 
 
-@dataclass
-class Vocabulary:
-    """The bytes of each id."""
+class Runs:
+    """Byte strings by number, to be joined by number."""
 
-    tokens: list[bytes]
-    size: np.ndarray = field(init=False)
-    spaced: np.ndarray = field(init=False)
+    def __init__(self, parts: list[bytes]):
+        self.size = np.array([len(t) for t in parts], np.int64)
+        self._begin = np.cumsum(self.size) - self.size
+        self._flat = np.frombuffer(b"".join(parts), np.uint8)
 
-    def __post_init__(self) -> None:
-        self.size = np.array([len(t) for t in self.tokens], np.int64)
-        self.spaced = np.array([t[:1] == b" " for t in self.tokens])
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return gathered(self._flat, self._begin[numbers], self.size[numbers])
+
+
+class Vocabulary(Runs):
+    """The bytes of each id."""
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def __init__(self, tokens: list[bytes]):
+        super().__init__(tokens)
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
 
 
 class PieceModel:
@@ -92,11 +105,25 @@ class PieceModel:
         plain = norm.name == "identity" and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
         self._by_word = plain and spec.model_type == spec.ModelType.BPE and not spec.treat_whitespace_as_suffix and not any(re.search("[^▁]▁", p.piece) for p in model.pieces)
         self.vocabulary = Vocabulary([bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p.piece)) else p.piece.replace("▁", " ").encode() for p in model.pieces])
-        self._memo: dict[str, tuple[np.ndarray, bool]] = {}
+        self._memo: dict[str, tuple[bytes, bool]] = {}
         self._capacity = capacity
 
-    def _direct(self, pieces: list[str]) -> list[tuple[np.ndarray, bool]]:
-        return [(np.array(ids, np.int64), self.vocabulary.joined(ids) == b" " + p.encode()) for p, ids in zip(pieces, self._sp.encode(pieces, num_threads=1), strict=True)]
+    def _direct(self, pieces: list[str]) -> list[tuple[bytes, bool]]:
+        """The ids of each piece, and whether their bytes are a space and the piece."""
+        if not pieces:
+            return []
+        lists = self._sp.encode(pieces, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+        stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        raw, cut = ids.tobytes(), (4 * stops).tolist()
+        out = [raw[s:e] for s, e in zip([0, *cut], cut, strict=False)]
+        said, want = self.vocabulary.joined(ids), b"".join([b" " + p.encode() for p in pieces])
+        if said.tobytes() == want:
+            upto = np.cumsum(self.vocabulary.size[ids])
+            at = np.concatenate(([0], upto))[stops]
+            if (at == np.cumsum([1 + len(p.encode()) for p in pieces])).all():
+                return [(x, True) for x in out]
+        return [(x, self.vocabulary.joined(np.frombuffer(x, "<u4")).tobytes() == b" " + p.encode()) for x, p in zip(out, pieces, strict=True)]
 
     def encode(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number of each text's, and whether their bytes are a space and the text."""
@@ -111,82 +138,76 @@ class PieceModel:
             found[i] = x
         if len(self._memo) < self._capacity:
             self._memo.update((words[i], found[i]) for i in new if len(words[i]) <= 80)
-        runs, good = [x[0] for x in found], np.array([x[1] for x in found])
+        runs, good = Runs([x[0] for x in found]), np.array([x[1] for x in found])
         empty = np.array([not w or "▁" in w for w in words])
         first = offsets[:-1]
         whole = np.flatnonzero(np.add.reduceat(empty[number], first) > 0) if self._by_word else np.arange(len(texts_))
         sound = np.add.reduceat(~good[number], first) == 0
-        size = np.array([len(r) for r in runs], np.int64)
-        flat = np.concatenate(runs)
-        begin = np.cumsum(size) - size
-        per_word = size[number]
-        counts = np.add.reduceat(per_word, first)
-        ids = gathered(flat, begin[number], per_word)
+        counts = np.add.reduceat(runs.size[number], first) // 4
+        ids = runs.joined(number).view("<u4")
         if len(whole):
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, (got, ok) in zip(whole.tolist(), self._direct([texts_[i].as_py() for i in whole.tolist()]), strict=True):
-                parts[i], counts[i], sound[i] = got, len(got), ok
+                parts[i], sound[i] = np.frombuffer(got, "<u4"), ok
+                counts[i] = len(parts[i])
             ids = np.concatenate(parts)
-        return ids, counts, sound
+        return ids.astype(np.int64), counts, sound
 
 
 class Aligner:
-    """Both tokenizers and the windows aligned so far, one a worker."""
+    """Both tokenizers, one a worker."""
 
-    def __init__(self, byte_path: str, piece_path: str, memo: int = MEMO):
+    def __init__(self, byte_path: str, piece_path: str):
         self.a = PieceEncoder(byte_path, WORDS, plain=True)
         self.b = PieceModel(piece_path)
         characters = byte_of_character()
-        vocab = self.a.tokens()
-        self.bytes_a = Vocabulary([bytes(characters[c] for c in t) if all(c in characters for c in t) else t.encode() for t in vocab])
+        self.bytes_a = Vocabulary([bytes(characters[c] for c in t) if all(c in characters for c in t) else t.encode() for t in self.a.tokens()])
         self.bytes_b = self.b.vocabulary
-        self.width = len(self.bytes_b.tokens)
-        self._memo: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray, bool]] = {}
-        self._capacity = memo
-
-    def window(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray, bool]:
-        """Groups as text, their number, linked pairs as a * width + b, and whether both have the same bytes."""
-        groups, pairs, i, j, at_a, at_b = [], [], 0, 0, 0, 0
-        from_i = from_j = 0
-        size_a, size_b = self.bytes_a.size, self.bytes_b.size
-        while i < len(a) and j < len(b):
-            pairs.append(a[i] * self.width + b[j])
-            end_a, end_b = at_a + int(size_a[a[i]]), at_b + int(size_b[b[j]])
-            if end_a <= end_b:
-                i, at_a = i + 1, end_a
-            if end_b <= end_a:
-                j, at_b = j + 1, end_b
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                from_i, from_j = i, j
-        sound = i == len(a) and j == len(b) and self.bytes_a.joined(a) == self.bytes_b.joined(b)
-        return ";".join(groups), len(groups), np.array(pairs, np.int64), sound
-
-    def _aligned(self, ids_a: np.ndarray, ids_b: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[tuple[str, int, np.ndarray, bool]]]:
-        """Which alignment each window has, and the alignments. a, b: starts and lengths of windows in ids."""
-        marks = np.zeros(len(a[0]), np.uint64)
-        for salt, (ids, (start, size)) in enumerate(((ids_a, a), (ids_b, b))):
-            within = np.arange(len(ids)) - np.repeat(start, size)
-            marks ^= mix64(np.add.reduceat(mix64((ids + (within << 20)).astype(np.uint64)), start) + np.uint64(salt))
+        self.width = len(self.bytes_b.size)
+        # Each id with what follows it in the text of groups: even numbers within a side's tokens, odd ones at its end.
+        self._said = Runs([b"%d%c" % (i, x) for n, marks in ((len(self.bytes_a.size), b",|"), (self.width, b",;")) for i in range(n) for x in marks])
+
+    def _distinct(self, ids_a: np.ndarray, ids_b: np.ndarray, a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each window's id tuples, and a window of each number."""
+        marks = np.zeros(len(a.start), np.uint64)
+        for salt, (ids, w) in enumerate(((ids_a, a), (ids_b, b))):
+            within = np.arange(len(ids)) - np.repeat(w.start, w.size)
+            marks ^= mix64(np.add.reduceat(mix64((ids + (within << 20)).astype(np.uint64)), w.start) + np.uint64(salt))
         _, chosen, kind = np.unique(marks, return_index=True, return_inverse=True)
-        for ids, (start, size) in ((ids_a, a), (ids_b, b)):
-            like = chosen[kind]
-            if (size != size[like]).any() or (gathered(ids, start[like], size) != ids).any():  # two windows of one hash
-                keys = [(ids_a[s:e].tobytes(), ids_b[t:f].tobytes()) for s, e, t, f in zip(a[0], a[0] + a[1], b[0], b[0] + b[1], strict=True)]
+        like = chosen[kind]
+        for ids, w in ((ids_a, a), (ids_b, b)):
+            if (w.size != w.size[like]).any() or (gathered(ids, w.start[like], w.size) != ids).any():  # two windows of one hash
+                keys = [(ids_a[s : s + m].tobytes(), ids_b[t : t + n].tobytes()) for s, m, t, n in zip(a.start, a.size, b.start, b.size, strict=True)]
                 numbers: dict[tuple[bytes, bytes], int] = {}
                 kind = np.array([numbers.setdefault(k, len(numbers)) for k in keys])
-                _, chosen = np.unique(kind, return_index=True)
-                break
-        done = []
-        for w in chosen.tolist():
-            one, other = ids_a[a[0][w] : a[0][w] + a[1][w]], ids_b[b[0][w] : b[0][w] + b[1][w]]
-            key = (one.tobytes(), other.tobytes())
-            if (found := self._memo.get(key)) is None:
-                found = self.window(one.tolist(), other.tolist())
-                if len(self._memo) < self._capacity and len(one) + len(other) <= 64:
-                    self._memo[key] = found
-            done.append(found)
-        return kind, done
+                return kind, np.unique(kind, return_index=True)[1]
+        return kind, chosen
+
+    def aligned(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Windows:
+        """Windows, whose ids are joined, with as many bytes on either side."""
+        n = len(size_a)
+        said_a, said_b = self.bytes_a.joined(ids_a), self.bytes_b.joined(ids_b)
+        ends_a, ends_b = np.cumsum(self.bytes_a.size[ids_a]), np.cumsum(self.bytes_b.size[ids_b])
+        window_ends = ends_a[np.cumsum(size_a) - 1]
+        sound = np.ones(n, bool)
+        sound[np.searchsorted(window_ends, np.flatnonzero(said_a != said_b), "right")] = False
+        seen = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        seen[ends_a] = 1
+        seen[ends_b] |= 2
+        ends = np.flatnonzero(seen)
+        at_a = np.searchsorted(ends_a, ends)
+        of = np.repeat(np.arange(n), size_a)[at_a]
+        shared = ends[seen[ends] == 3]
+        # Tokens by group, A's before B's.
+        group = [np.searchsorted(shared, e) for e in (ends_a, ends_b)]
+        last = [shared[g] == e for g, e in zip(group, (ends_a, ends_b), strict=True)]
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
+        said = np.concatenate((2 * ids_a + last[0], 2 * (len(self.bytes_a.size) + ids_b) + last[1]))[order]
+        window = np.concatenate((np.repeat(np.arange(n), size_a), np.repeat(np.arange(n), size_b)))[order]
+        letters = np.bincount(window, weights=self._said.size[said], minlength=n).astype(np.int64)
+        groups = np.bincount(np.repeat(np.arange(n), size_a)[np.searchsorted(ends_a, shared)], minlength=n)
+        pairs = ids_a[at_a] * self.width + ids_b[np.searchsorted(ends_b, ends)]
+        return Windows(sound, groups, np.bincount(of, minlength=n), pairs, letters, self._said.joined(said))
 
     def batch(self, texts_: pa.Array) -> Batch:
         """The alignment of each text."""
@@ -205,6 +226,7 @@ class Aligner:
             of_a, of_b = np.repeat(np.arange(len(kept)), n_a), np.repeat(np.arange(len(kept)), n_b)
             total = [np.bincount(of, weights=v.size[i], minlength=len(kept)) for of, v, i in ((of_a, self.bytes_a, ids_a), (of_b, self.bytes_b, ids_b))]
             sound &= total[0] == total[1]
+            del raw
             self._windows(out, kept, ids_a[sound[of_a]], ids_b[sound[of_b]], of_a[sound[of_a]], of_b[sound[of_b]])
         return out
 
@@ -222,10 +244,11 @@ class Aligner:
         seen[ends_b[opens_b]] |= 8
         stop_a, stop_b = np.flatnonzero(seen[ends_a] == 15) + 1, np.flatnonzero(seen[ends_b] == 15) + 1
         del seen
-        a, b = ((np.concatenate(([0], s[:-1])), np.diff(s, prepend=0)) for s in (stop_a, stop_b))
-        doc = of_a[a[0]]
-        kind, done = self._aligned(ids_a, ids_b, a, b)
-        bad = np.array([not x[3] for x in done])[kind]
+        a, b = (Spans(np.concatenate(([0], s[:-1])), np.diff(s, prepend=0)) for s in (stop_a, stop_b))
+        doc = of_a[a.start]
+        kind, chosen = self._distinct(ids_a, ids_b, a, b)
+        w = self.aligned(gathered(ids_a, a.start[chosen], a.size[chosen]), gathered(ids_b, b.start[chosen], b.size[chosen]), a.size[chosen], b.size[chosen])
+        bad = ~w.sound[kind]
         if bad.any():
             keep = ~np.isin(doc, doc[bad])
             doc, kind = doc[keep], kind[keep]
@@ -234,28 +257,45 @@ class Aligner:
             of_a, of_b = of_a[alive[of_a]], of_b[alive[of_b]]
         if not len(doc):
             return
-        groups, many = np.array([x[1] for x in done], np.int64), np.array([len(x[2]) for x in done], np.int64)
         size = len(kept)
         out.n_a[kept], out.n_b[kept] = np.bincount(of_a, minlength=size), np.bincount(of_b, minlength=size)
-        out.n_groups[kept] = np.bincount(doc, weights=groups[kind], minlength=size).astype(np.int64)
-        out.n_links[kept] = np.bincount(doc, weights=many[kind], minlength=size).astype(np.int64)
-        parts = [x[0] for x in done]
+        for to, each in ((out.n_groups, w.groups), (out.n_links, w.links)):
+            to[kept] = np.bincount(doc, weights=each[kind], minlength=size).astype(np.int64)
+        said = gathered(w.said, np.cumsum(w.letters) - w.letters, w.letters, kind).tobytes()
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        number = kind.tolist()
-        for d, s, e in zip(kept[doc[first]].tolist(), first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
-            out.sha[d] = hashlib.sha256(";".join([parts[k] for k in number[s:e]]).encode()).hexdigest()
+        upto = np.cumsum(np.add.reduceat(w.letters[kind], first)).tolist()
+        for d, s, e in zip(kept[doc[first]].tolist(), [0, *upto], upto, strict=False):
+            out.sha[d] = hashlib.sha256(said[s : e - 1]).hexdigest()
         # Windows are counted within each text first, then their pairs.
-        once, times = np.unique(doc * len(done) + kind, return_counts=True)
-        d, k = once // len(done), once % len(done)
-        flat = np.concatenate([x[2] for x in done])
-        begin = np.cumsum(many) - many
-        key = np.repeat(d << 32, many[k]) | gathered(flat, begin[k], many[k])
+        once, times = np.unique(doc * len(chosen) + kind, return_counts=True)
+        d, k = once // len(chosen), once % len(chosen)
+        key = np.repeat(d << 32, w.links[k]) | gathered(w.pairs, np.cumsum(w.links) - w.links, w.links, k)
         order = np.argsort(key)
-        key, times = key[order], np.repeat(times, many[k])[order]
+        key, times = key[order], np.repeat(times, w.links[k])[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         out.doc, out.pair, out.times = kept[key[at] >> 32], key[at] & 0xFFFFFFFF, np.add.reduceat(times, at)
 
 
+@dataclass
+class Spans:
+    """Starts and lengths of windows in an array of ids."""
+
+    start: np.ndarray
+    size: np.ndarray
+
+
+@dataclass
+class Windows:
+    """Of each window whether both sides have the same bytes, and its groups, links and letters; the pairs and letters of all, joined."""
+
+    sound: np.ndarray
+    groups: np.ndarray
+    links: np.ndarray
+    pairs: np.ndarray
+    letters: np.ndarray
+    said: np.ndarray
+
+
 @dataclass
 class Batch:
     """Figures by text; and by text and distinct pair (in the order of texts) how often it is linked there."""
@@ -300,12 +340,22 @@ def _counted(pair: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([columns.get(f.name, pa.nulls(len(stops) - 1, f.type)) for f in _ARROW], schema=_ARROW)
 
 
+def _grouped(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about GROUP_BYTES."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + GROUP_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _align(byte_path: str, piece_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_both = aligner(byte_path, piece_path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, number = 0, TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in _grouped(whole)):
             x = with_both.batch(batch.column("text"))
             stops = np.searchsorted(x.doc, np.arange(batch.num_rows + 1))
             # Sorted pairs of a text as differences: they compress.

@@ -95,8 +95,3 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     x = with_both.batch(pa.array(["one two three", "three two one one"]))
     assert [(a, b, c) for a, b, c in zip(x.n_a, x.n_b, x.n_links, strict=True)] == [r[1:3] + (r[4],) for r in plain([(0, "one two three"), (1, "three two one one")])]
 
-
-def test_memo_keeps_no_more_than_it_may():
-    with_both = alignment.Aligner(BYTE, PIECE, memo=2)
-    with_both.batch(pa.array(["a few different words in one text"]))
-    assert len(with_both._memo) <= 2
