@@ -5,13 +5,15 @@ Format, all Parquet, below one folder:
                    zstandard frame of the ids as uint16 or uint32); each distinct chunk once
   recipes          one row per document in ascending doc_id order over segments (files): segment, local_start (ids
                    before it in its segment), position (in its segment), doc_id, n_tokens, leaf (16-byte BLAKE2b of
-                   the recipe), digests and lens of its chunks in order
+                   the recipe with its doc_id), digests and lens of its chunks in order
   manifest         Merkle tree over the leaves: level, node, hash (SHA-256 of up to FANOUT children); one root
 
 Chunks end where a rolling gear hash over the ids has zero high bits, so equal passages give equal chunks wherever
 they stand. Plans: one pass encodes; one exchange, keyed by chunk (or by document for recipes), carries compressed
 chunks that each task has already made distinct; ids are never gathered per document. Reading back verifies every
 stored chunk against its key and every recipe against its leaf, and combines the chunks' checksums, so that payloads aren't shuffled again.
+A level of the manifest is built, and verified, from the written level below it. A chunk that isn't there, or a segment that has lost a
+recipe, ends the read with an error; a segment lost as a whole, like any other change of the leaves, fails the manifest.
 
 Defined results: a null text is empty and gives the end id alone; rows that repeat a doc_id stay separate rows, in
 order of their leaves; a null doc_id comes first; an empty table gives an empty store whose manifest has no row.
@@ -46,8 +48,8 @@ def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def leaf(digests: list[bytes], lens: list[int]) -> bytes:
-    return _digest(b"".join(digests) + np.array(lens, dtype="<u4").tobytes())
+def leaf(digests: list[bytes], lens: list[int], doc_id: int | None) -> bytes:
+    return _digest(b"".join(digests) + np.array(lens, dtype="<u4").tobytes() + f"{doc_id}".encode())
 
 
 def pack(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
@@ -91,7 +93,7 @@ def _encode(path: str, end_id: int, memo: int) -> Callable[[Iterator[pa.RecordBa
                         seen.add(key)
                         add(0, int.from_bytes(key[:8], "little", signed=True), key, pack(chunk, comp), None, None, None)
                     a = b
-                key = leaf(digests, lens)
+                key = leaf(digests, lens, doc_id)
                 route = int.from_bytes(hashlib.blake2b(f"{doc_id}".encode() + key, digest_size=8).digest(), "little", signed=True)
                 add(1, route, key, None, doc_id, digests, lens)
                 start = end_at
@@ -138,17 +140,19 @@ def write_store(docs: DataFrame, tokenizer_path: str, root: str, end_id: int = E
         .withColumn("segment", F.spark_partition_id())
     )
     recipes.mapInArrow(_place, _RECIPE).write.parquet(f"{root}/recipes")
-    nodes = None
-    for level, nodes in enumerate(_levels(read_recipes(spark, root, verify=False))):
-        nodes.select(F.lit(level).alias("level"), "node", "hash").write.mode("append").parquet(f"{root}/manifest")
+    leaves = read_recipes(spark, root, verify=False)
+    count, level, nodes = leaves.count(), 0, _leaves(leaves)
+    while count > 0:
+        _above(nodes).write.parquet(f"{root}/manifest/level={level}")
+        nodes, level, count = _level(spark, root, level), level + 1, -(-count // FANOUT) if count > FANOUT else 0
     return root
 
 
 def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("leaf", "digests", "lens", "n_tokens"))
-        for key, digests, lens, n in zip(*columns, strict=True):
-            if leaf(digests, lens) != key or sum(lens) != n:
+        columns = (batch.column(n).to_pylist() for n in ("leaf", "digests", "lens", "doc_id", "n_tokens"))
+        for key, digests, lens, doc_id, n in zip(*columns, strict=True):
+            if leaf(digests, lens, doc_id) != key or sum(lens) != n:
                 raise ValueError(f"recipe {key.hex()} doesn't match its leaf")
         ends = pa.array([np.cumsum(x) for x in batch.column("lens").to_pylist()], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([*batch.columns, ends], names=[*batch.schema.names, "ends"])
@@ -162,7 +166,10 @@ def read_recipes(spark: SparkSession, root: str, verify: bool = True) -> DataFra
     """
     stored = spark.read.schema(_RECIPE).parquet(f"{root}/recipes")
     recipes = stored.mapInArrow(_sound, f"{_RECIPE}, ends array<long>") if verify else stored
-    totals = stored.groupBy("segment").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("c"))
+    found = stored.groupBy("segment").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("c"), F.max("position").alias("p"), F.max(F.col("local_start") + F.col("n_tokens")).alias("e"))
+    lost = (F.col("c") != F.col("p") + 1) | (F.col("s") != F.col("e"))
+    failed = F.raise_error(F.lit("a segment has lost recipes")).cast("long")
+    totals = found.select("segment", *[F.when(lost, failed).otherwise(F.col(n)).alias(n) for n in ("s", "c")])
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "segment", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("docs_before")
@@ -172,33 +179,38 @@ def read_recipes(spark: SparkSession, root: str, verify: bool = True) -> DataFra
     )
 
 
-def _levels(recipes: DataFrame) -> Iterator[DataFrame]:
-    """The Merkle tree from the lowest level to the root; a group has FANOUT members at most."""
-    count = recipes.count()
-    nodes = recipes.select(F.col("place").alias("node"), F.hex("leaf").alias("hash"))
-    while count > 0:
-        members = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        nodes = (
-            nodes.groupBy(F.floor(F.col("node") / FANOUT).cast("long").alias("up"))
-            .agg(members.alias("m"))
-            .select(F.col("up").alias("node"), F.sha2(F.concat_ws("", F.transform("m", lambda x: x["hash"])), 256).alias("hash"))
-        )
-        yield nodes
-        if count <= FANOUT:
-            return
-        count = -(-count // FANOUT)
+def _leaves(recipes: DataFrame) -> DataFrame:
+    return recipes.select(F.col("place").alias("node"), F.hex("leaf").alias("hash"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """The level of the tree above nodes (node, hash); a group has FANOUT members at most."""
+    members = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    up = nodes.groupBy(F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(members.alias("m"))
+    return up.select(F.col("up").alias("node"), F.sha2(F.concat_ws("", F.transform("m", lambda x: x["hash"])), 256).alias("hash"))
+
+
+def _level(spark: SparkSession, root: str, level: int) -> DataFrame:
+    return spark.read.schema("node long, hash string").parquet(f"{root}/manifest/level={level}")
 
 
 def verify_manifest(spark: SparkSession, root: str) -> str | None:
-    """Recompute the tree from the stored recipes; the root hash if it is the manifest's."""
-    found = None
-    for level, nodes in enumerate(_levels(read_recipes(spark, root))):
-        kept = spark.read.parquet(f"{root}/manifest").filter(F.col("level") == level).select("node", F.col("hash").alias("kept"))
-        bad = nodes.join(kept, "node", "full").filter(~F.col("hash").eqNullSafe(F.col("kept"))).limit(1).count()
+    """Compare the stored recipes with the lowest level of the manifest, and each level with the next; the root hash if all agree."""
+    leaves = read_recipes(spark, root)
+    count, level, nodes = leaves.count(), 0, _leaves(leaves)
+    if not count:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            raise ValueError("the manifest has leaves, but there are no recipes")
+        return None
+    while True:
+        kept = _level(spark, root, level)
+        bad = _above(nodes).join(kept.withColumnRenamed("hash", "kept"), "node", "full").filter(~F.col("hash").eqNullSafe(F.col("kept"))).limit(1).count()
         if bad:
             raise ValueError(f"the manifest and the recipes differ at level {level}")
-        found = nodes
-    return found.first()["hash"] if found is not None else None
+        if count <= FANOUT:
+            return kept.first()["hash"]
+        nodes, level, count = kept, level + 1, -(-count // FANOUT)
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +275,9 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     recipes = read_recipes(spark, root)
     refs = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("ends").alias("end"))).alias("c"))
     refs = refs.select("doc_id", "start", "n_tokens", F.col("c.digest").alias("digest"), ((F.col("n_tokens") - F.col("c.end")) * 4).alias("after"))
-    parts = refs.join(read_chunks(spark, root), "digest").select("doc_id", "start", "n_tokens", "size", pandas_udf(_shifted, "long")("crc", "after").alias("part"))
+    found = refs.join(read_chunks(spark, root), "digest", "left")
+    crc = F.when(F.col("crc").isNull(), F.raise_error(F.concat(F.lit("there is no chunk "), F.hex("digest"))).cast("long")).otherwise(F.col("crc"))
+    parts = found.select("doc_id", "start", "n_tokens", "size", pandas_udf(_shifted, "long")(crc, "after").alias("part"))
     docs = parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("size").alias("read"))
     whole = F.when(F.col("read") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document is incomplete")).cast("long"))
     return docs.select("doc_id", "start", whole.alias("n_tokens"), "ids_crc32")
@@ -274,12 +288,18 @@ def reconstruct(spark: SparkSession, root: str) -> DataFrame:
     prepare(spark)
     refs = read_recipes(spark, root).select("doc_id", "start", F.posexplode("digests").alias("seq", "key"))
     chunks = spark.read.schema("key binary, payload binary, kind int").parquet(f"{root}/objects").filter("kind = 0").select("key", "payload")
-    whole = refs.join(chunks, "key").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    whole = refs.join(chunks, "key", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
 
     @pandas_udf("binary")
     def joined(parts: pd.Series) -> pd.Series:
         decomp = zstandard.ZstdDecompressor()
-        return parts.map(lambda p: b"".join(unpack(x["payload"], decomp) for x in p))
+
+        def one(p: list) -> bytes:
+            if any(x["payload"] is None for x in p):
+                raise ValueError("there is no chunk for a part of a document")
+            return b"".join(unpack(x["payload"], decomp) for x in p)
+
+        return parts.map(one)
 
     return whole.select("doc_id", "start", joined(F.col("parts")).alias("ids"))
 

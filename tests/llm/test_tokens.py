@@ -1,5 +1,6 @@
 """Encoding, the token store, counts and packing against the libraries, and exact round trips."""
 
+import hashlib
 import random
 import zlib
 
@@ -37,7 +38,7 @@ def crc(raw):
 def expected_store(rows):
     out, start = [], 0
     whole = [(i, ids(t) + b"\0\0\0\0") for i, t in rows]
-    ordered = sorted(whole, key=lambda r: (r[0] is not None, r[0] or 0, token_store.leaf([token_store._digest(r[1])], [len(r[1]) // 4])))
+    ordered = sorted(whole, key=lambda r: (r[0] is not None, r[0] or 0, token_store.leaf([token_store._digest(r[1])], [len(r[1]) // 4], r[0])))
     for i, raw in ordered:
         out.append((i, start, len(raw) // 4, crc(raw)))
         start += len(raw) // 4
@@ -95,6 +96,67 @@ def test_changed_recipe_is_found(spark, tmp_path):
                 read(spark, root)
 
 
+def rewritten(spark, folder, change):
+    """Replace a folder's rows by what change makes of them."""
+    rows = spark.read.parquet(folder)
+    spark.createDataFrame(change(rows.collect()), rows.schema).write.mode("overwrite").parquet(folder)
+
+
+def lost(rows, keep):
+    return [r for i, r in enumerate(sorted(rows, key=str)) if i != keep]
+
+
+READS = (lambda s, r: token_store.read_store(s, r).collect(), lambda s, r: token_store.reconstruct(s, r).collect())
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} with words") for i in range(40)], "doc_id long, text string").coalesce(1)
+    return token_store.write_store(docs, BYTE, str(tmp_path / "s"))
+
+
+def test_swapped_documents_are_found(spark, store):
+    def swap(rows):
+        rows = sorted((list(r) for r in rows), key=lambda r: r[0])
+        rows[3][0], rows[5][0] = rows[5][0], rows[3][0]
+        return rows
+
+    rewritten(spark, f"{store}/recipes", swap)
+    for read in (token_store.verify_manifest, *READS):
+        with pytest.raises(Exception, match="match its leaf"):
+            read(spark, store)
+
+
+def test_lost_chunk_is_found(spark, store):
+    rewritten(spark, f"{store}/objects/kind=0", lambda rows: lost(rows, 7))
+    for read in READS:
+        with pytest.raises(Exception, match="there is no chunk"):
+            read(spark, store)
+
+
+@pytest.mark.parametrize("place", [0, 17, 39])
+def test_lost_recipe_is_found(spark, store, place):
+    rewritten(spark, f"{store}/recipes", lambda rows: [r for r in rows if r["position"] != place])
+    with pytest.raises(Exception, match="lost recipes|differ at level"):
+        token_store.verify_manifest(spark, store)
+    if place < 39:
+        with pytest.raises(Exception, match="lost recipes"):
+            token_store.read_store(spark, store).collect()
+
+
+def test_levels_are_built_from_written_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FANOUT", 3)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    root = token_store.write_store(docs, BYTE, str(tmp_path / "s"))
+    leaves = [r["leaf"].hex().upper() for r in token_store.read_recipes(spark, root).orderBy("place").collect()]
+    while len(leaves) > 1:
+        leaves = [hashlib.sha256("".join(leaves[i : i + 3]).encode()).hexdigest() for i in range(0, len(leaves), 3)]
+    assert token_store.verify_manifest(spark, root) == leaves[0]
+    rewritten(spark, f"{root}/manifest/level=1", lambda rows: [(r["node"], "0" * 64) for r in rows])
+    with pytest.raises(ValueError, match="differ at level 1"):
+        token_store.verify_manifest(spark, root)
+
+
 def test_empty_store(spark, none):
     root = token_store.write_store(none, BYTE, scratch(spark, "t"))
     assert token_store.read_store(spark, root).count() == 0
