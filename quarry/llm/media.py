@@ -151,6 +151,8 @@ def restore(digests: list[bytes], lens: list[int], frames: list[bytes], decomp:
     """The payload, each chunk verified against its digest."""
     parts = []
     for d, n, f in zip(digests, lens, frames, strict=True):
+        if f is None:
+            raise ValueError(f"there is no chunk {d.hex()}")
         part = decomp.decompress(f)
         if len(part) != n or hashlib.blake2b(part, digest_size=16).digest() != d:
             raise ValueError(f"chunk {d.hex()} doesn't match its digest")
@@ -183,7 +185,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_media(spark: SparkSession, root: str) -> DataFrame:
-    """One row per distinct payload with its ordered chunk list and all frames: media_key, digests, lens, frames."""
+    """One row per distinct payload with its ordered chunk list and all frames (null where the pool has lost one): media_key,
+    digests, lens, frames."""
     solo = spark.read.schema(f"{_MEDIA}, kind string").parquet(f"{root}/staged").filter("kind = 'solo'").drop("kind")
     rest = spark.read.schema("key binary, digests array<binary>, lens array<int>, frames array<binary>, part string").parquet(f"{root}/rest")
     media = rest.filter("part = 'media'").withColumnRenamed("key", "media_key").drop("part")
@@ -193,15 +196,22 @@ def read_media(spark: SparkSession, root: str) -> DataFrame:
     refs = gaps.select("media_key", F.posexplode(F.arrays_zip("digests", "frames")).alias("seq", "c")).filter("c.frames is null")
     found = refs.select("media_key", "seq", F.col("c.digests").alias("digest")).join(pool, "digest")
     found = found.groupBy("media_key").agg(F.map_from_entries(F.collect_list(F.struct("seq", "frame"))).alias("found"))
-    filled = gaps.join(found, "media_key").withColumn("frames", F.transform("frames", lambda f, i: F.coalesce(f, F.try_element_at(F.col("found"), i)))).drop("found")
+    filled = gaps.join(found, "media_key", "left").withColumn("frames", F.transform("frames", lambda f, i: F.coalesce(f, F.try_element_at(F.col("found"), i)))).drop("found")
     return solo.unionByName(media.filter(whole)).unionByName(filled)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Store every payload, read the stored bytes back, and return each document's values."""
     spark = prepare(docs.sparkSession)
-    root = write_media(docs, scratch(spark, "media"))
+    return read_features(spark, write_media(docs, scratch(spark, "media")))
+
+
+def read_features(spark: SparkSession, root: str) -> DataFrame:
+    """Each document's values from the stored bytes; a lost chunk or payload is an error."""
     schema = "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     values = read_media(spark, root).mapInArrow(_features, schema)
     lists = spark.read.parquet(f"{root}/lists").select("doc_id", "n_bytes", "media_key")
-    return lists.join(values, "media_key").drop("media_key")
+    found = lists.join(values, "media_key", "left")
+    lost = F.raise_error(F.concat(F.lit("there is no payload "), F.hex("media_key"))).cast("long")
+    size = F.when(F.col("payload_bytes").isNull(), lost).otherwise(F.col("payload_bytes"))
+    return found.withColumn("payload_bytes", size).drop("media_key")
