@@ -2,13 +2,14 @@
 
 Rules (host, path prefix) are a bounded parameter: one CASE expression, longest rule first. For the rest, paths are
 generalised to templates per host: a segment's digit runs become {n} and long hexadecimal runs {x} where it stands;
-then, level by level, a node with more than LITERALS distinct children has them replaced by {s}. What is below LEVELS
+then, level by level, a node with more than LITERALS distinct children has them replaced by {s}, and what follows their first dot
+kept; only children that are {n} or {x} stay. What is below LEVELS
 segments stays one last segment. Labels are a column of the input: in the query, the rules' verdicts.
 
 Evidence: every node of a host's tree has the labelled and the blocked pages below it. At each level, a labelled node
 takes the counts of its labelled siblings too if its block rate doesn't differ from theirs statistically (two-proportion
 z-test below Z): such branches are merged. A node's purity is (blocked + ALPHA * q) / (labelled + ALPHA), where q is what
-is expected there: the mean rate of the same node on other hosts, each labelled host one vote, smoothed by ALPHA votes
+is expected there: the mean rate of the same node on other hosts, each labelled host one vote (a subdomain is a host of its own, so a rule for a domain votes once a host), smoothed by ALPHA votes
 for the purity of the parent; the root's parent has PRIOR. A template is rejected when the purity of its leaf exceeds
 REJECT. So a branch without labels of its own is judged by its host's and by the same branch elsewhere.
 
@@ -75,7 +76,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         here = F.size("parts") > level
         wide = out.filter(here).groupBy("host", "template").agg(F.countDistinct(part).alias("children")).filter(F.col("children") > LITERALS)
         wide = wide.select("host", "template", F.lit(True).alias("wide"))
-        kept = F.when(F.col("wide") & ~part.contains("{"), F.regexp_replace(part, r"^[^.]*", "{s}")).otherwise(part)
+        kept = F.when(F.col("wide") & ~part.isin("{n}", "{x}"), F.regexp_replace(part, r"^[^.]*", "{s}")).otherwise(part)
         out = out.join(wide, ["host", "template"], "left").withColumn("template", F.when(here, F.concat("template", F.lit("/"), kept)).otherwise(F.col("template")))
         out = out.withColumn("prefixes", F.when(here, F.array_append("prefixes", F.col("template"))).otherwise(F.col("prefixes"))).drop("wide")
     return out
