@@ -13,8 +13,9 @@ characters are too short for edits and are looked up exactly, as whole words in
 The benchmark is the query set: it goes to the executors in blocks of about BLOCK_CHARS characters, whose number
 follows its size; each block is one pass over the documents, without a shuffle.
 
-Defined results: a null or empty text, and a null or empty item, match nothing; equal items are all reported; repeated
-rows are reported each; a null doc_id stays null; empty tables give no row.
+Defined results: a null or empty text, and a null or empty item, match nothing; equal items are all reported; items of a
+block that share an id, or have none, are one item with the windows of all; repeated rows are reported each; a null doc_id or item_id stays null; empty
+tables give no row.
 """
 
 from __future__ import annotations
@@ -99,8 +100,9 @@ def alignment(pattern: np.ndarray, region: np.ndarray, lead: int, width: int) ->
 class Index:
     """The q-grams of a block of benchmark items, by hash, and their windows."""
 
-    #: Per window: item_id, characters, edits.
+    #: Per window: the place of its item's id in names, characters, edits.
     items: np.ndarray
+    names: list[int | None]
     patterns: list[np.ndarray]
     edits: np.ndarray
     #: Per entry, an item of SHORTEST characters or more: edits and bound of its windows, its first window, their starts.
@@ -119,11 +121,13 @@ class Index:
     short: dict[int, tuple[np.ndarray, list[int]]]
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], edits: float = EDITS) -> Index:
+    def build(cls, items: list[tuple[int | None, str | None]], edits: float = EDITS) -> Index:
+        names: dict[int | None, int] = {}
         ids, patterns, ks, entry_ks, bounds, first, starts, hs, es, ps = [], [], [], [], [], [], [], [], [], []
         short: dict[int, list[int]] = {}
         reach = 0
-        for item, text in items:
+        for item_id, text in items:
+            item = names.setdefault(item_id, len(names))
             x = codes(normal(text or ""))
             if not len(x):
                 continue
@@ -158,7 +162,7 @@ class Index:
         table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         whole = {n: (np.concatenate([qgrams(patterns[w], n) for w in ws]), ws) for n, ws in short.items()}
         ints = lambda v: np.array(v, dtype=np.int64)
-        return cls(ints(ids), patterns, ints(ks), ints(entry_ks), ints(bounds), first, starts, reach, distinct, np.r_[0, np.cumsum(counts)], e[order], p[order], table, whole)
+        return cls(ints(ids), list(names), patterns, ints(ks), ints(entry_ks), ints(bounds), first, starts, reach, distinct, np.r_[0, np.cumsum(counts)], e[order], p[order], table, whole)
 
     def matches(self, texts_: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, window, edits, start in the normalised text) of the windows that each text holds."""
@@ -281,7 +285,7 @@ def _find(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     got = best.setdefault((t, int(index.items[win])), [0, edits, start])
                     got[0] += 1
                     got[1], got[2] = max(got[1], edits), min(got[2], start)
-                rows += [(ids[i + t], item, n, int(total[item]), e, s) for (t, item), (n, e, s) in best.items()]
+                rows += [(ids[i + t], index.names[item], n, int(total[item]), e, s) for (t, item), (n, e, s) in best.items()]
                 i = j
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -28,6 +29,20 @@ def test_media(spark, odd, odd_rows, none):
     assert media.media_features(none).count() == 0
 
 
+@pytest.mark.parametrize("part", ["pool", "media", "staged"])
+def test_lost_media_are_errors(spark, tmp_path, part):
+    rng = random.Random(4)
+    shared = "".join(chr(rng.randrange(97, 123)) for _ in range(60_000))
+    docs = spark.createDataFrame([(0, shared + "a" * 9000), (1, "other " * 4000 + shared), (2, "alone")], "doc_id long, text string")
+    root = media.write_media(docs, str(tmp_path / "m"))
+    assert media.read_features(spark, root).count() == 3
+    folder = f"{root}/staged/kind=solo" if part == "staged" else f"{root}/rest/part={part}"
+    none = spark.read.parquet(folder)
+    spark.createDataFrame([], none.schema).write.mode("overwrite").parquet(folder)
+    with pytest.raises(Exception, match="there is no (chunk|payload)"):
+        media.read_features(spark, root).collect()
+
+
 def brute_media(text):
     """All values of one text, byte by byte: padding, rolling hash, chunks, frames, stored form and feature."""
     raw = (text or "").encode()
@@ -139,7 +154,7 @@ def brute_tree(rows):
         for (host, parts), at in list(trees.items()):
             if len(parts) > level:
                 part = parts[level]
-                if len(children[host, at[-1]]) > 32 and "{" not in part:
+                if len(children[host, at[-1]]) > 32 and part not in ("{n}", "{x}"):
                     part = re.sub("^[^.]*", "{s}", part)
                 trees[host, parts] = (*at, f"{at[-1]}/{part}")
     counts = {}
@@ -199,6 +214,14 @@ def test_many_literals_become_a_wildcard(spark):
     assert {r["template"] for r in urls.judge(df, ()).collect()} == {"/u/{s}"}
 
 
+def test_slugs_with_digits_become_a_wildcard(spark):
+    rows = [(i, f"http://h.org/p/slug{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}-{i}/x") for i in range(400)]
+    rows += [(1000 + i, f"http://h.org/q/{i}/x") for i in range(400)] + [(2000 + i, f"http://h.org/r/{i:x}{i:015x}.html") for i in range(400)] + [(3000, "http://h.org/r/word{1}-{n}.html")]
+    got = {r["page_id"]: r["template"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), ()).collect()}
+    assert {got[i] for i in range(400)} == {"/p/{s}/x"} and {got[1000 + i] for i in range(400)} == {"/q/{n}/x"}
+    assert len({got[2000 + i] for i in range(400)} | {got[3000]}) <= 3
+
+
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -323,6 +346,16 @@ def test_short_items_leak_exactly(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {1, 2, 4}
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(21)
+    item, other, short = (" ".join(f"{rng.choice('bcdfg')}{rng.randint(0, 999)}" for _ in range(n)) for n in (30, 40, 4))
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, f"{other}, {short}"), (3, "clean"), (None, f"{item} {other}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, other), (None, short), (5, item), (None, None)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, None), (1, 5), (2, None), (None, None), (None, 5)], key=str)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_many_hits_are_taken_in_parts(monkeypatch):
     rng = random.Random(13)
     item = " ".join(f"{rng.choice('bcdfg')}{rng.randint(0, 999)}" for _ in range(60))
