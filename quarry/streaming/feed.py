@@ -51,3 +51,51 @@ def daily_cost(calls: DataFrame, late: str = "2 days") -> DataFrame:
 def deliver(updates: DataFrame, checkpoint: str, send: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """A writer that hands each micro-batch, in order of time, to send."""
     return updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: send(batch.orderBy("updated_at", "id"), n))
+
+
+# The sink of server-sent events
+
+FRAME = "kind string, id string, data string, frame string"
+
+
+def frames(updates: DataFrame) -> DataFrame:
+    """Updates as server-sent events: kind, id (when it was updated), data (what is null is left out), frame (as it goes over the wire)."""
+    at = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    data = F.to_json(F.struct("job_id", "status", "progress_pct", "message", "deal_id", "type", at.alias("updated_at")))
+    return _framed(updates.select(F.lit("job.updated").alias("kind"), F.col("updated_at").cast("string").alias("id"), data.alias("data")))
+
+
+def _framed(rows: DataFrame) -> DataFrame:
+    head = F.when(F.col("id").isNotNull(), F.concat(F.lit("id: "), "id", F.lit("\n"))).otherwise("")
+    said = F.concat(head, F.lit("event: "), "kind", F.lit("\ndata: "), "data", F.lit("\n\n"))
+    return rows.select("kind", "id", "data", F.when(F.col("kind") == "keep-alive", ":keep-alive\n\n").otherwise(said).alias("frame"))
+
+
+def ready(spark: SparkSession) -> DataFrame:
+    """The event that opens a connection."""
+    return _framed(spark.range(1).select(F.lit("ready").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit('{"ok":true}').alias("data")))
+
+
+def heartbeats(spark: SparkSession, every: int = 15) -> DataFrame:
+    """A stream of comment lines, one every so many seconds, that keeps a connection open; to be united with frames."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % every == every - 1)
+    return _framed(ticks.select(F.lit("keep-alive").alias("kind"), F.col("value").cast("string").alias("id"), F.lit("").alias("data")))
+
+
+def sink(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Write frames below folder, each micro-batch in a folder of its own number, the first with ready before them.
+
+    A micro-batch that ran before, but whose end wasn't recorded, runs again with the same rows and number, and replaces
+    what it left: however often the stream is ended and started, each frame is there once.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = ready(batch.sparkSession).unionByName(batch) if number == 0 else batch
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.select("kind", "id", "data", "frame").writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def sent(spark: SparkSession, folder: str) -> DataFrame:
+    """The frames written so far, with the number of their micro-batch."""
+    return spark.read.schema(f"{FRAME}, batch long").parquet(folder)
