@@ -8,9 +8,9 @@ in one piece; so links, groups and the groups' text come from sorted offsets, wi
 
 An anchor is verified as the bytes of a window's A ids must be those of its B ids; a text with another window has no tokens.
 
-Within a text, B is encoded word by word, each word once a batch: for a model whose pieces hold no space mark after another character
-(checked when it is loaded) no merge crosses from such a character to a space, so a word is encoded alone. Texts in which a word is empty or
-holds the mark, and all texts of other models, are encoded whole.
+Both tokenise word by word, each distinct word once: A as encoder.py says; for a B model whose pieces hold no space mark after
+another character (checked when it is loaded) no merge crosses from such a character to a space. Texts in which a word is empty or holds
+the mark, or white space stands on both sides of a space, and all texts of other models, are encoded whole.
 
 A task returns a row a text, with its distinct id pairs and how often each is linked, and rows of the pairs that it has seen, added up
 while they fit. Spark adds these up corpus-wide. Where there are at most BROADCAST pairs, their counts (13 bytes each) go to the workers
@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import mix64, prepare, stored, texts
 from .encoder import ROWS, PieceEncoder
 
-#: Words of either tokenizer that a worker keeps.
-WORDS = 60_000
-#: Bytes of text that are aligned at once: some hundred bytes of memory each. A longer text is aligned alone.
+#: Words whose ids a worker keeps.
+WORDS = 100_000
+#: Bytes of text that are aligned at once, of a batch that is tokenised at once: some hundred bytes of memory each. A longer text
+#: is aligned alone.
 GROUP_BYTES = 1 << 21
 #: Distinct pairs that a task adds up before it returns them.
 PENDING = 1 << 20
@@ -91,9 +92,9 @@ class Vocabulary(Runs):
 
 
 class PieceModel:
-    """Encodes whole texts with a sentencepiece model, word by word where that is exact."""
+    """A sentencepiece model and the bytes of its pieces."""
 
-    def __init__(self, path: str, capacity: int = WORDS):
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -103,12 +104,11 @@ class PieceModel:
             model.ParseFromString(f.read())
         norm, spec = model.normalizer_spec, model.trainer_spec
         plain = norm.name == "identity" and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
-        self._by_word = plain and spec.model_type == spec.ModelType.BPE and not spec.treat_whitespace_as_suffix and not any(re.search("[^▁]▁", p.piece) for p in model.pieces)
+        #: Whether a word is encoded alone as it is in a text.
+        self.by_word = plain and spec.model_type == spec.ModelType.BPE and not spec.treat_whitespace_as_suffix and not any(re.search("[^▁]▁", p.piece) for p in model.pieces)
         self.vocabulary = Vocabulary([bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p.piece)) else p.piece.replace("▁", " ").encode() for p in model.pieces])
-        self._memo: dict[str, tuple[bytes, bool]] = {}
-        self._capacity = capacity
 
-    def _direct(self, pieces: list[str]) -> list[tuple[bytes, bool]]:
+    def encode(self, pieces: list[str]) -> list[tuple[bytes, bool]]:
         """The ids of each piece, and whether their bytes are a space and the piece."""
         if not pieces:
             return []
@@ -117,56 +117,69 @@ class PieceModel:
         stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         raw, cut = ids.tobytes(), (4 * stops).tolist()
         out = [raw[s:e] for s, e in zip([0, *cut], cut, strict=False)]
-        said, want = self.vocabulary.joined(ids), b"".join([b" " + p.encode() for p in pieces])
-        if said.tobytes() == want:
-            upto = np.cumsum(self.vocabulary.size[ids])
-            at = np.concatenate(([0], upto))[stops]
-            if (at == np.cumsum([1 + len(p.encode()) for p in pieces])).all():
+        said = [p.encode() for p in pieces]
+        if self.vocabulary.joined(ids).tobytes() == b" " + b" ".join(said):
+            upto = np.concatenate(([0], np.cumsum(self.vocabulary.size[ids])))[stops]
+            if (upto == np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1)).all():
                 return [(x, True) for x in out]
-        return [(x, self.vocabulary.joined(np.frombuffer(x, "<u4")).tobytes() == b" " + p.encode()) for x, p in zip(out, pieces, strict=True)]
-
-    def encode(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the number of each text's, and whether their bytes are a space and the text."""
-        split = pc.split_pattern(texts_, " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        coded = split.flatten().dictionary_encode()
-        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        found = [self._memo.get(w) for w in words]
-        new = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(new, self._direct([words[i] for i in new]), strict=True):
-            found[i] = x
-        if len(self._memo) < self._capacity:
-            self._memo.update((words[i], found[i]) for i in new if len(words[i]) <= 80)
-        runs, good = Runs([x[0] for x in found]), np.array([x[1] for x in found])
-        empty = np.array([not w or "▁" in w for w in words])
-        first = offsets[:-1]
-        whole = np.flatnonzero(np.add.reduceat(empty[number], first) > 0) if self._by_word else np.arange(len(texts_))
-        sound = np.add.reduceat(~good[number], first) == 0
-        counts = np.add.reduceat(runs.size[number], first) // 4
-        ids = runs.joined(number).view("<u4")
-        if len(whole):
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i, (got, ok) in zip(whole.tolist(), self._direct([texts_[i].as_py() for i in whole.tolist()]), strict=True):
-                parts[i], sound[i] = np.frombuffer(got, "<u4"), ok
-                counts[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids.astype(np.int64), counts, sound
+        return [(x, self.vocabulary.joined(np.frombuffer(x, "<u4")).tobytes() == b" " + p) for x, p in zip(out, said, strict=True)]
 
 
 class Aligner:
     """Both tokenizers, one a worker."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a = PieceEncoder(byte_path, WORDS, plain=True)
+        self.a = PieceEncoder(byte_path, plain=True)
         self.b = PieceModel(piece_path)
         characters = byte_of_character()
         self.bytes_a = Vocabulary([bytes(characters[c] for c in t) if all(c in characters for c in t) else t.encode() for t in self.a.tokens()])
         self.bytes_b = self.b.vocabulary
         self.width = len(self.bytes_b.size)
         # Each id with what follows it in the text of groups: even numbers within a side's tokens, odd ones at its end.
+        self._memo: dict[str, tuple[bytes, bytes, bool]] = {}
         self._said = Runs([b"%d%c" % (i, x) for n, marks in ((len(self.bytes_a.size), b",|"), (self.width, b",;")) for i in range(n) for x in marks])
 
+    def tokens(self, texts_: pa.Array) -> tuple:
+        """Of texts that aren't empty: all ids of A, the number of each text's, the same of B, and whether B's bytes are a space and the
+        text. Texts are parted at spaces, and each distinct word goes through both libraries once."""
+        split = pc.split_pattern(texts_, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = split.flatten().dictionary_encode()
+        distinct, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        words, first, memo = distinct.to_pylist(), offsets[:-1], self._memo
+        found = list(map(memo.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        asked = [words[i] for i in new]
+        for i, a, (b, good) in zip(new, self.a.words(asked), self.b.encode(asked), strict=True):
+            found[i] = (a, b, good)
+        if len(memo) < WORDS:
+            memo.update((words[i], found[i]) for i in new if len(words[i]) <= 80)
+        flag = lambda x: x.to_numpy(zero_copy_only=False)[number]
+        void = pc.equal(pc.binary_length(distinct), 0)
+        odd = flag(pc.or_(void, pc.match_substring(distinct, "▁")))
+        starts, ends = (flag(pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, *at))) for at in ((0, 1), (-1, None)))
+        odd[1:] |= ends[:-1] & starts[1:] & (np.diff(np.searchsorted(offsets, np.arange(len(number)), "right")) == 0)  # A's white space may reach over such a space
+        whole = np.flatnonzero(np.add.reduceat(odd, first, dtype=np.int64) > 0).tolist() if self.b.by_word else list(range(len(texts_)))
+        sound = ~np.logical_or.reduceat(~np.array([x[2] for x in found])[number], first)
+        out = []
+        for side in (0, 1):
+            size = np.array([len(x[side]) // 4 for x in found], np.int64)
+            ids = gathered(np.frombuffer(b"".join([x[side] for x in found]), "<u4"), np.cumsum(size) - size, size, number)
+            out += [ids, np.add.reduceat(size[number], first)]
+        if whole:
+            said = [texts_[i].as_py() for i in whole]
+            alone = (self.a.whole([" " + t for t in said]), self.b.encode(said))
+            for side in (0, 1):
+                parts = np.split(out[2 * side], np.cumsum(out[2 * side + 1])[:-1])
+                for i, x in zip(whole, alone[side], strict=True):
+                    parts[i] = np.frombuffer(x[0] if side else x, "<u4")
+                    out[2 * side + 1][i] = len(parts[i])
+                    if side:
+                        sound[i] = x[1]
+                out[2 * side] = np.concatenate(parts)
+        return (*out, sound)
+
     def _distinct(self, ids_a: np.ndarray, ids_b: np.ndarray, a: Spans, b: Spans) -> tuple[np.ndarray, np.ndarray]:
         """The number of each window's id tuples, and a window of each number."""
         marks = np.zeros(len(a.start), np.uint64)
@@ -211,24 +224,31 @@ class Aligner:
 
     def batch(self, texts_: pa.Array) -> Batch:
         """The alignment of each text."""
-        n = len(texts_)
-        out = Batch(*(np.zeros(n, np.int64) for _ in range(4)), [""] * n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        some = pc.greater(pc.binary_length(texts_), 0)
-        kept = np.flatnonzero(some.to_numpy(zero_copy_only=False))
-        if not len(kept):
-            return out
-        chosen = texts_.filter(some)
-        ids_b, n_b, sound = self.b.encode(chosen)
-        raw = self.a.encode(pc.binary_join_element_wise("", chosen, " "))
-        n_a = np.array([len(x) // 4 for x in raw], np.int64)
-        ids_a = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-        if sound.any():
-            of_a, of_b = np.repeat(np.arange(len(kept)), n_a), np.repeat(np.arange(len(kept)), n_b)
-            total = [np.bincount(of, weights=v.size[i], minlength=len(kept)) for of, v, i in ((of_a, self.bytes_a, ids_a), (of_b, self.bytes_b, ids_b))]
-            sound &= total[0] == total[1]
-            del raw
-            self._windows(out, kept, ids_a[sound[of_a]], ids_b[sound[of_b]], of_a[sound[of_a]], of_b[sound[of_b]])
-        return out
+        parts = list(self.batches(texts_, 1 << 62))
+        return parts[0] if parts else Batch.empty(0)
+
+    def batches(self, texts_: pa.Array, most: int = GROUP_BYTES) -> Iterator[Batch]:
+        """The alignments of texts, which are tokenised together, in parts of about most bytes of text."""
+        size = pc.binary_length(texts_).to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = np.flatnonzero(size)
+        none = np.zeros(0, np.int64)
+        ids_a, n_a, ids_b, n_b, sound = self.tokens(texts_.filter(pa.array(size > 0))) if len(kept) else (none, none, none, none, none.astype(bool))
+        upto, at_a, at_b = np.cumsum(size), np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
+        start = 0
+        while start < len(size):
+            stop = max(start + 1, int(np.searchsorted(upto, upto[start] - size[start] + most, "right")))
+            out, (i, j) = Batch.empty(stop - start), np.searchsorted(kept, (start, stop))
+            own, good, sides = kept[i:j] - start, sound[i:j].copy(), []
+            for ids, n, at, v in ((ids_a, n_a, at_a, self.bytes_a), (ids_b, n_b, at_b, self.bytes_b)):
+                part, of = ids[at[i] : at[j]].astype(np.int64), np.repeat(np.arange(j - i), n[i:j])
+                sides.append((part, of, np.bincount(of, weights=v.size[part], minlength=j - i)))
+            good &= sides[0][2] == sides[1][2]
+            (a, of_a, _), (b, of_b, _) = sides
+            if not good.all():
+                a, of_a, b, of_b = a[good[of_a]], of_a[good[of_a]], b[good[of_b]], of_b[good[of_b]]
+            self._windows(out, own, a, b, of_a, of_b)
+            yield out
+            start = stop
 
     def _windows(self, out: Batch, kept: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> None:
         if not len(ids_a):
@@ -309,6 +329,10 @@ class Batch:
     pair: np.ndarray
     times: np.ndarray
 
+    @classmethod
+    def empty(cls, n: int) -> Batch:
+        return cls(*(np.zeros(n, np.int64) for _ in range(4)), [""] * n, *(np.zeros(0, np.int64) for _ in range(3)))
+
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
@@ -340,38 +364,30 @@ def _counted(pair: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([columns.get(f.name, pa.nulls(len(stops) - 1, f.type)) for f in _ARROW], schema=_ARROW)
 
 
-def _grouped(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about GROUP_BYTES."""
-    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + GROUP_BYTES, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def _align(byte_path: str, piece_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_both = aligner(byte_path, piece_path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, number = 0, TaskContext.get().partitionId() << 40
-        for batch in (part for whole in batches for part in _grouped(whole)):
-            x = with_both.batch(batch.column("text"))
-            stops = np.searchsorted(x.doc, np.arange(batch.num_rows + 1))
-            # Sorted pairs of a text as differences: they compress.
-            step = np.diff(x.pair, prepend=0)
-            starts = stops[:-1][np.diff(stops) > 0]
-            step[starts] = x.pair[starts]
-            pairs, times = step.astype("<i4").tobytes(), x.times.astype("<u4").tobytes()
-            cut = (4 * stops).tolist()
-            blobs = [[raw[s:e] for s, e in zip(cut, cut[1:], strict=False)] for raw in (pairs, times)]
-            rows = pa.array(np.arange(number, number + batch.num_rows))
-            number += batch.num_rows
-            columns = [rows, batch.column("doc_id"), *(pa.array(getattr(x, c)) for c in _FIGURES), pa.array(x.sha), *(pa.array(v, pa.binary()) for v in blobs)]
-            empty = [pa.nulls(batch.num_rows, _ARROW.field(c).type) for c in ("pair", "n")]
-            yield pa.record_batch([*columns, *empty], schema=_ARROW)
-            held.append(_added(x.pair, x.times))
-            size += len(held[-1][0])
+        for batch in batches:
+            at = 0
+            for x in with_both.batches(batch.column("text")):
+                many = len(x.sha)
+                stops = np.searchsorted(x.doc, np.arange(many + 1))
+                # Sorted pairs of a text as differences: they compress.
+                step = np.diff(x.pair, prepend=0)
+                starts = stops[:-1][np.diff(stops) > 0]
+                step[starts] = x.pair[starts]
+                pairs, times = step.astype("<i4").tobytes(), x.times.astype("<u4").tobytes()
+                cut = (4 * stops).tolist()
+                blobs = [[raw[s:e] for s, e in zip(cut, cut[1:], strict=False)] for raw in (pairs, times)]
+                rows = pa.array(np.arange(number, number + many))
+                columns = [rows, batch.column("doc_id").slice(at, many), *(pa.array(getattr(x, c)) for c in _FIGURES), pa.array(x.sha), *(pa.array(v, pa.binary()) for v in blobs)]
+                empty = [pa.nulls(many, _ARROW.field(c).type) for c in ("pair", "n")]
+                yield pa.record_batch([*columns, *empty], schema=_ARROW)
+                at, number = at + many, number + many
+                held.append(_added(x.pair, x.times))
+                size += len(held[-1][0])
             if size > PENDING:
                 held = [_added(*(np.concatenate(v) for v in zip(*held, strict=True)))]
                 size = len(held[0][0])

@@ -74,6 +74,14 @@ class PieceEncoder:
         out.update(zip(rest, self._direct(rest), strict=True))
         return [out[p] for p in pieces]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        return self._learn([" " + w for w in words])
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by the library alone."""
+        return self._direct(texts)
+
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())

@@ -77,16 +77,17 @@ def test_empty_table(spark, none):
     assert alignment.align(none, BYTE, PIECE).collect() == []
 
 
-PIECES = alignment.PieceModel(PIECE, capacity=40)
+BOTH = alignment.Aligner(BYTE, PIECE)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([*"ab1  \n\t'.<|>é\x1c\x85\u3000日▁", "<s>", " the", "ing"]), min_size=1, max_size=25).map("".join), min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab1  \n\t'.<|>é\x1c\x85\u3000日▁", "<s>", "<|endoftext|>", " the", "ing"]), min_size=1, max_size=25).map("".join), min_size=1, max_size=6))
 def test_words_alone_are_encoded_as_in_the_text(texts):
-    ids, counts, sound = PIECES.encode(pa.array(texts))
-    want = [B.encode(t) for t in texts]
-    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-    assert sound.tolist() == [b"".join(BYTES_B[i] for i in w) == (" " + t).encode() for t, w in zip(texts, want, strict=True)]
+    ids_a, n_a, ids_b, n_b, sound = BOTH.tokens(pa.array(texts))
+    want_a, want_b = [A.encode(" " + t, add_special_tokens=False).ids for t in texts], [B.encode(t) for t in texts]
+    for ids, n, want in ((ids_a, n_a, want_a), (ids_b, n_b, want_b)):
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sound.tolist() == [b"".join(BYTES_B[i] for i in w) == (" " + t).encode() for t, w in zip(texts, want_b, strict=True)]
 
 
 def test_windows_of_one_hash_are_told_apart(monkeypatch):
