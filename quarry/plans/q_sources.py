@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import images, office, sinks
-from ..streaming import feed
+from ..streaming import feed, jobs
 from .q_entities import q
 from .registry import query
 from .views import standalone, view
@@ -112,3 +112,59 @@ def _client(spark: SparkSession, d: str) -> DataFrame:
   max(updated_at) AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at, id) AS k FROM {jobs}) x GROUP BY 1"""))
 def _latest(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, _job_rows(spark, d), feed.latest_state, "complete")
+
+
+@query("src12_event_sink", standalone("""SELECT 'ready' AS kind, NULL AS id, '{"ok":true}' AS data, concat('event: ready', chr(10), 'data: {"ok":true}', chr(10), chr(10)) AS frame
+  UNION ALL SELECT 'job.updated', id, data, concat('id: ', id, chr(10), 'event: job.updated', chr(10), 'data: ', data, chr(10), chr(10)) FROM (SELECT CAST(updated_at AS VARCHAR) AS id, concat('{"job_id":', job_id, ',"status":"', status, '"',
+  CASE WHEN progress_pct IS NOT NULL THEN concat(',"progress_pct":', progress_pct) ELSE '' END, CASE WHEN message IS NOT NULL THEN concat(',"message":"', message, '"') ELSE '' END, ',"deal_id":', deal_id, ',"type":"', type,
+  '","updated_at":"', strftime(updated_at, '%Y-%m-%dT%H:%M:%S.'), lpad(CAST(date_part('milliseconds', updated_at) % 1000 AS VARCHAR), 3, '0'), 'Z"}') AS data FROM {jobs}) x"""))
+def _sink(spark: SparkSession, d: str) -> DataFrame:
+    """The sink is ended and started again with other files: what was sent stays sent once."""
+    folder, rows = _folder(spark), _job_rows(spark, d)
+    for part in (c("id") % 2 == 0, c("id") % 2 == 1):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = feed.frames(feed.job_updates(spark, f"{folder}/in"))
+        feed.sink(stream, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return feed.sent(spark, f"{folder}/out").drop("batch")
+
+
+#: Makes the watermark pass all rows before it.
+_END = "timestamp_ntz '2100-01-01'"
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("t7_job_states", standalone(f"""WITH r AS (SELECT *, status = 'running' AND coalesce(lead(updated_at) OVER w > updated_at + INTERVAL {jobs.TIMEOUT} SECOND, TRUE) AS silent, row_number() OVER w AS k FROM {{jobs}} WINDOW w AS (PARTITION BY job_id ORDER BY updated_at, id)),
+  l AS (SELECT *, count(*) FILTER (silent) OVER (PARTITION BY job_id ORDER BY k) AS lost FROM r),
+  e AS (SELECT *, coalesce(bool_or(status IN ('succeeded', 'failed', 'cancelled') OR lost >= {jobs.ATTEMPTS}) OVER (PARTITION BY job_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ended FROM l),
+  s AS (SELECT job_id, max_by(CASE WHEN NOT silent THEN status WHEN lost >= {jobs.ATTEMPTS} THEN 'failed' ELSE 'retrying' END, k) AS status, max_by(progress_pct, k) FILTER (progress_pct IS NOT NULL) AS progress_pct, max_by(message, k) FILTER (message IS NOT NULL) AS message,
+  CAST(least(max_by(lost, k) + 1, {jobs.ATTEMPTS}) AS INT) AS attempts, max_by(CASE WHEN silent THEN updated_at + INTERVAL {jobs.TIMEOUT} SECOND ELSE updated_at END, k) AS updated_at FROM e WHERE NOT ended GROUP BY job_id) SELECT * FROM s"""))
+def _job_states(spark: SparkSession, d: str) -> DataFrame:
+    folder, rows = _folder(spark), _job_rows(spark, d)
+    end = spark.range(1).selectExpr("-1L AS id", "-1L AS job_id", "0L AS deal_id", "'end' AS type", "'queued' AS status", "CAST(NULL AS INT) AS progress_pct", "CAST(NULL AS STRING) AS message", f"{_END} AS updated_at")
+    rows.unionByName(end).write.parquet(f"{folder}/in")
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        states = jobs.job_states(feed.job_updates(spark, f"{folder}/in", 1_000_000))
+        put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.set(_ROCKS[0], before) if before else spark.conf.unset(_ROCKS[0])
+    found = jobs.latest(spark.read.schema(f"{jobs.RESULT}, batch long").parquet(f"{folder}/out").filter("job_id >= 0"))
+    return found.withColumn("updated_at", c("updated_at").cast("timestamp_ntz"))
+
+
+@query("t8_daily_cost", standalone("SELECT CAST(created_at AS DATE) AS day, count(*) AS calls, CAST(sum(cost_micro) AS BIGINT) AS cost_micro FROM {llm_calls} GROUP BY 1"))
+def _daily_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that come after the watermark has passed their day are left out: here copies of calls of the first days, sent last."""
+    folder = _folder(spark)
+    calls = view(spark, d, "llm_calls").select("created_at", "cost_micro")
+    first = calls.agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    late = calls.crossJoin(F.broadcast(first)).filter("created_at < first + INTERVAL 5 DAYS AND created_at < last - INTERVAL 10 DAYS").select("created_at", "cost_micro")
+    end = spark.range(1).selectExpr(f"{_END} AS created_at", "CAST(0 AS BIGINT) AS cost_micro")
+    for rows in (calls, late, end):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = feed.daily_cost(spark.readStream.schema("created_at timestamp_ntz, cost_micro long").parquet(f"{folder}/in"))
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -2,7 +2,7 @@
 
 An update counts in the order of its time, not of its arrival: it is held until the watermark has passed it. A job that is running
 and hears nothing for TIMEOUT loses an attempt and is retried; with its last attempt it fails. Terminal jobs take no
-further update. State is one value and the held updates of a job.
+further update. State is one value and the held updates of a job; times in it are microseconds, those of timers milliseconds.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _VALUE = "status string, progress_pct int, message string, attempts int, at long
 
 class JobState(StatefulProcessor):
     def __init__(self, timeout: int, attempts: int):
-        self.timeout, self.attempts = timeout * 1000, attempts
+        self.timeout, self.attempts = timeout * 1_000_000, attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,15 +36,15 @@ class JobState(StatefulProcessor):
         new = []
         for part in rows:
             part = part.astype(object).where(part.notna(), None)
-            new += [(int(pd.Timestamp(r.updated_at).value // 1_000_000), int(r.id), r.status, None if r.progress_pct is None else int(r.progress_pct), r.message) for r in part.itertuples()]
+            new += [(int(pd.Timestamp(r.updated_at).value // 1000), int(r.id), r.status, None if r.progress_pct is None else int(r.progress_pct), r.message) for r in part.itertuples()]
         for row in new:
             self.held.appendValue(row)
         if new:
-            self.handle.registerTimer(max(row[0] for row in new) + 1)
+            self.handle.registerTimer(max(row[0] for row in new) // 1000 + 1)
         yield pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
         due = [r for r in held if r[0] < now]
         job = tuple(self.value.get()) if self.value.exists() else ("queued", None, None, 1, 0, None, 0)
@@ -57,11 +57,11 @@ class JobState(StatefulProcessor):
         elif held:
             self.held.clear()
         if job[5] is not None and job[5] >= now:
-            self.handle.registerTimer(job[5] + 1)
+            self.handle.registerTimer(job[5] // 1000 + 1)
         if job != before:
             job = (*job[:6], job[6] + 1)
             self.value.update(job)
-            yield pd.DataFrame([(key[0], *job[:4], pd.Timestamp(job[4], unit="ms"), job[6])], columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"progress_pct": "Int32"})
+            yield pd.DataFrame([(key[0], *job[:4], pd.Timestamp(job[4], unit="us"), job[6])], columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"progress_pct": "Int32"})
 
     def _timed(self, job: tuple, now: int) -> tuple:
         """job at a time before which its deadline may have passed."""
