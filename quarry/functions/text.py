@@ -15,7 +15,6 @@ from .numbers import half_up
 
 # Patterns whose matches must equal those of the rules they express.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
-NOT_SPACE = "[^" + SPACE[1:]
 CONTROL = "[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 LINK = "https?://"
 PHONE = "[0-9]{3}[\\s.-]?[0-9]{3}[\\s.-]?[0-9]{4}"
@@ -33,7 +32,7 @@ CAPS3 = "(?<![A-Za-z0-9_])[A-Z]{3,}(?![A-Za-z0-9_])"
 BRACKETS = "[\\]\\[)({}|<>\\\\]"
 LABEL_CHARACTER = "[A-Za-z0-9\\s\\-–%$.,/:]"
 NUMERIC = "(?i)(?:\\$[0-9,]+(?:\\.[0-9]+)?(?:%|[kmb]|x)?|[0-9,]+(?:\\.[0-9]+)?(?:%|[kmb]|x)|[0-9]+\\s*[–-]\\s*[0-9]+(?:%|[kmb]|x)?)"
-SPECIAL = "[^a-zA-Z0-9\\s.,\\-:;'\"()]"
+NOT_SPECIAL = "[a-zA-Z0-9\\s.,\\-:;'\"()]+"
 CONFUSED = "[0O]l{2,}|[l1|]{3,}"
 
 
@@ -42,7 +41,18 @@ def text(x: Column) -> Column:
 
 
 def count(x: Column, pattern: str) -> Column:
-    return F.regexp_count(x, F.lit(pattern))
+    """Matches of a pattern: as many characters as a text grows by if one is put behind each. (regexp_count makes an array of all.)"""
+    return F.length(F.regexp_replace(x, pattern, "$0\x01")) - F.length(x)
+
+
+def count_of(x: Column, characters: str) -> Column:
+    """Characters of a class, by what is left without them."""
+    return F.length(x) - F.length(F.regexp_replace(x, f"{characters}+", ""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once a row whatever branches use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def collapse(x: Column) -> Column:
@@ -96,7 +106,7 @@ def passes_for_title(t: Column) -> Column:
     """is_good_title of a title that is collapsed and has no logo prefix."""
     n = F.length(t)
     enough = (n >= 10) & (n <= 120) & t.rlike(WORD3) & (F.size(F.split(t, " ")) >= 2)
-    shape = (count(t, BRACKETS) < 2) & (count(t, "[A-Za-z]") * 100 >= n * 55)
+    shape = (count_of(t, BRACKETS) < 2) & (count_of(t, "[A-Za-z]") * 100 >= n * 55)
     shouting = (count(t, CAPS3) >= 5) & (count(t, WORD3) < 3)
     return enough & shape & ~is_boilerplate(t) & ~shouting & ~t.rlike("(?i)(?<![a-z0-9_])use\\)(?=[a-z0-9_])")
 
@@ -117,12 +127,12 @@ def title_key(x: Column) -> Column:
 def is_garbled(x: Column) -> Column:
     """Not a label: empty, too long, or more noise than words."""
     t = collapse(x)
-    n, letters, digits, gaps = F.length(t), count(t, "[A-Za-z]"), count(t, "[0-9]"), count(t, "\\s")
+    n, letters, digits, gaps = F.length(t), count_of(t, "[A-Za-z]"), count_of(t, "[0-9]"), count_of(t, "\\s")
     tokens = F.split(t, " ")
     single = F.size(F.filter(tokens, lambda w: F.length(w) == 1))
     k = F.size(tokens)
     signs = [
-        t == "", n > 90, letters < 4, count(t, LABEL_CHARACTER) * 100 < n * 82, (n > 25) & (gaps < 2), (n > 25) & (digits > 0) & (letters * 10 < digits * 6),
+        t == "", n > 90, letters < 4, count_of(t, LABEL_CHARACTER) * 100 < n * 82, (n > 25) & (gaps < 2), (n > 25) & (digits > 0) & (letters * 10 < digits * 6),
         t.rlike("[|\\\\]{2,}"), t.rlike("[\\[\\]{}<>]"), t.contains("___"), (n > 30) & (count(t, CAPS3) >= 4), (k >= 6) & (single * 100 > k * 35), k > 12,
     ]
     out = signs[0]
@@ -268,26 +278,44 @@ def listed(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(holds, F.lit(say)) for holds, say in checks)))
 
 
-def coherence_checks(x: Column) -> tuple[tuple[Column, int, str], ...]:
-    """(condition, hundredths it costs, own wording) of what makes a text incoherent."""
+def coherence_facts(x: Column) -> Column:
+    """What coherence is judged by, each found once: characters (n), special ones, words and the characters in them, confused glyphs."""
     t = text(x)
-    n, letters = count(t, NOT_SPACE), F.length(F.regexp_replace(t, SPACE, ""))
+    spaced = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
+
+    def facts(c: Column) -> Column:
+        gaps = spaced(c)
+        letters = F.length(c) - gaps
+        words = F.when(letters > 0, gaps + 1 - F.startswith(c, F.lit(" ")).cast("int") - F.endswith(c, F.lit(" ")).cast("int")).otherwise(0)
+        special = F.length(F.regexp_replace(t, NOT_SPECIAL, ""))
+        return F.struct(F.length(t).alias("n"), special.alias("special"), words.alias("words"), letters.alias("letters"), t.rlike(CONFUSED).alias("confused"))
+
+    return let(F.regexp_replace(t, SPACE, " "), facts)
+
+
+def coherence_checks(f: Column) -> tuple[tuple[Column, int, str], ...]:
+    """(condition, hundredths it costs, own wording) of what makes a text incoherent, by its facts."""
+    odd = (f["words"] > 0) & ((f["letters"] < f["words"] * 2) | (f["letters"] > f["words"] * 15))
     return (
-        (count(t, SPECIAL) * 100 > F.length(t) * 15, 30, "many special characters"), ((n > 0) & ((letters < n * 2) | (letters > n * 15)), 20, "words of odd length"),
-        (t.rlike(CONFUSED), 20, "confused glyphs"), (F.length(t) < 50, 20, "little text"),
+        (f["special"] * 100 > f["n"] * 15, 30, "many special characters"), (odd, 20, "words of odd length"),
+        (f["confused"], 20, "confused glyphs"), (f["n"] < 50, 20, "little text"),
     )
 
 
 def coherence(x: Column) -> Column:
     """Hundredths: 100 less 30 for special characters, 20 each for odd word lengths, confused glyphs, short text; 0 if empty."""
-    score = F.lit(100)
-    for bad, cost, _ in coherence_checks(x):
-        score = score - F.when(bad, cost).otherwise(0)
-    return F.when(F.length(text(x)) == 0, 0).otherwise(F.greatest(score, F.lit(0)))
+
+    def score(f: Column) -> Column:
+        out = F.lit(100)
+        for bad, cost, _ in coherence_checks(f):
+            out = out - F.when(bad, cost).otherwise(0)
+        return F.when(f["n"] == 0, 0).otherwise(F.greatest(out, F.lit(0)))
+
+    return let(coherence_facts(x), score)
 
 
 def coherence_issues(x: Column) -> Column:
-    return F.when(F.length(text(x)) == 0, F.array(F.lit("no text"))).otherwise(listed(*((bad, say) for bad, _, say in coherence_checks(x))))
+    return let(coherence_facts(x), lambda f: F.when(f["n"] == 0, F.array(F.lit("no text"))).otherwise(listed(*((bad, say) for bad, _, say in coherence_checks(f)))))
 
 
 def completeness_issues(summary_length: Column, headings_: Column, metrics: Column, pages: Column) -> Column:

@@ -1,7 +1,7 @@
 """Usage analytics over model calls (P) and cache events (K): hash aggregations with partial sums before each shuffle.
 
-Windows end at as_of, by default the latest created_at: it is read first, so that the predicate on the raw timestamp
-is a literal and reaches the scan. Divisions by zero give null.
+Windows end at as_of, by default the latest created_at: a scalar subquery over that one column, which Spark runs before the scan that its value
+is a filter of; nothing runs while a plan is built. Divisions by zero give null.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ c = F.col
 MICRO = 1e-6
 
 
-def since(df: DataFrame, days: float, as_of: datetime | None = None, inclusive: bool = True) -> DataFrame:
+def latest(df: DataFrame) -> Column:
+    """The latest created_at, as a scalar subquery."""
+    return df.agg(F.max("created_at")).scalar()
+
+
+def since(df: DataFrame, days: float, as_of: datetime | Column | None = None, inclusive: bool = True) -> DataFrame:
     """Rows of the last days before as_of."""
-    as_of = as_of or df.agg(F.max("created_at")).first()[0]
-    if as_of is None:
-        return df.limit(0)
-    start = F.lit(as_of - timedelta(days=days)).cast(df.schema["created_at"].dataType)
+    end = latest(df) if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
+    start = end.cast(df.schema["created_at"].dataType) - F.make_dt_interval(secs=F.lit(round(days * 86400)))
     return df.filter(c("created_at") >= start if inclusive else c("created_at") > start)
 
 
@@ -159,7 +162,7 @@ def cost_by_task(p: DataFrame, days: int = 30, as_of: datetime | None = None) ->
 
 def summary_report(p: DataFrame, k: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
     """Six reports in one row of arrays. Each is a few rows; deals are the top ten, days as many as the window."""
-    as_of = as_of or p.agg(F.max("created_at")).first()[0]
+    as_of = latest(p) if as_of is None else as_of
     parts = {
         "top_deals": top_deals(p, 10, days, as_of), "models": model_selection(p, days, as_of, same_window=True), "cache": cache_metrics(k),
         "trend": cost_trend(p, days, as_of), "providers": provider_reliability(p, 7, as_of), "tasks": cost_by_task(p, days, as_of),
@@ -216,7 +219,7 @@ def _two_totals(p: DataFrame, k: DataFrame) -> DataFrame:
 
 
 def api_summary(p: DataFrame, k: DataFrame, days: int = 30, as_of: datetime | None = None) -> DataFrame:
-    as_of = as_of or p.agg(F.max("created_at")).first()[0]
+    as_of = latest(p) if as_of is None else as_of
     return _two_totals(since(p, days, as_of, inclusive=False), since(k, days, as_of, inclusive=False))
 
 
@@ -226,7 +229,7 @@ def deal_summary(p: DataFrame, k: DataFrame, deal_id: int) -> DataFrame:
 
 def health(p: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Calls and errors of the last hour, its beginning excluded."""
-    as_of = as_of or p.agg(F.max("created_at")).first()[0]
+    as_of = latest(p) if as_of is None else as_of
     return since(p, 1 / 24, as_of, inclusive=False).agg(n(), truth(failed(), "errors"))
 
 
