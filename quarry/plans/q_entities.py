@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import analysis as an
 from ..operators import entities as e
 from ..operators import rules as r
 from .registry import query
@@ -76,8 +77,59 @@ q("r14_bulk_assign", "upload_files deals", lambda u, d: e.bulk_assign(u.select("
 q("r15_ingestion_status", "deal_documents", e.ingestion_status, """SELECT *, CASE WHEN pending > 0 THEN 'in_progress' WHEN failed > 0 THEN 'failed' WHEN warnings > 0 THEN 'needs_review' ELSE 'ready' END AS readiness FROM (
   SELECT deal_id, count(*) AS documents, count(*) FILTER (WHERE verification_status = 'verified') AS verified, count(*) FILTER (WHERE verification_status = 'warnings') AS warnings,
   count(*) FILTER (WHERE verification_status = 'failed') AS failed, count(*) FILTER (WHERE verification_status IS NULL) AS pending, CAST(sum(page_count) AS BIGINT) AS pages FROM {deal_documents} GROUP BY 1) x""")
-q("r16_verification_detail", "deal_documents", lambda d: d.select("document_id", F.coalesce("verification_status", F.lit("pending")).alias("status"), F.coalesce(ratio_col("quality_pct"), F.lit(0.0)).alias("score")),
-  f"SELECT document_id, coalesce(verification_status, 'pending') AS status, coalesce({ratio('quality_pct', '100', 2)}, 0e0) AS score FROM {{deal_documents}}")
+def _verifiable(d: DataFrame) -> DataFrame:
+    """Documents with what was read in them; lists are missing, empty or short, and some have no data or no result."""
+    some = lambda n, x: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(x), i.cast("string")))).when(n == 0, F.array().cast("array<string>"))
+    data = F.struct(some((c("document_id") % 8 - 1).cast("int"), "m").alias("keyMetrics"), some((c("document_id") % 6 - 1).cast("int"), "h").alias("mainHeadings"))
+    result = F.when(c("quality_pct").isNotNull(), F.to_json(F.struct(c("quality_pct").alias("overall_score"))))
+    return d.withColumn("structured_data", F.when(c("document_id") % 9 > 0, data)).withColumn("verification_result", result)
+
+
+q("r16_verification_detail", "deal_documents", lambda d: an.verification_detail(_verifiable(d)), """SELECT deal_id, document_id, title, type, status, coalesce(verification_status, 'pending') AS verification_status, coalesce(page_count, 0) AS pages,
+  CASE WHEN document_id % 9 = 0 THEN 0 ELSE greatest(document_id % 8 - 1, 0) END AS metrics_extracted, CASE WHEN document_id % 9 = 0 THEN 0 ELSE greatest(document_id % 6 - 1, 0) END AS sections_found,
+  CASE WHEN quality_pct IS NULL THEN '{"message":"Verification in progress or not yet started"}' ELSE concat('{"overall_score":', quality_pct, '}') END AS verification_result FROM {deal_documents}""")
+
+
+def _snapshot(g: DataFrame) -> DataFrame:
+    """Planners and ledgers of deals, of which some have the one or the other alone."""
+    i = c("deal_id")
+    planner = F.struct((i % 4).alias("cycle"), F.array(F.lit("g")).alias("goals"), F.array().alias("constraints"), F.array(F.concat(F.lit("h"), i.cast("string"))).alias("hypotheses"), F.array().alias("subgoals"), F.lit("old").alias("focus"), F.when(i % 3 == 0, "stop").alias("stop_reason"))
+    ledger = F.struct(c("cycles"), F.array((c("depth_tenths") / 10).cast("double")).alias("depth_delta"), c("subgoals"), c("constraints_checked").alias("constraints"), c("dead_ends"), (c("paraphrase_pct") / 100).alias("paraphrase_invariance"), (c("brier_pct") / 100).alias("brier"))
+    return g.select("deal_id", F.when(i % 5 > 0, planner.cast(an.PLANNER)).alias("planner"), F.when(i % 7 > 0, ledger.cast(an.LEDGER)).alias("ledger"))
+
+
+def _packs(o: DataFrame) -> DataFrame:
+    """Decision packs from orders: risks by priority and status, for every fifth order none."""
+    risk = lambda x: F.struct(x.alias("risk"), F.lit("high").alias("severity"))
+    risks = F.when(c("o_orderkey") % 5 > 0, F.array(risk(c("o_orderpriority")), risk(c("o_orderstatus"))))
+    return o.select(c("o_orderkey").alias("id"), c("o_custkey").alias("deal_id"), c("o_orderdate").alias("created_at"), F.lit("go").alias("go_no_go"), F.lit(None).cast("array<string>").alias("tranche_plan"), risks.alias("risk_map"), F.array(F.lit("v")).alias("what_to_verify"))
+
+
+_BEGUN = f"""SELECT deal_id, 1 AS cycle, {len(an.GOALS)} AS goals, '{an.FOCUS}' AS focus, CAST(NULL AS VARCHAR) AS stop_reason, 0 AS cycles, CASE WHEN deal_id % 7 > 0 THEN subgoals ELSE 0 END AS subgoals, 1e0 AS invariance FROM {{ledgers}} WHERE deal_id % 3 = 1
+  UNION ALL SELECT deal_id, CASE WHEN deal_id % 5 > 0 THEN deal_id % 4 END, CASE WHEN deal_id % 5 > 0 THEN 1 END, CASE WHEN deal_id % 5 > 0 THEN 'old' END, CASE WHEN deal_id % 5 > 0 AND deal_id % 3 = 0 THEN 'stop' END,
+  CASE WHEN deal_id % 7 > 0 THEN cycles END, CASE WHEN deal_id % 7 > 0 THEN subgoals END, CASE WHEN deal_id % 7 > 0 THEN CAST(paraphrase_pct AS DOUBLE) / 100 END FROM {{ledgers}} WHERE deal_id % 3 <> 1"""
+q("r36_begin_analyses", "ledgers", lambda g: an.begin(_snapshot(g), g.filter("deal_id % 3 = 1")).select("deal_id", c("planner.cycle").alias("cycle"), F.array_size("planner.goals").alias("goals"), c("planner.focus").alias("focus"), c("planner.stop_reason").alias("stop_reason"), c("ledger.cycles").alias("cycles"), c("ledger.subgoals").alias("subgoals"), c("ledger.paraphrase_invariance").alias("invariance")), _BEGUN)
+
+
+def _changes(g: DataFrame) -> DataFrame:
+    """Three changes of every other deal: an early one of both, a later one of the planner, one of the ledger between them."""
+    made = lambda k: F.struct((c("deal_id") % 3 + k).alias("cycle"), F.array(F.concat(F.lit("a\x01"), F.lit("b"))).alias("goals"), F.array().alias("constraints"), F.array().alias("hypotheses"), F.array().alias("subgoals"), F.lit(f"new{k}").alias("focus"), F.lit(None).alias("stop_reason")).cast(an.PLANNER)
+    done = lambda k: an.first_ledger().withField("cycles", F.lit(k).cast("long"))
+    rows = F.array(*[F.struct(F.lit(at).alias("at"), p.alias("planner"), x.alias("ledger")) for at, p, x in ((3, made(3), F.lit(None).cast(an.LEDGER)), (1, made(1), done(11)), (2, F.lit(None).cast(an.PLANNER), done(12)))])
+    return g.filter("deal_id % 2 = 0").select("deal_id", F.explode(rows).alias("x")).select("deal_id", "x.*")
+
+
+q("r36_save_analyses", "ledgers", lambda g: an.saved(_snapshot(g), _changes(g)).select("deal_id", c("planner.cycle").alias("cycle"), F.get("planner.goals", F.lit(0)).alias("goal"), c("planner.focus").alias("focus"), c("ledger.cycles").alias("cycles")),
+  """SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN deal_id % 3 + 3 WHEN deal_id % 5 > 0 THEN deal_id % 4 END AS cycle, CASE WHEN deal_id % 2 = 0 THEN 'a b' WHEN deal_id % 5 > 0 THEN 'g' END AS goal, CASE WHEN deal_id % 2 = 0 THEN 'new3' WHEN deal_id % 5 > 0 THEN 'old' END AS focus,
+  CASE WHEN deal_id % 2 = 0 THEN 12 WHEN deal_id % 7 > 0 THEN cycles END AS cycles FROM {ledgers}""")
+_FACTS = "SELECT deal_id, count(*) AS n, CAST(sum(confidence_pct) AS DOUBLE) / count(*) AS m FROM {fact_rows} GROUP BY 1"
+_LAST = "SELECT o_custkey AS deal_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS p, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM {orders} GROUP BY 1"
+q("r37_states", "ledgers fact_rows orders", lambda g, f, o: an.states(_snapshot(g), f, _packs(o)).select("deal_id", "current_cycle", c("ledger.cycles").alias("cycles"), c("ledger.paraphrase_invariance").alias("invariance"), c("ledger.brier").alias("brier"), c("pack.id").alias("pack_id"), F.array_size("pack.tranche_plan").alias("tranches"), "n_facts", "confidence", "risks"),
+  f"""SELECT g.deal_id, CASE WHEN g.deal_id % 4 > 0 THEN CAST(g.deal_id % 4 AS INT) END AS current_cycle, CASE WHEN g.deal_id % 7 > 0 THEN cycles ELSE 0 END AS cycles, CASE WHEN g.deal_id % 7 > 0 AND paraphrase_pct > 0 THEN CAST(paraphrase_pct AS DOUBLE) / 100 ELSE 1e0 END AS invariance,
+  CASE WHEN g.deal_id % 7 > 0 AND brier_pct > 0 THEN CAST(brier_pct AS DOUBLE) / 100 ELSE 0e0 END AS brier, k AS pack_id, CASE WHEN k IS NOT NULL THEN 0 END AS tranches, coalesce(n, 0) AS n_facts, coalesce({half_up('m')}, 0e0) AS confidence,
+  CASE WHEN k % 5 > 0 THEN [p, s] ELSE [] END AS risks FROM {{ledgers}} g LEFT JOIN ({_FACTS}) f ON f.deal_id = g.deal_id LEFT JOIN ({_LAST}) l ON l.deal_id = g.deal_id WHERE g.deal_id % 5 > 0""")
+q("r37_facts_in_order", "fact_rows ledgers", lambda f, g: an.facts_in_order(f, _snapshot(g)).select("deal_id", "id", "place"),
+  "SELECT deal_id, id, CAST(row_number() OVER (PARTITION BY deal_id ORDER BY created_cycle, id) AS INT) AS place FROM {fact_rows} WHERE deal_id % 5 > 0 AND deal_id IN (SELECT deal_id FROM {ledgers})")
 q("r17_evidence_list", "evidence deals", lambda v, d: e.evidence_list(v, d).select("deal_id", "evidence_id", "rank"), """SELECT deal_id, evidence_id, CAST(rank AS INT) AS rank FROM (SELECT v.deal_id, v.evidence_id,
   row_number() OVER (PARTITION BY v.deal_id ORDER BY v.created_at DESC, v.evidence_id DESC) AS rank FROM {evidence} v WHERE v.deal_id IN (SELECT id FROM {deals} WHERE NOT deleted)) x WHERE rank <= 50""")
 q("r18_evidence_requests", "deals", lambda d: e.accepted(d.select(c("id").alias("deal_id")), d), "SELECT id AS deal_id, CASE WHEN deleted THEN 404 ELSE 202 END AS status FROM {deals}")
@@ -227,6 +279,6 @@ q("s38_analysis_summary", "fact_rows", lambda f: r.fact_ledger(f).select("deal_i
 q("s39_prerequisites", "deals deal_documents", lambda d, x: e.start_checks(d, x).groupBy(F.size("errors").alias("errors")).agg(F.count("*").alias("n")), """SELECT CAST(deleted AS INT) + CAST(n = 0 AS INT) + CAST(k = 0 AS INT) AS errors, count(*) AS n FROM (SELECT d.id, d.deleted, count(x.document_id) AS n,
   count(x.document_id) FILTER (WHERE x.type IN ('pitch_deck', 'other')) AS k FROM {deals} d LEFT JOIN {deal_documents} x ON x.deal_id = d.id GROUP BY 1, 2) y GROUP BY 1""")
 q("s40_progress", "cycles", lambda y: y.select("deal_id", "cycle_number", r.progress_percent(c("cycle_number"), c("questions") == 0).alias("percent")), f"SELECT deal_id, cycle_number, CASE WHEN questions = 0 THEN 100e0 ELSE {half_up('cycle_number / 3e0 * 100e0')} END AS percent FROM {{cycles}}")
-q("s41_result", "fact_rows", lambda f: f.groupBy("deal_id").agg(F.array_sort(F.collect_set("source")).alias("risks"), r.half_up(F.sum("confidence_pct") / F.count("*")).alias("confidence")),
-  f"SELECT deal_id, list_sort(list(DISTINCT source)) AS risks, {half_up('CAST(sum(confidence_pct) AS DOUBLE) / count(*)')} AS confidence FROM {{fact_rows}} GROUP BY 1")
+q("s41_result", "ledgers fact_rows orders", lambda g, f, o: an.states(_snapshot(g), f, _packs(o)).filter("pack IS NOT NULL").select("deal_id", "risks", "confidence"),
+  f"""SELECT g.deal_id, CASE WHEN k % 5 > 0 THEN [p, s] ELSE [] END AS risks, coalesce({half_up('m')}, 0e0) AS confidence FROM {{ledgers}} g JOIN ({_LAST}) l ON l.deal_id = g.deal_id LEFT JOIN ({_FACTS}) f ON f.deal_id = g.deal_id WHERE g.deal_id % 5 > 0""")
 q("s42_request_gates", "cycles", lambda y: y.select("deal_id", "cycle_number", c("cycle_number").between(1, 3).alias("may_run"), c("cycle_number").isin(2, 3).alias("may_synthesize")), "SELECT deal_id, cycle_number, cycle_number BETWEEN 1 AND 3 AS may_run, cycle_number IN (2, 3) AS may_synthesize FROM {cycles}")
