@@ -61,6 +61,23 @@ def lookup(requests: DataFrame, entries: DataFrame, at: Column) -> DataFrame:
     return requests.join(alive, "key", "left").withColumn("outcome", F.when(c("result").isNull(), "miss").otherwise("hit"))
 
 
+def looked_up(requests: DataFrame, entries: DataFrame, enabled: Column | bool = True) -> DataFrame:
+    """Each request (key, task, at) with an outcome: null, which isn't counted, where the cache is off or the task isn't one that is
+    cached; hit where its key's entry (key, expires_at) hasn't expired at that time; else miss. One join; of entries that share a key the
+    one that lives longest counts; a null key has no entry."""
+    alive = entries.groupBy("key").agg(F.max("expires_at").alias("__expires"))
+    counted = (enabled if isinstance(enabled, Column) else F.lit(enabled)) & c("task").isin(*CACHED_TASKS)
+    live = F.coalesce(c("at") <= c("__expires"), F.lit(False))
+    rows = requests.join(alive, "key", "left")
+    return rows.withColumn("outcome", F.when(counted, F.when(live, "hit").otherwise("miss"))).drop("__expires")
+
+
+def with_hits(entries: DataFrame, looked: DataFrame) -> DataFrame:
+    """Entries with their hits (a column of them) raised by those that looked_up() found."""
+    new = looked.filter("outcome = 'hit'").groupBy("key").agg(F.count("*").alias("__new"))
+    return entries.join(new, "key", "left").withColumn("hits", c("hits") + F.coalesce("__new", F.lit(0))).drop("__new")
+
+
 def evict(entries: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """The most recently created entries; the limit is the feature. A top-k, so each task keeps most rows before the merge."""
     return entries.orderBy(F.desc("created_at"), "key").limit(most)
@@ -153,6 +170,38 @@ def route(requests: DataFrame, tasks: DataFrame, offers: DataFrame, default: str
 BUFFER_EVENTS, BUFFER_SECONDS, FIRST_DELAY = 100, 30, 1000
 
 
+def configured(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Requests (task) with their task's configuration (model, max_tokens, temperature); nulls where it has none. tasks is a few rows of
+    settings, checked to be one a task."""
+    one = tasks.groupBy("task").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("model", "max_tokens", "temperature")])
+    checked = one.withColumn("task", F.when(c("n") > 1, F.raise_error(F.lit("a task has two configurations"))).otherwise(c("task"))).drop("n")
+    return requests.join(checked, "task", "left")
+
+
+# Settings of the two kinds of request.
+EXTRACT, SYNTHESIZE = ("fact-extraction", 0.2, 2000), ("synthesis", 0.5, 3000)
+
+
+def _request(kind: tuple[str, float, int], system: str, *user: Column) -> list[Column]:
+    messages_ = F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", F.lit(system)), ("user", F.concat(*user)))])
+    return [F.lit(kind[0]).alias("task"), messages_.alias("messages"), F.lit(kind[1]).alias("temperature"), F.lit(kind[2]).alias("max_tokens")]
+
+
+def extract_requests(rows: DataFrame) -> DataFrame:
+    """Requests that ask for the facts of documents: rows (document, instructions, ...) condensed, as task, messages, temperature and
+    max_tokens beside the other columns."""
+    keep = [x for x in rows.columns if x not in ("document", "instructions")]
+    made = document_contexts(rows)
+    return made.select(*keep, *_request(EXTRACT, "You find structured facts in documents.", c("instructions"), F.lit("\n\nDocument:\n"), c("document")))
+
+
+def synthesize_requests(rows: DataFrame) -> DataFrame:
+    """Requests that ask for a synthesis: rows (facts, hypotheses, queries, ...) condensed."""
+    keep = [x for x in rows.columns if x not in ("facts", "hypotheses", "queries")]
+    user = (F.lit("Facts:\n"), c("facts"), F.lit("\n\nHypotheses:\n"), c("hypotheses"), F.lit("\n\nAnalyze:\n"), c("queries"))
+    return analysis_contexts(rows).select(*keep, *_request(SYNTHESIZE, "You weigh evidence for an investment. Be exact and name sources.", *user))
+
+
 def flushes(events: DataFrame) -> DataFrame:
     """The flushes of each provider's event buffer, from events (provider, at, id): a full buffer is flushed at once, the
     rest at the next tick of the clock. Per flush its number of events and the total so far."""

@@ -45,16 +45,30 @@ q("s49_cache_replay", "cache_events", lambda v: k.replay(v.select(c("content_has
   """WITH RECURSIVE o AS (SELECT content_hash AS key, created_at AS stamp, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS n FROM {cache_events} WHERE task_type <> 'error'),
   f AS (SELECT key, n, stamp AS stored, false AS hit FROM o WHERE n = 1 UNION ALL SELECT o.key, o.n, CASE WHEN o.stamp - f.stored <= INTERVAL 7 DAY THEN f.stored ELSE o.stamp END, o.stamp - f.stored <= INTERVAL 7 DAY FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
   SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM {cache_events} WHERE task_type = 'error'""")
+_KIND = "CASE {x} % 3 WHEN 0 THEN 'classification' WHEN 1 THEN 'fact-extraction' ELSE 'chat-response' END"
+
+
+def _lookups(v: DataFrame) -> DataFrame:
+    """Requests at each event against entries that misses stored: those of a key live for a week from its last store."""
+    requests = v.select("id", c("content_hash").alias("key"), F.expr(_KIND.format(x="id")).alias("task"), c("created_at").alias("at"))
+    entries = v.filter("event_type = 'miss' AND id % 2 = 0").select(c("content_hash").alias("key"), (c("created_at") - F.expr("INTERVAL 3 DAYS")).alias("expires_at"))
+    return k.looked_up(requests, entries, c("id") % 10 > 0)
+
+
+_LOOKED = f"""SELECT v.id, v.content_hash AS key, CASE WHEN v.id % 10 > 0 AND v.id % 3 < 2 THEN CASE WHEN v.created_at <= e.x THEN 'hit' ELSE 'miss' END END AS outcome FROM {{cache_events}} v
+  LEFT JOIN (SELECT content_hash, max(created_at) - INTERVAL 3 DAY AS x FROM {{cache_events}} WHERE event_type = 'miss' AND id % 2 = 0 GROUP BY 1) e ON e.content_hash = v.content_hash"""
+q("s49_lookups", "cache_events", lambda v: _lookups(v).select("id", "key", "outcome"), _LOOKED)
+q("s49_hits", "cache_events", lambda v: k.with_hits(v.groupBy(c("content_hash").alias("key")).agg(F.count("*").alias("hits")), _lookups(v)), f"SELECT key, count(*) + count(*) FILTER (outcome = 'hit') AS hits FROM ({_LOOKED}) y GROUP BY 1")
 q("s50_eviction", "cache_events", lambda v: k.evict(v.select(c("id").alias("key"), "created_at"), k.MOST_ENTRIES - 1).select("key"), "SELECT id AS key FROM {cache_events} ORDER BY created_at DESC, id LIMIT 9999")
 q("s51_savings", "cache_events", lambda v: v.filter("event_type = 'hit'").select("id", k.savings(c("tokens_saved"), c("model")).alias("saved")),
   "SELECT id, tokens_saved / 1e6 * CASE model WHEN 'llama-70b' THEN 0.05e0 WHEN 'qwen-14b' THEN 0.02e0 ELSE 5e0 END AS saved FROM {cache_events} WHERE event_type = 'hit'")
 q("s52_cache_stats", "cache_events", k.stats, f"SELECT {HIT} AS hits, {MISS} AS misses, {ratio(HIT, f'({HIT} + {MISS})', 2, 100)} AS hit_rate, min(created_at) AS oldest, max(created_at) AS newest FROM {{cache_events}}")
 q("s53_top_hits", "cache_events", k.top_hits, "SELECT content_hash, count(*) AS hits FROM {cache_events} WHERE event_type = 'hit' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 q("s53_entries_by_task", "cache_events", lambda v: k.by_task(v, "click").select("id", "content_hash"), "SELECT id, content_hash FROM {cache_events} WHERE task_type = 'click'")
-q("s54_compress", "conversations", lambda v: v.select("conv_id", "turn", F.length(t.compress(c("text"), 500)).alias("n")), None)
+q("s54_compress", "conversations", lambda v: v.select("conv_id", "turn", t.compress(c("text"), 500).alias("text")), None)
 q("s55_squeeze", "conversations", lambda v: v.select("conv_id", "turn", t.squeeze(c("text")).alias("text")),
   "SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?m)[\\t\\v\\f\\r ]+$', '', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM {conversations}")
-q("s56_repeats", "conversations", lambda v: v.select("conv_id", "turn", F.length(t.abbreviate_repeats(c("text"))).alias("n")), None)
+q("s56_repeats", "conversations", lambda v: v.select("conv_id", "turn", t.abbreviate_repeats(c("text")).alias("text")), None)
 q("s57_truncate", "documents", lambda d: d.select("doc_id", t.truncate(c("text"), 200).alias("text")),
   """SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE concat(CASE WHEN stop > 160 THEN substr(text, 1, stop + 1) ELSE substr(text, 1, 200) END, chr(10), '[... truncated due to length ...]') END AS text FROM (SELECT doc_id, text,
   greatest(CASE WHEN instr(b, '.') > 0 THEN 200 - instr(b, '.') ELSE -1 END, CASE WHEN instr(b, chr(10)) > 0 THEN 200 - instr(b, chr(10)) ELSE -1 END) AS stop FROM (SELECT doc_id, text, reverse(substr(text, 1, 200)) AS b FROM {documents}) y) z""")
@@ -122,15 +136,21 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return k.entries_of(completed, docs.select(s(c("doc_id")).alias("key"), c("source").alias("result")), now)
 
 
+q("s67_extract_requests", "documents", lambda d: k.extract_requests(d.select("doc_id", c("source").alias("document"), F.concat(F.lit("Extract facts.   "), "lang").alias("instructions"))).select("doc_id", "task", c("messages")[0]["role"].alias("first"), c("messages")[1]["content"].alias("content"), "temperature", "max_tokens"),
+  "SELECT doc_id, 'fact-extraction' AS task, 'system' AS first, concat('Extract facts.   ', lang, chr(10), chr(10), 'Document:', chr(10), source) AS content, 0.2e0 AS temperature, 2000 AS max_tokens FROM {documents}")
+q("s67_synthesize_requests", "documents", lambda d: k.synthesize_requests(d.select("doc_id", c("source").alias("facts"), c("lang").alias("hypotheses"), F.concat(F.lit("Why "), "lang").alias("queries"))).select("doc_id", "task", c("messages")[1]["content"].alias("content"), "temperature", "max_tokens"),
+  "SELECT doc_id, 'synthesis' AS task, concat('Facts:', chr(10), source, chr(10), chr(10), 'Hypotheses:', chr(10), lang, chr(10), chr(10), 'Analyze:', chr(10), 'Why ', lang) AS content, 0.5e0 AS temperature, 3000 AS max_tokens FROM {documents}")
 q("s67_task_requests", "documents", lambda d: d.select("doc_id", F.format_string("Extract facts from %s of %s", "source", "lang").alias("prompt")), "SELECT doc_id, concat('Extract facts from ', source, ' of ', lang) AS prompt FROM {documents}")
 
 
 _TASKS = ", ".join(f"('{a}', '{b}', {n}, CAST({x} AS DOUBLE))" for a, b, n, x in k.TASKS)
 
 
-@query("s68_task_config", f"SELECT * FROM (VALUES {_TASKS}) v(task, model, max_tokens, temperature)")
+@query("s68_task_config", standalone(f"""SELECT r.id, r.task, v.model, v.max_tokens, v.temperature FROM (SELECT id, CASE id % 4 WHEN 3 THEN 'unknown' ELSE {_KIND.format(x="id")} END AS task FROM {{llm_calls}}) r
+  LEFT JOIN (VALUES {_TASKS}) v(task, model, max_tokens, temperature) ON v.task = r.task"""))
 def _config(spark: SparkSession, d: str) -> DataFrame:
-    return k.task_config(spark)
+    calls = view(spark, d, "llm_calls").select("id", F.when(c("id") % 4 == 3, "unknown").otherwise(F.expr(_KIND.format(x="id"))).alias("task"))
+    return k.configured(calls, k.task_config(spark)).select("id", "task", "model", "max_tokens", "temperature")
 
 
 def _key() -> Column:

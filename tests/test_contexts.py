@@ -106,3 +106,48 @@ def test_contexts(spark):
     assert len(r["facts"]) <= 8000 + len(text.MARKER) and r["hypotheses"] == hypotheses and len(r["queries"].split("\n")) == 50
     empty = cache.document_contexts(spark.createDataFrame([(1, "", None)], "id long, document string, instructions string")).first()
     assert (empty["document"], empty["instructions"], empty["reduction"]) == ("", "", None)
+
+
+def shorter(x):
+    """Phrases of three words, in the order in which they first stand, replaced one after the other."""
+    words, seen = re.split(r"\s+", x.strip()) if x.strip() else [], []
+    phrases = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    for p in phrases:
+        if p not in seen:
+            seen.append(p)
+            if phrases.count(p) >= 3 and len(p) > 20:
+                x = re.sub(re.escape(p), (p.split(" ")[0][0] + p.split(" ")[1][0]).upper(), x)
+    return x
+
+
+def condensed(x, most):
+    x = "\n".join(line.rstrip() for line in x.split("\n"))
+    x = re.sub(r"\n{3,}", "\n\n", x).strip()
+    for pattern in (r"<!--[\s\S]*?-->", r"/\*[\s\S]*?\*/", r"(?m)//.*$", r"(?m)--.*$", r"(?m)^(?!#\s)#[^#].*$"):
+        x = re.sub(pattern, "", x)
+    x = shorter(x)
+    if len(x) <= most:
+        return x
+    cut = x[:most]
+    stop = max(cut.rfind("."), cut.rfind("\n"))
+    return (cut[: stop + 1] if stop > most * 0.8 else cut) + "\n[... truncated due to length ...]"
+
+
+SAID = [
+    "", "short", "quarterly revenue increased. " * 4, "alpha betagamma deltaepsilon " * 3 + "x", "a\n\n\n\nb  \n  c // gone\nd -- gone\n# kept\n#gone\n/* a\nb */e<!-- x -->",
+    ("customers renewed contracts early and customers renewed contracts late; " * 9).strip(), "long sentence here. " * 40, "no stop at all " * 50, "tail\n" * 130,
+]
+
+
+@pytest.mark.parametrize("x", SAID)
+def test_compression_equals_a_plain_version(spark, x):
+    assert one(spark, x, text.abbreviate_repeats) == shorter(x)
+    assert one(spark, x, lambda v: text.compress(v, 500)) == condensed(x, 500)
+
+
+def test_compression_of_the_table(spark):
+    """The registered queries over all turns."""
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    for name, plain in (("s54_compress", lambda x: condensed(x, 500)), ("s56_repeats", shorter)):
+        got = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert {(r["conv_id"], r["turn"]): r["text"] for r in got} == {k: plain(v or "") for k, v in turns.items()}
