@@ -123,7 +123,7 @@ def column_profiles(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("sheet", "column", "type", *(F.when(c("type") == "numeric", c(x)).alias(x) for x in ("low", "high", "mean")))
 
 
-def best_contexts(found: DataFrame, boilerplate: DataFrame | None = None) -> DataFrame:
+def best_contexts(found: DataFrame, boilerplate: DataFrame | None = None, first: bool = False) -> DataFrame:
     """Per document and numeric value of found (document_id, value, context, n) the context with the least noise; the
     first wins ties. Garbled contexts, and those with a key of boilerplate (document_id, key), are left out."""
     rows = found.select("document_id", F.lower(t.trimmed(c("value"))).alias("value"), t.collapse(c("context")).alias("context"), "n")
@@ -132,8 +132,8 @@ def best_contexts(found: DataFrame, boilerplate: DataFrame | None = None) -> Dat
         keys = boilerplate.select("document_id", c("key").alias("__key")).distinct()
         rows = rows.withColumn("__key", t.boilerplate_key(c("context"))).join(keys, ["document_id", "__key"], "left_anti").drop("__key")
     noise = F.length("context") + 40 * F.when(t.count(c("context"), t.CAPS_RUN) > 6, 1).otherwise(0) + 15 * t.count(c("context"), t.WEIRD)
-    best = rows.groupBy("document_id", "value").agg(F.min(F.struct(noise.alias("noise"), "n", "context")).alias("b"))
-    return best.select("document_id", "value", "b.context", "b.n")
+    best = rows.groupBy("document_id", "value").agg(F.min(F.struct(noise.alias("noise"), "n", "context")).alias("b"), F.min("n").alias("first"))
+    return best.select("document_id", "value", "b.context", "b.n", *(["first"] if first else []))
 
 
 def structured_data(analysed: DataFrame) -> DataFrame:
@@ -142,3 +142,29 @@ def structured_data(analysed: DataFrame) -> DataFrame:
     joined = F.array_join(F.slice("parts", 1, 5), " | ")
     summary = F.when(c("kind") == "powerpoint", joined).otherwise(first)
     return analysed.select("document_id", F.struct(F.slice("headings", 1, 10).alias("main_headings"), summary.alias("text_summary"), F.array().cast("array<struct<type:string,value:string>>").alias("entities")).alias("s"))
+
+
+def cleaned_pages(pages: DataFrame, boilerplate: DataFrame) -> DataFrame:
+    """pages (document_id, page, title, text) with their text stripped of links, addresses and those of the document's titles that repeat:
+    good titles of 40 characters or fewer, without a logo's prefix, whose key is boilerplate (document_id, key). Titles with such a
+    key become empty. A document's titles are as many as its pages, at most; null titles and texts are empty."""
+    keys = boilerplate.select("document_id", c("key").alias("__key")).distinct()
+    title = t.strip_logo(c("title"))
+    good = pages.filter(t.is_good_title(c("title"))).select("document_id", title.alias("title"), "page", t.boilerplate_key(title).alias("__key")).filter(F.length("title") <= 40)
+    first = good.join(keys, ["document_id", "__key"], "left_semi").groupBy("document_id", "title").agg(F.min("page").alias("page"))
+    repeated = first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "title"))), lambda x: x["title"]).alias("__titles"))
+    marked = pages.withColumn("__key", t.boilerplate_key(c("title"))).join(keys.withColumn("__bad", F.lit(True)), ["document_id", "__key"], "left")
+    rows = marked.join(repeated, "document_id", "left")
+    text = t.strip_boilerplate(c("text"), F.coalesce("__titles", F.array().cast("array<string>")))
+    return rows.select("document_id", "page", F.when(F.coalesce("__bad", F.lit(False)), "").otherwise(F.coalesce("title", F.lit(""))).alias("title"), text.alias("text"))
+
+
+def key_numbers(metrics: DataFrame, numbers: DataFrame, boilerplate: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """The first most numeric values of each document with their least noisy context: of metrics (document_id, page, pos, value, label),
+    which come first, and of numbers in the text (document_id, page, pos, value, context). Values are in the order in which they first
+    have a sound context; the limit is the feature."""
+    place = lambda kind: F.struct(F.lit(kind).alias("kind"), "page", "pos").alias("n")
+    found = metrics.select("document_id", "value", c("label").alias("context"), place(0)).unionByName(numbers.select("document_id", "value", "context", place(1)))
+    best = best_contexts(found, boilerplate, first=True)
+    order = Window.partitionBy("document_id").orderBy("first")
+    return best.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= most).select("document_id", "rank", "value", "context")
