@@ -34,9 +34,38 @@ def slide_summary(slides: DataFrame) -> DataFrame:
 
 
 def full_text(parts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Per document its parts (n, text) in order, joined by spaces; the cut is the rule's."""
+    """Per document its parts (n, text) in order, joined by spaces; the cut is the rule's. Parts that start beyond it are left out before
+    a document's parts meet, so that no more than the cut is held."""
+    order = Window.partitionBy("document_id").orderBy("n", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.filter(c("text").isNotNull()).withColumn("__start", F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
-    return parts.groupBy("document_id").agg(F.left(F.array_join(ordered, " "), F.lit(most)).alias("full_text"))
+    return rows.filter(c("__start") < most).groupBy("document_id").agg(F.left(F.array_join(ordered, " "), F.lit(most)).alias("full_text"))
+
+
+def text_parts(rows: DataFrame) -> DataFrame:
+    """What the readers gave (document_id, kind, part, pos, name, text, row) as parts of the full text (n, text), by format.
+
+    A PDF's page gives its text, then its title; a sheet its name, its headers and its rows' values; a slide its title, then the rest; Word its
+    paragraphs and table rows, and these once more as a whole; an image its text. Empty parts aren't parts."""
+    at = lambda *more: F.struct("part", *[F.lit(x).alias(f"k{i}") for i, x in enumerate(more)], "pos").alias("n")
+    some = rows.filter(c("kind") != "excel").filter(F.coalesce("text", F.lit("")) != "")
+    pages = some.filter("kind IN ('pdf', 'image') AND name IN ('page', 'image')").select("document_id", at(0, 0), "text")
+    titles = some.filter("kind = 'pdf' AND name = 'title'").select("document_id", at(1, 0), "text")
+    slides = some.filter("kind = 'powerpoint'").select("document_id", F.struct("part", F.when(c("name") == "title", 0).otherwise(1).alias("k0"), F.lit(0).alias("k1"), "pos").alias("n"), "text")
+    word = some.filter("kind = 'word'")
+    once = word.select("document_id", F.struct(F.lit(0).alias("part"), F.lit(0).alias("k0"), F.lit(0).alias("k1"), "pos").alias("n"), "text")
+    again = word.select("document_id", F.struct(F.lit(0).alias("part"), F.lit(1).alias("k0"), F.lit(0).alias("k1"), "pos").alias("n"), "text")
+    sheet = rows.filter("kind = 'excel'").withColumn("__row", F.from_json("row", "map<string,string>"))
+    values = sheet.select("document_id", at(1, 1), F.array_join(F.map_values("__row"), " ").alias("text"))
+    heads = sheet.groupBy("document_id", "part").agg(F.min_by(F.struct("name", F.map_keys("__row").alias("headers")), "pos").alias("h"))
+    head = lambda k, text: heads.select("document_id", F.struct("part", F.lit(0).alias("k0"), F.lit(k).alias("k1"), F.lit(0).alias("pos")).alias("n"), text.alias("text"))
+    named = head(0, F.concat(F.lit("Sheet: "), "h.name")).unionByName(head(1, F.array_join(F.filter("h.headers", lambda x: ~x.endswith("=")), " ")))
+    kind = "struct<part:int,k0:int,k1:int,pos:bigint>"
+    out = None
+    for x in (pages, titles, slides, once, again, values, named):
+        x = x.withColumn("n", c("n").cast(kind))
+        out = x if out is None else out.unionByName(x)
+    return out.filter(F.length("text") > 0)
 
 
 def page_count(kind: Column, parts: Column) -> Column:
@@ -137,7 +166,8 @@ def best_contexts(found: DataFrame, boilerplate: DataFrame | None = None, first:
 
 
 def structured_data(analysed: DataFrame) -> DataFrame:
-    """The structured payload of a document by its kind (kind, parts, headings)."""
+    """The structured payload of a document by its kind (kind, parts, headings): its summary are the first pages of a PDF, the key messages of
+    slides, the first 500 characters of Word files and images. Workbooks have workbook_data()."""
     first = F.left(F.array_join(F.slice("parts", 1, 3), " "), F.lit(500))
     joined = F.array_join(F.slice("parts", 1, 5), " | ")
     summary = F.when(c("kind") == "powerpoint", joined).otherwise(first)
@@ -168,3 +198,13 @@ def key_numbers(metrics: DataFrame, numbers: DataFrame, boilerplate: DataFrame |
     best = best_contexts(found, boilerplate, first=True)
     order = Window.partitionBy("document_id").orderBy("first")
     return best.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= most).select("document_id", "rank", "value", "context")
+
+
+def workbook_data(profiles: DataFrame, sheets: DataFrame) -> DataFrame:
+    """The structured payload of workbooks: sheet names as headings, a sentence of their numbers as summary, and the range and mean of each
+    numeric column as metrics. sheets: document_id, part, sheet, rows; profiles: document_id, part, sheet, column, low, high, mean."""
+    one = sheets.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "sheet"))), lambda x: x["sheet"]).alias("main_headings"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    numeric = profiles.filter("mean IS NOT NULL").select("document_id", F.struct("part", F.concat("sheet", F.lit("."), "column").alias("key"), "low", "high", "mean", c("sheet").alias("source")).alias("m"))
+    metrics = numeric.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list("m")), lambda x: x.dropFields("part")).alias("key_metrics"))  # a workbook's columns
+    summary = F.concat(F.lit("Workbook of "), c("n").cast("string"), F.lit(" sheet(s) and "), c("rows").cast("string"), F.lit(" rows"))
+    return one.join(metrics, "document_id", "left").select("document_id", "main_headings", summary.alias("text_summary"), "key_metrics")

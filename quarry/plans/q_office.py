@@ -151,3 +151,20 @@ q("src5_pdf_pages", "documents", lambda d: office.extract(_pdfs(d)).select(c("pa
   p AS (SELECT *, greatest(1, (len(w) + {WORDS - 1}) // {WORDS}) AS n FROM w), k AS (SELECT *, unnest(range(-1, least(n, 30))) AS k FROM p)
   SELECT doc_id, CAST(k AS INT) AS part, CASE WHEN k < 0 THEN 'file' WHEN doc_id % 10 = 9 OR len(w) = 0 THEN 'scan' ELSE 'page' END AS name, CASE WHEN k < 0 THEN CAST(n AS INT) END AS level,
   CASE WHEN k < 0 THEN source WHEN doc_id % 10 = 9 THEN '' ELSE array_to_string(w[k * {WORDS} + 1:(k + 1) * {WORDS}], ' ') END AS text, CAST(NULL AS VARCHAR) AS error FROM k""")
+
+
+def _rows(made: DataFrame) -> DataFrame:
+    """The readers' rows with their place; a file's rows are read in one go, and those of Word are numbered by it."""
+    at = F.when(c("kind") == "word", c("part")).otherwise(F.coalesce(F.get_json_object("row", "$.key").cast("double").cast("long"), F.length("text").cast("long"), F.lit(0)))
+    return office.extract(made).withColumn("document_id", F.element_at(F.split("path", r"\."), 1)).withColumn("pos", at.cast("long")).withColumn("part", F.when(c("kind") == "word", 0).otherwise(c("part")))
+
+
+_TEXTS = lambda n, g: documents.full_text(documents.text_parts(_rows(_files(n, g, ".pptx", _slides)).unionByName(_rows(_files(n, g, ".docx", _word))).unionByName(_rows(_files(n, g, ".xlsx", _book))).withColumn("document_id", F.concat("document_id", F.lit("."), "kind"))))
+q("x27_full_text_by_format", "nation region", lambda n, g: _TEXTS(n, g).select("document_id", "full_text"), f"""WITH y AS ({RANKED})
+  SELECT concat(r_name, '.powerpoint') AS document_id, string_agg(concat(n_name, ' ', r_name, ' ', k), ' ' ORDER BY i) AS full_text FROM y GROUP BY r_name
+  UNION ALL SELECT concat(r_name, '.excel'), concat('Sheet: ', r_name, ' name key ', string_agg(concat(n_name, ' ', k, '.0 B', CAST(i AS VARCHAR), '+1'), ' ' ORDER BY CAST(k AS INT))) FROM y GROUP BY r_name
+  UNION ALL SELECT concat(r_name, '.word'), concat(t, ' ', t) FROM (SELECT r_name, concat(r_name, ' ', string_agg(n_name, ' ' ORDER BY i), ' ', string_agg(concat(n_name, ' | ', k), ' ' ORDER BY i)) AS t FROM y GROUP BY r_name) z""")
+q("x25_workbook_data", "nation region", lambda n, g: documents.workbook_data(
+    documents.column_profiles(office.extract(_files(n, g, ".xlsx", _book)).select(c("name").alias("sheet"), F.get_json_object("row", "$.key").cast("double").alias("n"), "row"), ["name", "key"]).select(c("sheet").alias("document_id"), F.lit(0).alias("part"), "sheet", "column", "low", "high", "mean"),
+    office.extract(_files(n, g, ".xlsx", _book)).groupBy(c("name").alias("document_id"), "part", c("name").alias("sheet")).agg(F.count("*").alias("rows"))).select("document_id", "main_headings", "text_summary", F.array_size("key_metrics").alias("metrics"), c("key_metrics")[0]["key"].alias("key"), c("key_metrics")[0]["mean"].alias("mean")),
+  """SELECT r_name AS document_id, [r_name] AS main_headings, concat('Workbook of 1 sheet(s) and ', count(*), ' rows') AS text_summary, 1 AS metrics, concat(r_name, '.key') AS key, CAST(sum(n_nationkey) AS DOUBLE) / count(*) AS mean FROM {nation} JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name""")
