@@ -21,10 +21,20 @@ from quarry.llm.common import prepare, stored, table
 from quarry.llm.queries import BYTE_BPE
 
 
+#: Bytes of one Arrow batch in a stage's own pass: an executor runs all stages one after the other, and its workers keep some of each.
+BATCH_BYTES = 3 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose pass will hand texts to Python in batches of BATCH_BYTES."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A text that is null, empty or a few words has no evidence
     either way and is kept or not by the score of that; without labels of both classes that is the share of good ones."""
-    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return small_batches(quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +45,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage; an empty text holds none, an empty benchmark rejects nothing."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return small_batches(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +57,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return text.map(secrets.redact)
 
     docs = docs.withColumn("text", redacted(F.coalesce(F.col("text"), F.lit(""))))
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+    return small_batches(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents in sequences of at most 2048 tokens; an empty text is its end id alone."""
-    packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048, memo=100_000)
-    return packed.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
+    packed = packing.pack_documents(docs, BYTE_BPE, capacity=2048, memo=50_000)
+    return small_batches(packed).selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
