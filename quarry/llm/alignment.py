@@ -38,12 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import mix64, prepare, stored, texts
 from .encoder import ROWS, PieceEncoder
+from .token_counts import split_safely
 
 #: Words whose ids a worker keeps.
 WORDS = 100_000
 #: Bytes of text that are aligned at once, of a batch that is tokenised at once: some hundred bytes of memory each. A longer text
-#: is aligned alone.
+#: is aligned alone, one of over LONG characters in parts.
 GROUP_BYTES = 1 << 21
+#: Characters above which a text is taken in parts.
+LONG = 1 << 22
 #: Distinct pairs that a task adds up before it returns them.
 PENDING = 1 << 20
 #: Distinct id pairs whose counts are broadcast at most: 54 MB.
@@ -227,8 +230,38 @@ class Aligner:
         parts = list(self.batches(texts_, 1 << 62))
         return parts[0] if parts else Batch.empty(0)
 
-    def batches(self, texts_: pa.Array, most: int = GROUP_BYTES) -> Iterator[Batch]:
-        """The alignments of texts, which are tokenised together, in parts of about most bytes of text."""
+    def long_text(self, text: str) -> Batch:
+        """The alignment of one text, of which no more than a part is held. Parts end at a space between two characters that are neither
+        white space nor the mark: there both tokenizers begin a token, so it is an anchor."""
+        first, *rest = split_safely(text, LONG)
+        said, held, out = hashlib.sha256(), [], Batch.empty(1)
+        for i, part in enumerate([first, *(p[1:] for p in rest)]):
+            x = next(iter(self.batches(pa.array([part]), 1 << 62, hashed=False)))
+            if not x.n_a[0]:
+                return Batch.empty(1)
+            for c in _FIGURES:
+                getattr(out, c)[0] += getattr(x, c)[0]
+            said.update(b";" * bool(i) + x.sha[0])
+            held = [_added(*(np.concatenate(v) for v in zip(*held, (x.pair, x.times), strict=True)))]
+        out.sha[0] = said.hexdigest()
+        out.pair, out.times = held[0]
+        out.doc = np.zeros(len(out.pair), np.int64)
+        return out
+
+    def batches_of(self, texts_: pa.Array) -> Iterator[Batch]:
+        """The alignments of texts in order, long ones each alone."""
+        long = np.flatnonzero(pc.greater(pc.utf8_length(texts_), LONG).to_numpy(zero_copy_only=False)).tolist()
+        start = 0
+        for i in long:
+            if i > start:
+                yield from self.batches(texts_.slice(start, i - start))
+            yield self.long_text(texts_[i].as_py())
+            start = i + 1
+        if start < len(texts_):
+            yield from self.batches(texts_.slice(start))
+
+    def batches(self, texts_: pa.Array, most: int = GROUP_BYTES, hashed: bool = True) -> Iterator[Batch]:
+        """The alignments of texts, which are tokenised together, in parts of about most bytes of text. hashed: else sha has the groups."""
         size = pc.binary_length(texts_).to_numpy(zero_copy_only=False).astype(np.int64)
         kept = np.flatnonzero(size)
         none = np.zeros(0, np.int64)
@@ -246,11 +279,11 @@ class Aligner:
             (a, of_a, _), (b, of_b, _) = sides
             if not good.all():
                 a, of_a, b, of_b = a[good[of_a]], of_a[good[of_a]], b[good[of_b]], of_b[good[of_b]]
-            self._windows(out, own, a, b, of_a, of_b)
+            self._windows(out, own, a, b, of_a, of_b, hashed)
             yield out
             start = stop
 
-    def _windows(self, out: Batch, kept: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> None:
+    def _windows(self, out: Batch, kept: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, hashed: bool) -> None:
         if not len(ids_a):
             return
         ends_a, ends_b = np.cumsum(self.bytes_a.size[ids_a]), np.cumsum(self.bytes_b.size[ids_b])
@@ -285,7 +318,7 @@ class Aligner:
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         upto = np.cumsum(np.add.reduceat(w.letters[kind], first)).tolist()
         for d, s, e in zip(kept[doc[first]].tolist(), [0, *upto], upto, strict=False):
-            out.sha[d] = hashlib.sha256(said[s : e - 1]).hexdigest()
+            out.sha[d] = hashlib.sha256(said[s : e - 1]).hexdigest() if hashed else said[s : e - 1]
         # Windows are counted within each text first, then their pairs.
         once, times = np.unique(doc * len(chosen) + kind, return_counts=True)
         d, k = once // len(chosen), once % len(chosen)
@@ -324,7 +357,7 @@ class Batch:
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    sha: list[str]
+    sha: list[str | bytes]
     doc: np.ndarray
     pair: np.ndarray
     times: np.ndarray
@@ -371,7 +404,7 @@ def _align(byte_path: str, piece_path: str) -> Callable[[Iterator[pa.RecordBatch
         size, number = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
-            for x in with_both.batches(batch.column("text")):
+            for x in with_both.batches_of(batch.column("text")):
                 many = len(x.sha)
                 stops = np.searchsorted(x.doc, np.arange(many + 1))
                 # Sorted pairs of a text as differences: they compress.

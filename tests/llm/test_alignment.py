@@ -96,3 +96,13 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     x = with_both.batch(pa.array(["one two three", "three two one one"]))
     assert [(a, b, c) for a, b, c in zip(x.n_a, x.n_b, x.n_links, strict=True)] == [r[1:3] + (r[4],) for r in plain([(0, "one two three"), (1, "three two one one")])]
 
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    monkeypatch.setattr(alignment, "LONG", 40)
+    texts = ["short", "the quick brown fox jumps over the naïve Donaudampfschiff again and again, twice  or \n more " * 6, "x" * 200, "a fine text of some length that holds ▁ near its very end, far behind the first part ▁", "tail"]
+    got = list(BOTH.batches_of(pa.array(texts)))
+    assert len(got) == 5
+    for x, t in zip(got, texts, strict=True):
+        (_, n_a, n_b, n_groups, n_links, *_, sha) = plain([(0, t)])[0]
+        assert (x.n_a[0], x.n_b[0], x.n_groups[0], x.n_links[0], x.sha[0], x.times.sum()) == (n_a, n_b, n_groups, n_links, sha, n_links)
+        assert len(set(x.pair.tolist())) == len(x.pair) == len(x.doc) and not x.doc.any()
