@@ -63,7 +63,7 @@ class PieceEncoder:
         for part, done in zip(parts, self._tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(done.ids, dtype="<u4")
             upto = np.cumsum(self._bytes[ids])
-            ends = np.cumsum([len(p.encode()) for p in part])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part])
             at = np.searchsorted(upto, ends)
             if upto[-1] != ends[-1] or (upto[at] != ends).any():
                 continue  # not as expected: each alone, below
