@@ -29,23 +29,27 @@ q("snk4_cache_import", "cache_events", lambda v: v.filter(c("created_at") + F.ex
 
 
 SIDE = 256
+#: Images that are made at once, so that a batch of keys is never held as one of pixels.
+AT_ONCE = 32
 
 
-def _drawn(rows: DataFrame) -> DataFrame:
-    """Images of SIDE by SIDE pixels on light ground, by a key: a block of dark stripes whose size and place vary, a banner, and a
-    block whose gray lies just below or at the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in batch.column(0).to_pylist():
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, AT_ONCE):
+            keys, out = batch.column(0).slice(i, AT_ONCE), []
+            for k in keys.to_pylist():
                 image = np.full((SIDE, SIDE, 3), 240, np.uint8)
                 for x, y, w, h, level in ((10, 90, 40 + k % 30 * 2, 15 + k % 17, k % 100), (10, 4 if k % 2 else 70, 200, 6, 20), (140, 110, 60, 30, 171 + k % 3 % 2)):
                     image[y : y + h, x : x + w : 2] = level
                 out.append(image.tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["key", "pixels"])
+            yield pa.record_batch([keys, pa.array(out, pa.binary())], names=["key", "pixels"])
 
-    return rows.mapInArrow(run, "key long, pixels binary")
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Images of SIDE by SIDE pixels on light ground, by a key: a block of dark stripes whose size and place vary, a banner, and a
+    block whose gray lies just below or at the threshold. A key becomes 200 KB, so a file of keys is dealt out first."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, rows.columns[0]).mapInArrow(_images, "key long, pixels binary")
 
 
 def _found(suppliers: DataFrame) -> DataFrame:

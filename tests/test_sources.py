@@ -6,10 +6,11 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.plans import q_office
+from quarry.plans import q_office, q_sources
 from quarry.sources import images, office, pdf
 from quarry.streaming import feed
 
@@ -124,6 +125,17 @@ def test_readable_regions_and_odd_images(spark):
     assert [r[0] for r in rows.coalesce(1).select(images.regions(F.col("p"), F.col("w"), F.col("h"))).collect()] == [None, None, None, [], None]
 
 
+def test_images_are_made_a_few_at_once(spark):
+    keys = pa.record_batch([pa.array(range(2000), pa.int64())], names=["s_suppkey"])
+    seen = []
+    for batch in q_sources._images(iter([keys])):
+        assert batch.nbytes < 8 << 20
+        seen += batch.column(0).to_pylist()
+    assert seen == list(range(2000))
+    parts = q_sources._drawn(spark.range(40).coalesce(1)).select(F.spark_partition_id()).distinct()
+    assert parts.count() > 1
+
+
 @pytest.mark.parametrize("number", range(12))
 def test_pdf_forms(number):
     text = " ".join(f"wörd{i} (x)\\\\" for i in range(650)) + (" 日本" if number == 4 else "")
