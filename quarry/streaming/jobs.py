@@ -7,6 +7,7 @@ further update. State is one value and the held updates of a job; times in it ar
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,10 +21,16 @@ from .feed import TERMINAL
 TIMEOUT = 300
 ATTEMPTS = 3
 RESULT = "job_id long, status string, progress_pct int, message string, attempts int, updated_at timestamp, seq long"
-_HELD = "at long, id long, status string, progress_pct int, message string"
+_OUT = RESULT.replace("updated_at timestamp", "at long")
+#: The updates of a job that came together are held as one value: a call to the state store each would cost more than all else.
+_HELD = "at array<long>, id array<long>, status array<string>, progress_pct array<int>, message array<string>"
 _VALUE = "status string, progress_pct int, message string, attempts int, at long, deadline long, seq long"
 
 
+def _plain(column: pd.Series, kind: type) -> list:
+    return [None if null else kind(x) for x, null in zip(column.tolist(), column.isna().tolist(), strict=True)]
+
+
 class JobState(StatefulProcessor):
     def __init__(self, timeout: int, attempts: int):
         self.timeout, self.attempts = timeout * 1_000_000, attempts
@@ -33,35 +40,34 @@ class JobState(StatefulProcessor):
         self.value, self.held = handle.getValueState("job", _VALUE), handle.getListState("held", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        new: list[list] = [[], [], [], [], []]
         for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            new += [(int(pd.Timestamp(r.updated_at).value // 1000), int(r.id), r.status, None if r.progress_pct is None else int(r.progress_pct), r.message) for r in part.itertuples()]
-        for row in new:
-            self.held.appendValue(row)
-        if new:
-            self.handle.registerTimer(max(row[0] for row in new) // 1000 + 1)
-        yield pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
+            for held, (name, kind) in zip(new, (("at", int), ("id", int), ("status", str), ("progress_pct", int), ("message", str)), strict=True):
+                held += _plain(part[name], kind)
+        if new[0]:
+            self.held.appendValue(tuple(new))
+            self.handle.registerTimer(max(new[0]) // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
-        due = [r for r in held if r[0] < now]
+        held = sorted((row for pack in self.held.get() for row in zip(*pack, strict=True)), key=lambda r: r[:2]) if self.held.exists() else []
+        ends = bisect_left(held, now, key=lambda r: r[0])
         job = tuple(self.value.get()) if self.value.exists() else ("queued", None, None, 1, 0, None, 0)
         before = job
-        for row in due:
+        for row in held[:ends]:
             job = self._after(self._timed(job, row[0]), row)
         job = self._timed(job, now)
-        if len(due) < len(held):
-            self.held.put([r for r in held if r[0] >= now])
-        elif held:
+        if ends and ends < len(held):
+            self.held.put([tuple(list(x) for x in zip(*held[ends:], strict=True))])
+        elif ends:
             self.held.clear()
         if job[5] is not None and job[5] >= now:
             self.handle.registerTimer(job[5] // 1000 + 1)
         if job != before:
             job = (*job[:6], job[6] + 1)
             self.value.update(job)
-            yield pd.DataFrame([(key[0], *job[:4], pd.Timestamp(job[4], unit="us"), job[6])], columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"progress_pct": "Int32"})
+            yield pd.DataFrame([(key[0], *job[:5], job[6])], columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"progress_pct": "Int32"})
 
     def _timed(self, job: tuple, now: int) -> tuple:
         """job at a time before which its deadline may have passed."""
@@ -87,8 +93,9 @@ def job_states(updates: DataFrame, late: str = "10 minutes", timeout: int = TIME
     message, updated_at timestamp) may come as late as late after others; later ones are left out. Rows without job_id, id or time
     aren't updates."""
     rows = updates.select("job_id", "id", "status", "progress_pct", "message", F.col("updated_at").cast("timestamp").alias("updated_at"))
-    rows = rows.dropna(subset=["job_id", "id", "updated_at"]).withWatermark("updated_at", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobState(timeout, attempts), outputStructType=RESULT, outputMode="Update", timeMode="EventTime")
+    rows = rows.dropna(subset=["job_id", "id", "updated_at"]).withColumn("at", F.unix_micros("updated_at")).withWatermark("updated_at", late)
+    states = rows.groupBy("job_id").transformWithStateInPandas(JobState(timeout, attempts), outputStructType=_OUT, outputMode="Update", timeMode="EventTime")
+    return states.select("job_id", "status", "progress_pct", "message", "attempts", F.timestamp_micros("at").alias("updated_at"), "seq")
 
 
 def latest(states: DataFrame) -> DataFrame:

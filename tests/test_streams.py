@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from quarry.streaming import feed, jobs
@@ -111,3 +112,29 @@ def test_stream_states_equal_those_of_the_table(spark, tmp_path):
     got = {r["job_id"]: tuple(r)[1:] for r in jobs.latest(spark.read.parquet(str(tmp_path / "out"))).collect() if r["job_id"] != 999}
     assert got == plain(rows.collect())
     assert {s[0] for s in got.values()} >= {"failed", "retrying"} or len(got) == 8
+
+
+def test_updates_that_come_together_are_held_by_one_call():
+    """Calls to the state store, not updates, are what a key costs."""
+    calls, held = [], []
+
+    class Store:
+        def getValueState(self, *_):
+            return self
+
+        def getListState(self, *_):
+            return self
+
+        def appendValue(self, row):
+            calls.append("append")
+            held.append(row)
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    state = jobs.JobState(300, 3)
+    state.init(Store())
+    at = pd.date_range("2024-01-01", periods=5000, freq="s")
+    part = pd.DataFrame({"job_id": 1, "id": range(5000), "status": "running", "progress_pct": [None, 1.0] * 2500, "message": [None, "m"] * 2500, "updated_at": at, "at": [x.value // 1000 for x in at]})
+    assert list(state.handleInputRows((1,), iter([part, part]), None)) == []
+    assert len(calls) <= 4 and len(held[0][0]) == 10_000 and held[0][3][:2] == [None, 1] and held[0][4][:2] == [None, "m"]
