@@ -181,3 +181,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r["id"] for r in got) == sorted(r["id"] for r in rows.filter("deal_id = 1").collect())
     assert {r["terminal"] for r in got} == {True, False}
+
+
+def test_keys_of_images_are_dealt_out(spark):
+    """x17: one file of keys is one partition, their images aren't."""
+    made = q_sources._drawn(spark.range(60).coalesce(1)).select("key", images.gray_counts(F.col("pixels")).alias("black"), F.spark_partition_id().alias("part")).collect()
+    assert len({r["part"] for r in made}) > 1
+    assert {r["key"]: r["black"] for r in made} == {k: (20 + k % 30) * (15 + k % 17) + 600 + (900 if k % 3 % 2 == 0 else 0) for k in range(60)}
