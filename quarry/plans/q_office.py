@@ -78,7 +78,7 @@ def _ascii(x: str) -> bytes:
     return b"(" + b"".join(b"\\" + bytes([b]) if b in b"()\\" else b"\\r" if b == 13 else bytes([b]) for b in x.encode("cp1252")) + b")"
 
 
-def _pdf(number: int, title: str, text: str) -> bytes:
+def _pdf(number: int, title: str | None, text: str) -> bytes:
     """A file of pages of WORDS words, LINE a line. By number: tables or streams of references, objects in streams or not, contents
     deflated or not, codes of one or two bytes, a wrong place of the table; every tenth file draws no text."""
     words = [w for w in text.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
@@ -88,9 +88,10 @@ def _pdf(number: int, title: str, text: str) -> bytes:
         wide = number % 4 == 2
     except UnicodeEncodeError:
         wide = True
-    letters = {x: i + 1 for i, x in enumerate(dict.fromkeys(text))} if wide else {}
+    # Words are drawn with spaces between them, whatever white space parts them in the text.
+    letters = {x: i + 1 for i, x in enumerate(dict.fromkeys(f"{text} "))} if wide else {}
     said = (lambda x: b"<" + b"".join(b"%04X" % letters[y] for y in x) + b">") if wide else _ascii
-    objects: dict[int, bytes] = {1: b"<</Type/Catalog/Pages 2 0 R>>", 5: b"<</Title<FEFF%s>>>" % title.encode("utf-16-be").hex().encode()}
+    objects: dict[int, bytes] = {1: b"<</Type/Catalog/Pages 2 0 R>>", 5: b"<<>>" if title is None else b"<</Title<FEFF%s>>>" % title.encode("utf-16-be").hex().encode()}
     streams: dict[int, bytes] = {}
 
     def stream(n: int, body: bytes, head: bytes = b"") -> None:

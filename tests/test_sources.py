@@ -188,3 +188,11 @@ def test_keys_of_images_are_dealt_out(spark):
     made = q_sources._drawn(spark.range(60).coalesce(1)).select("key", images.gray_counts(F.col("pixels")).alias("black"), F.spark_partition_id().alias("part")).collect()
     assert len({r["part"] for r in made}) > 1
     assert {r["key"]: r["black"] for r in made} == {k: (20 + k % 30) * (15 + k % 17) + 600 + (900 if k % 3 % 2 == 0 else 0) for k in range(60)}
+
+
+def test_pdfs_of_odd_rows(spark):
+    """src5: wide texts whose words no space parts, a null title, a null text."""
+    rows = [(2, "s", "one\ntwo"), (6, None, "日本\tx"), (3, None, None), (4, "t", "日\n本")]
+    made = q_office._pdfs(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    got = {(r["path"], r["part"]): (r["text"], r["error"]) for r in office.extract(made).collect()}
+    assert got == {("2", -1): ("s", None), ("2", 0): ("one two", None), ("6", -1): (None, None), ("6", 0): ("日本 x", None), ("3", -1): (None, None), ("3", 0): ("", None), ("4", -1): ("t", None), ("4", 0): ("日 本", None)}
