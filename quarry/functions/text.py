@@ -88,14 +88,23 @@ def is_boilerplate(x: Column) -> Column:
 
 def strip_logo(x: Column) -> Column:
     """Without a leading token of up to three letters, if what follows has two real words."""
-    t = collapse(x)
+    return without_logo(collapse(x))
+
+
+def without_logo(t: Column) -> Column:
+    """strip_logo of a collapsed title."""
     rest = F.trim(F.regexp_extract(t, "^[a-zA-Z]{1,3}\\s+(.{6,})$", 1))
     return F.when((rest != "") & (count(rest, WORD3) >= 2), rest).otherwise(t)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is found once however often f names it: functions of arrays evaluate each mention anew."""
+    return F.transform(F.array(x), f)[0]
+
+
 def first_of(items: Column, same: Callable[[Column, Column], Column]) -> Column:
     """Items without those that are the same as an earlier one, in one fold."""
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.array_append(kept, x)))
+    return let(items, lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.array_append(kept, x))))
 
 
 def is_good_title(x: Column) -> Column:
@@ -171,13 +180,16 @@ def key_numbers(x: Column, reach: int = 50) -> Column:
 
 def headings(titles: Column, boilerplate: Column | None = None, most: int = 10) -> Column:
     """Of slide titles in order those that pass, aren't boilerplate keys, and have a key of their own; the first most."""
-    clean = F.filter(F.transform(titles, strip_logo), passes_for_title)
+    clean = F.filter(F.transform(F.transform(titles, collapse), without_logo), passes_for_title)
     keyed = F.transform(clean, lambda t: F.struct(F.trim(F.regexp_replace(title_key(t), "^[^a-z]+", "")).alias("k"), boilerplate_key(t).alias("b"), t.alias("t")))
     keyed = F.filter(keyed, lambda p: (p["k"] != "") & (p["b"] != ""))
     if boilerplate is not None:
         keyed = F.filter(keyed, lambda p: ~F.array_contains(boilerplate, p["b"]))
-    first = F.array_distinct(F.transform(keyed, lambda p: p["k"]))
-    return F.transform(F.slice(first, 1, most), lambda k: F.get(F.filter(keyed, lambda p: p["k"] == k), F.lit(0))["t"])
+    def distinct(titles_: Column) -> Column:
+        add = lambda s, p: F.when((F.size(s) >= most) | F.exists(s, lambda o: o["k"] == p["k"]), s).otherwise(F.array_append(s, p))
+        return F.aggregate(titles_, F.slice(titles_, 1, 0), add, lambda s: F.transform(s, lambda p: p["t"]))
+
+    return let(keyed, distinct)
 
 
 def image_headings(x: Column, most: int = 10) -> Column:
@@ -243,13 +255,16 @@ def word_metrics(words: Column, most: int = 10) -> Column:
     """array<struct<value, label>>: each numeric word with the first most words near it as its label, from left to
     right; one of each pair, none without a label."""
 
-    def label(v: Column) -> Column:
-        near = F.filter(words, lambda w: (F.abs(w["y"] - v["y"]) <= v["h"] * 0.75 + 8) & (w["x"] >= v["x"] - 120) & (w["x"] <= v["x"] + v["w"] + 120))
-        ordered = F.transform(F.array_sort(F.transform(near, lambda w, i: F.struct(w["x"].alias("x"), i.alias("i"), trimmed(w["text"]).alias("t")))), lambda w: w["t"])
-        return F.array_join(F.slice(F.filter(ordered, lambda t: (t != "") & ~is_numeric_value(t) & ~is_boilerplate(t)), 1, most), " ")
+    said = F.transform(words, lambda w, i: F.struct(w["x"].alias("x"), i.alias("i"), trimmed(w["text"]).alias("t"), w["y"].alias("y")))
+    labels = F.array_sort(F.filter(said, lambda w: (w["t"] != "") & ~is_numeric_value(w["t"]) & ~is_boilerplate(w["t"])))
+
+    def label(v: Column, from_: Column) -> Column:
+        near = F.filter(from_, lambda w: (F.abs(w["y"] - v["y"]) <= v["h"] * 0.75 + 8) & (w["x"] >= v["x"] - 120) & (w["x"] <= v["x"] + v["w"] + 120))
+        return F.array_join(F.transform(F.slice(near, 1, most), lambda w: w["t"]), " ")
 
     numeric = F.filter(words, lambda w: is_numeric_value(w["text"]))
-    pairs = F.filter(F.transform(numeric, lambda v: F.struct(v["text"].alias("value"), label(v).alias("label"))), lambda p: p["label"] != "")
+    # The words of labels are cleaned and ordered once a page, not once a number.
+    pairs = let(labels, lambda from_: F.filter(F.transform(numeric, lambda v: F.struct(v["text"].alias("value"), label(v, from_).alias("label"))), lambda p: p["label"] != ""))
     return first_of(pairs, lambda a, b: (F.lower(a["value"]) == F.lower(b["value"])) & (F.lower(a["label"]) == F.lower(b["label"])))
 
 

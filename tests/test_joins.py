@@ -64,3 +64,15 @@ def test_names_equal_the_cross_join(spark, least):
     got = names.name_matches(left, right, least)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) != []
     assert "Cartesian" not in plan(got) and "NestedLoop" not in plan(got)
+
+
+def test_headings_and_metrics_judge_each_text_once(spark):
+    """Functions of arrays find each mention anew, so the plan names a rule once, or once a use."""
+    rows = spark.createDataFrame([(1, ["Market size overview", "market SIZE overview!", "Team and traction", None, "x"], [("$5", 1.0, 1.0, 1.0, 8.0), ("total", 2.0, 1.0, 1.0, 8.0), ("$5", 1.0, 1.0, 1.0, 8.0)])], f"id long, titles array<string>, words array<{WORD}>")
+    heads = rows.select(t.headings(F.col("titles")).alias("h"))
+    assert plan(heads).count("(?i)(?<![a-z0-9_])use") == 1
+    assert heads.first()["h"] == ["Market size overview", "Team and traction"]
+    assert rows.select(t.headings(F.col("titles"), None, 1)).first()[0] == ["Market size overview"]
+    found = rows.select(t.word_metrics(F.col("words")).alias("m"))
+    assert plan(found).count(t.PHONE) == 1
+    assert [tuple(m) for m in found.first()["m"]] == [("$5", "total")]
