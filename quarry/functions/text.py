@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .numbers import half_up
 
@@ -462,16 +462,21 @@ def _abbreviated(x: str) -> str:
     return x
 
 
+def _slices(texts: pa.Array, many: int = 64) -> list[pa.Array]:
+    return [texts.slice(i, many) for i in range(0, max(1, len(texts)), many)]
+
+
 def abbreviate_repeats(x: Column) -> Column:
     """Three-word phrases of over 20 characters that occur three times or more become two capital initials, in turn.
 
-    A replacement changes what later ones find, so this is a fold over one text: an Arrow-batched function.
+    A replacement changes what later ones find, so this is a fold over one text: an Arrow-batched function, which
+    holds few texts of a batch as Python's at once.
     """
 
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(_abbreviated)
+    def fold(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([_abbreviated(v.as_py()) for v in part], pa.string()) for part in _slices(texts)])
 
-    return pandas_udf(fold, "string")(text(x))
+    return arrow_udf(fold, "string")(text(x))
 
 
 def truncate(x: Column, most: int) -> Column:

@@ -170,3 +170,11 @@ def test_citations_with_ties_are_the_same_in_any_order(spark):
     rows = [(1, 7, "2024-01-01", f"t{i}", e) for i, e in enumerate(["b", "a", None, "d", "c"])]
     own = [sorted(map(tuple, entities.citations(spark.createDataFrame(x, "deal_id long, evidence_id long, created_at string, text string, excerpt string").coalesce(1)).select("text").collect())) for x in (rows, rows[::-1], rows[2:] + rows[:2])]
     assert own[0] == own[1] == own[2] and len(own[0]) == 3
+
+
+def test_condensing_holds_few_texts_at_once():
+    import pyarrow as pa
+
+    parts = text._slices(pa.array([f"t{i}" for i in range(1000)]))
+    assert max(map(len, parts)) <= 64 and pa.concat_arrays(parts).to_pylist() == [f"t{i}" for i in range(1000)]
+    assert [len(p) for p in text._slices(pa.array([], pa.string()))] == [0]
