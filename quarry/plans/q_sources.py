@@ -45,16 +45,25 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([keys, pa.array(out, pa.binary())], names=["key", "pixels"])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A key becomes 200 KB, so a file of keys is dealt out first."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
+
+
 def _drawn(rows: DataFrame) -> DataFrame:
     """Images of SIDE by SIDE pixels on light ground, by a key: a block of dark stripes whose size and place vary, a banner, and a
-    block whose gray lies just below or at the threshold. A key becomes 200 KB, so a file of keys is dealt out first."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, rows.columns[0]).mapInArrow(_images, "key long, pixels binary")
+    block whose gray lies just below or at the threshold."""
+    return _dealt(rows).mapInArrow(_images, "key long, pixels binary")
 
 
 def _found(suppliers: DataFrame) -> DataFrame:
-    made = _drawn(suppliers.select("s_suppkey"))
-    return made.select("key", F.posexplode(images.regions(c("pixels"), F.lit(SIDE), F.lit(SIDE)))).select("key", "pos", "col.*")
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("read", pa.bool_())]))
+    made = _dealt(suppliers.select("s_suppkey")).mapInArrow(images.measured(_images, lambda p: images.found(p, SIDE, SIDE), kind), f"key long, measure {images.REGION}")
+    return made.select("key", F.posexplode("measure")).select("key", "pos", "col.*")
+
+
+def _black(suppliers: DataFrame) -> DataFrame:
+    return _dealt(suppliers.select("s_suppkey")).mapInArrow(images.measured(_images, images.black, pa.int64()), "key long, measure long").select("key", c("measure").alias("black"))
 
 
 # A block of w by h stripes at x, y has edges from x - 1 and y - 1 on; the banner is too flat beyond the top quarter; gray from 171.4 on turns white.
@@ -63,7 +72,7 @@ _BLOCKS = """b AS (SELECT s_suppkey AS key, 9 AS x, 89 AS y, 40 + s_suppkey % 30
 
 q("x15_text_regions", "supplier", _found, f"""WITH {_BLOCKS}
   SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY w * h DESC, y) - 1 AS INT) AS pos, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h, w >= 60 AND h >= 25 AND NOT (w > 25 * h AND y >= 64) AS read FROM b""")
-q("x17_preprocessed", "supplier", lambda s: _drawn(s.select("s_suppkey")).select("key", images.gray_counts(c("pixels")).alias("black")),
+q("x17_preprocessed", "supplier", _black,
   "SELECT s_suppkey AS key, CAST((20 + s_suppkey % 30) * (15 + s_suppkey % 17) + 600 + CASE WHEN s_suppkey % 3 % 2 = 0 THEN 900 ELSE 0 END AS BIGINT) AS black FROM {supplier}")
 
 
