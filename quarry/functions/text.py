@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -164,6 +165,20 @@ def trimmed(x: Column) -> Column:
     return F.regexp_replace(text(x), f"^{SPACE}|{SPACE}$", "")
 
 
+# Java's classes are ASCII's; its $ also stands before a last line end, of which only NEL isn't white space here.
+_NUMERIC, _LINK, _PHONE = (re.compile(p, re.ASCII) for p in (NUMERIC, LINK, PHONE))
+_ENDS = re.compile(f"^{SPACE}|{SPACE}(?=\x85?\\Z)", re.ASCII)
+
+
+def judged_word(word: str) -> tuple[bool, str]:
+    """For Arrow batches: whether is_numeric_value holds, and the word itself if so; else it trimmed, or empty if is_boilerplate holds."""
+    if _NUMERIC.search(word):
+        return True, word
+    clean = _ENDS.sub("", word)
+    low = clean.lower()
+    return False, "" if _LINK.search(low) or "www." in low or "@" in low or _PHONE.search(low) else clean
+
+
 def key_numbers(x: Column, reach: int = 50) -> Column:
     """array<struct<value, context>>: every numeric token of a page in order, with the text around the token's first
     occurrence, reach characters to both sides of its beginning."""
