@@ -11,8 +11,15 @@ import pyarrow.compute as pc
 
 #: The byte-level pattern never looks behind, and gives the last space before another character to what follows. So a
 #: text may be split before every space but where white space stands on both sides of the space: there, and only
-#: there, a run of white space reaches over the cut. Texts with such a place are encoded whole.
-_SIMPLE = re.compile(r" \S+").fullmatch
+#: there, a run of white space reaches over the cut. Texts with such a place are encoded whole. A text may also be split
+#: where ASCII punctuation follows a letter or digit, and where a line ends after anything but white space: a token ends
+#: there whatever follows. What stands behind such a cut gets a mark for its space.
+_MARK = "\x01"
+_CUTS = ((r"([^\t-\r\x1C-\x1F\x85\pZ\x{180E}])\n", f"\\1 {_MARK}\n"), (r"([\pL\pN])([!-/:-@\[-`{-~])", f"\\1 {_MARK}\\2"))
+#: Bytes of a batch that is cut before spaces alone: it holds a very long text, whose parts are to be few.
+_WIDE = 16 << 20
+#: Parts that may stand behind others: what starts with white space and doesn't end with it.
+_SIMPLE = re.compile(r"[ \n]\S+").fullmatch
 #: Words longer than this are encoded each time rather than kept.
 _LONG = 80
 _JOIN = 400
@@ -25,7 +32,7 @@ MEMO = 250_000
 class PieceEncoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids.
 
-    Arrow splits a batch of texts into words and numbers the distinct ones; a word with the space before it goes
+    Arrow splits a batch of texts into words and punctuation and numbers the distinct ones; a word with the space before it goes
     through the library once a batch at most, and its ids are kept, while there are no more than capacity words. The
     ids of the batch are then gathered by word numbers. Results are those of Tokenizer.encode(text,
     add_special_tokens=False), special strings inside texts included; with plain, these strings are ordinary text. Texts are
@@ -42,6 +49,7 @@ class PieceEncoder:
         self._capacity = capacity
         self.vocabulary = self._tok.get_vocab_size(with_added_tokens=True)
         added = {i: t.content for i, t in self._tok.get_added_tokens_decoder().items()}
+        self._added = list(added.values())
         #: Bytes of text behind each id: a byte-level token has one character a byte.
         self._bytes = np.zeros(self.vocabulary, dtype=np.int64)
         for token, i in self._tok.get_vocab(with_added_tokens=True).items():
@@ -56,7 +64,7 @@ class PieceEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that start with a space. Those without other white space are encoded joined, and parted by their bytes."""
+        """Ids of pieces. Those that start with a space or a line's end and have no other white space are encoded joined, and parted by their bytes."""
         out: dict[str, bytes] = {}
         simple = [p for p in pieces if _SIMPLE(p)]
         parts = [simple[i : i + _JOIN] for i in range(0, len(simple), _JOIN)]
@@ -82,25 +90,42 @@ class PieceEncoder:
         """The ids of each text, by the library alone."""
         return self._direct(texts)
 
+    def _parted(self, texts: pa.Array) -> tuple[pa.Array, bool]:
+        """Texts with a space and a mark at each place of _CUTS, but for those with special strings; or as they are, and false."""
+        if texts.nbytes > _WIDE or pc.any(pc.match_substring_regex(texts, _MARK)).as_py():
+            return texts, False
+        out = texts
+        for pattern, into in _CUTS:
+            out = pc.replace_substring_regex(out, pattern, into)
+        for string in self._added:
+            has = pc.match_substring(texts, string)
+            if pc.any(has).as_py():
+                out = pc.if_else(has, texts, out)
+        return out, True
+
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        split = pc.split_pattern(texts, " ")
+        parted, marked = self._parted(texts)
+        split = pc.split_pattern(parted, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
-        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         heads = offsets[:-1]
         memo = self._memo
         found = list(map(memo.get, words))
+        own = set() if marked else {i for i, w in enumerate(words) if w[:1] == _MARK}  # not the memo's words of that name
+        for i in own:
+            found[i] = None
         inner = np.ones(len(number), dtype=bool)
         inner[heads] = False
         needed = np.zeros(len(words), dtype=bool)
         needed[number[inner]] = True
         new = [i for i in np.flatnonzero(needed).tolist() if found[i] is None]
-        for i, ids in zip(new, self._learn([" " + words[i] for i in new]), strict=True):
+        for i, ids in zip(new, self._learn([w[1:] if (w := words[i])[:1] == _MARK and marked else " " + w for i in new]), strict=True):
             found[i] = ids
         void = pc.equal(pc.utf8_length(coded.dictionary), 0)
 
@@ -113,7 +138,7 @@ class PieceEncoder:
         over = np.flatnonzero(ends_open[:-1] & starts_open[1:] & inner[1:])
         whole = sorted(set((np.searchsorted(offsets, over, "right") - 1).tolist()))
         if len(memo) < self._capacity:
-            memo.update((words[i], found[i]) for i in new if len(words[i]) <= _LONG)
+            memo.update((words[i], found[i]) for i in new if len(words[i]) <= _LONG and i not in own)
         first = sorted(set(number[heads].tolist()))
         starts = self._direct([words[i] for i in first])
         # Distinct words, then heads, as one list of id runs to gather from.

@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 from quarry.llm import packing, token_counts, token_store
 from quarry.llm.common import cut, gear_candidates, scratch
-from quarry.llm.encoder import PieceEncoder
+from quarry.llm.encoder import _CUTS, _MARK, PieceEncoder
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOK, SP = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
@@ -31,6 +33,39 @@ def test_encoder_is_exact(texts):
     assert ENC.encode(texts) == [ids(t) for t in texts]
 
 
+ODD = [*"ab1,.!-' \n\t\x01\r\v\xa0\x85\u180e\u3000éⅧ²日😀\u0301", "'s", "\n\n", " \x01,", "<|endoftext|>", "<|", "|>", "endoftext"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=25).map("".join), max_size=6))
+def test_encoder_is_exact_at_punctuation_and_marks(texts):
+    assert ENC.encode(texts) == [ids(t) for t in texts]
+
+
+def test_encoder_is_exact_on_wide_batches(monkeypatch):
+    monkeypatch.setattr("quarry.llm.encoder._WIDE", 100)
+    texts = ["Ab, c.\nd's " * 20, "e, f\n\x01,"]
+    assert ENC.encode(texts) == [ids(t) for t in texts]
+
+
+def test_tokens_end_at_every_cut():
+    chars = [c for c in map(chr, range(1, 0x10000)) if c != _MARK and not 0xD800 <= ord(c) < 0xE000]
+    for (pattern, into), follow in zip(_CUTS, ("\n\n", ",!"), strict=True):
+        for c, parted in zip(chars, pc.replace_substring_regex(pa.array([c + follow for c in chars]), pattern, into).to_pylist(), strict=True):
+            if _MARK in parted:
+                assert any(at[0] == 1 for _, at in TOK.pre_tokenizer.pre_tokenize_str(c + follow)), hex(ord(c))
+
+
+def test_a_word_goes_through_the_library_once_whatever_follows(monkeypatch):
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnrst"]
+    texts = ["Start " + " ".join(w + end for w in words) for end in ("", ",", ".", "!", ";", ".\nAnd")]
+    enc, sent = PieceEncoder(BYTE), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces: sent.extend(pieces) or learn(pieces))
+    assert enc.encode(texts) == [ids(t) for t in texts]
+    assert len(sent) <= len(words) + 10
+
+
 def crc(raw):
     return zlib.crc32(raw)
 
