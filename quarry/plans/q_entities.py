@@ -276,7 +276,7 @@ q("s37_progress_rule", "cycles", lambda y: y.select("deal_id", "cycle_number", r
 q("s38_analysis_summary", "fact_rows", lambda f: r.fact_ledger(f).select("deal_id", "facts", r.half_up(c("avg_confidence") * 100).alias("confidence"), r.next_action((c("deal_id") % 5).cast("int"), F.when(c("deal_id") % 2 == 0, "complete").otherwise("running")).alias("next_action")),
   f"""SELECT deal_id, facts, {half_up('a * 100')} AS confidence, CASE deal_id % 5 WHEN 1 THEN 'run_cycle_2' WHEN 2 THEN 'run_cycle_3' WHEN 3 THEN 'synthesize' ELSE CASE WHEN deal_id % 2 = 0 THEN 'view_decision_pack' ELSE 'waiting_for_cycle_1' END END AS next_action
   FROM (SELECT deal_id, count(*) AS facts, {half_up("CAST(sum(confidence_pct) AS DOUBLE) * 0.01e0 / count(confidence_pct)", 4)} AS a FROM {{fact_rows}} GROUP BY 1) x""")
-q("s39_prerequisites", "deals deal_documents", lambda d, x: e.start_checks(d, x).groupBy(F.size("errors").alias("errors")).agg(F.count("*").alias("n")), """SELECT CAST(deleted AS INT) + CAST(n = 0 AS INT) + CAST(k = 0 AS INT) AS errors, count(*) AS n FROM (SELECT d.id, d.deleted, count(x.document_id) AS n,
+q("s39_prerequisites", "deals deal_documents", lambda d, x: e.prerequisites(d, x).groupBy("errors").agg(F.count("*").alias("n")), """SELECT CAST(deleted AS INT) + CAST(n = 0 AS INT) + CAST(k = 0 AS INT) AS errors, count(*) AS n FROM (SELECT d.id, d.deleted, count(x.document_id) AS n,
   count(x.document_id) FILTER (WHERE x.type IN ('pitch_deck', 'other')) AS k FROM {deals} d LEFT JOIN {deal_documents} x ON x.deal_id = d.id GROUP BY 1, 2) y GROUP BY 1""")
 q("s40_progress", "cycles", lambda y: y.select("deal_id", "cycle_number", r.progress_percent(c("cycle_number"), c("questions") == 0).alias("percent")), f"SELECT deal_id, cycle_number, CASE WHEN questions = 0 THEN 100e0 ELSE {half_up('cycle_number / 3e0 * 100e0')} END AS percent FROM {{cycles}}")
 q("s41_result", "ledgers fact_rows orders", lambda g, f, o: an.states(_snapshot(g), f, _packs(o)).filter("pack IS NOT NULL").select("deal_id", "risks", "confidence"),
