@@ -149,7 +149,7 @@ def _pdfs(documents_: DataFrame) -> DataFrame:
 
 q("src5_pdf_pages", "documents", lambda d: office.extract(_pdfs(d)).select(c("path").cast("long").alias("doc_id"), "part", "name", "level", "text", "error"),
   f"""WITH w AS (SELECT doc_id, source, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]'), lambda x: x <> '') AS w FROM {{documents}}),
-  p AS (SELECT *, greatest(1, (len(w) + {WORDS - 1}) // {WORDS}) AS n FROM w), k AS (SELECT *, unnest(range(-1, least(n, 30))) AS k FROM p)
+  p AS (SELECT *, greatest(1, (len(w) + {WORDS - 1}) // {WORDS}) AS n FROM w), k AS (SELECT *, unnest(range(-1, n)) AS k FROM p)
   SELECT doc_id, CAST(k AS INT) AS part, CASE WHEN k < 0 THEN 'file' WHEN doc_id % 10 = 9 OR len(w) = 0 THEN 'scan' ELSE 'page' END AS name, CASE WHEN k < 0 THEN CAST(n AS INT) END AS level,
   CASE WHEN k < 0 THEN source WHEN doc_id % 10 = 9 THEN '' ELSE array_to_string(w[k * {WORDS} + 1:(k + 1) * {WORDS}], ' ') END AS text, CAST(NULL AS VARCHAR) AS error FROM k""")
 
