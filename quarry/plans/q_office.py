@@ -75,7 +75,7 @@ WORDS, LINE = 300, 10
 
 
 def _ascii(x: str) -> bytes:
-    return b"(" + b"".join(b"\\" + bytes([b]) if b in b"()\\" else b"\\r" if b == 13 else bytes([b]) for b in x.encode("cp1252")) + b")"
+    return b"(" + x.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
 
 
 def _pdf(number: int, title: str | None, text: str) -> bytes:
@@ -90,7 +90,8 @@ def _pdf(number: int, title: str | None, text: str) -> bytes:
         wide = True
     # Words are drawn with spaces between them, whatever white space parts them in the text.
     letters = {x: i + 1 for i, x in enumerate(dict.fromkeys(f"{text} "))} if wide else {}
-    said = (lambda x: b"<" + b"".join(b"%04X" % letters[y] for y in x) + b">") if wide else _ascii
+    codes = {ord(x): "%04X" % i for x, i in letters.items()}
+    said = (lambda x: b"<" + x.translate(codes).encode() + b">") if wide else _ascii
     objects: dict[int, bytes] = {1: b"<</Type/Catalog/Pages 2 0 R>>", 5: b"<<>>" if title is None else b"<</Title<FEFF%s>>>" % title.encode("utf-16-be").hex().encode()}
     streams: dict[int, bytes] = {}
 
@@ -116,10 +117,11 @@ def _pdf(number: int, title: str | None, text: str) -> bytes:
     out, at = bytearray(b"%PDF-1.7\n"), {}
     packed = number % 4 == 1
     if packed:
-        listed, body = b"", b""
+        listed, body = bytearray(), bytearray()
         for n, x in objects.items():
-            listed, body = listed + b"%d %d " % (n, len(body)), body + x + b" "
-        stream(last, listed + body, b"/Type/ObjStm/N %d/First %d" % (len(objects), len(listed)))
+            listed += b"%d %d " % (n, len(body))
+            body += x + b" "
+        stream(last, bytes(listed + body), b"/Type/ObjStm/N %d/First %d" % (len(objects), len(listed)))
     for n, x in (streams if packed else objects | streams).items():
         at[n] = len(out)
         out += b"%d 0 obj\n%s\nendobj\n" % (n, x)
@@ -140,8 +142,15 @@ def _pdf(number: int, title: str | None, text: str) -> bytes:
 def _pdfs(documents_: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            yield pa.record_batch([batch.column(0), pa.array([_pdf(*r) for r in rows], pa.binary())], names=["doc_id", "content"])
+            keys, out, size = [], [], 0
+            for at in range(batch.num_rows):
+                row = [batch.column(i)[at].as_py() for i in range(3)]
+                keys.append(row[0])
+                out.append(_pdf(*row))
+                size += len(out[-1])
+                if size >= 4 << 20 or at == batch.num_rows - 1:  # a few files at once
+                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "content"])
+                    keys, out, size = [], [], 0
 
     made = documents_.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, content binary")
     return made.select(c("doc_id").cast("string").alias("path"), F.lit("pdf").alias("kind"), "content")
