@@ -97,7 +97,7 @@ def _pdf(number: int, title: str | None, text: str) -> bytes:
 
     def stream(n: int, body: bytes, head: bytes = b"") -> None:
         if number % 3:
-            body, head = zlib.compress(body), head + b"/Filter/FlateDecode"
+            body, head = zlib.compress(body, 1), head + b"/Filter/FlateDecode"
         streams[n] = b"<<%s/Length %d>>stream\n%s\nendstream" % (head, len(body), body)
 
     if wide:
@@ -152,7 +152,9 @@ def _pdfs(documents_: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "content"])
                     keys, out, size = [], [], 0
 
-    made = documents_.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, content binary")
+    # Making and reading files is long work for few bytes, so that texts are dealt out whatever the table's files and row groups.
+    rows = documents_.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    made = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").mapInArrow(run, "doc_id long, content binary")
     return made.select(c("doc_id").cast("string").alias("path"), F.lit("pdf").alias("kind"), "content")
 
 
